@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import (CATEGORIES, CONTENT_FEATURES, FOREST_DEPTH, FOREST_TREES, SEED,
                                    TEST_FRACTION_TENTHS, VIRALITY_FEATURES)
 from ..functions.scalar import is_weekend, ratio_or_null
+from ..session import persist
 from .quantiles import quantiles
 
 
@@ -88,6 +89,12 @@ class FittedModel:
                                      "feature string, importance double")
 
 
+# Execution settings only (they do not change the trees): more memory for the
+# per-node split statistics lets one pass over the data grow more nodes, and
+# cached node ids avoid re-walking every tree from the root at each level.
+RF_TUNING = dict(maxMemoryInMB=1024, cacheNodeIds=True)
+
+
 def _assemble(cols: list[str]) -> list:
     return [VectorAssembler(inputCols=cols, outputCol="_raw"),
             StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True)]
@@ -98,6 +105,17 @@ def _require(train: DataFrame, what: str) -> None:
         raise ValueError(f"{what}: no training rows")
 
 
+def _fit(stages: list, train: DataFrame) -> PipelineModel:
+    """Fit with the training rows persisted for the fit only: the scaler pass,
+    the split-candidate sample and the forest's bagging then read them once
+    instead of re-running the feature joins (spills to disk when large)."""
+    cached = persist(train)
+    try:
+        return Pipeline(stages=stages).fit(cached)
+    finally:
+        cached.unpersist()
+
+
 def fit_virality(features: DataFrame, approx: bool = False) -> FittedModel:
     """M4: random forest classifier of is_viral on six features (null -> 0)."""
     df = viral_label(features, approx).fillna(0, subset=VIRALITY_FEATURES)
@@ -105,8 +123,8 @@ def fit_virality(features: DataFrame, approx: bool = False) -> FittedModel:
     train, test = split(df)
     _require(train, "virality model")
     rf = RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=FOREST_TREES,
-                                maxDepth=FOREST_DEPTH, seed=SEED)
-    model = Pipeline(stages=_assemble(VIRALITY_FEATURES) + [rf]).fit(train)
+                                maxDepth=FOREST_DEPTH, seed=SEED, **RF_TUNING)
+    model = _fit(_assemble(VIRALITY_FEATURES) + [rf], train)
     pred = model.transform(test).select("video_id", F.col("_label").alias("label"), "prediction")
     return FittedModel(model, VIRALITY_FEATURES, pred, train.agg(F.count(F.lit(1)).alias("training_rows")))
 
@@ -118,9 +136,9 @@ def fit_category(features: DataFrame) -> FittedModel:
     _require(train, "category model")
     idx = StringIndexerModel.from_labels(CATEGORIES, inputCol="performance_category", outputCol="_label")
     rf = RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=FOREST_TREES,
-                                maxDepth=FOREST_DEPTH, seed=SEED, predictionCol="_pred")
+                                maxDepth=FOREST_DEPTH, seed=SEED, predictionCol="_pred", **RF_TUNING)
     back = IndexToString(inputCol="_pred", outputCol="prediction", labels=CATEGORIES)
-    model = Pipeline(stages=[idx] + _assemble(CONTENT_FEATURES) + [rf, back]).fit(train)
+    model = _fit([idx] + _assemble(CONTENT_FEATURES) + [rf, back], train)
     pred = model.transform(test).select("video_id", F.col("performance_category").alias("label"), "prediction")
     return FittedModel(model, CONTENT_FEATURES, pred, train.agg(F.count(F.lit(1)).alias("training_rows")))
 
@@ -133,8 +151,9 @@ def fit_views(features: DataFrame) -> FittedModel:
     train, test = split(df)
     _require(train, "views model")
     rf = RandomForestRegressor(featuresCol="_features", labelCol="_label", numTrees=FOREST_TREES,
-                               maxDepth=FOREST_DEPTH, seed=SEED, featureSubsetStrategy="all")
-    model = Pipeline(stages=_assemble(CONTENT_FEATURES) + [rf]).fit(train)
+                               maxDepth=FOREST_DEPTH, seed=SEED, featureSubsetStrategy="all",
+                               **RF_TUNING)
+    model = _fit(_assemble(CONTENT_FEATURES) + [rf], train)
     pred = model.transform(test).select("video_id", F.col("_label").alias("label"), "prediction")
     return FittedModel(model, CONTENT_FEATURES, pred, train.agg(F.count(F.lit(1)).alias("training_rows")))
 

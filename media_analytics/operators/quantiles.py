@@ -12,8 +12,9 @@ statistics are found by bracketing instead:
    it by about ``accuracy / 6``); once it holds at most ``max_candidates`` rows,
    its (value, count) pairs - a bounded set - are ranked.
 
+Several columns of one table share passes 1-3 (``multi_exact_quantiles``).
 Each round returns a handful of numbers to the driver; no task or driver ever
-holds more than ``max_candidates`` values. The result equals pandas /
+holds more than ``max_candidates`` values per bracket. The result equals pandas /
 DuckDB ``quantile_cont``: ``v[k] + (v[k+1] - v[k]) * frac`` at position
 ``p * (n - 1)``.
 """
@@ -23,11 +24,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 10_000
-DEFAULT_MAX_CANDIDATES = 200_000
+DEFAULT_MAX_CANDIDATES = 50_000
 _MARGIN = 3.0  # bracket half-width in units of the sketch's rank error (1/accuracy)
 
 
@@ -113,6 +114,136 @@ def _rank_values(xs: DataFrame, ranks: Sequence[int], n: int, accuracy: int,
     return out
 
 
+def _interpolate(vals: dict[int, float], plan) -> list[float]:
+    out = []
+    for k0, k1, frac in plan:
+        lo, hi = vals[k0], vals[k1]
+        out.append(lo if frac == 0 or lo == hi else lo + (hi - lo) * frac)
+    return out
+
+
+def _plan(probs: Sequence[float], n: int):
+    plan = []
+    for p in probs:
+        if not 0.0 <= p <= 1.0:
+            raise ValueError(f"probability out of range: {p}")
+        pos = p * (n - 1)
+        k0 = math.floor(pos)
+        plan.append((k0, min(k0 + 1, n - 1), pos - k0))
+    return plan
+
+
+def multi_exact_quantiles(df: DataFrame, spec: dict[str, Sequence[float]], *,
+                          accuracy: int = DEFAULT_ACCURACY,
+                          max_candidates: int = DEFAULT_MAX_CANDIDATES) -> dict[str, list[float | None]]:
+    """Exact linear quantiles of several columns of one table in shared passes.
+
+    Pass 1: non-null counts and bracketing sketches of every column. Pass 2
+    (only for columns above ``max_candidates`` rows): rows below / inside each
+    bracket. Pass 3: the (value, count) pairs of all small brackets at once.
+    A bracket that is still large is refined on its own (``_rank_values``).
+    """
+    cols = list(spec)
+    if not cols:
+        return {}
+    xcol = {c: f"_x{j}" for j, c in enumerate(cols)}
+    base = df.select(*[F.when(F.col(c).cast("double").isNotNull() & ~F.isnan(F.col(c).cast("double")),
+                              F.col(c).cast("double")).alias(xcol[c]) for c in cols])
+    m = _MARGIN / accuracy
+    aggs = []
+    for c in cols:
+        fr = []
+        for p in spec[c]:
+            fr += [min(max(p - m, 0.0), 1.0), min(max(p + m, 0.0), 1.0)]
+        aggs += [F.count(xcol[c]).alias(f"n{xcol[c]}"),
+                 F.percentile_approx(xcol[c], fr or [0.5], accuracy).alias(f"s{xcol[c]}")]
+    first = base.agg(*aggs).first()
+
+    result: dict[str, list[float | None]] = {}
+    plans, brackets = {}, []  # bracket: [col, lo, hi, ranks, below, size]
+    for c in cols:
+        n = first[f"n{xcol[c]}"]
+        if n == 0:
+            result[c] = [None for _ in spec[c]]
+            continue
+        plans[c] = _plan(spec[c], n)
+        if n <= max_candidates:
+            ranks = sorted({k for k0, k1, _ in plans[c] for k in (k0, k1)})
+            brackets.append([c, None, None, ranks, 0, n])
+            continue
+        sk = first[f"s{xcol[c]}"]
+        for i, (p, (k0, k1, _)) in enumerate(zip(spec[c], plans[c])):
+            lo = sk[2 * i] if p - m > 0 else None
+            hi = sk[2 * i + 1] if p + m < 1 else None
+            brackets.append([c, lo, hi, [k0, k1] if k1 != k0 else [k0], None, None])
+
+    def inside(b) -> Column:
+        x = F.col(xcol[b[0]])
+        cond = x.isNotNull()
+        if b[1] is not None:
+            cond = cond & (x >= F.lit(b[1]))
+        if b[2] is not None:
+            cond = cond & (x <= F.lit(b[2]))
+        return cond
+
+    todo = [b for b in brackets if b[4] is None]
+    if todo:
+        cnt = []
+        for i, b in enumerate(todo):
+            x = F.col(xcol[b[0]])
+            below = F.count_if(x < F.lit(b[1])) if b[1] is not None else F.lit(0).cast("bigint")
+            cnt += [below.alias(f"b{i}"), F.count_if(inside(b)).alias(f"z{i}")]
+        row = base.agg(*cnt).first()
+        for i, b in enumerate(todo):
+            b[4], b[5] = row[f"b{i}"], row[f"z{i}"]
+
+    vals: dict[str, dict[int, float]] = {c: {} for c in plans}
+    small = []
+    for b in brackets:
+        c, lo, hi, ranks, below, size = b
+        valid = below <= ranks[0] and below + size > ranks[-1]
+        if valid and lo is not None and lo == hi:
+            vals[c].update({r: lo for r in ranks})  # one (hot) value fills the bracket
+        elif valid and size <= max_candidates:
+            small.append(b)
+        else:
+            xs = base.select(F.col(xcol[c]).alias("x")).where(F.col("x").isNotNull())
+            n = first[f"n{xcol[c]}"]
+            if valid:
+                got = _rank_values(xs.where(_between("x", lo, hi)), [r - below for r in ranks], size,
+                                   accuracy, max_candidates, 1)
+                vals[c].update({r: got[r - below] for r in ranks})
+            else:
+                vals[c].update(_rank_values(xs, ranks, n, accuracy * 4, max_candidates, 1))
+    if small:
+        arr = F.array(*[F.when(inside(b), F.struct(F.lit(i).alias("t"), F.col(xcol[b[0]]).alias("x")))
+                        for i, b in enumerate(small)])
+        picked = base.select(F.explode(F.filter(arr, lambda e: e.isNotNull())).alias("e"))
+        pairs: dict[int, list] = {}
+        for r in picked.groupBy("e.t", "e.x").agg(F.count(F.lit(1)).alias("c")).collect():
+            pairs.setdefault(r["t"], []).append((r["x"], r["c"]))
+        for i, b in enumerate(small):
+            c, ranks, seen = b[0], sorted(b[3]), b[4]
+            j = 0
+            for v, cnt_ in sorted(pairs.get(i, [])):
+                while j < len(ranks) and ranks[j] < seen + cnt_:
+                    vals[c][ranks[j]] = v
+                    j += 1
+                seen += cnt_
+    for c in plans:
+        result[c] = _interpolate(vals[c], plans[c])
+    return {c: result[c] for c in cols}
+
+
+def _between(x: str, lo, hi) -> Column:
+    cond = F.lit(True)
+    if lo is not None:
+        cond = cond & (F.col(x) >= F.lit(lo))
+    if hi is not None:
+        cond = cond & (F.col(x) <= F.lit(hi))
+    return cond
+
+
 def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], *,
                     accuracy: int = DEFAULT_ACCURACY,
                     max_candidates: int = DEFAULT_MAX_CANDIDATES) -> list[float | None]:
@@ -120,27 +251,8 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], *,
 
     Returns one float per probability, ``None`` for an empty column.
     """
-    for p in probs:
-        if not 0.0 <= p <= 1.0:
-            raise ValueError(f"probability out of range: {p}")
-    xs = _values(df, column)
-    n = xs.count()
-    if n == 0:
-        return [None for _ in probs]
-    plan = []
-    ranks: list[int] = []
-    for p in probs:
-        pos = p * (n - 1)
-        k0 = math.floor(pos)
-        k1 = min(k0 + 1, n - 1)
-        plan.append((k0, k1, pos - k0))
-        ranks += [k0, k1]
-    vals = _rank_values(xs, ranks, n, accuracy, max_candidates)
-    out = []
-    for k0, k1, frac in plan:
-        lo, hi = vals[k0], vals[k1]
-        out.append(lo if frac == 0 or lo == hi else lo + (hi - lo) * frac)
-    return out
+    return multi_exact_quantiles(df, {column: list(probs)}, accuracy=accuracy,
+                                 max_candidates=max_candidates)[column]
 
 
 def approx_quantiles(df: DataFrame, column: str, probs: Sequence[float],
@@ -160,8 +272,9 @@ def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float]
                    approx: bool = False, **kw) -> DataFrame:
     """Long table (metric, p, value) of quantiles of several columns."""
     spark = df.sparkSession
-    rows = []
-    for c in columns:
-        for p, v in zip(probs, quantiles(df, c, probs, approx=approx, **kw)):
-            rows.append((c, float(p), None if v is None else float(v)))
+    if approx:
+        got = {c: approx_quantiles(df, c, probs) for c in columns}
+    else:
+        got = multi_exact_quantiles(df, {c: list(probs) for c in columns}, **kw)
+    rows = [(c, float(p), None if v is None else float(v)) for c in columns for p, v in zip(probs, got[c])]
     return spark.createDataFrame(rows, "metric string, p double, value double")

@@ -7,10 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import DURATION_EDGES, DURATION_LABELS_SHORT, FREQUENCY_EDGES
 from ..functions.scalar import bucket_order, cut, ratio_or_null
-from .quantiles import quantiles
+from .quantiles import approx_quantiles, multi_exact_quantiles, quantiles
 from .rollup import mean_of_int
 
 
+def table_quantiles(df: DataFrame, spec: dict, approx: bool) -> dict:
+    """Quantiles of several columns of one table (shared passes when exact)."""
+    if approx:
+        return {c: approx_quantiles(df, c, ps) for c, ps in spec.items()}
+    return multi_exact_quantiles(df, spec)
+
+
 def best_group(df: DataFrame, key: Column | str, metric: Column, name: str,
                tie: Column | str | None = None) -> DataFrame:
     """T4: the group with the highest mean (NULL means ignored); ties go to the
@@ -39,8 +46,8 @@ def recommendations(fv: DataFrame, fc: DataFrame, approx: bool = False) -> DataF
     best_day = best_group(fv, "publish_day", views, "best_day")
     best_freq = best_group(fc, cut("videos_per_month", FREQUENCY_EDGES), F.col("avg_views"),
                            "best_frequency", bucket_order("videos_per_month", FREQUENCY_EDGES))
-    eng_q75, lr_q75 = (quantiles(fv, "engagement_rate", [0.75], approx=approx)[0],
-                       quantiles(fv, "like_rate", [0.75], approx=approx)[0])
+    qv = table_quantiles(fv, {"engagement_rate": [0.75], "like_rate": [0.75]}, approx)
+    eng_q75, lr_q75 = qv["engagement_rate"][0], qv["like_rate"][0]
     score_q75 = quantiles(fc, "engagement_score", [0.75], approx=approx)[0]
     means = fv.agg(F.avg("engagement_rate").alias("target_engagement"),
                    mean_of_int("title_length").alias("avg_title_length"))
@@ -68,11 +75,10 @@ def benchmark_index(fv: DataFrame, fc: DataFrame, v: DataFrame, c: DataFrame,
 
     Views over subscribers is NULL for channels without subscribers (P17)."""
     vir = ratio_or_null("views", "ch_subscribers")
-    q_views = quantiles(v, "views", [0.75], approx=approx)[0]
-    q_eng = quantiles(v, "engagement_rate", [0.75], approx=approx)[0]
-    q_lr = quantiles(v, "like_rate", [0.75], approx=approx)[0]
+    qv = table_quantiles(v.withColumn("_vir", vir),
+                         {"views": [0.75], "engagement_rate": [0.75], "like_rate": [0.75], "_vir": [0.75]}, approx)
+    q_views, q_eng, q_lr, q_vir = (qv[k][0] for k in ("views", "engagement_rate", "like_rate", "_vir"))
     q_vpm = quantiles(c, "videos_per_month", [0.75], approx=approx)[0]
-    q_vir = quantiles(v.select(vir.alias("r")), "r", [0.75], approx=approx)[0]
     bench = [q_views, q_eng, q_lr, q_vpm, None if q_vir is None else q_vir * 100]
     yours = fv.agg(mean_of_int("views").alias("m0"), F.avg("engagement_rate").alias("m1"),
                    F.avg("like_rate").alias("m2"), (F.avg(vir) * 100).alias("m4")).crossJoin(
