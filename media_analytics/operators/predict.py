@@ -81,12 +81,17 @@ class FittedModel:
     predictions: DataFrame  # video_id, label, prediction on the test rows
     train_rows: DataFrame   # one row: training_rows
 
-    def importances(self) -> DataFrame:
-        """M8 / T5: feature importance table (one row per feature)."""
+    def importances(self, ascending: bool | None = None) -> DataFrame:
+        """M8 / T5: feature importance table (one row per feature), optionally
+        sorted by importance (the virality and views charts sort ascending,
+        the category chart descending)."""
         imp = self.model.stages[-2 if isinstance(self.model.stages[-1], IndexToString) else -1].featureImportances
         spark = self.predictions.sparkSession
-        return spark.createDataFrame([(f, float(imp[i])) for i, f in enumerate(self.features)],
-                                     "feature string, importance double")
+        df = spark.createDataFrame([(f, float(imp[i])) for i, f in enumerate(self.features)],
+                                   "feature string, importance double")
+        if ascending is None:
+            return df
+        return df.orderBy(F.col("importance").asc() if ascending else F.col("importance").desc(), "feature")
 
 
 # Execution settings only (they do not change the trees): more memory for the
