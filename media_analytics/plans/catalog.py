@@ -36,6 +36,14 @@ class Context:
     channel_attrs: DataFrame
     videos: DataFrame      # enriched (dashboard semantics)
     channels: DataFrame    # rollup + metrics
+    _features: DataFrame | None = None
+
+    @property
+    def features(self) -> DataFrame:
+        """M0 feature table, shared by the model and metric queries."""
+        if self._features is None:
+            self._features = persist(predict.build_features(self.fv, self.channels))
+        return self._features
 
     @property
     def fv(self) -> DataFrame:
@@ -68,8 +76,9 @@ def release(spark: SparkSession | None = None) -> None:
     """Unpersist and forget prepared contexts (all, or one session's)."""
     for key, ctx in list(_CONTEXTS.items()):
         if spark is None or ctx.spark is spark:
-            for df in (ctx.typed, ctx.videos, ctx.channels):
-                df.unpersist()
+            for df in (ctx.typed, ctx.videos, ctx.channels, ctx._features):
+                if df is not None:
+                    df.unpersist()
             del _CONTEXTS[key]
 
 
@@ -220,8 +229,7 @@ def q_quantile_table(spark, d):
 
 
 def _features(spark, d):
-    ctx = context(spark, d)
-    return predict.build_features(ctx.fv, ctx.channels)
+    return context(spark, d).features
 
 
 def q_ml_features(spark, d):

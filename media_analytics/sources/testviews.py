@@ -21,8 +21,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _cents(c: str):
-    return F.round(F.col(c)).cast("bigint")
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan that arrives in fewer partitions than the cluster has cores
+    (a small single-file table) so later stages use every core. A large scan
+    already has many partitions and is returned unchanged - no extra shuffle.
+    ``df`` must be a plain scan (its partition count is known without a job)."""
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
 def test_video_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +38,8 @@ def test_video_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                F.sum(F.round(F.col("l_extendedprice") * F.col("l_discount")).cast("bigint")).cast("bigint").alias("li_likes"),
                F.sum(F.round(F.col("l_extendedprice") * F.col("l_tax") / 10).cast("bigint")).cast("bigint").alias("li_comments"),
                F.sum(F.col("l_quantity").cast("bigint")).cast("bigint").alias("qty")))
-    orders = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    orders = spread(read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"))
     v = orders.join(li, orders.o_orderkey == li.l_orderkey, "left")
     minutes = (F.col("o_orderkey") * 37 % 1440).cast("int")
     return v.select(
