@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import CATEGORIES
+from .common import literal_rows
 from .growth import histogram
 
 
@@ -32,9 +33,9 @@ def binary_metrics(pred: DataFrame, label: str = "label", prediction: str = "pre
 def confusion_matrix(pred: DataFrame, labels: list[str] = CATEGORIES, label: str = "label",
                      prediction: str = "prediction") -> DataFrame:
     """Counts for every (actual, predicted) pair in fixed label order; zeros kept."""
-    spark = pred.sparkSession
-    grid = spark.createDataFrame([(a, i, p, j) for i, a in enumerate(labels) for j, p in enumerate(labels)],
-                                 "actual string, actual_order int, predicted string, predicted_order int")
+    pairs = [(a, i, p, j) for i, a in enumerate(labels) for j, p in enumerate(labels)]
+    grid = literal_rows(pred.sparkSession, [(name, [t[k] for t in pairs]) for k, name in
+                                            enumerate(["actual", "actual_order", "predicted", "predicted_order"])])
     counts = (pred.groupBy(F.col(label).alias("actual"), F.col(prediction).alias("predicted"))
               .agg(F.count(F.lit(1)).alias("videos")))
     return (grid.join(F.broadcast(counts), ["actual", "predicted"], "left")  # <= labels^2 rows

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import CATEGORIES, DURATION_EDGES, DURATION_LABELS
 from ..functions.scalar import cut, percent_text, short_number
-from .common import dimension, keep_labels
-from .quantiles import exact_quantiles
+from .common import dimension, keep_labels, literal_rows
+from .quantiles import approx_quantiles, multi_exact_quantiles
 from .rollup import mean_of_int
 
 CAT = "performance_category"
@@ -49,16 +49,19 @@ def views_distribution(fv: DataFrame, approx: bool = False) -> DataFrame:
              .agg(F.count("views").alias("videos"), F.min("views").alias("min"),
                   F.max("views").alias("max"), mean_of_int("views").alias("mean"),
                   F.stddev_samp("views").alias("std")))
-    rows = []
-    for cat in CATEGORIES:  # three fixed labels: three bounded quantile searches
-        sub = fv.where(F.col(CAT) == cat)
-        if approx:
-            from .quantiles import approx_quantiles
-            q = approx_quantiles(sub, "views", [0.25, 0.5, 0.75])
-        else:
-            q = exact_quantiles(sub, "views", [0.25, 0.5, 0.75])
-        rows.append((cat, *[None if x is None else float(x) for x in q]))
-    qdf = spark.createDataFrame(rows, f"{CAT} string, q1 double, median double, q3 double")
+    # one column per category (views where the row is in it), so the three
+    # quantile searches share their passes over the table
+    probs = [0.25, 0.5, 0.75]
+    per_cat = fv.select(*[F.when(F.col(CAT) == cat, F.col("views")).alias(f"_v{i}")
+                          for i, cat in enumerate(CATEGORIES)])
+    if approx:
+        got = {f"_v{i}": approx_quantiles(per_cat, f"_v{i}", probs) for i in range(len(CATEGORIES))}
+    else:
+        got = multi_exact_quantiles(per_cat, {f"_v{i}": probs for i in range(len(CATEGORIES))})
+    qs = [[None if x is None else float(x) for x in got[f"_v{i}"]] for i in range(len(CATEGORIES))]
+    qdf = literal_rows(spark, [(CAT, list(CATEGORIES))] +
+                       [(name, [F.lit(q[k]).cast("double") if q[k] is None else q[k] for q in qs])
+                        for k, name in enumerate(["q1", "median", "q3"])])
     dim = dimension(spark, CAT, CATEGORIES, "category_order")
     out = keep_labels(dim, stats, CAT).join(F.broadcast(qdf), CAT, "left")
     return out.select(CAT, "category_order",

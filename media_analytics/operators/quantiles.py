@@ -27,6 +27,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import literal_rows
+
 DEFAULT_ACCURACY = 10_000
 DEFAULT_MAX_CANDIDATES = 50_000
 _MARGIN = 3.0  # bracket half-width in units of the sketch's rank error (1/accuracy)
@@ -276,5 +278,6 @@ def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float]
         got = {c: approx_quantiles(df, c, probs) for c in columns}
     else:
         got = multi_exact_quantiles(df, {c: list(probs) for c in columns}, **kw)
-    rows = [(c, float(p), None if v is None else float(v)) for c in columns for p, v in zip(probs, got[c])]
-    return spark.createDataFrame(rows, "metric string, p double, value double")
+    rows = [(c, float(p), F.lit(None).cast("double") if v is None else float(v))
+            for c in columns for p, v in zip(probs, got[c])]
+    return literal_rows(spark, [(name, [r[k] for r in rows]) for k, name in enumerate(["metric", "p", "value"])])
