@@ -42,7 +42,7 @@ class Context:
     def features(self) -> DataFrame:
         """M0 feature table, shared by the model and metric queries."""
         if self._features is None:
-            self._features = persist(predict.build_features(self.fv, self.channels))
+            self._features = _keep(predict.build_features(self.fv, self.channels))
         return self._features
 
     @property
@@ -56,6 +56,13 @@ class Context:
 
 
 _CONTEXTS: dict[tuple[int, str], Context] = {}
+# Persist the shared tables (off only for plan inspection: every plan then
+# shows the whole work from the raw tables).
+PERSIST = True
+
+
+def _keep(df: DataFrame) -> DataFrame:
+    return persist(df) if PERSIST else df
 
 
 def context(spark: SparkSession, sf_dir: str) -> Context:
@@ -64,9 +71,9 @@ def context(spark: SparkSession, sf_dir: str) -> Context:
     if ctx is not None and ctx.spark is spark:
         return ctx
     attrs = test_channel_table(spark, sf_dir, AS_OF)
-    typed = persist(enrich.attach_channel(test_video_table(spark, sf_dir), attrs, how="left"))
-    videos = persist(enrich.enrich_videos(typed, AS_OF))
-    channels = persist(rollup.rollup_channels(videos, attrs, AS_OF))
+    typed = _keep(enrich.attach_channel(test_video_table(spark, sf_dir), attrs, how="left"))
+    videos = _keep(enrich.enrich_videos(typed, AS_OF))
+    channels = _keep(rollup.rollup_channels(videos, attrs, AS_OF))
     ctx = Context(spark, typed, attrs, videos, channels)
     _CONTEXTS[key] = ctx
     return ctx
