@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import age_days, posting_period, safe_div
+from .joins import salted_join
 from .quantiles import quantiles
 
 VIDEO_COLUMNS = [
@@ -24,16 +25,19 @@ VIDEO_COLUMNS = [
 ]
 
 
-def attach_channel(videos: DataFrame, channels: DataFrame, how: str = "left") -> DataFrame:
+def attach_channel(videos: DataFrame, channels: DataFrame, how: str = "left",
+                   split_hot_channels: bool = True) -> DataFrame:
     """Add channel_name, ch_subscribers, channel_created by channel_id.
 
-    No broadcast hint: the channel table grows with the data. AQE turns the join
-    into a broadcast when the measured channel side is small and splits skewed
-    channel_id partitions otherwise.
+    No broadcast hint: the channel table grows with the data. Channels owning
+    more than 1% of the videos are spread over several tasks by a salted join
+    (``joins.salted_join``); AQE may still broadcast a measured-small side.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
     attrs = channels.select("channel_id", "channel_name", "ch_subscribers", "channel_created")
+    if split_hot_channels:
+        return salted_join(videos, attrs, "channel_id", how)
     return videos.join(attrs, "channel_id", how)
 
 

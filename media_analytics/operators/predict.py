@@ -19,18 +19,19 @@ from ..functions.constants import (CATEGORIES, CONTENT_FEATURES, FOREST_DEPTH, F
                                    TEST_FRACTION_TENTHS, VIRALITY_FEATURES)
 from ..functions.scalar import is_weekend, ratio_or_null
 from ..session import persist
+from .joins import salted_join
 from .quantiles import quantiles
 
 
 def build_features(fv: DataFrame, c: DataFrame) -> DataFrame:
     """M0 + J5: ratio features (+1 smoothed), weekend flag, hour / 24 and the
     channel's average views from the (unfiltered) channel table, falling back
-    to the mean views of ``fv``. The channel side is not hinted: it grows with
-    the data, so AQE picks broadcast or a (skew-split) sort-merge join."""
+    to the mean views of ``fv``. The channel side is not hinted (it grows with
+    the data); hot channels are split by a salted join."""
     v1 = (F.col("views") + 1).cast("double")
     mean_views = fv.agg(F.avg("views").alias("_mean_views"))
     ch = c.select("channel_id", F.col("avg_views_per_video").alias("_ch_avg"))
-    f = fv.join(ch, "channel_id", "left").crossJoin(F.broadcast(mean_views))  # one-row side
+    f = salted_join(fv, ch, "channel_id", "left").crossJoin(F.broadcast(mean_views))  # one-row side
     return f.select(
         "video_id", "channel_id", "views", "likes", "comments", "ch_subscribers",
         "duration_minutes", "title_length", "publish_hour", "publish_day", "performance_category",
@@ -113,8 +114,13 @@ def _require(train: DataFrame, what: str) -> None:
 def _fit(stages: list, train: DataFrame) -> PipelineModel:
     """Fit with the training rows persisted for the fit only: the scaler pass,
     the split-candidate sample and the forest's bagging then read them once
-    instead of re-running the feature joins (spills to disk when large)."""
-    cached = persist(train)
+    instead of re-running the feature joins (spills to disk when large).
+
+    Every tree level ships one statistics array per partition, so the rows are
+    merged to at most one partition per core first (``coalesce``: no shuffle,
+    no-op when there are fewer partitions)."""
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    cached = persist(train.coalesce(cores))
     try:
         return Pipeline(stages=stages).fit(cached)
     finally:
