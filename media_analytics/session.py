@@ -44,8 +44,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return ``spark.checkpoint.dir``; set a scratch one only when unset.
 
-    On a cluster the setting names a shared folder and is left alone. Only a
-    local test session without the setting gets a fresh temporary folder.
+    On a cluster the setting names a shared folder and is left alone (and a
+    cluster without it is an error: a machine-local folder would not survive
+    an executor loss). Only a ``local[...]`` session without the setting gets a
+    fresh temporary folder.
     """
     sc = spark.sparkContext
     cur = sc._jsc.sc().getCheckpointDir()
@@ -53,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return cur.get()
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder for this cluster")
         conf = tempfile.mkdtemp(prefix="ma-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf)
     return conf
