@@ -37,6 +37,7 @@ class Context:
     videos: DataFrame      # enriched (dashboard semantics)
     channels: DataFrame    # rollup + metrics
     _features: DataFrame | None = None
+    _models: dict | None = None
 
     @property
     def features(self) -> DataFrame:
@@ -45,6 +46,18 @@ class Context:
             self._features = _keep(predict.build_features(self.fv, self.channels))
         return self._features
 
+    def model(self, kind: str) -> predict.FittedModel:
+        """The fitted forest of one kind (virality / category / views), fitted
+        once per context and shared by its prediction, importance and metric
+        queries."""
+        if self._models is None:
+            self._models = {}
+        if kind not in self._models:
+            fit = {"virality": predict.fit_virality, "category": predict.fit_category,
+                   "views": predict.fit_views}[kind]
+            self._models[kind] = fit(self.features)
+        return self._models[kind]
+
     @property
     def fv(self) -> DataFrame:
         """The dashboard's default filter: everything, numeric nulls -> 0."""
@@ -253,15 +266,48 @@ def q_viral_label(spark, d):
 
 
 def q_virality_model(spark, d):
-    return predict.fit_virality(_features(spark, d)).predictions
+    return context(spark, d).model("virality").predictions
 
 
 def q_category_model(spark, d):
-    return predict.fit_category(_features(spark, d)).predictions
+    return context(spark, d).model("category").predictions
 
 
 def q_views_model(spark, d):
-    return predict.fit_views(_features(spark, d)).predictions
+    return context(spark, d).model("views").predictions
+
+
+# M8 / T5: importance tables, sorted as the reference charts them
+def q_virality_importances(spark, d):
+    return context(spark, d).model("virality").importances(ascending=True)
+
+
+def q_category_importances(spark, d):
+    return context(spark, d).model("category").importances(ascending=False)
+
+
+def q_views_importances(spark, d):
+    return context(spark, d).model("views").importances(ascending=True)
+
+
+# E1-E4 on the fitted forests' test predictions
+def q_virality_model_metrics(spark, d):
+    return evaluate.binary_metrics(context(spark, d).model("virality").predictions)
+
+
+def q_category_model_metrics(spark, d):
+    m = context(spark, d).model("category")
+    return evaluate.multiclass_metrics(m.predictions, m.train_rows)
+
+
+def q_category_model_confusion(spark, d):
+    return evaluate.confusion_matrix(context(spark, d).model("category").predictions)
+
+
+def q_views_model_metrics(spark, d):
+    m = context(spark, d).model("views")
+    return evaluate.regression_metrics(m.predictions, m.train_rows).crossJoin(
+        predict.prediction_limits(m.predictions))
 
 
 # Rule-based predictors (no fitting) so the metric operators have an exact oracle.
@@ -351,7 +397,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 # Queries whose oracle is rows-only (model fits: forests cannot equal another
 # library row by row).
-ROWS_ONLY = {"virality_model", "category_model", "views_model"}
+ROWS_ONLY = {"virality_model", "category_model", "views_model",
+             "virality_importances", "category_importances", "views_importances",
+             "virality_model_metrics", "category_model_metrics", "category_model_confusion",
+             "views_model_metrics"}
 
 
 def queries(rounded: bool = True) -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -43,3 +43,17 @@ def test_views_model(features):
 def test_too_few_rows_raises(spark, features):
     with pytest.raises(ValueError):
         predict.fit_views(features.limit(0))
+
+
+def test_model_queries_share_one_fit(spark):
+    import __spark_entry__ as E
+    q = E.queries()
+    imp = q["category_importances"](spark, SF_SMALL).collect()
+    assert len(imp) == 6 and [r.importance for r in imp] == sorted((r.importance for r in imp), reverse=True)
+    cm = q["category_model_confusion"](spark, SF_SMALL).collect()
+    n_pred = q["category_model"](spark, SF_SMALL).count()
+    assert len(cm) == 9 and sum(r.videos for r in cm) == n_pred
+    met = q["virality_model_metrics"](spark, SF_SMALL).first()
+    assert 0 <= met.accuracy <= 1
+    vm = q["views_model_metrics"](spark, SF_SMALL).first()
+    assert vm.mae >= 0 and vm.axis_limit > 0

@@ -43,7 +43,7 @@ def main():
     spark = local_session(8)
     catalog.PERSIST = False  # whole plans from the raw tables
     for name, fn in E.queries().items():
-        if name in ("virality_model", "category_model", "views_model"):
+        if name in catalog.ROWS_ONLY:  # fitted models
             continue
         txt = plan_text(fn(spark, sf_dir))
         counts = {k: len(re.findall(v, txt)) for k, v in MARKS.items()}
