@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.constants import WEEKDAYS
 from ..functions.scalar import ntz_literal
 from .common import dimension, keep_labels
-from .rollup import mean_of_int
 
 
 def engagement_trend(fv: DataFrame) -> DataFrame:
@@ -152,7 +151,3 @@ def last_days(v: DataFrame, days: int = 90, as_of: datetime | None = None) -> Da
             .where((F.to_date("publish_date") >= F.date_sub(F.col("_end"), days))
                    & (F.to_date("publish_date") <= F.col("_end")))
             .drop("_end"))
-
-
-def mean_views(c: str = "views"):
-    return mean_of_int(c)

@@ -7,6 +7,7 @@ lost executor only costs a recompute). Reports run over the whole tables.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
@@ -19,7 +20,7 @@ from ..functions.constants import CATEGORIES
 from ..operators import enrich, evaluate, filters, growth, kpi, performance, predict, quality
 from ..operators import recommend, rollup, strategy
 from ..operators.quantiles import quantile_table
-from ..session import persist
+from ..session import cut_lineage, persist
 from ..sources.testviews import AS_OF, test_channel_table, test_video_table
 
 # fixed values: the filter used by the filtered-report queries
@@ -70,12 +71,17 @@ class Context:
 
 _CONTEXTS: dict[tuple[int, str], Context] = {}
 # Persist the shared tables (off only for plan inspection: every plan then
-# shows the whole work from the raw tables).
+# shows the whole work from the raw tables). MA_MATERIALIZE=checkpoint writes
+# them as reliable checkpoints into the shared spark.checkpoint.dir instead of
+# caching them: lineage is cut and a lost executor costs no recompute.
 PERSIST = True
+MATERIALIZE = os.environ.get("MA_MATERIALIZE", "persist")
 
 
 def _keep(df: DataFrame) -> DataFrame:
-    return persist(df) if PERSIST else df
+    if not PERSIST:
+        return df
+    return cut_lineage(df) if MATERIALIZE == "checkpoint" else persist(df)
 
 
 def context(spark: SparkSession, sf_dir: str) -> Context:
