@@ -6,6 +6,7 @@ executors); the driver holds only the trees. Nothing here collects rows.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -79,7 +80,7 @@ def fill_with_means(df: DataFrame, cols: list[str]) -> DataFrame:
 class FittedModel:
     model: PipelineModel
     features: list[str]
-    predictions: DataFrame  # video_id, label, prediction on the test rows
+    predictions: DataFrame  # video_id, label, prediction on the test rows (persisted)
     train_rows: DataFrame   # one row: training_rows
 
     def importances(self, ascending: bool | None = None) -> DataFrame:
@@ -95,10 +96,36 @@ class FittedModel:
         return df.orderBy(F.col("importance").asc() if ascending else F.col("importance").desc(), "feature")
 
 
-# Execution settings only (they do not change the trees): more memory for the
-# per-node split statistics lets one pass over the data grow more nodes, and
-# cached node ids avoid re-walking every tree from the root at each level.
-RF_TUNING = dict(maxMemoryInMB=1024, cacheNodeIds=True)
+def _size_mb(text: str | None, default_mb: int) -> int:
+    if not text:
+        return default_mb
+    m = re.fullmatch(r"\s*(\d+)\s*([kmgt]?)b?\s*", text.lower())
+    if not m:
+        return default_mb
+    n, unit = int(m.group(1)), m.group(2)
+    return {"k": n // 1024, "": n, "m": n, "g": n * 1024, "t": n * 1024 * 1024}[unit]
+
+
+def stats_memory_mb(spark) -> int:
+    """Per-task memory for the forest's split statistics: 30% of one executor
+    heap shared by the tasks that run in it at once, within [32, 1024] MB.
+    (In local mode the executor is the driver JVM.)"""
+    conf = spark.sparkContext.getConf()
+    local = spark.sparkContext.master.startswith("local")
+    heap = _size_mb(conf.get("spark.driver.memory" if local else "spark.executor.memory", None), 1024)
+    tasks = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", "1"))
+    return max(32, min(1024, int(heap * 0.3 / max(1, tasks))))
+
+
+# Execution settings only (they do not change the trees): cached node ids avoid
+# re-walking every tree from the root at each level, and the split-statistics
+# memory (set per fit from the heap, see stats_memory_mb) lets one pass over the
+# data grow as many nodes as fit.
+RF_TUNING = dict(cacheNodeIds=True)
+
+
+def _tuning(spark) -> dict:
+    return dict(RF_TUNING, maxMemoryInMB=stats_memory_mb(spark))
 
 
 def _assemble(cols: list[str]) -> list:
@@ -134,9 +161,9 @@ def fit_virality(features: DataFrame, approx: bool = False) -> FittedModel:
     train, test = split(df)
     _require(train, "virality model")
     rf = RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=FOREST_TREES,
-                                maxDepth=FOREST_DEPTH, seed=SEED, **RF_TUNING)
+                                maxDepth=FOREST_DEPTH, seed=SEED, **_tuning(features.sparkSession))
     model = _fit(_assemble(VIRALITY_FEATURES) + [rf], train)
-    pred = model.transform(test).select("video_id", F.col("_label").alias("label"), "prediction")
+    pred = persist(model.transform(test).select("video_id", F.col("_label").alias("label"), "prediction"))
     return FittedModel(model, VIRALITY_FEATURES, pred, train.agg(F.count(F.lit(1)).alias("training_rows")))
 
 
@@ -147,10 +174,12 @@ def fit_category(features: DataFrame) -> FittedModel:
     _require(train, "category model")
     idx = StringIndexerModel.from_labels(CATEGORIES, inputCol="performance_category", outputCol="_label")
     rf = RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=FOREST_TREES,
-                                maxDepth=FOREST_DEPTH, seed=SEED, predictionCol="_pred", **RF_TUNING)
+                                maxDepth=FOREST_DEPTH, seed=SEED, predictionCol="_pred",
+                                **_tuning(features.sparkSession))
     back = IndexToString(inputCol="_pred", outputCol="prediction", labels=CATEGORIES)
     model = _fit([idx] + _assemble(CONTENT_FEATURES) + [rf, back], train)
-    pred = model.transform(test).select("video_id", F.col("performance_category").alias("label"), "prediction")
+    pred = persist(model.transform(test).select("video_id", F.col("performance_category").alias("label"),
+                                                "prediction"))
     return FittedModel(model, CONTENT_FEATURES, pred, train.agg(F.count(F.lit(1)).alias("training_rows")))
 
 
@@ -163,9 +192,9 @@ def fit_views(features: DataFrame) -> FittedModel:
     _require(train, "views model")
     rf = RandomForestRegressor(featuresCol="_features", labelCol="_label", numTrees=FOREST_TREES,
                                maxDepth=FOREST_DEPTH, seed=SEED, featureSubsetStrategy="all",
-                               **RF_TUNING)
+                               **_tuning(features.sparkSession))
     model = _fit(_assemble(CONTENT_FEATURES) + [rf], train)
-    pred = model.transform(test).select("video_id", F.col("_label").alias("label"), "prediction")
+    pred = persist(model.transform(test).select("video_id", F.col("_label").alias("label"), "prediction"))
     return FittedModel(model, CONTENT_FEATURES, pred, train.agg(F.count(F.lit(1)).alias("training_rows")))
 
 
