@@ -105,3 +105,25 @@ def test_streaming_ingest_available_now(spark, tmp_dir):
     q = start_video_ingest(spark, landing, f"{tmp_dir}/table", f"{tmp_dir}/ckpt")
     q.awaitTermination(120)
     assert spark.read.parquet(f"{tmp_dir}/table").count() == 5  # only the new file is added
+
+
+def test_csv_in_batch_script_layout(spark, tmp_dir):
+    """A video CSV in the batch script's column order, with zone-suffixed times
+    and a bad counter, reads back typed by header name."""
+    header = ("video_id,title,channel_id,publish_date,duration,views,likes,comments,channel_name,"
+              "ch_subscribers,channel_created,duration_minutes,publish_hour,publish_day,publish_month,"
+              "publish_year,posting_period,video_age_days,engagement_rate,like_rate,comment_rate,"
+              "likes_per_comment,views_per_day,title_length,performance_category")
+    rows = ["v1,Hello,c1,2021-01-02 03:04:05+00:00,PT4M,12,3,1,Chan,10,2020-01-02 03:04:05+00:00,4.0,3,"
+            "Saturday,2021-01,2021,First,100,33.3,25.0,8.3,3.0,0.12,5,High",
+            "v2,x,c1,2021-01-02T05:00:00Z,PT1M,oops,,2,Chan,abc,2020-01-02 03:04:05+00:00,1.0,5,"
+            "Saturday,2021-01,2021,First,99,0.0,0.0,0.0,0.0,0.0,1,Low"]
+    d = f"{tmp_dir}/batch_csv"
+    os.makedirs(d)
+    with open(f"{d}/video_stats.csv", "w") as f:
+        f.write(header + "\n" + "\n".join(rows) + "\n")
+    got = {r.video_id: r for r in files.read_table_csv(spark, d).collect()}
+    assert got["v1"].publish_date == datetime(2021, 1, 2, 3, 4, 5) and got["v1"].views == 12
+    assert got["v1"].engagement_rate == 33.3 and got["v1"].ch_subscribers == 10
+    assert got["v2"].views == 0 and got["v2"].likes == 0 and got["v2"].ch_subscribers is None
+    assert got["v2"].publish_date == datetime(2021, 1, 2, 5, 0)
