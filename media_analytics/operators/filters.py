@@ -85,7 +85,7 @@ def filter_domain(videos: DataFrame, channels: DataFrame) -> DataFrame:
     names = channels.where(F.col("channel_name").isNotNull()).select("channel_name").distinct()
     rng = videos.agg(F.to_date(F.min("publish_date")).alias("first_date"),
                      F.to_date(F.max("publish_date")).alias("last_date"))
-    return names.crossJoin(F.broadcast(rng))  # one-row side
+    return names.crossJoin(F.broadcast(rng)).orderBy("channel_name")  # one-row side; sorted list
 
 
 def snapshot_profile(videos: DataFrame, channels: DataFrame) -> DataFrame:
