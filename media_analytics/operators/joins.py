@@ -4,10 +4,11 @@ Assume one channel may own a third of all videos. A plain shuffle join on
 ``channel_id`` would send that third to one task. Here the hot keys are found
 first: a partial group-by count per key, keeping keys above ``fraction`` of all
 rows. At most ``1 / fraction`` keys can pass, so that list is provably small and
-is broadcast. Rows of hot keys get a salt in ``[0, salts)``, taken from a hash of
-the row itself, so a recomputed task after an executor loss salts the same way.
-The dimension rows of hot keys are copied once per salt. The join on
-``(key, salt)`` then spreads each hot key over ``salts`` tasks, and cold keys
+is broadcast. Each hot key gets one salt per shuffle partition (P), so its rows
+spread over all join tasks. The rows take a salt from a hash of the row itself,
+so a recomputed task after an executor loss salts the same way. Its dimension
+row is copied once per salt, at most 1/fraction keys times P rows in all. The
+join on ``(key, salt)`` then gives every task about a fair share, and cold keys
 join as before. AQE may still turn the join into a broadcast when the dimension
 is measured small.
 """
@@ -18,32 +19,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_FRACTION = 0.01   # a key above 1% of the rows is hot (so at most 100 hot keys)
-SALTS = 32
 
 
-def hot_keys(df: DataFrame, key: str, fraction: float = HOT_FRACTION) -> DataFrame:
-    """Keys holding more than ``fraction`` of the rows (at most 1/fraction rows)."""
+def hot_keys(df: DataFrame, key: str, fraction: float = HOT_FRACTION,
+             partitions: int | None = None) -> DataFrame:
+    """Keys holding more than ``fraction`` of the rows (at most 1/fraction rows),
+    each with its salt count P (shuffle partitions): a hot key's rows are
+    spread over every join task."""
+    p = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
+    salts = F.lit(p).cast("int")
     return (counts.crossJoin(F.broadcast(total))  # one-row side
             .where(F.col("_n") > F.col("_total") * F.lit(fraction))
-            .select(key, F.lit(True).alias("_hot")))
+            .select(key, salts.alias("_salts")))
 
 
 def salted_join(big: DataFrame, dim: DataFrame, key: str, how: str = "left",
-                fraction: float = HOT_FRACTION, salts: int = SALTS) -> DataFrame:
-    """``big.join(dim, key, how)`` for a ``dim`` with one row per key, with hot
-    keys of ``big`` spread over ``salts`` tasks. Output columns as the plain join."""
+                fraction: float = HOT_FRACTION, partitions: int | None = None) -> DataFrame:
+    """``big.join(dim, key, how)`` for a ``dim`` with one row per key, with each
+    hot key of ``big`` spread over all join tasks. Output columns as the plain join."""
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
-    hot = F.broadcast(hot_keys(big, key, fraction))  # bounded: <= 1/fraction rows
+    hot = F.broadcast(hot_keys(big, key, fraction, partitions))  # bounded: <= 1/fraction rows
     row_hash = F.xxhash64(*[F.col(c) for c in big.columns])
+    n_salts = F.coalesce(F.col("_salts"), F.lit(1))
     b = (big.join(hot, key, "left")
-         .withColumn("_salt", F.when(F.col("_hot"), F.pmod(row_hash, F.lit(salts))).otherwise(F.lit(0)).cast("int"))
-         .drop("_hot"))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+         .withColumn("_salt", F.pmod(row_hash, n_salts).cast("int"))
+         .drop("_salts"))
     d = (dim.join(hot, key, "left")
-         .withColumn("_salt", F.explode(copies))
-         .drop("_hot"))
+         .withColumn("_salt", F.explode(F.sequence(F.lit(0), n_salts - 1)))
+         .drop("_salts"))
     out = b.join(d, [key, "_salt"], how).drop("_salt")
     return out.select(key, *[c for c in big.columns if c != key], *[c for c in dim.columns if c != key])

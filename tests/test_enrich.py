@@ -126,11 +126,12 @@ def test_salted_join_hot_key_equals_plain_join(spark):
     rows = [(i, "hot" if i % 3 == 0 else f"k{i % 500}") for i in range(3000)] + [(9999, None), (10000, "nodim")]
     big = spark.createDataFrame(rows, "id bigint, k string")
     dim = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(500)], "k string, attr int")
-    assert [r.k for r in hot_keys(big, "k").collect()] == ["hot"]
+    hot = hot_keys(big, "k", partitions=30).collect()
+    assert [(r.k, r._salts) for r in hot] == [("hot", 30)]  # spread over all 30 partitions
     for how in ("left", "inner"):
         a = sorted(salted_join(big, dim, "k", how).collect(), key=lambda r: r.id)
         b = sorted(big.join(dim, "k", how).select("k", "id", "attr").collect(), key=lambda r: r.id)
         assert a == b
-    # the hot key's rows land on many salts
-    salted = big.withColumn("_s", F.pmod(F.xxhash64("id", "k"), F.lit(32)))
-    assert salted.where(F.col("k") == "hot").select("_s").distinct().count() > 16
+    # the hot key's rows land on all of its salts
+    salted = big.withColumn("_s", F.pmod(F.xxhash64("id", "k"), F.lit(30)))
+    assert salted.where(F.col("k") == "hot").select("_s").distinct().count() == 30
