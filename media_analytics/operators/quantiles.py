@@ -4,13 +4,16 @@ Spark's exact ``percentile`` aggregate merges a map of every distinct value in
 a single final task, which does not survive a 100 TB column. Here exact order
 statistics are found by bracketing instead:
 
-1. one aggregate pass: row count plus a ``percentile_approx`` sketch (mergeable,
-   partial aggregation per task) at slightly lower / higher fractions than the
-   wanted rank, so the wanted rank is provably inside ``[lo, hi]``;
+1. one aggregate pass: row count plus a KLL sketch (one per input partition,
+   merged as a two-level tree so no task merges every partition's state),
+   read at slightly lower / higher fractions than the wanted rank;
 2. one aggregate pass: rows below ``lo`` and rows inside ``[lo, hi]``;
-3. if the bracket is still large, repeat on the bracket only (each round shrinks
-   it by about ``accuracy / 6``); once it holds at most ``max_candidates`` rows,
-   its (value, count) pairs - a bounded set - are ranked.
+   a bracket that misses its rank (the sketch bound is probabilistic) is
+   redone without it, so the result is exact either way;
+3. if the bracket is still large, repeat on the bracket rows only with a
+   ``percentile_approx`` sketch (each round shrinks it by about
+   ``accuracy / 6``); once it holds at most ``max_candidates`` rows, its
+   (value, count) pairs - a bounded set - are ranked.
 
 Several columns of one table share passes 1-3 (``multi_exact_quantiles``).
 Each round returns a handful of numbers to the driver; no task or driver ever
@@ -31,7 +34,10 @@ from .common import literal_rows
 
 DEFAULT_ACCURACY = 10_000
 DEFAULT_MAX_CANDIDATES = 50_000
-_MARGIN = 3.0  # bracket half-width in units of the sketch's rank error (1/accuracy)
+_MARGIN = 3.0  # bracket half-width in units of the sketch's rank error
+KLL_K = 4096
+KLL_EPS = 2.296 / KLL_K ** 0.9444  # KLL normalized rank error (99% confidence), ~9e-4
+KLL_BUCKETS = 1024
 
 
 def _values(df: DataFrame, column: str) -> DataFrame:
@@ -151,15 +157,26 @@ def multi_exact_quantiles(df: DataFrame, spec: dict[str, Sequence[float]], *,
     xcol = {c: f"_x{j}" for j, c in enumerate(cols)}
     base = df.select(*[F.when(F.col(c).cast("double").isNotNull() & ~F.isnan(F.col(c).cast("double")),
                               F.col(c).cast("double")).alias(xcol[c]) for c in cols])
-    m = _MARGIN / accuracy
-    aggs = []
+    # Pass 1 over the whole table: counts and KLL sketches merged as a tree -
+    # one partial sketch per input partition, merged per bucket of partitions,
+    # then one merge of at most KLL_BUCKETS sketches (a single global sketch
+    # aggregate would merge every task's state in one task).
+    m = _MARGIN * KLL_EPS
+    level1 = base.groupBy((F.spark_partition_id() % KLL_BUCKETS).alias("_b")).agg(
+        *[a for c in cols for a in (F.count(xcol[c]).alias(f"n{xcol[c]}"),
+                                    F.kll_sketch_agg_double(xcol[c], KLL_K).alias(f"k{xcol[c]}"))])
+    level2 = level1.agg(
+        *[a for c in cols for a in (F.sum(f"n{xcol[c]}").alias(f"n{xcol[c]}"),
+                                    F.kll_merge_agg_double(f"k{xcol[c]}").alias(f"k{xcol[c]}"))])
+    picks = []
     for c in cols:
         fr = []
         for p in spec[c]:
             fr += [min(max(p - m, 0.0), 1.0), min(max(p + m, 0.0), 1.0)]
-        aggs += [F.count(xcol[c]).alias(f"n{xcol[c]}"),
-                 F.percentile_approx(xcol[c], fr or [0.5], accuracy).alias(f"s{xcol[c]}")]
-    first = base.agg(*aggs).first()
+        q = F.kll_sketch_get_quantile_double(f"k{xcol[c]}", F.array(*[F.lit(float(f)) for f in fr or [0.5]]))
+        n = F.coalesce(F.col(f"n{xcol[c]}"), F.lit(0)).cast("bigint")
+        picks += [n.alias(f"n{xcol[c]}"), F.when(n > 0, q).alias(f"s{xcol[c]}")]
+    first = level2.select(*picks).first()
 
     result: dict[str, list[float | None]] = {}
     plans, brackets = {}, []  # bracket: [col, lo, hi, ranks, below, size]

@@ -52,3 +52,10 @@ def test_quantile_table_shape(spark):
     df = spark.createDataFrame([(float(i), float(i * 2)) for i in range(11)], "a double, b double")
     t = quantile_table(df, ["a", "b"], [0.5]).collect()
     assert sorted((r.metric, r.value) for r in t) == [("a", 5.0), ("b", 10.0)]
+
+
+def test_deep_recursion_path(spark):
+    rnd = random.Random(11)
+    vals = [rnd.gauss(0, 1) for _ in range(30000)] + [0.5] * 10000
+    # the first bracket (~0.5% of rows) is still above the limit: refined again
+    _check(spark, vals, accuracy=100, max_candidates=40)
