@@ -30,7 +30,8 @@ def build_snapshot(spark: SparkSession, channel_pages: str, video_pages: str, as
     the dashboard's. The enriched videos are persisted because both the
     category thresholds and the rollup read them.
     """
-    channels_raw = pages.read_channel_pages(spark, channel_pages, multi_line)
+    channels_raw = pages.read_channel_pages(spark, channel_pages, multi_line,
+                                            missing_subscribers_zero=not batch_semantics)
     videos_raw = pages.read_video_pages(spark, video_pages, multi_line,
                                         round_digits=2 if batch_semantics else None)
     if playlist_pages is not None:

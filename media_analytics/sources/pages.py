@@ -76,15 +76,17 @@ def utc_timestamp(c: str | Column, session_zone: str) -> Column:
     return F.convert_timezone(F.lit(session_zone), F.lit("UTC"), F.try_to_timestamp(x).cast("timestamp_ntz"))
 
 
-def read_channel_pages(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+def read_channel_pages(spark: SparkSession, path: str | list[str], multi_line: bool = False,
+                       missing_subscribers_zero: bool = False) -> DataFrame:
     """One row per channel item: channel_id, channel_name, ch_subscribers
-    (NULL when not a number), total_views, total_videos, playlist_id, channel_created."""
+    (NULL when not a number, or 0 with ``missing_subscribers_zero`` as the
+    dashboard does), total_views, total_videos, playlist_id, channel_created."""
     zone = spark.conf.get("spark.sql.session.timeZone")
     i = _items(_read(spark, path, CHANNEL_PAGE, multi_line))
     return i.select(
         F.col("i.id").alias("channel_id"),
         F.col("i.snippet.title").alias("channel_name"),
-        count("i.statistics.subscriberCount", zero_if_missing=False).alias("ch_subscribers"),
+        count("i.statistics.subscriberCount", zero_if_missing=missing_subscribers_zero).alias("ch_subscribers"),
         count("i.statistics.viewCount").alias("total_views"),
         count("i.statistics.videoCount").alias("total_videos"),
         F.col("i.contentDetails.relatedPlaylists.uploads").alias("playlist_id"),

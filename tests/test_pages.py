@@ -41,6 +41,8 @@ def test_channel_pages(spark, tmp_dir):
     assert rows["c1"].playlist_id == "p1" and rows["c1"].channel_created == datetime(2020, 1, 2, 3, 4, 5)
     assert rows["c2"].ch_subscribers is None and rows["c2"].total_views == 0
     assert rows["c2"].channel_created == datetime(2019, 4, 30, 22, 0)  # offset -> UTC
+    dash = {r.channel_id: r for r in pages.read_channel_pages(spark, d, missing_subscribers_zero=True).collect()}
+    assert dash["c2"].ch_subscribers == 0
 
 
 def test_playlist_pages_append_all_files(spark, tmp_dir):
