@@ -100,6 +100,14 @@ def snapshot_profile(videos: DataFrame, channels: DataFrame) -> DataFrame:
                                  "first_date", "last_date")
 
 
+def above_quantile(df: DataFrame, column: str, p: float, approx: bool = False) -> tuple[DataFrame, float | None]:
+    """rows whose ``column`` is strictly above its ``p`` quantile over ``df``
+    (exact and distributed unless ``approx``), with that quantile."""
+    from .quantiles import quantiles
+    q = quantiles(df, column, [p], approx=approx)[0]
+    return (df.where(F.col(column) > F.lit(q)) if q is not None else df.where(F.lit(False))), q
+
+
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     """Raise a clear error when a required input is empty."""
     if df.isEmpty():

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import DURATION_EDGES, DURATION_LABELS_SHORT, FREQUENCY_EDGES
 from ..functions.scalar import bucket_order, cut, ratio_or_null
+from .filters import above_quantile
 from .quantiles import approx_quantiles, multi_exact_quantiles, quantiles
 from .rollup import mean_of_int
 
@@ -48,11 +49,9 @@ def recommendations(fv: DataFrame, fc: DataFrame, approx: bool = False) -> DataF
                            "best_frequency", bucket_order("videos_per_month", FREQUENCY_EDGES))
     qv = table_quantiles(fv, {"engagement_rate": [0.75], "like_rate": [0.75]}, approx)
     eng_q75, lr_q75 = qv["engagement_rate"][0], qv["like_rate"][0]
-    score_q75 = quantiles(fc, "engagement_score", [0.75], approx=approx)[0]
+    top, score_q75 = above_quantile(fc, "engagement_score", 0.75, approx=approx)
     means = fv.agg(F.avg("engagement_rate").alias("target_engagement"),
                    mean_of_int("title_length").alias("avg_title_length"))
-    top = (fc.where(F.col("engagement_score") > F.lit(score_q75)) if score_q75 is not None
-           else fc.where(F.lit(False)))
     top = top.agg(F.avg("views_per_subscriber").alias("top_views_per_subscriber"),
                   F.avg("videos_per_month").alias("top_videos_per_month"))
     row = means.crossJoin(top)

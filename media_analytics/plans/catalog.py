@@ -317,19 +317,26 @@ def q_views_model_metrics(spark, d):
 
 
 # Rule-based predictors (no fitting) so the metric operators have an exact oracle.
+# fixed values: the rules' parameters (mirrored in oracle.py)
+RULE_VIRAL_MEAN_FACTOR = 2        # viral when views > 2 x mean views
+RULE_HIGH_LIKES = 12000           # High when likes >= 12000
+RULE_LOW_LIKES = 4000             # Low when likes < 4000, else Medium
+
+
 def _rule_binary(spark, d):
     lab = predict.viral_label(_features(spark, d))
     _, test = predict.split(lab)
     mean = lab.agg(F.avg("views").alias("_mv"))
     return (test.crossJoin(F.broadcast(mean))
             .select("video_id", F.col("is_viral").alias("label"),
-                    (F.col("views") > 2 * F.col("_mv")).cast("int").alias("prediction")))
+                    (F.col("views") > RULE_VIRAL_MEAN_FACTOR * F.col("_mv")).cast("int").alias("prediction")))
 
 
 def _rule_category(spark, d):
     f = _features(spark, d)
     _, test = predict.split(f)
-    rule = (F.when(F.col("likes") >= 12000, "High").when(F.col("likes") < 4000, "Low").otherwise("Medium"))
+    rule = (F.when(F.col("likes") >= RULE_HIGH_LIKES, "High").when(F.col("likes") < RULE_LOW_LIKES, "Low")
+            .otherwise("Medium"))
     return test.select("video_id", F.col("performance_category").alias("label"), rule.alias("prediction"))
 
 
