@@ -26,18 +26,19 @@ VIDEO_COLUMNS = [
 
 
 def attach_channel(videos: DataFrame, channels: DataFrame, how: str = "left",
-                   split_hot_channels: bool = True) -> DataFrame:
+                   split_hot_channels: bool = True, key_source: DataFrame | None = None) -> DataFrame:
     """Add channel_name, ch_subscribers, channel_created by channel_id.
 
     No broadcast hint: the channel table grows with the data. Channels owning
     more than 1% of the videos are spread over several tasks by a salted join
     (``joins.salted_join``); AQE may still broadcast a measured-small side.
+    ``key_source`` is a narrow table to count channel_id on (one row per video).
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
     attrs = channels.select("channel_id", "channel_name", "ch_subscribers", "channel_created")
     if split_hot_channels:
-        return salted_join(videos, attrs, "channel_id", how)
+        return salted_join(videos, attrs, "channel_id", how, key_source=key_source)
     return videos.join(attrs, "channel_id", how)
 
 

@@ -36,12 +36,18 @@ def hot_keys(df: DataFrame, key: str, fraction: float = HOT_FRACTION,
 
 
 def salted_join(big: DataFrame, dim: DataFrame, key: str, how: str = "left",
-                fraction: float = HOT_FRACTION, partitions: int | None = None) -> DataFrame:
+                fraction: float = HOT_FRACTION, partitions: int | None = None,
+                key_source: DataFrame | None = None) -> DataFrame:
     """``big.join(dim, key, how)`` for a ``dim`` with one row per key, with each
-    hot key of ``big`` spread over all join tasks. Output columns as the plain join."""
+    hot key of ``big`` spread over all join tasks. Output columns as the plain join.
+
+    ``key_source`` (one row per row of ``big``, with the ``key`` column) lets
+    the hot keys be counted on a narrow source - e.g. one pruned column of the
+    table ``big`` is derived from - instead of re-running ``big``'s lineage."""
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
-    hot = F.broadcast(hot_keys(big, key, fraction, partitions))  # bounded: <= 1/fraction rows
+    counted = key_source.select(key) if key_source is not None else big.select(key)
+    hot = F.broadcast(hot_keys(counted, key, fraction, partitions))  # bounded: <= 1/fraction rows
     row_hash = F.xxhash64(*[F.col(c) for c in big.columns])
     n_salts = F.coalesce(F.col("_salts"), F.lit(1))
     b = (big.join(hot, key, "left")

@@ -21,7 +21,7 @@ from ..operators import enrich, evaluate, filters, growth, kpi, performance, pre
 from ..operators import recommend, rollup, strategy
 from ..operators.quantiles import quantile_table
 from ..session import cut_lineage, persist
-from ..sources.testviews import AS_OF, test_channel_table, test_video_table
+from ..sources.testviews import AS_OF, test_channel_table, test_video_keys, test_video_table
 
 # fixed values: the filter used by the filtered-report queries
 REPORT_SPEC = filters.FilterSpec(start=date(1997, 1, 1), end=date(1999, 12, 31),
@@ -90,7 +90,8 @@ def context(spark: SparkSession, sf_dir: str) -> Context:
     if ctx is not None and ctx.spark is spark:
         return ctx
     attrs = test_channel_table(spark, sf_dir, AS_OF)
-    typed = _keep(enrich.attach_channel(test_video_table(spark, sf_dir), attrs, how="left"))
+    typed = _keep(enrich.attach_channel(test_video_table(spark, sf_dir), attrs, how="left",
+                                        key_source=test_video_keys(spark, sf_dir)))
     videos = _keep(enrich.enrich_videos(typed, AS_OF))
     channels = _keep(rollup.rollup_channels(videos, attrs, AS_OF))
     ctx = Context(spark, typed, attrs, videos, channels)
@@ -134,7 +135,8 @@ def q_enriched_videos_batch_mode(spark, d):
 
 def q_videos_inner_channel(spark, d):
     ctx = context(spark, d)
-    return enrich.attach_channel(test_video_table(spark, d), ctx.channel_attrs, how="inner")
+    return enrich.attach_channel(test_video_table(spark, d), ctx.channel_attrs, how="inner",
+                                 key_source=test_video_keys(spark, d))
 
 
 def q_channel_rollup(spark, d):

@@ -54,6 +54,12 @@ def test_video_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def test_video_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """channel_id of every test video: one pruned column of the orders scan
+    (what the hot-channel count needs, without the lineitem join)."""
+    return read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("channel_id"))
+
+
 def test_channel_table(spark: SparkSession, sf_dir: str, as_of: datetime = AS_OF) -> DataFrame:
     """Channel attributes (``channel_raw`` after typing): one row per customer."""
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
