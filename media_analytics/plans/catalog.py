@@ -143,6 +143,12 @@ def q_channel_rollup(spark, d):
     return context(spark, d).channels
 
 
+def q_channel_rollup_batch_mode(spark, d):
+    """A1 as the batch script does it: over batch-semantics videos, subscribers
+    and created date taken from the video rows (one value per channel)."""
+    return rollup.rollup_channels(q_enriched_videos_batch_mode(spark, d), None, AS_OF)
+
+
 def q_channel_profile(spark, d):
     return rollup.channel_profile(context(spark, d).channels)
 

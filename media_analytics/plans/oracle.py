@@ -236,6 +236,26 @@ def oracle_sql() -> dict[str, str]:
     q["videos_inner_channel"] = _q("SELECT * FROM typed", ["duration_minutes"],
                                    ctes=base_ctes(typed_join="JOIN"))
     q["channel_rollup"] = _q("SELECT * FROM channels", CHANNEL_FLOATS)
+    q["channel_rollup_batch_mode"] = _q(f"""
+SELECT channel_id, channel_name, videos, total_views, total_likes, total_comments, avg_likes, avg_views,
+  avg_duration, avg_engagement_rate, subscribers, channel_created,
+  {_z('total_views', 'videos')} AS avg_views_per_video,
+  COALESCE({_div('total_likes', 'total_views')} * 1000, 0) AS likes_per_1000_views,
+  {_z('total_views', 'subscribers')} AS views_per_subscriber,
+  COALESCE({_div('total_likes', 'total_views')} + {_z('total_views', 'subscribers')}, 0) AS engagement_score,
+  channel_age_days,
+  COALESCE({_div('videos', 'channel_age_days')} * 30, 0) AS videos_per_month
+FROM (SELECT r.*, {_age('r.channel_created', False)} AS channel_age_days
+      FROM (SELECT channel_id, channel_name, COUNT(video_id) AS videos,
+              CAST(SUM(views) AS BIGINT) AS total_views, CAST(SUM(likes) AS BIGINT) AS total_likes,
+              CAST(SUM(comments) AS BIGINT) AS total_comments,
+              CAST(SUM(likes) AS DOUBLE) / COUNT(likes) AS avg_likes,
+              CAST(SUM(views) AS DOUBLE) / COUNT(views) AS avg_views,
+              AVG(duration_minutes) AS avg_duration, AVG(engagement_rate) AS avg_engagement_rate,
+              MAX(ch_subscribers) AS subscribers, MAX(channel_created) AS channel_created
+            FROM videos WHERE channel_id IS NOT NULL AND channel_name IS NOT NULL
+            GROUP BY channel_id, channel_name) r)""", CHANNEL_FLOATS,
+        ctes=base_ctes(period_mode="month_third", absolute_age=False, low_inclusive=False))
     q["channel_profile"] = _q(f"""
 SELECT channel_id, channel_name, videos, total_views, total_likes, total_comments, subscribers,
   channel_age_days,
