@@ -158,6 +158,18 @@ def q_snapshot_profile(spark, d):
     return filters.snapshot_profile(ctx.videos, ctx.channels)
 
 
+def q_filtered_profile(spark, d):
+    """S6 under filters: the dashboard header (videos, channels, date range of fv)."""
+    ctx = context(spark, d)
+    return filters.snapshot_profile(filters.apply_filters(ctx.videos, REPORT_SPEC),
+                                    filters.apply_channel_filter(ctx.channels, REPORT_SPEC))
+
+
+def q_filtered_strategic_kpis(spark, d):
+    """K1-K5 over the filtered videos."""
+    return kpi.strategic_kpis(filters.apply_filters(context(spark, d).videos, REPORT_SPEC))
+
+
 def q_filter_domain(spark, d):
     ctx = context(spark, d)
     return filters.filter_domain(ctx.videos, ctx.channels)

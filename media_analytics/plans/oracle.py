@@ -195,7 +195,7 @@ hist AS (
   FROM hg LEFT JOIN hc ON hg.bin = hc.bin)"""
 
 
-def _kpis() -> str:
+def _kpis(source: str = "videos") -> str:
     den = "(duration_minutes * CAST(ch_subscribers AS DOUBLE))"
     return f"""
 one AS (
@@ -206,10 +206,10 @@ one AS (
     AVG({_div('views', 'ch_subscribers')}) AS vir_mean,
     MAX(like_rate) AS lr_max, MAX(comment_rate) AS cr_max, MAX(views_per_day) AS vpd_max,
     AVG(views_per_day) AS vpd_mean
-  FROM videos),
+  FROM {source}),
 pc AS (
   SELECT stddev_samp(views) / NULLIF(CAST(SUM(views) AS DOUBLE) / COUNT(views), 0) AS cv
-  FROM videos WHERE channel_name IS NOT NULL GROUP BY channel_name),
+  FROM {source} WHERE channel_name IS NOT NULL GROUP BY channel_name),
 kpis AS (
   SELECT COALESCE(eff_mean * 1000, 0) AS video_efficiency,
     COALESCE(lr_mean * 0.5 + cr_mean * 100 * 0.5, 0) AS interaction_score,
@@ -274,6 +274,14 @@ SELECT (SELECT COUNT(*) FROM channels) AS channels, COUNT(*) AS videos,
   CAST(COALESCE(SUM(views), 0) AS BIGINT) AS total_views, CAST(COALESCE(SUM(likes), 0) AS BIGINT) AS total_likes,
   CAST(MIN(publish_date) AS DATE) AS first_date, CAST(MAX(publish_date) AS DATE) AS last_date
 FROM videos""", [])
+    q["filtered_profile"] = _q(f"""
+SELECT (SELECT COUNT(*) FROM channels) AS channels, COUNT(*) AS videos,
+  CAST(COALESCE(SUM(views), 0) AS BIGINT) AS total_views, CAST(COALESCE(SUM(likes), 0) AS BIGINT) AS total_likes,
+  CAST(MIN(publish_date) AS DATE) AS first_date, CAST(MAX(publish_date) AS DATE) AS last_date
+FROM videos WHERE {REPORT_FILTER}""", [])
+    q["filtered_strategic_kpis"] = _q("SELECT * FROM kpis", ["video_efficiency", "interaction_score", "consistency",
+                                                           "virality_index", "quality_score"],
+                                      extra=f"fvid AS (SELECT * FROM videos WHERE {REPORT_FILTER})," + _kpis("fvid"))
     q["filter_domain"] = _q("""
 SELECT n.channel_name, r.first_date, r.last_date
 FROM (SELECT DISTINCT channel_name FROM channels WHERE channel_name IS NOT NULL) n,
