@@ -285,7 +285,8 @@ FROM videos WHERE {REPORT_FILTER}""", [])
     q["filter_domain"] = _q("""
 SELECT n.channel_name, r.first_date, r.last_date
 FROM (SELECT DISTINCT channel_name FROM channels WHERE channel_name IS NOT NULL) n,
-     (SELECT CAST(MIN(publish_date) AS DATE) AS first_date, CAST(MAX(publish_date) AS DATE) AS last_date FROM videos) r""", [])
+     (SELECT CAST(MIN(publish_date) AS DATE) AS first_date, CAST(MAX(publish_date) AS DATE) AS last_date
+      FROM videos) r""", [])
     q["filtered_videos"] = _q(f"SELECT * FROM videos WHERE {REPORT_FILTER}", VIDEO_FLOATS)
     q["filtered_channels"] = _q("SELECT * FROM channels", CHANNEL_FLOATS)
     q["executive_summary"] = _q(f"""
@@ -300,7 +301,8 @@ FROM (SELECT CAST(COALESCE(SUM(views), 0) AS BIGINT) AS total_views, COUNT(*) AS
         AVG(engagement_rate) AS avg_engagement, AVG(views_per_day) AS views_per_day
       FROM videos WHERE {REPORT_FILTER}) f,
      (SELECT COUNT(*) AS channels, CAST(COALESCE(SUM(subscribers), 0) AS BIGINT) AS total_subscribers FROM channels) c,
-     (SELECT AVG(engagement_rate) AS baseline_engagement, AVG(views_per_day) AS baseline_views_per_day FROM videos) b""",
+     (SELECT AVG(engagement_rate) AS baseline_engagement, AVG(views_per_day) AS baseline_views_per_day
+      FROM videos) b""",
         ["avg_views_per_video", "avg_engagement", "avg_subscribers", "views_per_day", "baseline_engagement",
          "baseline_views_per_day", "delta_engagement", "delta_views_per_day_pct"])
     kcols = ["video_efficiency", "interaction_score", "consistency", "virality_index", "quality_score"]
@@ -449,9 +451,11 @@ FROM (SELECT SUM((label - prediction) * (label - prediction)) AS ss_res,
         SUM((label - ybar) * (label - ybar)) AS ss_tot, AVG(ABS(label - prediction)) AS mae
       FROM rule_views, (SELECT AVG(label) AS ybar FROM rule_views)), train""", ["r2", "mae"], extra=FEATURES)
     q["rmse_residuals"] = _q("""
-SELECT hist.*, r.rmse FROM hist, (SELECT SQRT(AVG((label - prediction) * (label - prediction))) AS rmse FROM rule_views) r""",
+SELECT hist.*, r.rmse
+FROM hist, (SELECT SQRT(AVG((label - prediction) * (label - prediction))) AS rmse FROM rule_views) r""",
         ["bin_start", "bin_end", "rmse"],
-        extra=FEATURES + ",\nres AS (SELECT label - prediction AS residual FROM rule_views)," + _hist("res", "residual"))
+        extra=(FEATURES + ",\nres AS (SELECT label - prediction AS residual FROM rule_views),"
+               + _hist("res", "residual")))
     q["per_class_metrics"] = _q("""
 SELECT a.actual AS class, a.actual_order AS class_order,
   COALESCE(CAST(a.tp AS DOUBLE) / NULLIF(CAST(p.n_predicted AS DOUBLE), 0), 0) AS precision,

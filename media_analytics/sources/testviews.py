@@ -21,6 +21,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _int_sum(x):
+    """Sum of values rounded to whole numbers first (exact integer arithmetic)."""
+    return F.sum(F.round(x).cast("bigint")).cast("bigint")
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Spread a scan that arrives in fewer partitions than the cluster has cores
     (a small single-file table) so later stages use every core. A large scan
@@ -34,9 +39,9 @@ def test_video_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed videos (``video_raw`` after C1-C3): one row per order."""
     li = (read_table(spark, sf_dir, "lineitem")
           .groupBy("l_orderkey")
-          .agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).cast("bigint").alias("cents"),
-               F.sum(F.round(F.col("l_extendedprice") * F.col("l_discount")).cast("bigint")).cast("bigint").alias("li_likes"),
-               F.sum(F.round(F.col("l_extendedprice") * F.col("l_tax") / 10).cast("bigint")).cast("bigint").alias("li_comments"),
+          .agg(_int_sum(F.col("l_extendedprice") * 100).alias("cents"),
+               _int_sum(F.col("l_extendedprice") * F.col("l_discount")).alias("li_likes"),
+               _int_sum(F.col("l_extendedprice") * F.col("l_tax") / 10).alias("li_comments"),
                F.sum(F.col("l_quantity").cast("bigint")).cast("bigint").alias("qty")))
     orders = spread(read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"))
