@@ -22,7 +22,8 @@ from media_analytics.plans import catalog  # noqa: E402
 from media_analytics.session import local_session  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-CPUS = os.environ.get("BENCH_CPUS", "8")
+_cpus = os.environ.get("BENCH_CPUS", "8").strip()
+CPUS = _cpus if _cpus.isdigit() else str(os.cpu_count() or 8)
 # Model fits dominate; the bench runs the one with a published own baseline
 # (category forest, with its importance / metric / confusion queries, which
 # reuse the fitted model) unless BENCH_ALL_MODELS=1.
