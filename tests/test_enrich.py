@@ -135,3 +135,32 @@ def test_salted_join_hot_key_equals_plain_join(spark):
     # the hot key's rows land on all of its salts
     salted = big.withColumn("_s", F.pmod(F.xxhash64("id", "k"), F.lit(30)))
     assert salted.where(F.col("k") == "hot").select("_s").distinct().count() == 30
+
+
+def test_week_over_week_changes(spark):
+    rows = [_row(0, 100, ts=datetime(2000, 1, 3, 9)), _row(1, 100, ts=datetime(2000, 1, 5, 9)),
+            _row(2, 300, ts=datetime(2000, 1, 10, 9))]
+    typed, _ = _videos(spark, rows)
+    w = growth.week_over_week(enrich.enrich_videos(typed, AS_OF)).orderBy("week").collect()
+    assert [(str(r.week), r.views, r.videos) for r in w] == [("2000-01-03", 200, 2), ("2000-01-10", 300, 1)]
+    assert w[0].views_change_pct is None
+    assert w[1].views_change_pct == pytest.approx(50.0) and w[1].videos_change_pct == pytest.approx(-50.0)
+
+
+def test_kpi_ratings_thresholds(spark):
+    k = spark.createDataFrame([(150.0, 10.0, 80.0, 300.0, 59.9)],
+                              "video_efficiency double, interaction_score double, consistency double, "
+                              "virality_index double, quality_score double")
+    got = {r.kpi: r.meets_threshold for r in kpi.kpi_ratings(k).collect()}
+    assert got == {"video_efficiency": True, "interaction_score": False, "consistency": True,
+                   "virality_index": True, "quality_score": False}
+
+
+def test_last_days_with_as_of(spark):
+    rows = [_row(0, 1, ts=datetime(2001, 10, 2, 0, 0)), _row(1, 1, ts=datetime(2001, 10, 1, 23, 59)),
+            _row(2, 1, ts=datetime(2001, 12, 31, 23, 0)), _row(3, 1, ts=datetime(2002, 1, 1, 0, 0))]
+    typed, _ = _videos(spark, rows)
+    v = enrich.enrich_videos(typed, AS_OF)
+    assert sorted(r.video_id for r in growth.last_days(v, 90, as_of=AS_OF).collect()) == ["v0", "v2"]
+    # without as_of the window ends at the latest publish date: 2001-10-03 .. 2002-01-01
+    assert sorted(r.video_id for r in growth.last_days(v, 90).collect()) == ["v2", "v3"]
