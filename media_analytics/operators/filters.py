@@ -53,6 +53,9 @@ def fill_numeric_zero(df: DataFrame) -> DataFrame:
 def apply_filters(videos: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
     """date range AND channel set AND category set, then numeric zero fill.
 
+    On a table with ``publish_year`` (the parquet sink can partition by it) the
+    date range also prunes year partitions.
+
     A channel list is an ``isin`` (Catalyst turns long lists into an InSet
     hash lookup); a DataFrame of names can be used with ``filter_by_names``.
     """
@@ -60,6 +63,13 @@ def apply_filters(videos: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFra
     dp = date_predicate("publish_date", spec.start, spec.end)
     if dp is not None:
         v = v.where(dp)
+        if "publish_year" in videos.columns:
+            # implied by the date range (publish_year = year(publish_date)): lets a
+            # table partitioned by publish_year skip whole folders
+            last = spec.end if spec.end is not None else spec.start  # as date_predicate
+            if spec.start is not None:
+                v = v.where(F.col("publish_year") >= _day(spec.start).year)
+            v = v.where(F.col("publish_year") <= _day(last).year)
     if spec.channels is not None:
         v = v.where(F.col("channel_name").isin(list(spec.channels)))
     if spec.categories is not None:

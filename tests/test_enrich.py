@@ -164,3 +164,14 @@ def test_last_days_with_as_of(spark):
     assert sorted(r.video_id for r in growth.last_days(v, 90, as_of=AS_OF).collect()) == ["v0", "v2"]
     # without as_of the window ends at the latest publish date: 2001-10-03 .. 2002-01-01
     assert sorted(r.video_id for r in growth.last_days(v, 90).collect()) == ["v2", "v3"]
+
+
+def test_date_filter_year_bounds_match_date_range(spark):
+    rows = [_row(0, 1, ts=datetime(1998, 6, 1)), _row(1, 1, ts=datetime(2000, 1, 3)),
+            _row(2, 1, ts=datetime(2000, 2, 1))]
+    typed, _ = _videos(spark, rows)
+    v = enrich.enrich_videos(typed, AS_OF)
+    ids = lambda spec: sorted(r.video_id for r in filters.apply_filters(v, spec).collect())
+    assert ids(filters.FilterSpec(end=date(2000, 1, 10))) == ["v0", "v1"]        # no lower bound
+    assert ids(filters.FilterSpec(start=date(1999, 1, 1))) == []                  # a single day
+    assert ids(filters.FilterSpec(start=date(1999, 1, 1), end=date(2000, 12, 31))) == ["v1", "v2"]
