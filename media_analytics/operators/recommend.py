@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import DURATION_EDGES, DURATION_LABELS_SHORT, FREQUENCY_EDGES
@@ -35,16 +35,39 @@ def best_group(df: DataFrame, key: Column | str, metric: Column, name: str,
     return g.orderBy(F.col("_mean").desc(), F.col("_tie").asc()).limit(1).select(name)
 
 
+def best_video_groups(fv: DataFrame) -> DataFrame:
+    """R1-R3 in one scan: mean views per duration bucket, per publish hour and
+    per weekday as GROUPING SETS (partial aggregation, one shuffle of at most
+    5 + 24 + 7 groups), then the argmax of each set (first key on ties) over
+    those few rows. One row: best_duration, best_hour, best_day."""
+    views = F.col("views").cast("double")
+    base = fv.select(cut("duration_minutes", DURATION_EDGES, DURATION_LABELS_SHORT).alias("best_duration"),
+                     bucket_order("duration_minutes", DURATION_EDGES).alias("_d_order"),
+                     F.col("publish_hour").alias("best_hour"), F.col("publish_day").alias("best_day"),
+                     views.alias("_m"))
+    sets = [["best_duration", "_d_order"], ["best_hour"], ["best_day"]]
+    g = (base.groupingSets(sets, "best_duration", "_d_order", "best_hour", "best_day")
+         .agg(F.avg("_m").alias("_mean"),
+              F.grouping("best_duration").alias("_gd"), F.grouping("best_hour").alias("_gh"),
+              F.grouping("best_day").alias("_gw")))
+    which = (F.when(F.col("_gd") == 0, F.lit("d")).when(F.col("_gh") == 0, F.lit("h")).otherwise(F.lit("w")))
+    key_null = (F.when(which == "d", F.col("best_duration").isNull())
+                .when(which == "h", F.col("best_hour").isNull()).otherwise(F.col("best_day").isNull()))
+    tie_num = F.when(which == "d", F.col("_d_order")).when(which == "h", F.col("best_hour"))
+    g = g.withColumn("_set", which).where(~key_null & F.col("_mean").isNotNull())
+    w = Window.partitionBy("_set").orderBy(F.col("_mean").desc(), tie_num.asc(), F.col("best_day").asc())
+    top = g.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") == 1)  # <= 36 rows in all
+    return top.agg(F.max(F.when(F.col("_set") == "d", F.col("best_duration"))).alias("best_duration"),
+                   F.max(F.when(F.col("_set") == "h", F.col("best_hour"))).alias("best_hour"),
+                   F.max(F.when(F.col("_set") == "w", F.col("best_day"))).alias("best_day"))
+
+
 def recommendations(fv: DataFrame, fc: DataFrame, approx: bool = False) -> DataFrame:
-    """R1-R6 as one row: best duration bucket, hour, weekday and posting
-    frequency by mean views; engagement target and title length; q75 targets
+    """R1-R6 as one row: best duration bucket, hour and weekday (one grouping-
+    sets scan) and posting frequency by mean views; engagement target and title length; q75 targets
     of engagement, like rate and channel engagement score; what top-quartile
     channels (engagement score above its q75) achieve."""
-    views = F.col("views").cast("double")
-    best_dur = best_group(fv, cut("duration_minutes", DURATION_EDGES, DURATION_LABELS_SHORT), views,
-                          "best_duration", bucket_order("duration_minutes", DURATION_EDGES))
-    best_hour = best_group(fv, "publish_hour", views, "best_hour")
-    best_day = best_group(fv, "publish_day", views, "best_day")
+    best_videos = best_video_groups(fv)
     best_freq = best_group(fc, cut("videos_per_month", FREQUENCY_EDGES), F.col("avg_views"),
                            "best_frequency", bucket_order("videos_per_month", FREQUENCY_EDGES))
     qv = table_quantiles(fv, {"engagement_rate": [0.75], "like_rate": [0.75]}, approx)
@@ -54,9 +77,8 @@ def recommendations(fv: DataFrame, fc: DataFrame, approx: bool = False) -> DataF
                    mean_of_int("title_length").alias("avg_title_length"))
     top = top.agg(F.avg("views_per_subscriber").alias("top_views_per_subscriber"),
                   F.avg("videos_per_month").alias("top_videos_per_month"))
-    row = means.crossJoin(top)
-    for b in (best_dur, best_hour, best_day, best_freq):
-        row = row.join(b, F.lit(True), "left")  # one-row sides
+    row = means.crossJoin(top).crossJoin(best_videos)  # one-row frames
+    row = row.join(best_freq, F.lit(True), "left")  # one row or none
     lit = lambda x: F.lit(None).cast("double") if x is None else F.lit(float(x))
     return row.select("best_duration", "best_hour", "best_day", "best_frequency",
                       "target_engagement", "avg_title_length",

@@ -175,3 +175,16 @@ def test_date_filter_year_bounds_match_date_range(spark):
     assert ids(filters.FilterSpec(end=date(2000, 1, 10))) == ["v0", "v1"]        # no lower bound
     assert ids(filters.FilterSpec(start=date(1999, 1, 1))) == []                  # a single day
     assert ids(filters.FilterSpec(start=date(1999, 1, 1), end=date(2000, 12, 31))) == ["v1", "v2"]
+
+
+def test_best_video_groups_ties_and_empty_set(spark):
+    mon9, fri10 = datetime(2000, 1, 3, 9), datetime(2000, 1, 7, 10)
+    rows = [_row(0, 10, ts=mon9, dur=3.0), _row(1, 10, ts=fri10, dur=7.0),
+            _row(2, 4, ts=mon9, dur=3.0), _row(3, 4, ts=fri10, dur=7.0)]
+    typed, _ = _videos(spark, rows)
+    v = enrich.enrich_videos(typed, AS_OF)
+    b = recommend.best_video_groups(v).first()
+    # means tie everywhere: first bucket, lowest hour, alphabetical day
+    assert (b.best_duration, b.best_hour, b.best_day) == ("0-5", 9, "Friday")
+    none = recommend.best_video_groups(v.withColumn("duration_minutes", F.lit(0.0))).first()
+    assert none.best_duration is None and none.best_day == "Friday"
