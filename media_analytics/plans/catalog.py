@@ -70,8 +70,8 @@ class Context:
 
 
 _CONTEXTS: dict[tuple[int, str], Context] = {}
-# Persist the shared tables (off only for plan inspection: every plan then
-# shows the whole work from the raw tables). MA_MATERIALIZE=checkpoint writes
+# Persist the shared tables (PERSIST = False rebuilds them inside every plan,
+# for inspecting whole plans from the raw tables). MA_MATERIALIZE=checkpoint writes
 # them as reliable checkpoints into the shared spark.checkpoint.dir instead of
 # caching them: lineage is cut and a lost executor costs no recompute.
 PERSIST = True
@@ -103,7 +103,8 @@ def release(spark: SparkSession | None = None) -> None:
     """Unpersist and forget prepared contexts (all, or one session's)."""
     for key, ctx in list(_CONTEXTS.items()):
         if spark is None or ctx.spark is spark:
-            for df in (ctx.typed, ctx.videos, ctx.channels, ctx._features):
+            preds = [m.predictions for m in (ctx._models or {}).values()]
+            for df in (ctx.typed, ctx.videos, ctx.channels, ctx._features, *preds):
                 if df is not None:
                     df.unpersist()
             del _CONTEXTS[key]
