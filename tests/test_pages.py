@@ -129,3 +129,14 @@ def test_csv_in_batch_script_layout(spark, tmp_dir):
     assert got["v1"].engagement_rate == 33.3 and got["v1"].ch_subscribers == 10
     assert got["v2"].views == 0 and got["v2"].likes == 0 and got["v2"].ch_subscribers is None
     assert got["v2"].publish_date == datetime(2021, 1, 2, 5, 0)
+
+
+def test_snapshot_command_line(spark, tmp_dir, capsys):
+    from media_analytics.plans.snapshot import main
+    ch = _write(f"{tmp_dir}/ch", "p.json", CHANNEL)
+    vd = _write(f"{tmp_dir}/vd", "p.json", VIDEOS)
+    main(["--channel-pages", ch, "--video-pages", vd, "--as-of", "2021-12-31T00:00:00",
+          "--out-videos", f"{tmp_dir}/ov", "--out-channels", f"{tmp_dir}/oc", "--format", "parquet"], spark=spark)
+    assert "channels=2 videos=4 total_views=117" in capsys.readouterr().out
+    assert spark.read.parquet(f"{tmp_dir}/ov").count() == 4
+    assert spark.read.parquet(f"{tmp_dir}/oc").count() == 2
