@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import persist
+
 HOT_FRACTION = 0.01   # a key above 1% of the rows is hot (so at most 100 hot keys)
 
 
@@ -47,7 +49,8 @@ def salted_join(big: DataFrame, dim: DataFrame, key: str, how: str = "left",
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
     counted = key_source.select(key) if key_source is not None else big.select(key)
-    hot = F.broadcast(hot_keys(counted, key, fraction, partitions))  # bounded: <= 1/fraction rows
+    # persisted (<= 1/fraction rows): both join sides read one computation of it
+    hot = F.broadcast(persist(hot_keys(counted, key, fraction, partitions)))
     row_hash = F.xxhash64(*[F.col(c) for c in big.columns])
     n_salts = F.coalesce(F.col("_salts"), F.lit(1))
     b = (big.join(hot, key, "left")
