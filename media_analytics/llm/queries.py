@@ -4,11 +4,13 @@ DuckDB SQL of those that SQL can express."""
 from __future__ import annotations
 
 from .simhash import op1_simhash
+from .token_count import op3_token_counts
 
 
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
+        "op3_token_counts": op3_token_counts,
     }
 
 
