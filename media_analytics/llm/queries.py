@@ -3,6 +3,10 @@ DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
+from .decontam import op10_decontamination
+from .language import op5_language
+from .mixing import OP9_SQL, op9_mixing
+from .packing import op8_token_ids
 from .simhash import op1_simhash
 from .token_count import op3_token_counts
 
@@ -11,8 +15,12 @@ def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
         "op3_token_counts": op3_token_counts,
+        "op5_language": op5_language,
+        "op8_token_ids": op8_token_ids,
+        "op9_mixing": op9_mixing,
+        "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": OP9_SQL}
