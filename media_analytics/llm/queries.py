@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from .decontam import op10_decontamination
 from .language import op5_language
+from .lm import op2_lm_score
 from .mixing import OP9_SQL, op9_mixing
 from .packing import op8_token_ids
 from .simhash import op1_simhash
@@ -14,6 +15,7 @@ from .token_count import op3_token_counts
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
+        "op2_lm_score": op2_lm_score,
         "op3_token_counts": op3_token_counts,
         "op5_language": op5_language,
         "op8_token_ids": op8_token_ids,
