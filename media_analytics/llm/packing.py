@@ -41,7 +41,7 @@ from .common import new_folder, ship, text_blocks
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
-MAX_WORDS = 700_000  # encoded pieces kept by a worker
+MAX_WORDS = 1_200_000  # encoded pieces kept by a worker
 MAGIC = b"TIB1"
 _HEAD = struct.Struct("<4sIIQ")
 
@@ -109,32 +109,39 @@ def unpack(payload: bytes, first: int = 0, count: int | None = None) -> np.ndarr
 
 # ---- encoding ---------------------------------------------------------------
 
-class Encoder:
-    """Ids of texts by the tokenizers library, one call per distinct piece."""
+class Encoder(dict):
+    """Ids of texts by the tokenizers library: piece -> packed ids, encoded by the
+    library when first met and emptied when full."""
 
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.size = max(self.library.get_vocab_size(with_added_tokens=True), end_id + 1)
-        self.end = np.array([end_id], "<u4").tobytes()
-        self.known: dict[bytes, bytes] = {}
+        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.end = np.array([end_id], self.kind).tobytes()
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if len(self) >= MAX_WORDS:
+            self.clear()
+        if len(piece) > 1 and piece[-1] in b".,;:!?" and piece[-2:-1].isalnum():
+            # a letter or digit and a sign that ends the piece are never one token
+            found = self[piece[:-1]] + self[piece[-1:]]
+        else:
+            ids = self.library.encode(piece.decode(), add_special_tokens=False).ids
+            found = np.array(ids, self.kind).tobytes()
+        self[piece] = found
+        return found
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """ids (with the end id) of each text."""
-        known = self.known
-        pieces = [(t or b"").split() for t in texts]
-        new = list({p for words in pieces for p in words}.difference(known))
-        if new:
-            if len(known) + len(new) > MAX_WORDS:
-                known.clear()
-                new = list({p for words in pieces for p in words})
-            for k in range(0, len(new), 50_000):
-                part = new[k:k + 50_000]
-                found = self.library.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)
-                for p, e in zip(part, found):
-                    known[p] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)) + self.end, "<u4") for words in pieces]
+        get, out = self.__getitem__, []
+        for t in texts:
+            t = t or b""
+            if b"<|" not in t:  # special tokens are told by case; all else is lower-cased by the tokenizer
+                t = t.lower()
+            out.append(np.frombuffer(b"".join(map(get, t.split())) + self.end, self.kind))
+        return out
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}  # per worker
