@@ -64,6 +64,14 @@ def crc_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
+def hashed_sample(df: DataFrame, rows: int, n: int, *keys: str) -> DataFrame:
+    """About ``rows`` of the ``n`` rows of ``df``, chosen by a hash of ``keys``: the same
+    ones in each run, without sorting or moving the others."""
+    if n <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.lit("sample"), *keys), F.lit(1 << 40)) < int(rows / n * (1 << 40)))
+
+
 def text_blocks(batches, text: str = "text", limit: int = BLOCK_BYTES):
     """Arrow batches cut into runs of rows with about ``limit`` bytes of text (one
     row at least); yields (batch, texts as bytes or None)."""

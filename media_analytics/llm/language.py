@@ -13,7 +13,7 @@
   since neighbouring n-grams are not independent).
 * Decoding: the codeword with the least weighted logistic loss over the bits. A
   bit weighs by how well it separates a bounded sample of training documents
-  (``CALIBRATION`` of them). score is the soft-min share of the chosen codeword; below
+  (about ``CALIBRATION`` of them, by hash of the id). score is the soft-min share of the chosen codeword; below
   ``AMBIGUOUS`` the document is flagged.
 
 Only the text is an input of a prediction. Null text, or one without a letter:
@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, ship, text_blocks
+from .common import crc_of_id, hashed_sample, ship, text_blocks
 
 BUCKETS = 1 << 13
 EVIDENCE = 100
@@ -160,8 +160,7 @@ def learn(docs: DataFrame) -> Model:
     table[sums["lang"].map(number).to_numpy(int), sums["bucket"].to_numpy(int)] = sums["n"].to_numpy(float)
     model = Model(langs, table)
     if len(langs) > 1:
-        # a bounded sample, the same in each run: the documents of least hash
-        picked = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION)
+        picked = hashed_sample(train, CALIBRATION, train.count(), "doc_id")
         found = predict(picked, model, margins=True).toPandas()
         found = found[found["lang"].isin(number)]
         if len(found):
