@@ -1,13 +1,13 @@
 """Approximate nearest neighbours: a hierarchical k-means tree searched best bin first.
 
-* **Fit.** Lloyd's k-means splits a bounded sample (the rows of least hash,
-  at most ``SAMPLE_FLOATS`` numbers) into ``BRANCH`` parts, and each part
+* **Fit.** Lloyd's k-means splits a bounded sample (chosen by hash,
+  about ``SAMPLE_FLOATS`` numbers) into ``BRANCH`` parts, and each part
   again. The sample only shapes the tree: every row is indexed, by walking down to the
   child with the nearest centre.
 * **Search.** A priority queue holds tree nodes by the inner product of query
   and centre. The best one is opened; its children go back into the queue and
   a leaf is visited. ``visits`` leaves are visited per query.
-* **Calibration.** The exact neighbours of up to ``CALIBRATION`` queries are
+* **Calibration.** The exact neighbours of about ``CALIBRATION`` queries are
   found among all rows (in blocks). visits is widened until the mean share of
   them that lies in visited leaves is ``RECALL`` or more; up to all leaves, where the
   search is exact.
@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, hashed_sample, ship
 
 K = 20
 EVERY = 20             # queries: vec_id divisible by this
@@ -138,7 +138,7 @@ def fit(vectors: DataFrame, n: int) -> Tree | None:
     if first is None:
         return None
     rows = min(SAMPLE_ROWS, max(100, SAMPLE_FLOATS // len(first.vec)))
-    picked = vectors.orderBy(F.xxhash64("vec_id")).limit(rows).select("vec").toArrow()
+    picked = hashed_sample(vectors, rows, n, "vec_id").orderBy("vec_id").select("vec").toArrow()
     depth = max(1, min(4, int(math.log(max(n, 1)) / 2 / math.log(BRANCH))))
     return Tree(matrix(picked.column("vec")), depth)
 
@@ -202,7 +202,7 @@ def exact_neighbours(vectors: DataFrame, query_rows: list, k: int = K) -> DataFr
 
 def calibrate(tree: Tree, vectors: DataFrame, queries: DataFrame, recall: float = RECALL, k: int = K) -> int:
     """Leaves to visit so that the mean recall of a bounded set of queries is reached."""
-    picked = queries.orderBy(F.xxhash64("vec_id")).limit(CALIBRATION).collect()
+    picked = hashed_sample(queries, CALIBRATION, queries.count(), "vec_id").collect()
     if not picked:
         return 1
     leaf = vectors.select("vec_id", "leaf").withColumnRenamed("vec_id", "v")

@@ -19,7 +19,7 @@ token. Training documents: crc32(doc_id as text) mod 10 is not 0.
   vector plus a bias. Training by noise-contrastive estimation: each batch
   shares noise classes drawn from the class counts, the partition function is not
   computed. It is fitted on a documented, bounded sample: about
-  ``TRAIN_TOKENS`` tokens of the training documents with the least hash.
+  ``TRAIN_TOKENS`` tokens of training documents, chosen by hash of the id.
 * **Scoring.** Batched matrix products over all contexts give the table of
   normalised log-probabilities once per worker; a token is then a table lookup. Tokens
   beyond the ``TABLE`` commonest get their counts by a shuffle join of (row,
@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, crc_of_id, cut, ship, text_blocks
+from .common import LOWER, crc_of_id, cut, hashed_sample, ship, text_blocks
 
 ALPHA = 0.1
 TABLE = 200_000        # commonest tokens that every task knows
@@ -270,7 +270,7 @@ def learn(train: DataFrame, counts: DataFrame) -> tuple[Scorer, int, int]:
                     ids = np.array([shared.value.of(w) for w in tokens(t)], np.uint16)
                     yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary())], ["ids"])
 
-        rows = (train.orderBy(F.xxhash64("doc_id", "text")).limit(take).select("text")
+        rows = (hashed_sample(train, take, docs, "doc_id").select("text")
                 .mapInArrow(sampled, "ids binary").collect())
         end = classes.of(END)
         runs = [np.concatenate([[end, end], np.frombuffer(bytes(r.ids), np.uint16)]).astype(np.int64) for r in rows]

@@ -41,13 +41,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, connected_components, cut, ship, text_blocks
+from .common import LOWER, connected_components, cut, hashed_sample, ship, text_blocks
 
 SEED = 42
 SHINGLE = 4
 RADIUS = 4
 SEGMENTS = 3
-SAMPLE = 8192          # fingerprints the top of a tree is built from
+SAMPLE = 8192          # fingerprints the top of a tree is built from, about
 SHARD = 65_536         # fingerprints stored in one shard, about
 MAX_DEPTH = 12         # at most 4096 shards a tree; larger shards are tiled
 LEAF = 64              # points in a leaf of the tree inside a shard
@@ -243,7 +243,7 @@ def linked(nodes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, sha
     ship(spark)
     n = nodes.count()
     depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(n, 1) / shard))))
-    points = np.array([r.fp for r in nodes.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()],
+    points = np.array([r.fp for r in hashed_sample(nodes, sample, n, "fp").collect()],
                       dtype=np.int64).view(np.uint64)
     masks, part_radius = segment_masks(segments), radius // segments
     trees = [number_leaves(build_tree(np.unique(points & np.uint64(m)), depth), [0]) for m in masks]
