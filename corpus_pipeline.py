@@ -6,16 +6,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from media_analytics.llm import simhash
+from media_analytics.llm import decontam, language, mixing, packing, simhash
 from media_analytics.llm.common import new_folder, table
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be told go; the model learns from ``docs``."""
+    return language.known_language(docs, language.learn(docs))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix to target weights takes them (0 to 3 times)."""
+    return mixing.emit(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of all documents in packed blocks; a row per document read back from them."""
+    import public_tokenizers
+
+    return packing.written(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mix_sources", mix_sources),
+    ("token_ids", token_ids),
+]
 
 # The stages fit models, link fingerprints and tokenize: beyond SQL.
 ORACLE_SQL = None

@@ -168,6 +168,21 @@ def learn(docs: DataFrame) -> Model:
     return model
 
 
+def judge(model: Model, texts: list[bytes | None]):
+    """(positions of the texts with a letter, their margins, and for all texts the
+    language, score and whether it is ambiguous)."""
+    found = [counts(t) if model.langs else None for t in texts]
+    at = [i for i, x in enumerate(found) if x is not None]
+    margins = [model.margins(np.array([found[i] for i in at[k:k + 256]], np.float32)) for k in range(0, len(at), 256)]
+    bits = np.concatenate([np.zeros((0, model.code.shape[1])), *margins])
+    lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+    if at:
+        best, share = model.decode(bits)
+        lang[at], score[at] = [model.langs[b] for b in best], share
+    unsure = np.array([s < AMBIGUOUS and x != UNKNOWN for s, x in zip(score, lang)], bool)
+    return at, bits, lang, score, unsure
+
+
 def predict(docs: DataFrame, model: Model, margins: bool = False) -> DataFrame:
     """(doc_id, lang_pred, score, ambiguous) per row; with ``margins``, (lang, margins)
     of the rows that have a letter instead."""
@@ -178,26 +193,16 @@ def predict(docs: DataFrame, model: Model, margins: bool = False) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)  # buckets x bits weights
 
     def work(batches):
-        m = shared.value
         for batch, texts in text_blocks(batches):
-            found = [counts(t) if m.langs else None for t in texts]
-            at = [i for i, x in enumerate(found) if x is not None]
-            bits = (np.concatenate([m.margins(np.array(found_at, np.float32)) for found_at in
-                                    ([found[i] for i in at[k:k + 256]] for k in range(0, len(at), 256))])
-                    if at else np.zeros((0, m.code.shape[1])))
+            at, bits, lang, score, unsure = judge(shared.value, texts)
             if margins:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("lang").take(pa.array(at, pa.int64())),
                      pa.array(bits.astype(float).tolist(), pa.list_(pa.float64()))], ["lang", "margins"])
-                continue
-            lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-            if at:
-                best, share = m.decode(bits)
-                lang[at], score[at] = [m.langs[b] for b in best], share
-            unsure = (score < AMBIGUOUS) & (lang != UNKNOWN)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(lang.tolist(), pa.string()), pa.array(score),
-                 pa.array(unsure.astype(bool))], ["doc_id", "lang_pred", "score", "ambiguous"])
+            else:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(unsure)],
+                    ["doc_id", "lang_pred", "score", "ambiguous"])
 
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"),
                       *(["lang"] if margins else []))
@@ -215,19 +220,19 @@ def op5_language(spark, sf_dir: str) -> DataFrame:
 
 
 def known_language(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` in a learned language (all rows if none was learned); those
-    predicted ``und`` go. Ambiguous rows stay: short texts are no junk."""
+    """The rows of ``docs`` whose language is told: those predicted ``und`` and the
+    ambiguous ones go. All rows stay if no language was learned."""
     import pyarrow as pa
 
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     if not model.langs:
         return docs
+    shared = spark.sparkContext.broadcast(model)
 
     def work(batches):
         for batch, texts in text_blocks(batches):
-            table = letter_table()
-            keep = [bool(t) and bool(table[np.frombuffer(t.decode().encode("utf-32-le"), "<u4")].any())
-                    for t in texts]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            _, _, lang, _, unsure = judge(shared.value, texts)
+            yield batch.filter(pa.array([x != UNKNOWN and not u for x, u in zip(lang, unsure)], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
