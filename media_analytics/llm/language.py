@@ -36,6 +36,7 @@ EVIDENCE = 100
 CALIBRATION = 4000
 AMBIGUOUS = 0.6
 SMOOTH = 0.5
+WINDOW = 1 << 20       # characters whose n-grams are counted at once
 UNKNOWN = "und"
 
 _letters: list[np.ndarray] = []
@@ -61,7 +62,7 @@ def counts(text: bytes | None) -> np.ndarray | None:
     if not is_letter.any():
         return None
     out = np.zeros(BUCKETS, np.int64)
-    step = 1 << 20
+    step = WINDOW
     for k in range(0, len(codes), step):  # a very long text, window by window
         part, own = codes[max(0, k - 2):k + step], is_letter[max(0, k - 2):k + step]
         c = np.zeros(len(part) + (2 if k == 0 else 0) + 1, np.uint32)  # blanks around the text

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, lower_az, prefix_sums, table
 
-QUOTE = r"^(?:[ \t]*>)+"
+QUOTE = r"^[ \t]*>[> \t]*"  # blanks and signs, no repeated group: any depth is matched
 BREAK = r"\r\n|\r|\n"
 
 

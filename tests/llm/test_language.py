@@ -1,0 +1,73 @@
+import zlib
+
+import numpy as np
+
+from media_analytics.llm import language
+
+from .fixtures import documents, empty_documents
+
+
+def test_codewords_tell_languages_apart():
+    for n in (2, 3, 4, 5, 6, 20):
+        code = language.codewords(n)
+        apart = [(code[i] != code[j]).sum() for i in range(n) for j in range(i)]
+        assert min(apart) >= (2 ** (n - 2) if n <= 5 else code.shape[1] // 4)
+        assert (np.abs(code.sum(0)) < n).all()
+
+
+def test_a_wrong_bit_is_corrected():
+    table = np.ones((4, language.BUCKETS))
+    model = language.Model(list("abcd"), table)
+    for k in range(4):
+        margins = 3.0 * model.code[k:k + 1].copy()
+        margins[0, 0] *= -1
+        assert model.decode(margins)[0][0] == k
+
+
+def test_window_edges_do_not_change_counts(monkeypatch):
+    text = ("Ein Text über Wörter, mit vielen Zeichen. " * 40).encode()
+    whole = language.counts(text)
+    n = len(text.decode())
+    assert whole.sum() == (n + 2) + (n + 1)  # 2-grams and 3-grams with the blanks around
+    for size in (7, 100, n):
+        monkeypatch.setattr(language, "WINDOW", size)
+        assert (language.counts(text) == whole).all()
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    got = language.predict(docs, language.learn(docs)).collect()
+    held = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert len(got) == len(truth) and all(0 <= r.score <= 1 for r in got)
+    assert np.mean([truth[r.doc_id] == r.lang_pred for r in held]) >= 0.98
+
+
+def test_held_out_labels_are_not_used(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    other = docs.selectExpr("doc_id", "text", "CASE WHEN crc32(CAST(doc_id AS STRING)) % 4 = 2 THEN 'xx' ELSE lang END lang")
+    a = sorted(map(tuple, language.predict(docs, language.learn(docs)).collect()))
+    assert a == sorted(map(tuple, language.predict(other, language.learn(other)).collect()))
+
+
+def test_dirty_documents(spark):
+    df = documents(spark)
+    model = language.learn(df)
+    got = language.predict(df, model).collect()
+    assert len(got) == df.count()
+    none = sorted((str(r.doc_id), r.score) for r in got if r.lang_pred == "und")
+    assert none == sorted((i, 0.0) for i in ("3", "4", "5", "9", "None"))
+    kept = language.known_language(df, model)
+    assert kept.columns == df.columns and kept.where("doc_id IN (3, 4, 5, 9)").count() == 0
+    assert kept.where("doc_id IN (1, 10, 11)").count() == 4
+
+
+def test_no_labels_and_empty(spark):
+    df = documents(spark).selectExpr("doc_id", "text", "CAST(NULL AS STRING) lang", "source")
+    model = language.learn(df)
+    assert {r.lang_pred for r in language.predict(df, model).collect()} == {"und"}
+    assert language.known_language(df, model).count() == df.count()
+    none = empty_documents(spark)
+    assert language.predict(none, language.learn(none)).count() == 0
+    one = df.selectExpr("doc_id", "text", "'en' lang")
+    assert {r.lang_pred for r in language.predict(one, language.learn(one)).collect()} == {"en", "und"}
