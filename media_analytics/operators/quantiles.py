@@ -2,132 +2,90 @@
 
 Spark's exact ``percentile`` aggregate merges a map of every distinct value in
 a single final task, which does not survive a 100 TB column. Here exact order
-statistics are found by bracketing instead:
-
-1. one aggregate pass: row count plus a KLL sketch (one per input partition,
-   merged as a two-level tree so no task merges every partition's state),
-   read at slightly lower / higher fractions than the wanted rank;
-2. one aggregate pass: rows below ``lo`` and rows inside ``[lo, hi]``;
-   a bracket that misses its rank (the sketch bound is probabilistic) is
-   redone without it, so the result is exact either way;
-3. if the bracket is still large, repeat on the bracket rows only with a
-   ``percentile_approx`` sketch (each round shrinks it by about
-   ``accuracy / 6``); once it holds at most ``max_candidates`` rows, its
-   (value, count) pairs - a bounded set - are ranked.
-
-Several columns of one table share passes 1-3 (``multi_exact_quantiles``).
-Each round returns a handful of numbers to the driver; no task or driver ever
-holds more than ``max_candidates`` values per bracket. The result equals pandas /
-DuckDB ``quantile_cont``: ``v[k] + (v[k+1] - v[k]) * frac`` at position
-``p * (n - 1)``.
+statistics are found by bracketing. A wanted rank lies in an open interval of
+values, at first all of them. Each round narrows every open interval of every
+column at once, in two passes over the table:
+
+1. a KLL sketch per interval (one per input partition, merged as a two-level
+   tree so no task merges every partition's state), read a little below and
+   above the wanted rank: two values of the column;
+2. how many rows lie below, on, between and above these two values. A rank
+   that falls on one of them is answered; any other goes on in the open interval
+   beside or between them. The sketch's bound is probabilistic, but the counts are
+   exact, so a rank is never lost, and an interval shrinks by its end values
+   in every round however often they repeat.
+
+An interval shrinks to about 0.5% of its rows a round, so the number of rounds
+is small and does not depend on the number of columns. Intervals of at most
+``max_candidates`` rows are gathered in one last pass as (value, count) pairs.
+The result equals pandas / DuckDB ``quantile_cont``:
+``v[k] + (v[k+1] - v[k]) * frac`` at position ``p * (n - 1)``.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import literal_rows
 
-DEFAULT_ACCURACY = 10_000
-DEFAULT_MAX_CANDIDATES = 50_000
+DEFAULT_MAX_CANDIDATES = 20_000
 _MARGIN = 3.0  # bracket half-width in units of the sketch's rank error
 KLL_K = 4096
 KLL_EPS = 2.296 / KLL_K ** 0.9444  # KLL normalized rank error (99% confidence), ~9e-4
 KLL_BUCKETS = 1024
 
 
-def _values(df: DataFrame, column: str) -> DataFrame:
-    x = F.col(column).cast("double")
-    return df.select(x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-
-
-def _rank_values(xs: DataFrame, ranks: Sequence[int], n: int, accuracy: int,
-                 max_candidates: int, depth: int = 0) -> dict[int, float]:
-    """Values at the given 0-based ranks of column ``x`` (``n`` rows)."""
-    ranks = sorted(set(ranks))
-    if not ranks:
-        return {}
-    if n <= max_candidates:
-        # bounded: at most max_candidates distinct (value, count) pairs
-        pairs = sorted((r["x"], r["c"]) for r in
-                       xs.groupBy("x").agg(F.count(F.lit(1)).alias("c")).collect())
-        out, seen, i = {}, 0, 0
-        for v, c in pairs:
-            while i < len(ranks) and ranks[i] < seen + c:
-                out[ranks[i]] = v
-                i += 1
-            seen += c
-        return out
-    if depth > 8:
-        raise RuntimeError("quantile bracketing did not converge")
-
-    # group neighbouring ranks into one bracket each
-    groups: list[list[int]] = []
-    for r in ranks:
-        if groups and r - groups[-1][-1] <= max(1, n // (accuracy * 4)):
-            groups[-1].append(r)
-        else:
-            groups.append([r])
-
-    err = _MARGIN / accuracy
-    fracs, spec = [], []
-    for g in groups:
-        qlo = g[0] / n - err
-        qhi = (g[-1] + 1) / n + err
-        spec.append((qlo > 0, qhi < 1))
-        fracs += [min(max(qlo, 0.0), 1.0), min(max(qhi, 0.0), 1.0)]
-    approx = xs.agg(F.percentile_approx("x", fracs, accuracy).alias("q")).first()["q"]
-
-    brackets = []
-    for gi, (has_lo, has_hi) in enumerate(spec):
-        lo = approx[2 * gi] if has_lo else None
-        hi = approx[2 * gi + 1] if has_hi else None
-        brackets.append((lo, hi))
-
-    def inside(lo, hi):
-        c = F.lit(True)
-        if lo is not None:
-            c = c & (F.col("x") >= F.lit(lo))
-        if hi is not None:
-            c = c & (F.col("x") <= F.lit(hi))
+@dataclass
+class _Interval:
+    """Ranks searched among the ``size`` values of ``column`` in the open interval
+    (low, high); ``before`` values are not above low. None: no bound."""
+    column: str
+    ranks: list[int]
+    before: int
+    size: int
+    low: float | None = None
+    high: float | None = None
+
+    def inside(self) -> Column:
+        x = F.col(self.column)
+        c = x.isNotNull()
+        if self.low is not None:
+            c = c & (x > F.lit(self.low))
+        if self.high is not None:
+            c = c & (x < F.lit(self.high))
         return c
 
-    aggs = []
-    for gi, (lo, hi) in enumerate(brackets):
-        below = F.count_if(F.col("x") < F.lit(lo)) if lo is not None else F.lit(0).cast("bigint")
-        aggs += [below.alias(f"b{gi}"), F.count_if(inside(lo, hi)).alias(f"s{gi}")]
-    counts = xs.agg(*aggs).first()
-
-    out: dict[int, float] = {}
-    for gi, g in enumerate(groups):
-        lo, hi = brackets[gi]
-        below, size = counts[f"b{gi}"], counts[f"s{gi}"]
-        if lo is not None and lo == hi and below <= g[0] and below + size > g[-1]:
-            # one value fills the whole bracket (a hot value): it is the answer
-            out.update({r: lo for r in g})
-        elif not (below <= g[0] and below + size > g[-1]) or size >= n:
-            # sketch bound not met (or no progress): fall back to the open range
-            # on this subset with a finer sketch
-            sub = _rank_values(xs, g, n, accuracy * 4, max_candidates, depth + 1)
-        else:
-            sub_xs = xs.where(inside(lo, hi))
-            got = _rank_values(sub_xs, [r - below for r in g], size, accuracy,
-                               max_candidates, depth + 1)
-            sub = {r: got[r - below] for r in g}
-        out.update(sub)
-    return out
+
+def _sketches(base: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """One row: for each name its non-null count ``n<name>`` and KLL sketch ``k<name>``,
+    merged per bucket of partitions first and then from at most KLL_BUCKETS sketches."""
+    level1 = base.groupBy((F.spark_partition_id() % KLL_BUCKETS).alias("_b")).agg(
+        *[a for name, x in values.items() for a in (F.count(x).alias(f"n{name}"),
+                                                    F.kll_sketch_agg_double(x, KLL_K).alias(f"k{name}"))])
+    return level1.agg(*[a for name in values for a in (F.coalesce(F.sum(f"n{name}"), F.lit(0)).alias(f"n{name}"),
+                                                       F.kll_merge_agg_double(f"k{name}").alias(f"k{name}"))])
 
 
-def _interpolate(vals: dict[int, float], plan) -> list[float]:
+def _read(sketches: DataFrame, fractions: dict[str, Sequence[float]]):
+    """Counts (n<name>) and sketch values (q<name>) at the fractions."""
     out = []
-    for k0, k1, frac in plan:
-        lo, hi = vals[k0], vals[k1]
-        out.append(lo if frac == 0 or lo == hi else lo + (hi - lo) * frac)
-    return out
+    for name, fr in fractions.items():
+        q = F.kll_sketch_get_quantile_double(
+            f"k{name}", F.array(*[F.lit(min(max(float(f), 0.0), 1.0)) for f in fr or [0.5]]))
+        out += [F.col(f"n{name}").cast("bigint").alias(f"n{name}"), F.when(F.col(f"n{name}") > 0, q).alias(f"q{name}")]
+    return sketches.select(*out).first()
+
+
+def _numbers(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
+    """The columns as doubles under safe names, NaN as null."""
+    name = {c: f"_x{j}" for j, c in enumerate(columns)}
+    x = {c: F.col(c).cast("double") for c in columns}
+    return df.select(*[F.when(~F.isnan(x[c]), x[c]).alias(name[c]) for c in columns]), name
 
 
 def _plan(probs: Sequence[float], n: int):
@@ -137,148 +95,152 @@ def _plan(probs: Sequence[float], n: int):
             raise ValueError(f"probability out of range: {p}")
         pos = p * (n - 1)
         k0 = math.floor(pos)
-        plan.append((k0, min(k0 + 1, n - 1), pos - k0))
+        plan.append((k0, min(k0 + 1, n - 1) if pos > k0 else k0, pos - k0))
     return plan
 
 
+def _split(b: _Interval, low: float | None, high: float | None, counts, found: dict) -> list[_Interval]:
+    """Answers the ranks of ``b`` that fall on ``low`` or ``high`` (values inside it) and
+    returns the narrower intervals of the others. counts: rows below, on low,
+    between, on high."""
+    below, on_low, between, on_high = counts
+    parts: dict[int, _Interval] = {}
+    for r in b.ranks:
+        at = r - b.before
+        if low is not None and at < below:
+            key, part = 0, _Interval(b.column, [], b.before, below, b.low, low)
+        elif low is not None and at < below + on_low:
+            found[b.column, r] = low
+            continue
+        elif at < below + on_low + between:
+            key, part = 1, _Interval(b.column, [], b.before + below + on_low, between,
+                                     b.low if low is None else low, b.high if high is None else high)
+        elif at < below + on_low + between + on_high:
+            found[b.column, r] = high
+            continue
+        else:
+            gone = below + on_low + between + on_high
+            key, part = 2, _Interval(b.column, [], b.before + gone, b.size - gone, high, b.high)
+        parts.setdefault(key, part).ranks.append(r)
+    return list(parts.values())
+
+
+def _narrow(base: DataFrame, big: list[_Interval], found: dict, sketched=None) -> list[_Interval]:
+    """One round over all the intervals: two passes over the table."""
+    m = _MARGIN * KLL_EPS
+    fractions = {str(i): [(b.ranks[0] - b.before) / b.size - m, (b.ranks[-1] + 1 - b.before) / b.size + m]
+                 for i, b in enumerate(big)}
+    if sketched is None:
+        sketched = _sketches(base, {str(i): F.when(b.inside(), F.col(b.column)) for i, b in enumerate(big)})
+        row = _read(sketched, fractions)
+        values = [row[f"q{i}"] for i in range(len(big))]
+    else:
+        values = sketched(fractions)
+    ends, aggs = [], []
+    for i, (b, v) in enumerate(zip(big, values)):
+        low, high = (x if 0 < f < 1 else None for x, f in zip(v, fractions[str(i)]))
+        if low is not None and low == high:
+            high = None
+        if low is None and high is None:
+            low = v[0]  # the least value: the interval still shrinks
+        ends.append((low, high))
+        x, inside, none = F.col(b.column), b.inside(), F.lit(False)
+        between = inside
+        if low is not None:
+            between = between & (x > F.lit(low))
+        if high is not None:
+            between = between & (x < F.lit(high))
+        for name, c in (("b", none if low is None else inside & (x < F.lit(low))),
+                        ("l", none if low is None else x == F.lit(low)), ("m", between),
+                        ("h", none if high is None else x == F.lit(high))):
+            aggs.append(F.count_if(c).alias(f"{name}{i}"))
+    got = base.agg(*aggs).first()
+    out = []
+    for i, (b, (low, high)) in enumerate(zip(big, ends)):
+        out += _split(b, low, high, [got[f"{k}{i}"] for k in "blmh"], found)
+    return out
+
+
+def _gather(base: DataFrame, small: list[_Interval], found: dict) -> None:
+    """Ranks the (value, count) pairs of intervals that hold few rows."""
+    arr = F.array(*[F.when(b.inside(), F.struct(F.lit(i).alias("t"), F.col(b.column).alias("x")))
+                    for i, b in enumerate(small)])
+    picked = base.select(F.explode(F.filter(arr, lambda e: e.isNotNull())).alias("e"))
+    pairs: dict[int, list] = {}
+    for r in picked.groupBy("e.t", "e.x").agg(F.count(F.lit(1)).alias("c")).collect():
+        pairs.setdefault(r["t"], []).append((r["x"], r["c"]))
+    for i, b in enumerate(small):
+        seen, todo = b.before, sorted(b.ranks)
+        for v, c in sorted(pairs.get(i, [])):
+            while todo and todo[0] < seen + c:
+                found[b.column, todo.pop(0)] = v
+            seen += c
+
+
 def multi_exact_quantiles(df: DataFrame, spec: dict[str, Sequence[float]], *,
-                          accuracy: int = DEFAULT_ACCURACY,
                           max_candidates: int = DEFAULT_MAX_CANDIDATES) -> dict[str, list[float | None]]:
-    """Exact linear quantiles of several columns of one table in shared passes.
-
-    Pass 1: non-null counts and bracketing sketches of every column. Pass 2
-    (only for columns above ``max_candidates`` rows): rows below / inside each
-    bracket. Pass 3: the (value, count) pairs of all small brackets at once.
-    A bracket that is still large is refined on its own (``_rank_values``).
-    """
+    """Exact linear quantiles of several columns of one table in shared passes
+    (nulls and NaN ignored; None for an empty column)."""
     cols = list(spec)
     if not cols:
         return {}
-    xcol = {c: f"_x{j}" for j, c in enumerate(cols)}
-    base = df.select(*[F.when(F.col(c).cast("double").isNotNull() & ~F.isnan(F.col(c).cast("double")),
-                              F.col(c).cast("double")).alias(xcol[c]) for c in cols])
-    # Pass 1 over the whole table: counts and KLL sketches merged as a tree -
-    # one partial sketch per input partition, merged per bucket of partitions,
-    # then one merge of at most KLL_BUCKETS sketches (a single global sketch
-    # aggregate would merge every task's state in one task).
+    base, name = _numbers(df, cols)
+    # the first round's sketches need no counts before them: read on a grid of the wanted fractions
     m = _MARGIN * KLL_EPS
-    level1 = base.groupBy((F.spark_partition_id() % KLL_BUCKETS).alias("_b")).agg(
-        *[a for c in cols for a in (F.count(xcol[c]).alias(f"n{xcol[c]}"),
-                                    F.kll_sketch_agg_double(xcol[c], KLL_K).alias(f"k{xcol[c]}"))])
-    level2 = level1.agg(
-        *[a for c in cols for a in (F.sum(f"n{xcol[c]}").alias(f"n{xcol[c]}"),
-                                    F.kll_merge_agg_double(f"k{xcol[c]}").alias(f"k{xcol[c]}"))])
-    picks = []
-    for c in cols:
-        fr = []
-        for p in spec[c]:
-            fr += [min(max(p - m, 0.0), 1.0), min(max(p + m, 0.0), 1.0)]
-        q = F.kll_sketch_get_quantile_double(f"k{xcol[c]}", F.array(*[F.lit(float(f)) for f in fr or [0.5]]))
-        n = F.coalesce(F.col(f"n{xcol[c]}"), F.lit(0)).cast("bigint")
-        picks += [n.alias(f"n{xcol[c]}"), F.when(n > 0, q).alias(f"s{xcol[c]}")]
-    first = level2.select(*picks).first()
-
-    result: dict[str, list[float | None]] = {}
-    plans, brackets = {}, []  # bracket: [col, lo, hi, ranks, below, size]
+    grid = {name[c]: [f for p in spec[c] for f in (p - m, p + m)] for c in cols}
+    first = _read(_sketches(base, {x: F.col(x) for x in name.values()}), grid)
+    plans, found, open_ = {}, {}, []
+    start: dict[int, list[float]] = {}
     for c in cols:
-        n = first[f"n{xcol[c]}"]
-        if n == 0:
-            result[c] = [None for _ in spec[c]]
+        n = first[f"n{name[c]}"]
+        if not n:
             continue
         plans[c] = _plan(spec[c], n)
         if n <= max_candidates:
-            ranks = sorted({k for k0, k1, _ in plans[c] for k in (k0, k1)})
-            brackets.append([c, None, None, ranks, 0, n])
+            open_.append(_Interval(name[c], sorted({k for k0, k1, _ in plans[c] for k in (k0, k1)}), 0, n))
             continue
-        sk = first[f"s{xcol[c]}"]
-        for i, (p, (k0, k1, _)) in enumerate(zip(spec[c], plans[c])):
-            lo = sk[2 * i] if p - m > 0 else None
-            hi = sk[2 * i + 1] if p + m < 1 else None
-            brackets.append([c, lo, hi, [k0, k1] if k1 != k0 else [k0], None, None])
-
-    def inside(b) -> Column:
-        x = F.col(xcol[b[0]])
-        cond = x.isNotNull()
-        if b[1] is not None:
-            cond = cond & (x >= F.lit(b[1]))
-        if b[2] is not None:
-            cond = cond & (x <= F.lit(b[2]))
-        return cond
-
-    todo = [b for b in brackets if b[4] is None]
-    if todo:
-        cnt = []
-        for i, b in enumerate(todo):
-            x = F.col(xcol[b[0]])
-            below = F.count_if(x < F.lit(b[1])) if b[1] is not None else F.lit(0).cast("bigint")
-            cnt += [below.alias(f"b{i}"), F.count_if(inside(b)).alias(f"z{i}")]
-        row = base.agg(*cnt).first()
-        for i, b in enumerate(todo):
-            b[4], b[5] = row[f"b{i}"], row[f"z{i}"]
-
-    vals: dict[str, dict[int, float]] = {c: {} for c in plans}
+        for i, (k0, k1, _) in enumerate(plans[c]):
+            b = _Interval(name[c], [k0, k1] if k1 > k0 else [k0], 0, n)
+            start[id(b)] = first[f"q{name[c]}"][2 * i:2 * i + 2]
+            open_.append(b)
     small = []
-    for b in brackets:
-        c, lo, hi, ranks, below, size = b
-        valid = below <= ranks[0] and below + size > ranks[-1]
-        if valid and lo is not None and lo == hi:
-            vals[c].update({r: lo for r in ranks})  # one (hot) value fills the bracket
-        elif valid and size <= max_candidates:
-            small.append(b)
-        else:
-            xs = base.select(F.col(xcol[c]).alias("x")).where(F.col("x").isNotNull())
-            n = first[f"n{xcol[c]}"]
-            if valid:
-                got = _rank_values(xs.where(_between("x", lo, hi)), [r - below for r in ranks], size,
-                                   accuracy, max_candidates, 1)
-                vals[c].update({r: got[r - below] for r in ranks})
-            else:
-                vals[c].update(_rank_values(xs, ranks, n, accuracy * 4, max_candidates, 1))
+    while open_:
+        small += [b for b in open_ if b.size <= max_candidates]
+        big = [b for b in open_ if b.size > max_candidates]
+        known = start and (lambda _, big=big: [start[id(b)] for b in big])
+        open_ = _narrow(base, big, found, known or None) if big else []
+        start = {}
     if small:
-        arr = F.array(*[F.when(inside(b), F.struct(F.lit(i).alias("t"), F.col(xcol[b[0]]).alias("x")))
-                        for i, b in enumerate(small)])
-        picked = base.select(F.explode(F.filter(arr, lambda e: e.isNotNull())).alias("e"))
-        pairs: dict[int, list] = {}
-        for r in picked.groupBy("e.t", "e.x").agg(F.count(F.lit(1)).alias("c")).collect():
-            pairs.setdefault(r["t"], []).append((r["x"], r["c"]))
-        for i, b in enumerate(small):
-            c, ranks, seen = b[0], sorted(b[3]), b[4]
-            j = 0
-            for v, cnt_ in sorted(pairs.get(i, [])):
-                while j < len(ranks) and ranks[j] < seen + cnt_:
-                    vals[c][ranks[j]] = v
-                    j += 1
-                seen += cnt_
-    for c in plans:
-        result[c] = _interpolate(vals[c], plans[c])
-    return {c: result[c] for c in cols}
-
-
-def _between(x: str, lo, hi) -> Column:
-    cond = F.lit(True)
-    if lo is not None:
-        cond = cond & (F.col(x) >= F.lit(lo))
-    if hi is not None:
-        cond = cond & (F.col(x) <= F.lit(hi))
-    return cond
+        _gather(base, small, found)
+    out: dict[str, list[float | None]] = {}
+    for c in cols:
+        if c not in plans:
+            out[c] = [None for _ in spec[c]]
+            continue
+        ends = [(found[name[c], k0], found[name[c], k1], frac) for k0, k1, frac in plans[c]]
+        out[c] = [lo if frac == 0 or lo == hi else lo + (hi - lo) * frac for lo, hi, frac in ends]
+    return out
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float], *,
-                    accuracy: int = DEFAULT_ACCURACY,
                     max_candidates: int = DEFAULT_MAX_CANDIDATES) -> list[float | None]:
     """Linear-interpolated quantiles of ``column`` (nulls and NaN ignored).
 
     Returns one float per probability, ``None`` for an empty column.
     """
-    return multi_exact_quantiles(df, {column: list(probs)}, accuracy=accuracy,
-                                 max_candidates=max_candidates)[column]
+    return multi_exact_quantiles(df, {column: list(probs)}, max_candidates=max_candidates)[column]
+
+
+def multi_approx_quantiles(df: DataFrame, spec: dict[str, Sequence[float]]) -> dict[str, list[float | None]]:
+    """One-pass sketch quantiles of several columns (values of the data, rank error about KLL_EPS)."""
+    base, name = _numbers(df, list(spec))
+    row = _read(_sketches(base, {x: F.col(x) for x in name.values()}), {name[c]: list(p) for c, p in spec.items()})
+    return {c: list(row[f"q{name[c]}"] or [None] * len(p))[:len(p)] for c, p in spec.items()}
 
 
-def approx_quantiles(df: DataFrame, column: str, probs: Sequence[float],
-                     accuracy: int = DEFAULT_ACCURACY) -> list[float | None]:
-    """One-pass sketch quantiles (values from the data, rank error <= n/accuracy)."""
-    r = _values(df, column).agg(F.percentile_approx("x", list(probs), accuracy).alias("q")).first()["q"]
-    return list(r) if r is not None else [None for _ in probs]
+def approx_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[float | None]:
+    """One-pass sketch quantiles of one column."""
+    return multi_approx_quantiles(df, {column: list(probs)})[column]
 
 
 def quantiles(df: DataFrame, column: str, probs: Sequence[float], approx: bool = False,
@@ -292,7 +254,7 @@ def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float]
     """Long table (metric, p, value) of quantiles of several columns."""
     spark = df.sparkSession
     if approx:
-        got = {c: approx_quantiles(df, c, probs) for c in columns}
+        got = multi_approx_quantiles(df, {c: list(probs) for c in columns})
     else:
         got = multi_exact_quantiles(df, {c: list(probs) for c in columns}, **kw)
     rows = [(c, float(p), F.lit(None).cast("double") if v is None else float(v))

@@ -25,13 +25,13 @@ def test_bracketing_path(spark):
     rnd = random.Random(7)
     vals = [rnd.random() * 1000 for _ in range(20000)]
     # a tiny candidate limit forces several sketch / count rounds
-    _check(spark, vals, accuracy=200, max_candidates=500)
+    _check(spark, vals, max_candidates=500)
 
 
 def test_hot_value_third_of_rows(spark):
     rnd = random.Random(3)
     vals = [42.0] * 7000 + [rnd.randint(0, 100000) * 1.0 for _ in range(14000)]
-    _check(spark, vals, accuracy=200, max_candidates=500)
+    _check(spark, vals, max_candidates=500)
 
 
 def test_nulls_and_nan_ignored(spark):
@@ -58,4 +58,36 @@ def test_deep_recursion_path(spark):
     rnd = random.Random(11)
     vals = [rnd.gauss(0, 1) for _ in range(30000)] + [0.5] * 10000
     # the first bracket (~0.5% of rows) is still above the limit: refined again
-    _check(spark, vals, accuracy=100, max_candidates=40)
+    _check(spark, vals, max_candidates=40)
+
+
+@pytest.mark.parametrize("n", [120_000, 120_001])
+def test_two_values_only(spark, n):
+    df = spark.range(n).selectExpr("CAST(id % 2 AS DOUBLE) AS x")
+    want = np.quantile(np.arange(n) % 2, PROBS)
+    for limit in (1, 20_000, 200_000):
+        assert exact_quantiles(df, "x", PROBS, max_candidates=limit) == list(want)
+
+
+def test_ranks_between_two_repeated_values(spark):
+    vals = [1.0] * 5000 + [2.0] * 5000 + [None] * 10
+    _check(spark, vals, max_candidates=3)
+    _check(spark, [5.0, 7.0], max_candidates=1)
+
+
+def test_many_brackets_share_their_passes(spark, monkeypatch):
+    import pyspark.sql.classic.dataframe as classic
+
+    from media_analytics.operators.quantiles import multi_exact_quantiles
+
+    df = spark.range(200_000).selectExpr(*[f"rand({k}) * {k + 1} AS c{k}" for k in range(5)]).cache()
+    actions, first = [], classic.DataFrame.first
+    monkeypatch.setattr(classic.DataFrame, "first", lambda self: actions.append(1) or first(self))
+    probs = [0.1, 0.25, 0.5, 0.75, 0.9]
+    got = multi_exact_quantiles(df, {f"c{k}": probs for k in range(5)}, max_candidates=200)
+    monkeypatch.undo()
+    assert len(actions) + 1 <= 10  # and one gathering pass
+    rows = df.toPandas()
+    for k in range(5):
+        assert got[f"c{k}"] == pytest.approx(list(np.quantile(rows[f"c{k}"], probs)), rel=1e-12)
+    df.unpersist()
