@@ -229,6 +229,26 @@ class Scorer:
 
 # ---- the operator -----------------------------------------------------------
 
+def commonest(counts: DataFrame, most: int | None = None) -> list[tuple[bytes, int]]:
+    """The commonest tokens with their counts, at most ``most`` (default ``TABLE``): those
+    at or above the lowest count bin that still fits. The bins (a thousandth of a
+    power of ten) are few whatever the corpus, and only chosen tokens leave the executors."""
+    most = TABLE if most is None else most
+    at = F.floor(F.log10(F.col("c")) * 1000)
+    bins = sorted(((r.b, r.n) for r in counts.groupBy(at.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()),
+                  reverse=True)
+    lowest, fits = None, 0
+    for b, n in bins:
+        fits += n
+        if fits > most:
+            break
+        lowest = b
+    if lowest is None:
+        return []
+    got = counts.where(at >= lowest).toArrow()
+    return sorted(zip(got.column("token").to_pylist(), got.column("c").to_pylist()), key=lambda x: (-x[1], x[0]))
+
+
 def learn(train: DataFrame, counts: DataFrame) -> tuple[Scorer, int, int]:
     """(scorer, N, V) from the training documents and all their token counts."""
     import pyarrow as pa
@@ -236,7 +256,7 @@ def learn(train: DataFrame, counts: DataFrame) -> tuple[Scorer, int, int]:
     spark = train.sparkSession
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = total.n or 0, total.v
-    common = [(bytes(r.token), r.c) for r in counts.orderBy(F.desc("c"), "token").limit(TABLE).collect()]
+    common = commonest(counts)
     classes = Classes(common)
     shared = spark.sparkContext.broadcast(classes)
 
