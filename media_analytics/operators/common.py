@@ -23,6 +23,8 @@ def literal_rows(spark: SparkSession, columns: list[tuple[str, list]]) -> DataFr
 
 
 def keep_labels(dim: DataFrame, agg: DataFrame, key: str) -> DataFrame:
-    """Left join a bounded aggregate onto a label dimension (both tiny: the
-    aggregate has at most as many rows as the dimension has labels)."""
-    return dim.join(F.broadcast(agg), key, "left")
+    """Left join an aggregate onto a label dimension. Only the rows of its labels are
+    broadcast, so that side is no larger than the dimension whatever values
+    the key column holds."""
+    known = agg.join(F.broadcast(dim.select(key)), key, "left_semi")
+    return dim.join(F.broadcast(known), key, "left")
