@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import DAYPARTS, MONTH_THIRDS
+from .constants import DAYPARTS, MONTH_THIRDS, WEEKEND
 
 ColumnOrName = Column | str
 
@@ -54,7 +54,7 @@ def age_days(ts_col: str, as_of: datetime, absolute: bool = True) -> Column:
     return F.abs(days) if absolute else days
 
 
-# ISO-8601 duration, matched at the start of the text only: PT[nH][nM][nS].
+# fixed value: ISO-8601 duration, matched at the start of the text only: PT[nH][nM][nS].
 _ISO_DURATION = r"^PT(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?"
 
 
@@ -64,7 +64,7 @@ def duration_minutes(c: ColumnOrName, round_digits: int | None = None) -> Column
 
     def grp(i: int) -> Column:
         g = F.regexp_extract(d, _ISO_DURATION, i)
-        return F.coalesce(F.when(g != "", g).cast("bigint"), F.lit(0)).cast("double")
+        return F.coalesce(F.when(g != "", g).cast("double"), F.lit(0.0))
 
     minutes = grp(1) * 60 + grp(2) + grp(3) / 60.0
     out = F.when(d.rlike(r"^PT"), minutes)
@@ -122,7 +122,7 @@ def _num_text(v: float) -> str:
 
 
 def short_number(c: ColumnOrName) -> Column:
-    """0 or NULL -> '0'; otherwise K / M / B with one decimal by absolute value."""
+    """Fixed format: 0 or NULL -> '0'; otherwise K / M / B with one decimal by absolute value."""
     x = col(c).cast("double")
     a = F.abs(x)
     return (F.when(x.isNull() | (x == 0), F.lit("0"))
@@ -139,4 +139,4 @@ def percent_text(c: ColumnOrName, digits: int = 2, signed: bool = False) -> Colu
 
 
 def is_weekend(day_name: ColumnOrName) -> Column:
-    return col(day_name).isin("Saturday", "Sunday").cast("int")
+    return col(day_name).isin(*WEEKEND).cast("int")

@@ -36,9 +36,10 @@ def confusion_matrix(pred: DataFrame, labels: list[str] = CATEGORIES, label: str
     pairs = [(a, i, p, j) for i, a in enumerate(labels) for j, p in enumerate(labels)]
     grid = literal_rows(pred.sparkSession, [(name, [t[k] for t in pairs]) for k, name in
                                             enumerate(["actual", "actual_order", "predicted", "predicted_order"])])
-    counts = (pred.groupBy(F.col(label).alias("actual"), F.col(prediction).alias("predicted"))
+    known = F.col(label).isin(labels) & F.col(prediction).isin(labels)  # so at most labels^2 rows are left
+    counts = (pred.where(known).groupBy(F.col(label).alias("actual"), F.col(prediction).alias("predicted"))
               .agg(F.count(F.lit(1)).alias("videos")))
-    return (grid.join(F.broadcast(counts), ["actual", "predicted"], "left")  # <= labels^2 rows
+    return (grid.join(F.broadcast(counts), ["actual", "predicted"], "left")
             .select("actual", "actual_order", "predicted", "predicted_order",
                      F.coalesce(F.col("videos"), F.lit(0)).cast("bigint").alias("videos")))
 
@@ -54,11 +55,9 @@ def regression_metrics(pred: DataFrame, train_rows: DataFrame, label: str = "lab
                        prediction: str = "prediction") -> DataFrame:
     """R^2 = 1 - SS_res / SS_tot and mean absolute error, plus training rows."""
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
-    mean = pred.agg(F.avg(y).alias("_ybar"))
-    s = pred.crossJoin(F.broadcast(mean)).agg(
-        F.sum((y - p) * (y - p)).alias("ss_res"),
-        F.sum((y - F.col("_ybar")) * (y - F.col("_ybar"))).alias("ss_tot"),
-        F.avg(F.abs(y - p)).alias("mae"))
+    s = pred.agg(F.sum((y - p) * (y - p)).alias("ss_res"),
+                 (F.count(y) * F.var_pop(y)).alias("ss_tot"),  # one pass
+                 F.avg(F.abs(y - p)).alias("mae"))
     return s.crossJoin(train_rows).select(
         (1 - F.try_divide(F.col("ss_res"), F.col("ss_tot"))).alias("r2"), "mae", "training_rows")
 

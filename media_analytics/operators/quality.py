@@ -11,7 +11,7 @@ from ..functions.constants import CATEGORIES
 def data_check(v: DataFrame) -> DataFrame:
     """Counts of problems: null dates, negative counters, subscribers <= 0,
     duration <= 0 (or missing), categories other than High/Medium/Low,
-    untrimmed text, duplicate video ids (P21: duplicates are reported, not removed).
+    untrimmed text, null ids, duplicate video ids (P21: duplicates are reported, not removed).
 
     Distinct ids use Spark's two-phase distinct aggregation (partial per task)."""
     c = F.col
@@ -26,5 +26,6 @@ def data_check(v: DataFrame) -> DataFrame:
         F.count_if(~F.coalesce(c("performance_category").isin(*CATEGORIES), F.lit(False))).alias("bad_category"),
         F.count_if(c("title") != F.trim(c("title"))).alias("untrimmed_titles"),
         F.count_if(c("channel_name") != F.trim(c("channel_name"))).alias("untrimmed_channel_names"),
-        (F.count(F.lit(1)) - F.count_distinct("video_id")).alias("duplicate_ids"),
+        F.count_if(c("video_id").isNull()).alias("null_ids"),
+        (F.count("video_id") - F.count_distinct("video_id")).alias("duplicate_ids"),
     )

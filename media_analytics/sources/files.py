@@ -18,7 +18,8 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwri
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        # quotes are doubled, the form that other CSV readers and writers use
+        w.option("header", True).option("escape", '"').csv(path)
     elif fmt == "parquet":
         w.parquet(path)
     else:
@@ -55,9 +56,11 @@ def read_table_csv(spark: SparkSession, path: str) -> DataFrame:
     """A table written as CSV with a header. Columns are matched by name:
     counters typed tolerantly (C1: bad text -> 0 for video counters, NULL for
     subscribers), times parsed to UTC (C2), known measures cast with
-    ``try_cast``; other columns stay text."""
-    zone = spark.conf.get("spark.sql.session.timeZone")
-    df = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    ``try_cast``; other columns stay text. Quotes inside a field are doubled and a
+    field may hold line breaks, so one file is one task: large tables are read
+    in parallel by file."""
+    df = (spark.read.option("header", True).option("mode", "PERMISSIVE")
+          .option("escape", '"').option("multiLine", True).csv(path))
     out = []
     for c in df.columns:
         if c in ZERO_COUNTERS:
@@ -65,7 +68,7 @@ def read_table_csv(spark: SparkSession, path: str) -> DataFrame:
         elif c in NULL_COUNTERS:
             out.append(count(c, zero_if_missing=False).alias(c))
         elif c in TIMES:
-            out.append(utc_timestamp(c, zone).alias(c))
+            out.append(utc_timestamp(c).alias(c))
         elif c in COLUMN_TYPES:
             out.append(F.col(c).try_cast(COLUMN_TYPES[c]).alias(c))
         else:
