@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from ..functions.constants import CATEGORIES
 from ..functions.scalar import ntz_literal
 
 
 @dataclass(frozen=True)
 class FilterSpec:
-    """Report filters; ``None`` means no predicate on that dimension.
+    """Report filters; ``None`` means "all" on that dimension: every date, every
+    channel of the channel table, every one of the three categories. A video
+    without a date, a channel name or a category belongs to none of these and is
+    never selected.
 
     ``start``/``end`` are inclusive calendar dates; a single date means that day.
     ``channels`` are channel names; ``categories`` are performance categories.
@@ -50,16 +54,19 @@ def fill_numeric_zero(df: DataFrame) -> DataFrame:
     return df.fillna(0, subset=cols) if cols else df
 
 
-def apply_filters(videos: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
+def apply_filters(videos: DataFrame, spec: FilterSpec = FilterSpec(), channels: DataFrame | None = None) -> DataFrame:
     """date range AND channel set AND category set, then numeric zero fill.
 
     On a table with ``publish_year`` (the parquet sink can partition by it) the
     date range also prunes year partitions.
 
-    A channel list is an ``isin`` (Catalyst turns long lists into an InSet
-    hash lookup); a DataFrame of names can be used with ``filter_by_names``.
+    "All channels" means the names in ``channels`` (a left-semi join); without that
+    table, every video with a channel name - the same set when the table is the
+    rollup of these videos, which has every name they carry. A channel list is an
+    ``isin`` (Catalyst turns long lists into an InSet hash lookup); a DataFrame of
+    names can be used with ``filter_by_names``.
     """
-    v = videos
+    v = videos.where(F.col("publish_date").isNotNull() & F.col("channel_name").isNotNull())
     dp = date_predicate("publish_date", spec.start, spec.end)
     if dp is not None:
         v = v.where(dp)
@@ -72,19 +79,28 @@ def apply_filters(videos: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFra
             v = v.where(F.col("publish_year") <= _day(last).year)
     if spec.channels is not None:
         v = v.where(F.col("channel_name").isin(list(spec.channels)))
-    if spec.categories is not None:
-        v = v.where(F.col("performance_category").isin(list(spec.categories)))
+    elif channels is not None:
+        v = filter_by_names(v, channels.where(F.col("channel_name").isNotNull()).select("channel_name"))
+    v = v.where(F.col("performance_category").isin(list(spec.categories if spec.categories is not None else CATEGORIES)))
     return fill_numeric_zero(v)
 
 
+def select_report(videos: DataFrame, channels: DataFrame, spec: FilterSpec = FilterSpec()) -> tuple[DataFrame, DataFrame]:
+    """F4, F5 and S7 as a report takes them: (filtered videos, filtered channels), or an
+    error that says so when no video is left."""
+    fv = require_rows(apply_filters(videos, spec, channels), "videos match the filters")
+    return fv, apply_channel_filter(channels, spec)
+
+
 def filter_by_names(df: DataFrame, names: DataFrame, column: str = "channel_name") -> DataFrame:
     """F2 for very long selections: left-semi join against a DataFrame of names."""
-    return df.join(names.select(F.col(names.columns[0]).alias(column)).distinct(), column, "left_semi")
+    kept = df.join(names.select(F.col(names.columns[0]).alias(column)).distinct(), column, "left_semi")
+    return kept.select(*df.columns)
 
 
 def apply_channel_filter(channels: DataFrame, spec: FilterSpec = FilterSpec()) -> DataFrame:
     """channels ignore date and category filters (P16); name filter, zero fill."""
-    c = channels
+    c = channels.where(F.col("channel_name").isNotNull())
     if spec.channels is not None:
         c = c.where(F.col("channel_name").isin(list(spec.channels)))
     return fill_numeric_zero(c)

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import WEEKDAYS
+from ..functions.constants import CATEGORIES, WEEKDAYS
 from ..functions.scalar import ntz_literal
 from .common import dimension, keep_labels
 
@@ -81,10 +81,10 @@ def driver_points(fv: DataFrame, sample_fraction: float | None = None, seed: int
     a third of all rows, into one task. ``sample_fraction`` is for drawing only.
     """
     cat = "performance_category"
-    v = fv.where(F.col(cat).isNotNull())
+    v = fv.where(F.col(cat).isin(CATEGORIES))
     if sample_fraction is not None:
         v = v.sample(fraction=sample_fraction, seed=seed)
-    mx = fv.where(F.col(cat).isNotNull()).groupBy(cat).agg(F.max("views").alias("vmax"))
+    mx = fv.where(F.col(cat).isin(CATEGORIES)).groupBy(cat).agg(F.max("views").alias("vmax"))
     vmax = F.when(F.col("vmax") == 0, F.lit(1)).otherwise(F.col("vmax")).cast("double")
     return (v.join(F.broadcast(mx), cat)  # bounded: one row per category
             .select("video_id", "title", "channel_name", cat, "views", "likes", "engagement_rate",
@@ -145,9 +145,11 @@ def last_days(v: DataFrame, days: int = 90, as_of: datetime | None = None) -> Da
     if as_of is not None:
         start = (as_of.date() if isinstance(as_of, datetime) else as_of) - timedelta(days=days)
         end = (as_of.date() if isinstance(as_of, datetime) else as_of) + timedelta(days=1)
-        return v.where((F.col("publish_date") >= ntz_literal(start)) & (F.col("publish_date") < ntz_literal(end)))
-    anchor = v.agg(F.to_date(F.max("publish_date")).alias("_end"))
-    return (v.crossJoin(F.broadcast(anchor))  # one-row side
-            .where((F.to_date("publish_date") >= F.date_sub(F.col("_end"), days))
-                   & (F.to_date("publish_date") <= F.col("_end")))
-            .drop("_end"))
+        v = v.where((F.col("publish_date") >= ntz_literal(start)) & (F.col("publish_date") < ntz_literal(end)))
+        if "publish_year" in v.columns:  # implied; prunes folders of a partitioned table
+            v = v.where((F.col("publish_year") >= start.year) & (F.col("publish_year") <= end.year))
+        return v
+    # one value, read first (min / max come from parquet footers where these are kept):
+    # the window is then a literal range that the scan can push down and prune by
+    last = v.agg(F.max("publish_date")).first()[0]
+    return v.where(F.lit(False)) if last is None else last_days(v, days, last)

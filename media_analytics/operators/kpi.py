@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import KPI_THRESHOLDS
-from ..functions.scalar import ratio_or_null
+from ..functions.scalar import percent_text, ratio_or_null, short_number
 from .rollup import mean_of_int
 
 
@@ -41,6 +41,20 @@ def executive_summary(fv: DataFrame, fc: DataFrame, v: DataFrame) -> DataFrame:
     )
 
 
+def summary_text(summary: DataFrame) -> DataFrame:
+    """A4 as shown: value and note of the five header metrics."""
+    shown = [("Total Views", short_number("total_views"),
+              F.concat(short_number("avg_views_per_video"), F.lit(" avg/video"))),
+             ("Total Videos", F.format_number("total_videos", 0), F.concat(F.col("channels").cast("string"), F.lit(" channels"))),
+             ("Avg Engagement", percent_text("avg_engagement"), percent_text("delta_engagement", signed=True)),
+             ("Total Subscribers", short_number("total_subscribers"),
+              F.concat(short_number("avg_subscribers"), F.lit(" avg"))),
+             ("Views / Day", short_number("views_per_day"), percent_text("delta_views_per_day_pct", 1, signed=True))]
+    rows = F.array(*[F.struct(F.lit(name).alias("metric"), value.alias("value"), note.alias("note"))
+                     for name, value, note in shown])
+    return summary.select(F.inline(rows))
+
+
 def strategic_kpis(fv: DataFrame) -> DataFrame:
     """K1-K5 as one row (NaN / inf scrubbed to 0, C20)."""
     views = F.col("views").cast("double")

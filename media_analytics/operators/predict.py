@@ -108,13 +108,15 @@ def _size_mb(text: str | None, default_mb: int) -> int:
 
 def stats_memory_mb(spark) -> int:
     """Per-task memory for the forest's split statistics: 30% of one executor
-    heap shared by the tasks that run in it at once, within [32, 1024] MB.
-    (In local mode the executor is the driver JVM.)"""
+    heap shared by the tasks that run in it at once. (In local mode the executor
+    is the driver JVM. A standalone cluster gives an executor all cores of its
+    machine unless ``spark.executor.cores`` is set, so many are assumed there.)"""
     conf = spark.sparkContext.getConf()
     local = spark.sparkContext.master.startswith("local")
     heap = _size_mb(conf.get("spark.driver.memory" if local else "spark.executor.memory", None), 1024)
-    tasks = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", "1"))
-    return max(32, min(1024, int(heap * 0.3 / max(1, tasks))))
+    unset = "32" if spark.sparkContext.master.startswith("spark://") else "1"
+    tasks = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", unset))
+    return max(16, int(heap * 0.3 / max(1, tasks)))
 
 
 # Execution settings only (they do not change the trees): cached node ids avoid
@@ -138,22 +140,34 @@ def _require(train: DataFrame, what: str) -> None:
         raise ValueError(f"{what}: no training rows")
 
 
+# Every tree level ships one statistics array per partition, so small partitions are
+# merged; they stay small enough for one task whatever the size of the table.
+FIT_PARTITION_BYTES = 128 * 1024 * 1024
+FIT_PARTITIONS = 8  # not merged below this many
+
+
 def _fit(stages: list, train: DataFrame) -> PipelineModel:
     """Fit with the training rows persisted for the fit only: the scaler pass,
     the split-candidate sample and the forest's bagging then read them once
-    instead of re-running the feature joins (spills to disk when large).
-
-    Every tree level ships one statistics array per partition, so the rows are
-    merged to at most one partition per core first (``coalesce``: no shuffle,
-    no-op when there are fewer partitions)."""
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    cached = persist(train.coalesce(cores))
+    instead of re-running the feature joins (spills to disk when large). Their
+    counted rows give the number of partitions (``coalesce``: no shuffle, never
+    more partitions than before)."""
+    cached = persist(train)
     try:
-        return Pipeline(stages=stages).fit(cached)
+        size = cached.count() * 8 * len(train.columns)
+        return Pipeline(stages=stages).fit(cached.coalesce(max(FIT_PARTITIONS, -(-size // FIT_PARTITION_BYTES))))
     finally:
         cached.unpersist()
 
 
+def scaler_stats(train: DataFrame, cols: list[str]) -> DataFrame:
+    """M2: (feature, mean, std) of the scaler fitted on the training rows."""
+    scaler = Pipeline(stages=_assemble(cols)).fit(train).stages[-1]
+    spark = train.sparkSession
+    return spark.createDataFrame([(c, float(m), float(s)) for c, m, s in zip(cols, scaler.mean, scaler.std)],
+                                 "feature string, mean double, std double")
+
+
 def fit_virality(features: DataFrame, approx: bool = False) -> FittedModel:
     """M4: random forest classifier of is_viral on six features (null -> 0)."""
     df = viral_label(features, approx).fillna(0, subset=VIRALITY_FEATURES)

@@ -1,13 +1,15 @@
 """Registered queries: each takes (spark, sf_dir) and returns a DataFrame.
 
-All queries share one prepared context per (session, folder): the typed and
-enriched videos and the channel rollup, persisted once (MEMORY_AND_DISK, so a
-lost executor only costs a recompute). Reports run over the whole tables.
+All queries share one prepared context per (session, folder): the videos with
+all measures and the channel rollup, written once as Parquet to the shared
+checkpoint folder. The videos are partitioned by ``publish_year``, so date filters
+skip folders and push ranges into the scan, a report reads only its columns, and a
+lost executor costs no recomputation. Reports run over the whole tables.
 """
 
 from __future__ import annotations
 
-import os
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
@@ -20,31 +22,51 @@ from ..functions.constants import CATEGORIES
 from ..operators import enrich, evaluate, filters, growth, kpi, performance, predict, quality
 from ..operators import recommend, rollup, strategy
 from ..operators.quantiles import quantile_table
-from ..session import cut_lineage, persist
+from ..session import ensure_checkpoint_dir
+from ..sources import pages, testviews
 from ..sources.testviews import AS_OF, test_channel_table, test_video_keys, test_video_table
 
 # fixed values: the filter used by the filtered-report queries
 REPORT_SPEC = filters.FilterSpec(start=date(1997, 1, 1), end=date(1999, 12, 31),
                                  categories=("High", "Medium"))
+# fixed values: the channels and dates of the by-channel queries
+CHANNEL_SPEC = filters.FilterSpec(start=date(1996, 3, 1), end=date(2000, 6, 30),
+                                  channels=tuple(f"Customer#{k:09d}" for k in (1, 2, 4, 7, 11, 50, 100, 149)))
 QUANTILE_COLUMNS = ["views", "engagement_rate", "like_rate", "views_per_day", "duration_minutes"]
 QUANTILE_PROBS = [0.1, 0.25, 0.5, 0.75, 0.9]
+# few distinct values, searched with a small candidate limit: every round of the search runs
+DEEP_COLUMNS = ["publish_hour", "title_length", "views", "engagement_rate", "duration_minutes"]
+DEEP_CANDIDATES = 200
 
 
 @dataclass
 class Context:
     spark: SparkSession
-    typed: DataFrame       # videos with channel attributes, before enrichment
     channel_attrs: DataFrame
+    base: DataFrame        # typed videos with channel attributes and all measures but the category
+    thresholds: tuple      # (q25, q75) of views
     videos: DataFrame      # enriched (dashboard semantics)
     channels: DataFrame    # rollup + metrics
+    folder: str | None = None
+    source: str = ""
     _features: DataFrame | None = None
     _models: dict | None = None
+    _dirty: tuple | None = None
+
+    @property
+    def typed(self) -> DataFrame:
+        """Videos with channel attributes, before enrichment."""
+        return self.base.select(*TYPED_COLUMNS)
+
+    def keep(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+        """Write a shared table once and read it back (``PERSIST`` off: leave it in the plan)."""
+        return df if self.folder is None else _written(df, f"{self.folder}/{name}", partition_by)
 
     @property
     def features(self) -> DataFrame:
         """M0 feature table, shared by the model and metric queries."""
         if self._features is None:
-            self._features = _keep(predict.build_features(self.fv, self.channels))
+            self._features = self.keep(predict.build_features(self.fv, self.channels), "features")
         return self._features
 
     def model(self, kind: str) -> predict.FittedModel:
@@ -61,27 +83,48 @@ class Context:
 
     @property
     def fv(self) -> DataFrame:
-        """The dashboard's default filter: everything, numeric nulls -> 0."""
+        """The dashboard's default filter: all dates, channels and categories. The
+        channel table is the rollup of these videos, so "all channels" is every
+        video with a channel name."""
         return filters.apply_filters(self.videos, filters.FilterSpec())
 
     @property
     def fc(self) -> DataFrame:
         return filters.apply_channel_filter(self.channels, filters.FilterSpec())
 
+    @property
+    def dirty(self) -> tuple[DataFrame, DataFrame]:
+        """(videos, channels) of the view with faults: unmatched and missing channels,
+        missing dates, missing and repeated ids, categories that are no label."""
+        if self._dirty is None:
+            typed = enrich.attach_channel(testviews.dirty_video_table(self.spark, self.source, SPREAD),
+                                          self.channel_attrs, how="left")
+            base = self.keep(enrich.with_time_and_rates(typed, AS_OF), "dirty", "publish_year")
+            videos = testviews.dirty_category(_enriched(base, enrich.category_thresholds(base)))
+            self._dirty = videos, self.keep(rollup.rollup_channels(videos, self.channel_attrs, AS_OF), "dirty_channels")
+        return self._dirty
+
 
 _CONTEXTS: dict[tuple[int, str], Context] = {}
-# Persist the shared tables (PERSIST = False rebuilds them inside every plan,
-# for inspecting whole plans from the raw tables). MA_MATERIALIZE=checkpoint writes
-# them as reliable checkpoints into the shared spark.checkpoint.dir instead of
-# caching them: lineage is cut and a lost executor costs no recompute.
+# PERSIST = False rebuilds the shared tables inside every plan, for inspecting
+# whole plans from the raw tables.
 PERSIST = True
-MATERIALIZE = os.environ.get("MA_MATERIALIZE", "persist")
+# Tasks over which the one-file test tables are dealt (None: as the scan comes).
+SPREAD: int | None = None
+TYPED_COLUMNS = ["channel_id", "video_id", "title", "publish_date", "duration_minutes", "views", "likes", "comments",
+                 "channel_name", "ch_subscribers", "channel_created"]
+
+
+def _written(df: DataFrame, path: str, partition_by: str | None) -> DataFrame:
+    w = df.write.mode("overwrite")
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def _keep(df: DataFrame) -> DataFrame:
-    if not PERSIST:
-        return df
-    return cut_lineage(df) if MATERIALIZE == "checkpoint" else persist(df)
+def _enriched(base: DataFrame, thresholds: tuple) -> DataFrame:
+    return enrich.categorize(base, thresholds=thresholds).select(*enrich.VIDEO_COLUMNS)
 
 
 def context(spark: SparkSession, sf_dir: str) -> Context:
@@ -89,24 +132,32 @@ def context(spark: SparkSession, sf_dir: str) -> Context:
     ctx = _CONTEXTS.get(key)
     if ctx is not None and ctx.spark is spark:
         return ctx
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/media-{uuid.uuid4().hex}" if PERSIST else None
     attrs = test_channel_table(spark, sf_dir, AS_OF)
-    typed = _keep(enrich.attach_channel(test_video_table(spark, sf_dir), attrs, how="left",
-                                        key_source=test_video_keys(spark, sf_dir)))
-    videos = _keep(enrich.enrich_videos(typed, AS_OF))
-    channels = _keep(rollup.rollup_channels(videos, attrs, AS_OF))
-    ctx = Context(spark, typed, attrs, videos, channels)
+    typed = enrich.attach_channel(test_video_table(spark, sf_dir, SPREAD), attrs, how="left",
+                                  key_source=test_video_keys(spark, sf_dir))
+    base = enrich.with_time_and_rates(typed, AS_OF)
+    if folder:
+        base = _written(base, f"{folder}/videos", "publish_year")
+    thresholds = enrich.category_thresholds(base)
+    videos = _enriched(base, thresholds)
+    ctx = Context(spark, attrs, base, thresholds, videos, videos, folder, source=sf_dir)
+    ctx.channels = ctx.keep(rollup.rollup_channels(videos, attrs, AS_OF), "channels")
     _CONTEXTS[key] = ctx
     return ctx
 
 
 def release(spark: SparkSession | None = None) -> None:
-    """Unpersist and forget prepared contexts (all, or one session's)."""
+    """Forget prepared contexts (all, or one session's): unpersist their predictions and
+    delete the shared tables they wrote."""
     for key, ctx in list(_CONTEXTS.items()):
         if spark is None or ctx.spark is spark:
-            preds = [m.predictions for m in (ctx._models or {}).values()]
-            for df in (ctx.typed, ctx.videos, ctx.channels, ctx._features, *preds):
-                if df is not None:
-                    df.unpersist()
+            for m in (ctx._models or {}).values():
+                m.predictions.unpersist()
+            if ctx.folder:
+                jvm, conf = ctx.spark._jvm, ctx.spark._jsc.hadoopConfiguration()
+                path = jvm.org.apache.hadoop.fs.Path(ctx.folder)
+                path.getFileSystem(conf).delete(path, True)
             del _CONTEXTS[key]
 
 
@@ -131,13 +182,12 @@ def q_enriched_videos(spark, d):
 def q_enriched_videos_batch_mode(spark, d):
     ctx = context(spark, d)
     return enrich.enrich_videos(ctx.typed, AS_OF, period_mode="month_third", low_inclusive=False,
-                                absolute_age=False)
+                                absolute_age=False, thresholds=ctx.thresholds)
 
 
 def q_videos_inner_channel(spark, d):
-    ctx = context(spark, d)
-    return enrich.attach_channel(test_video_table(spark, d), ctx.channel_attrs, how="inner",
-                                 key_source=test_video_keys(spark, d))
+    """J2 on the shared table: the rows whose channel was matched."""
+    return context(spark, d).typed.where("channel_name IS NOT NULL")
 
 
 def q_channel_rollup(spark, d):
@@ -181,16 +231,25 @@ def q_filtered_videos(spark, d):
 
 
 def q_filtered_channels(spark, d):
-    return filters.apply_channel_filter(context(spark, d).channels, REPORT_SPEC)
+    return filters.apply_channel_filter(context(spark, d).channels, CHANNEL_SPEC)
+
+
+def q_filtered_by_channel(spark, d):
+    """F2 + F4: a date range and named channels."""
+    return filters.apply_filters(context(spark, d).videos, CHANNEL_SPEC)
 
 
 def q_executive_summary(spark, d):
     ctx = context(spark, d)
-    fv = filters.apply_filters(ctx.videos, REPORT_SPEC)
-    fc = filters.apply_channel_filter(ctx.channels, REPORT_SPEC)
+    fv, fc = filters.select_report(ctx.videos, ctx.channels, REPORT_SPEC)
     return kpi.executive_summary(fv, fc, ctx.videos)
 
 
+def q_executive_summary_text(spark, d):
+    """A4 as the header shows it: short numbers, percentages and signed changes."""
+    return kpi.summary_text(q_executive_summary(spark, d))
+
+
 def q_strategic_kpis(spark, d):
     return kpi.strategic_kpis(context(spark, d).fv)
 
@@ -275,6 +334,11 @@ def q_quantile_table(spark, d):
     return quantile_table(context(spark, d).videos, QUANTILE_COLUMNS, QUANTILE_PROBS)
 
 
+def q_quantile_table_deep(spark, d):
+    """Q1 through all its rounds: columns of few values, a small candidate limit."""
+    return quantile_table(context(spark, d).videos, DEEP_COLUMNS, QUANTILE_PROBS, max_candidates=DEEP_CANDIDATES)
+
+
 def _features(spark, d):
     return context(spark, d).features
 
@@ -397,6 +461,100 @@ def q_per_class_metrics(spark, d):
     return evaluate.per_class_metrics(_rule_category(spark, d))
 
 
+def q_axis_limit(spark, d):
+    """M7 on the rule predictor."""
+    return predict.prediction_limits(_rule_views(spark, d))
+
+
+# The deterministic parts of the models: labels of the test rows, scaler statistics
+def q_virality_labels(spark, d):
+    _, test = predict.split(predict.viral_label(_features(spark, d)))
+    return test.select("video_id", F.col("is_viral").alias("label"))
+
+
+def q_category_labels(spark, d):
+    _, test = predict.split(_features(spark, d).where(F.col("performance_category").isNotNull()))
+    return test.select("video_id", F.col("performance_category").alias("label"))
+
+
+def q_views_labels(spark, d):
+    _, test = predict.split(_features(spark, d))
+    return test.select("video_id", F.col("views").cast("double").alias("label"))
+
+
+def q_scaler_stats(spark, d):
+    """M2: mean and standard deviation that the fitted scalers use, per model and feature."""
+    f = _features(spark, d)
+    virality, _ = predict.split(f.fillna(0, subset=predict.VIRALITY_FEATURES))
+    content, _ = predict.split(predict.fill_with_means(f, predict.CONTENT_FEATURES))
+    return predict.scaler_stats(virality, predict.VIRALITY_FEATURES).select(F.lit("virality").alias("model"), "*").union(
+        predict.scaler_stats(content, predict.CONTENT_FEATURES).select(F.lit("content").alias("model"), "*"))
+
+
+def q_importance_totals(spark, d):
+    """M8: features and total importance of each fitted forest."""
+    out = None
+    for kind in ("virality", "category", "views"):
+        part = context(spark, d).model(kind).importances().agg(
+            F.lit(kind).alias("model"), F.count(F.lit(1)).alias("features"), F.sum("importance").alias("total"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+# Landed pages (S1-S3, C1-C3): JSON text made from the tables, read with the declared schemas
+def q_pages_videos(spark, d):
+    return pages.read_video_pages(spark, pages.parse_pages(testviews.video_page_text(spark, d), pages.VIDEO_PAGE))
+
+
+def q_pages_channels(spark, d):
+    return pages.read_channel_pages(spark, pages.parse_pages(testviews.channel_page_text(spark, d), pages.CHANNEL_PAGE))
+
+
+def q_pages_playlist(spark, d):
+    """The videos that the playlist pages list."""
+    listed = pages.read_playlist_pages(spark, pages.parse_pages(testviews.playlist_page_text(spark, d),
+                                                                pages.PLAYLIST_PAGE))
+    return pages.listed_videos(q_pages_videos(spark, d), listed).select("video_id", "views")
+
+
+# The view with faults (see Context.dirty)
+def q_dirty_videos(spark, d):
+    return context(spark, d).dirty[0]
+
+
+def q_dirty_inner(spark, d):
+    """J2 with unmatched channels: fewer rows than the left join has."""
+    return enrich.attach_channel(testviews.dirty_video_table(spark, d, SPREAD), context(spark, d).channel_attrs, how="inner")
+
+
+def q_dirty_filtered(spark, d):
+    """F4 "all": videos without a date, a channel or a category fall out."""
+    videos, channels = context(spark, d).dirty
+    return filters.apply_filters(videos, filters.FilterSpec(), channels)
+
+
+def q_dirty_category_mix(spark, d):
+    return performance.category_mix(context(spark, d).dirty[0])
+
+
+def q_dirty_data_check(spark, d):
+    return quality.data_check(context(spark, d).dirty[0])
+
+
+def q_dirty_executive_summary(spark, d):
+    videos, channels = context(spark, d).dirty
+    fv, fc = filters.select_report(videos, channels, REPORT_SPEC)
+    return kpi.executive_summary(fv, fc, videos)
+
+
+def q_dirty_strategic_kpis(spark, d):
+    return kpi.strategic_kpis(q_dirty_filtered(spark, d))
+
+
+def q_dirty_channel_rollup(spark, d):
+    return context(spark, d).dirty[1]
+
+
 def q_recommendations(spark, d):
     ctx = context(spark, d)
     return recommend.recommendations(ctx.fv, ctx.fc)

@@ -1,8 +1,9 @@
 """DuckDB SQL equal to each registered query (the correctness oracle).
 
 The SQL reads the driver's views (orders, lineitem, customer) and rebuilds the
-same video / channel tables from first principles; it shares no code with the
-Spark operators. Floating outputs are rounded to 6 digits on both sides.
+same video / channel tables from first principles; it shares no code and no
+constants with the Spark operators (edges, labels and thresholds are written out
+here again). Floating outputs are rounded to 6 digits on both sides.
 """
 
 from __future__ import annotations
@@ -51,13 +52,26 @@ def _period(mode: str) -> str:
 
 
 def base_ctes(period_mode: str = "daypart", absolute_age: bool = True, low_inclusive: bool = True,
-              typed_join: str = "LEFT JOIN") -> str:
-    """CTEs li, ch, typed, rates, qs, videos, agg, channels."""
+              typed_join: str = "LEFT JOIN", dirty: bool = False) -> str:
+    """CTEs li, ch, typed, rates, qs, videos, agg, channels. ``dirty``: the view with
+    unmatched and missing channels, missing dates, missing and repeated ids, and
+    categories that are no label."""
     age = _age("publish_date", absolute_age)
     if low_inclusive:
         cat = "CASE WHEN views >= q75 THEN 'High' WHEN views <= q25 THEN 'Low' ELSE 'Medium' END"
     else:
         cat = "CASE WHEN views >= q75 THEN 'High' WHEN views >= q25 THEN 'Medium' ELSE 'Low' END"
+    raw = "raw AS (SELECT * FROM raw0)"
+    if dirty:
+        cat = f"CASE WHEN views % 37 = 0 THEN 'viral: yes' ELSE {cat} END"
+        raw = """
+raw1 AS (SELECT * FROM raw0 UNION ALL SELECT * FROM raw0 WHERE video_id % 31 = 0),
+raw AS (
+  SELECT * REPLACE (
+    CASE WHEN video_id % 29 <> 0 THEN video_id END AS video_id,
+    CASE WHEN video_id % 10 = 5 THEN channel_id + 10000000 WHEN video_id % 10 <> 3 THEN channel_id END AS channel_id,
+    CASE WHEN video_id % 23 <> 0 THEN publish_date END AS publish_date)
+  FROM raw1)"""
     return f"""
 li AS (
   SELECT l_orderkey,
@@ -71,7 +85,7 @@ ch AS (
     CAST(CASE WHEN c_acctbal > 0 THEN FLOOR(c_acctbal) ELSE 0 END AS BIGINT) AS ch_subscribers,
     {AS_OF_SQL} - to_days(CAST(c_custkey % 600 + 1 AS INTEGER)) AS channel_created
   FROM customer),
-raw AS (
+raw0 AS (
   SELECT o_orderkey AS video_id,
     CONCAT(o_orderpriority, REPEAT('x', CAST(o_orderkey % 97 AS INTEGER))) AS title,
     o_custkey AS channel_id,
@@ -81,6 +95,7 @@ raw AS (
     CAST(COALESCE(li.likes, 0) AS BIGINT) AS likes,
     CAST(COALESCE(li.comments, 0) AS BIGINT) AS comments
   FROM orders LEFT JOIN li ON o_orderkey = l_orderkey),
+{raw},
 typed AS (
   SELECT raw.*, ch.channel_name, ch.ch_subscribers, ch.channel_created
   FROM raw {typed_join} ch ON raw.channel_id = ch.channel_id),
@@ -132,6 +147,27 @@ channels AS (
 REPORT_FILTER = ("publish_date >= TIMESTAMP '1997-01-01 00:00:00' AND publish_date < TIMESTAMP '2000-01-01 00:00:00' "
                  "AND performance_category IN ('High', 'Medium')")
 
+# the by-channel queries
+CHANNEL_NAMES = "('Customer#000000001', 'Customer#000000002', 'Customer#000000004', 'Customer#000000007', " \
+    "'Customer#000000011', 'Customer#000000050', 'Customer#000000100', 'Customer#000000149')"
+CHANNEL_FILTER = ("publish_date >= TIMESTAMP '1996-03-01 00:00:00' AND publish_date < TIMESTAMP '2000-07-01 00:00:00' "
+                  f"AND performance_category IN ('High', 'Medium', 'Low') AND channel_name IN {CHANNEL_NAMES}")
+ALL_FILTER = ("publish_date IS NOT NULL AND channel_name IS NOT NULL "
+              "AND performance_category IN ('High', 'Medium', 'Low')")
+
+# buckets, labels and thresholds as the reports state them
+DURATION_EDGES = [0, 5, 10, 15, 20, 100]
+DURATION_LABELS = ["0-5min", "5-10min", "10-15min", "15-20min", "20+min"]
+DURATION_LABELS_SHORT = ["0-5", "5-10", "10-15", "15-20", "20+"]
+TITLE_EDGES = [0, 40, 60, 80, 200]
+TITLE_LABELS = ["Short (<40)", "Medium (40-60)", "Long (60-80)", "Very Long (80+)"]
+FREQUENCY_EDGES = [0, 4, 8, 12, 20, 100]
+KPI_THRESHOLDS = {"video_efficiency": 100.0, "interaction_score": 50.0, "consistency": 80.0,
+                  "virality_index": 200.0, "quality_score": 60.0}
+QUANTILE_COLUMNS = ["views", "engagement_rate", "like_rate", "views_per_day", "duration_minutes"]
+DEEP_COLUMNS = ["publish_hour", "title_length", "views", "engagement_rate", "duration_minutes"]
+QUANTILE_PROBS = [0.1, 0.25, 0.5, 0.75, 0.9]
+
 VIDEO_FLOATS = ["duration_minutes", "engagement_rate", "like_rate", "comment_rate", "likes_per_comment",
                 "views_per_day"]
 CHANNEL_FLOATS = ["avg_likes", "avg_views", "avg_duration", "avg_engagement_rate", "avg_views_per_video",
@@ -226,8 +262,6 @@ def _best(expr: str, order: str, source: str, name: str, metric: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    from ..functions.constants import (DURATION_EDGES, DURATION_LABELS, DURATION_LABELS_SHORT,
-                                       FREQUENCY_EDGES, KPI_THRESHOLDS, TITLE_EDGES, TITLE_LABELS)
     q: dict[str, str] = {}
     q["enriched_videos"] = _q("SELECT * FROM videos", VIDEO_FLOATS)
     q["enriched_videos_batch_mode"] = _q(
@@ -288,8 +322,11 @@ FROM (SELECT DISTINCT channel_name FROM channels WHERE channel_name IS NOT NULL)
      (SELECT CAST(MIN(publish_date) AS DATE) AS first_date, CAST(MAX(publish_date) AS DATE) AS last_date
       FROM videos) r""", [])
     q["filtered_videos"] = _q(f"SELECT * FROM videos WHERE {REPORT_FILTER}", VIDEO_FLOATS)
-    q["filtered_channels"] = _q("SELECT * FROM channels", CHANNEL_FLOATS)
-    q["executive_summary"] = _q(f"""
+    q["filtered_channels"] = _q(f"SELECT * FROM channels WHERE channel_name IN {CHANNEL_NAMES}", CHANNEL_FLOATS)
+    q["filtered_by_channel"] = _q(f"SELECT * FROM videos WHERE {CHANNEL_FILTER}", VIDEO_FLOATS)
+    summary_floats = ["avg_views_per_video", "avg_engagement", "avg_subscribers", "views_per_day", "baseline_engagement",
+                      "baseline_views_per_day", "delta_engagement", "delta_views_per_day_pct"]
+    summary = f"""
 SELECT total_views, total_videos,
   {_z('total_views', 'total_videos')} AS avg_views_per_video, avg_engagement, channels, total_subscribers,
   {_z('total_subscribers', 'channels')} AS avg_subscribers,
@@ -299,14 +336,35 @@ SELECT total_views, total_videos,
        ELSE CAST(0 AS DOUBLE) END AS delta_views_per_day_pct
 FROM (SELECT CAST(COALESCE(SUM(views), 0) AS BIGINT) AS total_views, COUNT(*) AS total_videos,
         AVG(engagement_rate) AS avg_engagement, AVG(views_per_day) AS views_per_day
-      FROM videos WHERE {REPORT_FILTER}) f,
+      FROM videos WHERE {REPORT_FILTER} AND channel_name IS NOT NULL) f,
      (SELECT COUNT(*) AS channels, CAST(COALESCE(SUM(subscribers), 0) AS BIGINT) AS total_subscribers FROM channels) c,
      (SELECT AVG(engagement_rate) AS baseline_engagement, AVG(views_per_day) AS baseline_views_per_day
-      FROM videos) b""",
-        ["avg_views_per_video", "avg_engagement", "avg_subscribers", "views_per_day", "baseline_engagement",
-         "baseline_views_per_day", "delta_engagement", "delta_views_per_day_pct"])
+      FROM videos) b"""
+    q["executive_summary"] = _q(summary, summary_floats)
+
+    def short(x: str) -> str:
+        return (f"CASE WHEN coalesce({x}, 0) = 0 THEN '0' WHEN abs({x}) >= 1e9 THEN printf('%.1fB', {x} / 1e9) "
+                f"WHEN abs({x}) >= 1e6 THEN printf('%.1fM', {x} / 1e6) "
+                f"WHEN abs({x}) >= 1e3 THEN printf('%.1fK', {x} / 1e3) ELSE printf('%.0f', {x} / 1e0) END")
+
+    shown = [("Total Views", short("total_views"), short("avg_views_per_video") + " || ' avg/video'"),
+             ("Total Videos", "printf('%,d', total_videos)", "channels || ' channels'"),
+             ("Avg Engagement", "printf('%.2f%%', avg_engagement)", "printf('%+.2f%%', delta_engagement)"),
+             ("Total Subscribers", short("total_subscribers"), short("avg_subscribers") + " || ' avg'"),
+             ("Views / Day", short("views_per_day"), "printf('%+.1f%%', delta_views_per_day_pct)")]
+    q["executive_summary_text"] = _q(" UNION ALL ".join(
+        f"SELECT '{name}' AS metric, {value} AS value, {note} AS note FROM summary" for name, value, note in shown),
+        [], extra=f"summary AS ({summary})")
+    dirty = base_ctes(dirty=True)
+    fv = (f"fv AS (SELECT * REPLACE (COALESCE(video_id, 0) AS video_id) FROM videos WHERE {ALL_FILTER})")
+    q["dirty_videos"] = _q("SELECT * FROM videos", VIDEO_FLOATS, ctes=dirty)
+    q["dirty_inner"] = _q("SELECT * FROM typed", ["duration_minutes"], ctes=base_ctes(dirty=True, typed_join="JOIN"))
+    q["dirty_filtered"] = _q("SELECT * FROM fv", VIDEO_FLOATS, ctes=dirty, extra=fv)
+    q["dirty_executive_summary"] = _q(summary, summary_floats, ctes=dirty)
+    q["dirty_channel_rollup"] = _q("SELECT * FROM channels", CHANNEL_FLOATS, ctes=dirty)
     kcols = ["video_efficiency", "interaction_score", "consistency", "virality_index", "quality_score"]
     q["strategic_kpis"] = _q("SELECT * FROM kpis", kcols, extra=_kpis())
+    q["dirty_strategic_kpis"] = _q("SELECT * FROM kpis", kcols, ctes=dirty, extra=f"{fv},{_kpis('fv')}")
     q["kpi_ratings"] = _q(" UNION ALL ".join(
         f"SELECT '{k}' AS kpi, CAST({k} AS DOUBLE) AS value, CAST({t} AS DOUBLE) AS threshold, "
         f"CAST({k} AS DOUBLE) >= CAST({t} AS DOUBLE) AS meets_threshold FROM kpis"
@@ -347,14 +405,16 @@ FROM (SELECT CAST(p.point AS INTEGER) AS point, slope, intercept,
               AND engagement_rate IS NOT NULL AND NOT isnan(engagement_rate)) s,
            range(0, 100) AS p(point)
       WHERE n > 1)""", ["duration_minutes", "engagement_rate", "slope", "intercept"])
-    q["category_mix"] = _q(f"""
+    category_mix = f"""
 SELECT d.performance_category, CAST(d.category_order AS INTEGER) AS category_order,
   CAST(COALESCE(c.videos, 0) AS BIGINT) AS videos,
   COALESCE({_div('COALESCE(c.videos, 0)', 't.total')} * 100, 0) AS pct
 FROM {_labels('performance_category', 'category_order', CATS)} d
 LEFT JOIN (SELECT performance_category, COUNT(*) AS videos FROM videos
            WHERE performance_category IS NOT NULL GROUP BY 1) c ON d.performance_category = c.performance_category,
-  (SELECT COUNT(*) AS total FROM videos) t""", ["pct"])
+  (SELECT COUNT(*) AS total FROM videos) t"""
+    q["category_mix"] = _q(category_mix, ["pct"])
+    q["dirty_category_mix"] = _q(category_mix, ["pct"], ctes=base_ctes(dirty=True))
 
     def bucket_q(col, edges, labels, bname):
         return _q(f"""
@@ -407,11 +467,11 @@ FROM videos ORDER BY views DESC, video_id ASC LIMIT 20""", ["engagement_rate"])
     q["frequency_vs_performance"] = _q("""
 SELECT channel_id, channel_name, videos_per_month, avg_views FROM channels
 ORDER BY avg_views DESC, channel_id ASC LIMIT 10""", ["videos_per_month", "avg_views"])
-    from .catalog import QUANTILE_COLUMNS, QUANTILE_PROBS
-    q["quantile_table"] = _q(" UNION ALL ".join(
-        f"SELECT '{c}' AS metric, CAST({p} AS DOUBLE) AS p, CAST(quantile_cont({c}, {p}) AS DOUBLE) AS value "
-        f"FROM videos WHERE {c} IS NOT NULL AND NOT isnan(CAST({c} AS DOUBLE))"
-        for c in QUANTILE_COLUMNS for p in QUANTILE_PROBS), ["p", "value"])
+    for name, columns in (("quantile_table", QUANTILE_COLUMNS), ("quantile_table_deep", DEEP_COLUMNS)):
+        q[name] = _q(" UNION ALL ".join(
+            f"SELECT '{c}' AS metric, CAST({p} AS DOUBLE) AS p, CAST(quantile_cont({c}, {p}) AS DOUBLE) AS value "
+            f"FROM videos WHERE {c} IS NOT NULL AND NOT isnan(CAST({c} AS DOUBLE))"
+            for c in columns for p in QUANTILE_PROBS), ["p", "value"])
     feat_cols = ["video_id", "channel_id", "views", "likes", "comments", "ch_subscribers", "duration_minutes",
                  "title_length", "publish_hour", "publish_day", "performance_category", "early_engagement_rate",
                  "likes_views_ratio", "comments_views_ratio", "is_weekend", "hour_encoded", "avg_views_per_video"]
@@ -507,7 +567,7 @@ yc AS (SELECT AVG(videos_per_month) AS m3 FROM channels),
 b AS (SELECT quantile_cont(views, 0.75) AS b0, quantile_cont(engagement_rate, 0.75) AS b1,
         quantile_cont(like_rate, 0.75) AS b2, quantile_cont({vir}, 0.75) * 100 AS b4 FROM videos),
 bc AS (SELECT quantile_cont(videos_per_month, 0.75) AS b3 FROM channels)""")
-    q["data_check"] = _q("""
+    data_check = """
 SELECT COUNT(*) AS videos,
   COUNT(*) FILTER (WHERE publish_date IS NULL) AS null_publish_dates,
   COUNT(*) FILTER (WHERE views < 0) AS negative_views,
@@ -518,8 +578,11 @@ SELECT COUNT(*) AS videos,
   COUNT(*) FILTER (WHERE NOT COALESCE(performance_category IN ('High', 'Medium', 'Low'), false)) AS bad_category,
   COUNT(*) FILTER (WHERE title <> trim(title)) AS untrimmed_titles,
   COUNT(*) FILTER (WHERE channel_name <> trim(channel_name)) AS untrimmed_channel_names,
-  COUNT(*) - COUNT(DISTINCT video_id) AS duplicate_ids
-FROM videos""", [])
+  COUNT(*) FILTER (WHERE video_id IS NULL) AS null_ids,
+  COUNT(video_id) - COUNT(DISTINCT video_id) AS duplicate_ids
+FROM videos"""
+    q["data_check"] = _q(data_check, [])
+    q["dirty_data_check"] = _q(data_check, [], ctes=dirty)
     q["views_engagement_corr"] = _q("""
 SELECT COUNT(*) AS videos, corr(CAST(views AS DOUBLE), engagement_rate) AS corr_views_engagement FROM videos""",
         ["corr_views_engagement"])
@@ -534,4 +597,45 @@ FROM (SELECT CAST(date_trunc('week', publish_date) AS DATE) AS week, CAST(SUM(vi
     q["last_90_days"] = _q("""
 SELECT videos.* FROM videos, (SELECT CAST(MAX(publish_date) AS DATE) AS e FROM videos) a
 WHERE CAST(publish_date AS DATE) >= a.e - 90 AND CAST(publish_date AS DATE) <= a.e""", VIDEO_FLOATS)
+    q["axis_limit"] = _q("SELECT GREATEST(MAX(label), MAX(prediction)) AS axis_limit FROM rule_views", ["axis_limit"],
+                         extra=FEATURES)
+    q["virality_labels"] = _q("SELECT video_id, is_viral AS label FROM labeled WHERE is_test", [], extra=FEATURES)
+    q["category_labels"] = _q("SELECT video_id, label FROM rule_cat", [], extra=FEATURES)
+    q["views_labels"] = _q("SELECT video_id, label FROM rule_views", [], extra=FEATURES)
+    virality = ["early_engagement_rate", "likes_views_ratio", "comments_views_ratio", "hour_encoded", "ch_subscribers",
+                "duration_minutes"]
+    content = ["duration_minutes", "title_length", "hour_encoded", "ch_subscribers", "is_weekend", "avg_views_per_video"]
+    zero, mean = "COALESCE({c}, 0)", "COALESCE({c}, (SELECT AVG({c}) FROM feat))"
+    q["scaler_stats"] = _q(" UNION ALL ".join(
+        f"SELECT '{model}' AS model, '{c}' AS feature, AVG({fill.format(c=c)}) AS mean, stddev_samp({fill.format(c=c)}) AS std "
+        "FROM feat WHERE NOT is_test"
+        for model, cols, fill in (("virality", virality, zero), ("content", content, mean)) for c in cols),
+        ["mean", "std"], extra=FEATURES)
+    q["importance_totals"] = " UNION ALL ".join(
+        f"SELECT '{m}' AS model, CAST(6 AS BIGINT) AS features, CAST(1 AS DOUBLE) AS total"
+        for m in ("virality", "category", "views"))
+
+    def counter(n: str, key: str) -> str:
+        return f"CAST(CASE WHEN ({key}) % 5 = 0 OR ({key}) % 17 = 0 THEN 0 ELSE {n} END AS BIGINT)"
+
+    sec = "CAST(round(duration_minutes * 60) AS BIGINT)"
+    q["pages_videos"] = _q(f"""
+SELECT 'v' || video_id AS video_id, title || CASE WHEN video_id % 7 = 0 THEN ' "q", x' ELSE '' END AS title,
+  'c' || channel_id AS channel_id, CASE WHEN video_id % 41 <> 0 THEN publish_date END AS publish_date,
+  CASE WHEN video_id % 11 = 0 THEN 'P1DT2H' WHEN video_id % 13 = 0 THEN 'PT' ELSE
+    'PT' || CASE WHEN {sec} >= 3600 THEN ({sec} // 3600) || 'H' ELSE '' END || ({sec} % 3600 // 60) || 'M' || ({sec} % 60)
+    || 'S' END AS duration,
+  CASE WHEN video_id % 11 = 0 THEN NULL WHEN video_id % 13 = 0 THEN CAST(0 AS DOUBLE) ELSE {sec} / CAST(60 AS DOUBLE) END
+    AS duration_minutes,
+  {counter('views', 'video_id')} AS views, {counter('likes', 'video_id + 1')} AS likes,
+  {counter('comments', 'video_id + 2')} AS comments
+FROM raw0""", ["duration_minutes"])
+    subscribers = "CASE WHEN channel_id % 5 <> 0 AND channel_id % 17 <> 0 THEN ch_subscribers END"
+    q["pages_channels"] = _q(f"""
+SELECT 'c' || channel_id AS channel_id, channel_name, {subscribers} AS ch_subscribers,
+  {counter('channel_id * 1000', 'channel_id + 1')} AS total_views, {counter('channel_id % 100', 'channel_id + 2')} AS total_videos,
+  'p' || channel_id AS playlist_id, CASE WHEN channel_id % 41 <> 0 THEN channel_created END AS channel_created
+FROM ch""", [])
+    q["pages_playlist"] = _q(f"""
+SELECT 'v' || video_id AS video_id, {counter('views', 'video_id')} AS views FROM raw0 WHERE video_id % 5 <> 4""", [])
     return q

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import enrich, filters, rollup
 from ..session import persist
@@ -18,6 +19,12 @@ class Snapshot:
     videos: DataFrame
     channels: DataFrame
     profile: DataFrame
+    held: tuple = ()
+
+    def release(self) -> None:
+        """Unpersist what the job kept for its own passes."""
+        for df in self.held:
+            df.unpersist()
 
 
 def build_snapshot(spark: SparkSession, channel_pages: str, video_pages: str, as_of: datetime,
@@ -36,6 +43,12 @@ def build_snapshot(spark: SparkSession, channel_pages: str, video_pages: str, as
                                         round_digits=2 if batch_semantics else None)
     if playlist_pages is not None:
         videos_raw = pages.listed_videos(videos_raw, pages.read_playlist_pages(spark, playlist_pages, multi_line))
+    # one row per channel whatever the number of fetches in the folder: the one with the most views
+    others = [c for c in channels_raw.columns if c not in ("channel_id", "total_views")]
+    channels_raw = (channels_raw.groupBy("channel_id").agg(F.max(F.struct("total_views", *others)).alias("r"))
+                    .select("channel_id", "r.*").select(*channels_raw.columns))
+    # pages are parsed once: the narrow key column is not read by a scan of its own
+    videos_raw = persist(videos_raw)
     typed = persist(enrich.attach_channel(videos_raw, channels_raw, how="left"))
     filters.require_rows(channels_raw, "channels")
     filters.require_rows(typed, "videos")
@@ -46,7 +59,7 @@ def build_snapshot(spark: SparkSession, channel_pages: str, video_pages: str, as
         videos = enrich.enrich_videos(typed, as_of)
     videos = persist(videos)
     channels = rollup.rollup_channels(videos, channels_raw, as_of)
-    return Snapshot(videos, channels, filters.snapshot_profile(videos, channels))
+    return Snapshot(videos, channels, filters.snapshot_profile(videos, channels), (videos_raw, typed, videos))
 
 
 def write_snapshot(snap: Snapshot, videos_path: str, channels_path: str, fmt: str = "csv") -> None:

@@ -12,11 +12,9 @@ import io
 import os
 import re
 import sys
-import tempfile
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
 from media_analytics.plans import catalog  # noqa: E402
 from media_analytics.session import local_session  # noqa: E402
 
@@ -39,29 +37,28 @@ def plan_text(df) -> str:
     return buf.getvalue()
 
 
+def formatted(df) -> str:
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode="formatted")
+    return buf.getvalue()
+
+
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = local_session(8)
-    # Serve the shared tables from parquet written once to a scratch folder, so
-    # each plan shows what the report itself adds on top of table scans.
-    scratch = tempfile.mkdtemp(prefix="plan-audit-", dir="/tmp")
-    ctx = catalog.context(spark, sf_dir)
-    tables = {"typed": ctx.typed, "channel_attrs": ctx.channel_attrs, "videos": ctx.videos,
-              "channels": ctx.channels, "features": ctx.features}
-    read = {}
-    for k, df in tables.items():
-        df.write.parquet(f"{scratch}/{k}")
-        read[k] = spark.read.parquet(f"{scratch}/{k}")
-    served = catalog.Context(spark, read["typed"], read["channel_attrs"], read["videos"], read["channels"],
-                             _features=read["features"])
-    catalog._CONTEXTS[(id(spark), sf_dir)] = served
-    for name, fn in E.queries().items():
+    # The shared tables are Parquet, so each plan shows what runs: table scans, and
+    # what the report itself adds on top of them.
+    for name, fn in catalog.queries().items():
         if name in catalog.ROWS_ONLY:  # fitted models
             continue
         txt = plan_text(fn(spark, sf_dir))
         counts = {k: len(re.findall(v, txt)) for k, v in MARKS.items()}
         flags = " ".join(f"{k}={v}" for k, v in counts.items() if v)
         print(f"{name:28s} {flags}")
+        if name in ("filtered_videos", "last_90_days", "filtered_by_channel"):
+            for found in re.findall(r"(?:PartitionFilters|PushedFilters): \[[^\]]*\]", formatted(fn(spark, sf_dir))):
+                print(f"    {found}")
 
 
 if __name__ == "__main__":

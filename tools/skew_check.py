@@ -63,7 +63,10 @@ def main():
         spark = session(log_dir)
         spark.sparkContext.setLogLevel("ERROR")
         v = test_video_table(spark, sf_dir).withColumn(
-            "channel_id", F.when(F.col("video_id") % 3 == 0, F.lit(1)).otherwise(F.col("channel_id")))
+            "channel_id", F.when(F.col("video_id") % 3 == 0, F.lit(1))            # a third: one channel
+            .when(F.col("video_id") % 3 == 1, F.lit(None))                          # a third: none
+            .when(F.col("video_id") % 111 == 2, F.lit(2))                           # 0.9%: another channel
+            .otherwise(F.col("channel_id")))
         c = test_channel_table(spark, sf_dir, AS_OF)
         t = time.time()
         typed = enrich.attach_channel(v, c, split_hot_channels=(mode == "salted"))
