@@ -41,6 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import salted_join
 from .common import LOWER, connected_components, cut, hashed_sample, ship, text_blocks
 
 SEED = 42
@@ -304,7 +305,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     labels = (nodes.join(named, "fp", "left")
               .select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id"))
                       .alias("component_id"), F.coalesce("root", "fp").alias("component")))
-    return rows.join(labels, "fp").select("doc_id", *keep, "fp", "component_id", "component")
+    # a fingerprint that a third of the documents share is salted over the join's tasks
+    return salted_join(rows, cut(labels), "fp", "inner").select("doc_id", *keep, "fp", "component_id", "component")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
