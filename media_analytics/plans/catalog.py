@@ -116,10 +116,12 @@ TYPED_COLUMNS = ["channel_id", "video_id", "title", "publish_date", "duration_mi
 
 
 def _written(df: DataFrame, path: str, partition_by: str | None) -> DataFrame:
-    w = df.write.mode("overwrite")
     if partition_by:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)
+        # a few files of good size per folder: AQE merges small partitions and splits large
+        # ones, instead of a file per task and folder
+        df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
