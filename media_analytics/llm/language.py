@@ -221,8 +221,9 @@ def op5_language(spark, sf_dir: str) -> DataFrame:
 
 
 def known_language(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose language is told: those predicted ``und`` and the
-    ambiguous ones go. All rows stay if no language was learned."""
+    """The rows of ``docs`` whose language is told: those predicted ``und`` go. Ambiguous
+    rows stay (they mix languages or are short, but are no junk), and all rows do if
+    no language was learned."""
     import pyarrow as pa
 
     spark = docs.sparkSession
@@ -233,7 +234,7 @@ def known_language(docs: DataFrame, model: Model) -> DataFrame:
 
     def work(batches):
         for batch, texts in text_blocks(batches):
-            _, _, lang, _, unsure = judge(shared.value, texts)
-            yield batch.filter(pa.array([x != UNKNOWN and not u for x, u in zip(lang, unsure)], pa.bool_()))
+            _, _, lang, _, _ = judge(shared.value, texts)
+            yield batch.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)
