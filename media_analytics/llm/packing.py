@@ -17,8 +17,9 @@ of a block among all ids is the sum of ``n_ids`` of the blocks before it.
 Spark's own writer commits the files, so a lost executor or a task run twice
 leaves each block once, and any file system Spark writes to will do.
 
-Documents are dealt by range of doc_id before they are encoded; rows of one
-doc_id share a part and are ordered by text. Encoding: the library's ids of
+Documents are dealt by range of (doc_id, hash of the text) before they are
+encoded, so rows of one doc_id, or without one, need not share a part; they are
+ordered by that hash (XXH64, signed). Encoding: the library's ids of
 the text without special tokens added, then ``end_id``. The tokenizer never
 joins characters across white space, so each distinct white-space-separated
 piece is encoded once per worker by the library and its packed ids are reused
@@ -168,8 +169,8 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, blo
     ship(spark)
     p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    order = [F.col("doc_id").asc_nulls_last()]
-    dealt = (src.repartitionByRange(p, *order).sortWithinPartitions(*order, "text")
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    dealt = (src.repartitionByRange(p, *order).sortWithinPartitions(*order)
              .withColumn("part", F.spark_partition_id()))
 
     def work(batches):
