@@ -28,6 +28,9 @@ KPI_THRESHOLDS = {
     "quality_score": 60.0,
 }
 
+# Metrics of the benchmark index, in the order they are shown.
+BENCHMARK_METRICS = ["Avg Views", "Engagement", "Like Rate", "Videos/Month", "Virality Index"]
+
 # Random forest settings of the three models.
 FOREST_TREES = 100
 FOREST_DEPTH = 10

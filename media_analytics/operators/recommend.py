@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import DURATION_EDGES, DURATION_LABELS_SHORT, FREQUENCY_EDGES
+from ..functions.constants import BENCHMARK_METRICS, DURATION_EDGES, DURATION_LABELS_SHORT, FREQUENCY_EDGES
 from ..functions.scalar import bucket_order, cut, ratio_or_null
 from .filters import above_quantile
 from .quantiles import approx_quantiles, multi_exact_quantiles, quantiles
@@ -87,9 +87,6 @@ def recommendations(fv: DataFrame, fc: DataFrame, approx: bool = False) -> DataF
                       "top_views_per_subscriber", "top_videos_per_month")
 
 
-BENCHMARK_METRICS = ["Avg Views", "Engagement", "Like Rate", "Videos/Month", "Virality Index"]
-
-
 def benchmark_index(fv: DataFrame, fc: DataFrame, v: DataFrame, c: DataFrame,
                     approx: bool = False) -> DataFrame:
     """Filtered mean / unfiltered q75 x 100 for five metrics (benchmark 0 -> 0).
