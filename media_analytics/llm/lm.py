@@ -117,6 +117,8 @@ class Classes:
 class LogBilinear:
     """Scores of a class after two context classes."""
 
+    FITTED = ("context", "target", "scale", "bias")
+
     def __init__(self, noise: np.ndarray, seed: int = 1):
         rng = np.random.default_rng(seed)
         n = len(noise)
@@ -133,7 +135,7 @@ class LogBilinear:
         n, k = len(classes), NOISE
         epochs = epochs or min(12, max(3, -(-STEPS_OVER // n)))
         log_kq = np.log(k * self.noise).astype(np.float32)
-        params = {p: getattr(self, p) for p in ("context", "target", "scale", "bias")}
+        params = {p: getattr(self, p) for p in self.FITTED}
         power = {p: np.full_like(v, 1e-4) for p, v in params.items()}
         for _ in range(epochs):
             order = rng.permutation(n)
@@ -290,12 +292,24 @@ def learn(train: DataFrame, counts: DataFrame) -> tuple[Scorer, int, int]:
                     ids = np.array([shared.value.of(w) for w in tokens(t)], np.uint16)
                     yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary())], ["ids"])
 
-        rows = (hashed_sample(train, take, docs, "doc_id").select("text")
-                .mapInArrow(sampled, "ids binary").collect())
         end = classes.of(END)
-        runs = [np.concatenate([[end, end], np.frombuffer(bytes(r.ids), np.uint16)]).astype(np.int64) for r in rows]
-        model.fit(np.concatenate([r[:-2] for r in runs]), np.concatenate([r[1:-1] for r in runs]),
-                  np.concatenate([r[2:] for r in runs]))
+
+        def fit(batches):
+            """One task fits the model on the bounded sample (single-threaded products)."""
+            texts = sorted(t for b in batches for t in b.column("ids").to_pylist())  # whatever order they came in
+            runs = [np.concatenate([[end, end], np.frombuffer(t, np.uint16)]).astype(np.int64) for t in texts]
+            if runs:
+                model.fit(np.concatenate([r[:-2] for r in runs]), np.concatenate([r[1:-1] for r in runs]),
+                          np.concatenate([r[2:] for r in runs]))
+            for name in LogBilinear.FITTED:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name]), pa.array([getattr(model, name).tobytes()], pa.binary())], ["name", "value"])
+
+        fitted = (hashed_sample(train, take, docs, "doc_id").select("text").mapInArrow(sampled, "ids binary")
+                  .repartition(1).mapInArrow(fit, "name string, value binary").collect())
+        for r in fitted:
+            old = getattr(model, r["name"])
+            setattr(model, r["name"], np.frombuffer(bytes(r.value), old.dtype).reshape(old.shape))
     return Scorer(common, classes, mass, model), n, v
 
 
