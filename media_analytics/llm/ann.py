@@ -19,7 +19,8 @@
 
 Vectors null, zero, with null or non-finite components, or of another length
 than the commonest take no part; nor do rows without an id. Rows of one vec_id
-count once (the least vector). An empty table gives an empty result.
+count once (the least vector). An empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations

@@ -20,7 +20,9 @@ is measured first. One task's share is at most ``SLICE_WORDS`` words; a larger
 benchmark is cut into slices by item_id, with one pass over the documents each.
 
 Nulls: a null or wordless text is clean; a null item or one with fewer than
-``MIN_MATCH`` words matches nothing. Repeated rows are judged each on its own.
+``MIN_MATCH`` words matches nothing. Repeated rows are judged each on its own. An
+empty table gives an empty result, an empty benchmark leaves every row clean.
+``clean`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations

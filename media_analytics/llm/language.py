@@ -18,7 +18,9 @@
 
 Only the text is an input of a prediction. Null text, or one without a letter:
 ``und`` with score 0; without any learned language every row is ``und``.
-Repeated rows are judged alike.
+Repeated rows are judged alike, a row without an id is not learned from. An
+empty table gives an empty result. ``known_language`` keeps all columns,
+whatever their names.
 """
 
 from __future__ import annotations

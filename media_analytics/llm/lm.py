@@ -27,7 +27,7 @@ token. Training documents: crc32(doc_id as text) mod 10 is not 0.
 
 Nulls: a null text has only the end token. A null doc_id counts as training
 and is not held out. Repeated rows are scored each; an empty table gives an
-empty result. With no training document every token is unknown.
+empty result; other columns are not read. With no training document every token is unknown.
 """
 
 from __future__ import annotations

@@ -17,8 +17,9 @@
 
 A document is taken at most three times. Reruns agree: nothing depends on
 partitioning. Nulls: a null source is a source of its own; a null text has size
-0 and takes no words. Repeated rows are separate documents. An empty table
-gives an empty result.
+0 and takes no words. Repeated rows are separate documents; ties in size are laid
+out by doc_id (null last). An empty table gives an empty result. ``emit`` keeps
+all columns, whatever their names (own columns begin with ``__``).
 """
 
 from __future__ import annotations

@@ -26,7 +26,8 @@ piece is encoded once per worker by the library and its packed ids are reused
 (checked against whole-text encoding in the tests).
 
 Null text: an empty document (only the end id). Null doc_ids come last.
-An empty table gives an empty result.
+Repeated rows are encoded each. An empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ formatted message ``<|role|>`` newline text newline ``<|end|>``.
 Nulls: a null text is empty; a null role is ``unknown``; messages with a null
 conv_id or turn quote nothing and are their own roots, and nulls come last.
 Identical rows are one message (they share a position) and stay repeated.
-Messages that share a turn share its links.
+Messages that share a turn share its links. An empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations

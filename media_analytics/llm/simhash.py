@@ -30,7 +30,8 @@ vantage-point (VP) trees over Hamming distance:
 
 Nulls: a null doc_id is kept as a row; component_id is the smallest non-null
 doc_id of the component (null if it has none). Repeated rows are repeated in
-the result. An empty table gives an empty result.
+the result. An empty table gives an empty result. ``keep_one`` keeps all columns,
+whatever their names (own columns begin with ``__``).
 """
 
 from __future__ import annotations

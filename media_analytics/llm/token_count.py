@@ -20,7 +20,8 @@ A byte-level BPE tokenizer file is compiled into two deterministic transducers.
 
 The counts equal the library's, with the strings of special tokens inside a
 text taken as the special token (the library's default). A null text counts as
-empty (0 tokens). Rows are independent: repeated rows are repeated.
+empty (0 tokens). Rows are independent: repeated rows are repeated, a null doc_id
+stays null. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
