@@ -52,6 +52,7 @@ TRAIN_TOKENS = 2_000_000
 STEPS_OVER = 6_000_000  # tokens seen in training, repeats counted (12 epochs at most)
 BATCH = 1024
 NOISE = 100
+TABLE_BYTES = 64       # longer tokens stay out of that table, so its size is bounded
 MAX_COUNTED = 400_000  # tokens a task counts before it sends them on
 END = b""              # the end token; a word is never empty
 
@@ -236,6 +237,7 @@ def commonest(counts: DataFrame, most: int | None = None) -> list[tuple[bytes, i
     at or above the lowest count bin that still fits. The bins (a thousandth of a
     power of ten) are few whatever the corpus, and only chosen tokens leave the executors."""
     most = TABLE if most is None else most
+    counts = counts.where(F.length("token") <= TABLE_BYTES)
     at = F.floor(F.log10(F.col("c")) * 1000)
     bins = sorted(((r.b, r.n) for r in counts.groupBy(at.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()),
                   reverse=True)

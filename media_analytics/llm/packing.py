@@ -44,6 +44,7 @@ from .common import new_folder, ship, text_blocks
 END_ID = 2
 BLOCK_IDS = 1 << 16
 MAX_WORDS = 1_200_000  # encoded pieces kept by a worker
+KEPT_BYTES = 64        # longer pieces are encoded anew
 MAGIC = b"TIB1"
 _HEAD = struct.Struct("<4sIIQ")
 
@@ -132,7 +133,8 @@ class Encoder(dict):
         else:
             ids = self.library.encode(piece.decode(), add_special_tokens=False).ids
             found = np.array(ids, self.kind).tobytes()
-        self[piece] = found
+        if len(piece) <= KEPT_BYTES:
+            self[piece] = found
         return found
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:

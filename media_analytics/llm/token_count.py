@@ -38,6 +38,7 @@ LIMIT = 1024
 WINDOW = 1 << 22       # characters of one very long text that are split at once
 MAX_STATES = 150_000   # made states and kept pre-tokens of a worker, at most
 MAX_WORDS = 700_000
+KEPT_LENGTH = 64       # longer pre-tokens are counted anew
 
 # ---- split transducer -------------------------------------------------------
 
@@ -266,7 +267,9 @@ class Words(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= MAX_WORDS:
             self.clear()
-        n = self[word] = self.transducer.count(word.encode())
+        n = self.transducer.count(word.encode())
+        if len(word) <= KEPT_LENGTH:
+            self[word] = n
         return n
 
 

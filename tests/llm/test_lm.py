@@ -60,11 +60,12 @@ def test_probabilities_are_normalised(spark):
     table = 10.0 ** scorer.model.log10_table()
     assert np.allclose(table.sum(1), 1, atol=1e-4)
     within = np.zeros(lm.CLASSES)  # known tokens of each class and its share for unseen ones
-    for t, c in scorer.common:
-        within[scorer.classes.of(t)] += c + lm.ALPHA
+    rows = counts.collect()
+    for r in rows:
+        within[scorer.classes.of(bytes(r.token))] += r.c + lm.ALPHA
     used = within > 0
     within[lm.OWN:] += lm.ALPHA
-    assert v == len(scorer.common) and np.allclose(within[used], scorer.mass[used])
+    assert v == len(rows) == len(scorer.common) + 1 and np.allclose(within[used], scorer.mass[used])
 
 
 def test_nce_learns_a_cycle():
