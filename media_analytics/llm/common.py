@@ -74,20 +74,22 @@ def hashed_sample(df: DataFrame, rows: int, n: int, *keys: str) -> DataFrame:
 
 def text_blocks(batches, text: str = "text", limit: int = BLOCK_BYTES):
     """Arrow batches cut into runs of rows with about ``limit`` bytes of text (one
-    row at least); yields (batch, texts as bytes or None)."""
+    row at least); yields (batch, texts as bytes or None). Only one run is held as
+    Python objects at a time."""
+    import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        column = batch.column(batch.schema.get_field_index(text))
-        values = column.cast(pa.binary()).to_pylist()
-        first = size = 0
-        for i, v in enumerate(values):
-            size += len(v or b"") + 16
-            if size >= limit or i + 1 == len(values):
-                yield batch.slice(first, i + 1 - first), values[first:i + 1]
-                first, size = i + 1, 0
+        at = batch.schema.get_field_index(text)
+        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        runs = np.cumsum(sizes + 16) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                part = batch.slice(a, b - a)
+                yield part, part.column(at).cast(pa.binary()).to_pylist()
+    pa.default_memory_pool().release_unused()
 
 
 def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, out: str,

@@ -43,7 +43,7 @@ from .common import new_folder, ship, text_blocks
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
-MAX_WORDS = 1_200_000  # encoded pieces kept by a worker
+MAX_WORDS = 1_100_000  # encoded pieces kept by a worker
 KEPT_BYTES = 64        # longer pieces are encoded anew
 MAGIC = b"TIB1"
 _HEAD = struct.Struct("<4sIIQ")
