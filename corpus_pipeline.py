@@ -34,7 +34,8 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of all documents in packed blocks; a row per document read back from them."""
     import public_tokenizers
 
-    return packing.written(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # fewer kept pieces than op8: a worker's memory also holds what earlier stages loaded
+    return packing.written(docs, public_tokenizers.path("word_bpe_49k.json"), kept=250_000)
 
 
 STAGES = [

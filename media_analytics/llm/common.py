@@ -72,14 +72,26 @@ def hashed_sample(df: DataFrame, rows: int, n: int, *keys: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), *keys), F.lit(1 << 40)) < int(rows / n * (1 << 40)))
 
 
-def text_blocks(batches, text: str = "text", limit: int = BLOCK_BYTES):
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """A dict that a Python worker keeps between its tasks, until it works for another operator."""
+    return _caches.setdefault(name, {})
+
+
+def text_blocks(batches, text: str = "text", limit: int = BLOCK_BYTES, keep: str | None = None):
     """Arrow batches cut into runs of rows with about ``limit`` bytes of text (one
     row at least); yields (batch, texts as bytes or None). Only one run is held as
-    Python objects at a time."""
+    Python objects at a time. ``keep`` names the operator's own ``worker_cache``;
+    those of other operators are emptied."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    for name, cache in _caches.items():
+        if name != keep:
+            cache.clear()
     for batch in batches:
         at = batch.schema.get_field_index(text)
         sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, ship, text_blocks
+from .common import new_folder, ship, text_blocks, worker_cache
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
@@ -116,16 +116,17 @@ class Encoder(dict):
     """Ids of texts by the tokenizers library: piece -> packed ids, encoded by the
     library when first met and emptied when full."""
 
-    def __init__(self, path: str, end_id: int = END_ID):
+    def __init__(self, path: str, end_id: int = END_ID, kept: int = MAX_WORDS):
         from tokenizers import Tokenizer
 
+        self.kept = kept
         self.library = Tokenizer.from_file(path)
         self.size = max(self.library.get_vocab_size(with_added_tokens=True), end_id + 1)
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
         self.end = np.array([end_id], self.kind).tobytes()
 
     def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= MAX_WORDS:
+        if len(self) >= self.kept:
             self.clear()
         if len(piece) > 1 and piece[-1] in b".,;:!?" and piece[-2:-1].isalnum():
             # a letter or digit and a sign that ends the piece are never one token
@@ -148,13 +149,14 @@ class Encoder(dict):
         return out
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}  # per worker
+_encoders: dict[tuple, Encoder] = worker_cache("packing")
 
 
-def encoder(path: str, end_id: int) -> Encoder:
-    if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = Encoder(path, end_id)
-    return _encoders[path, end_id]
+def encoder(*key) -> Encoder:
+    """The worker's encoder for (path, end_id, kept)."""
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 # ---- data sets --------------------------------------------------------------
@@ -163,9 +165,10 @@ _BLOCK = "part int, seq int, n_ids long, doc_ids array<bigint>, payload binary"
 
 
 def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS,
-              partitions: int | None = None) -> None:
+              partitions: int | None = None, kept: int = MAX_WORDS) -> None:
     """Encodes every text of ``docs`` with the tokenizer file at ``path`` and writes
-    the blocks under ``folder`` in ascending doc_id order."""
+    the blocks under ``folder`` in ascending doc_id order. ``kept``: pieces a worker
+    keeps encoded (less memory, or fewer calls of the library)."""
     import pyarrow as pa
 
     spark = docs.sparkSession
@@ -177,7 +180,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, blo
              .withColumn("part", F.spark_partition_id()))
 
     def work(batches):
-        enc = encoder(path, end_id)
+        enc = encoder(path, end_id, kept)
         bits = width(enc.size)
         seq, part, held, ids = 0, None, [], []
 
@@ -189,7 +192,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, blo
                 ["part", "seq", "n_ids", "doc_ids", "payload"])
 
         size = 0
-        for batch, texts in text_blocks(batches):
+        for batch, texts in text_blocks(batches, keep="packing"):
             part = batch.column("part")[0].as_py()
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), enc.encode(texts)):
                 held.append(found)
@@ -255,12 +258,13 @@ def read_range(spark: SparkSession, folder: str, first: int, count: int) -> list
     return out
 
 
-def written(docs: DataFrame, path: str, end_id: int = END_ID, folder: str | None = None) -> DataFrame:
+def written(docs: DataFrame, path: str, end_id: int = END_ID, folder: str | None = None,
+            kept: int = MAX_WORDS) -> DataFrame:
     """Writes the ids of ``docs`` and returns (doc_id, start, n_tokens, ids_crc32) per
     document as read back from the files."""
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "token-ids")
-    write_ids(docs, folder, path, end_id)
+    write_ids(docs, folder, path, end_id, kept=kept)
     found, index = read_documents(spark, folder), read_index(spark, folder)
     if index.count() <= 200_000:  # one row per 65,536 ids; beyond that a shuffle join
         index = F.broadcast(index)

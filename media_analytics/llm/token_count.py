@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_blocks
+from .common import ship, text_blocks, worker_cache
 
 LIMIT = 1024
 WINDOW = 1 << 22       # characters of one very long text that are split at once
@@ -346,7 +346,7 @@ class TokenCounter:
         return out.tolist()
 
 
-_counters: dict[str, TokenCounter] = {}  # per worker
+_counters: dict[str, TokenCounter] = worker_cache("token_count")
 
 
 def counter(path: str) -> TokenCounter:
@@ -363,7 +363,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     ship(docs.sparkSession)
 
     def work(batches):
-        for batch, texts in text_blocks(batches):
+        for batch, texts in text_blocks(batches, keep="token_count"):
             n = counter(path).counts(texts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(t or b"") for t in texts], pa.int64()),
