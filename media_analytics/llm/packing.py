@@ -43,7 +43,7 @@ from .common import new_folder, ship, text_blocks, worker_cache
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
-MAX_WORDS = 1_100_000  # encoded pieces kept by a worker
+MAX_WORDS = 2_000_000  # encoded pieces kept by a worker
 KEPT_BYTES = 64        # longer pieces are encoded anew
 MAGIC = b"TIB1"
 _HEAD = struct.Struct("<4sIIQ")
@@ -112,6 +112,9 @@ def unpack(payload: bytes, first: int = 0, count: int | None = None) -> np.ndarr
 
 # ---- encoding ---------------------------------------------------------------
 
+_PROBES = ("a", "the", "of", "zebra", "qqqq", "internationalization", "thstnd", "x" * 40)
+
+
 class Encoder(dict):
     """Ids of texts by the tokenizers library: piece -> packed ids, encoded by the
     library when first met and emptied when full."""
@@ -124,6 +127,11 @@ class Encoder(dict):
         self.size = max(self.library.get_vocab_size(with_added_tokens=True), end_id + 1)
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
         self.end = np.array([end_id], self.kind).tobytes()
+        # Letters a-z alone pass the normaliser and the splitter unchanged in tokenizers like
+        # these, so the library's model can be asked for them directly. Tried on a few words.
+        self.model = self.library.model
+        self.direct = all([t.id for t in self.model.tokenize(w)]
+                          == self.library.encode(w, add_special_tokens=False).ids for w in _PROBES)
 
     def __missing__(self, piece: bytes) -> bytes:
         if len(self) >= self.kept:
@@ -132,7 +140,10 @@ class Encoder(dict):
             # a letter or digit and a sign that ends the piece are never one token
             found = self[piece[:-1]] + self[piece[-1:]]
         else:
-            ids = self.library.encode(piece.decode(), add_special_tokens=False).ids
+            if self.direct and piece.isalpha() and piece.islower():  # of bytes: ASCII letters only
+                ids = [t.id for t in self.model.tokenize(piece.decode())]
+            else:
+                ids = self.library.encode(piece.decode(), add_special_tokens=False).ids
             found = np.array(ids, self.kind).tobytes()
         if len(piece) <= KEPT_BYTES:
             self[piece] = found
