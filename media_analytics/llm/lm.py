@@ -16,10 +16,12 @@ token. Training documents: crc32(doc_id as text) mod 10 is not 0.
 * **Log-bilinear model** (numpy) of the class given the two classes before it:
   the predicted vector is the sum of the context vectors, each scaled by a
   diagonal matrix per position; a class scores by its product with the class
-  vector plus a bias. Training by noise-contrastive estimation: each batch
-  shares noise classes drawn from the class counts, the partition function is not
-  computed. It is fitted on a documented, bounded sample: about
-  ``TRAIN_TOKENS`` tokens of training documents, chosen by hash of the id.
+  vector plus a bias. The model sees only (class two before, class one before,
+  class), so these triples are counted over all training documents (in the tasks,
+  then one group-by; at most ``CLASSES`` cubed rows) and it is fitted on all of them, by
+  their counts, whatever the corpus. Training by noise-contrastive estimation in
+  ``PASSES`` passes over the context pairs: a pair's data are its counts, its noise is
+  the expectation over the class counts; the partition function is not computed.
 * **Scoring.** Batched matrix products over all contexts give the table of
   normalised log-probabilities once per worker; a token is then a table lookup. Tokens
   beyond the ``TABLE`` commonest get their counts by a shuffle join of (row,
@@ -39,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, crc_of_id, cut, hashed_sample, ship, text_blocks
+from .common import LOWER, crc_of_id, cut, ship, text_blocks
 
 ALPHA = 0.1
 TABLE = 200_000        # commonest tokens that every task knows
@@ -48,10 +50,9 @@ ENDINGS = 112          # classes of common endings
 SHARED = 16            # classes of all other endings
 CLASSES = OWN + ENDINGS + SHARED
 SIZE = 32              # length of the vectors
-TRAIN_TOKENS = 2_000_000
-STEPS_OVER = 6_000_000  # tokens seen in training, repeats counted (12 epochs at most)
-BATCH = 1024
-NOISE = 100
+PASSES = 20            # over all context pairs
+PAIRS = 64             # context pairs in a batch
+NOISE = 100            # noise draws for each token
 TABLE_BYTES = 64       # longer tokens stay out of that table, so its size is bounded
 MAX_COUNTED = 400_000  # tokens a task counts before it sends them on
 END = b""              # the end token; a word is never empty
@@ -129,41 +130,46 @@ class LogBilinear:
         self.scale = np.ones((2, SIZE), np.float32)
         self.bias = np.log(self.noise).astype(np.float32)
 
-    def fit(self, before2: np.ndarray, before1: np.ndarray, classes: np.ndarray, epochs: int | None = None,
-            rate: float = 0.1, seed: int = 2) -> None:
-        """Noise-contrastive estimation with Adagrad; a batch shares its noise classes."""
+    def fit(self, before2: np.ndarray, before1: np.ndarray, classes: np.ndarray) -> None:
+        n = len(self.noise)
+        self.fit_counts(np.bincount((before2 * n + before1) * n + classes, minlength=n ** 3))
+
+    def fit_counts(self, counts: np.ndarray, passes: int = PASSES, rate: float = 0.1, seed: int = 2) -> None:
+        """Noise-contrastive estimation with Adagrad from the counts of all (class two
+        before, class one before, class); the noise of a pair is taken in expectation."""
         rng = np.random.default_rng(seed)
-        n, k = len(classes), NOISE
-        epochs = epochs or min(12, max(3, -(-STEPS_OVER // n)))
-        log_kq = np.log(k * self.noise).astype(np.float32)
+        n = len(self.noise)
+        counts = counts.reshape(n * n, n)
+        times = counts.sum(1, dtype=float)
+        used = np.flatnonzero(times)
+        if not len(used):
+            return
+        unit = len(used) / times.sum()  # pairs weigh one on average
+        log_kq = np.log(NOISE * self.noise).astype(np.float32)
+        kq = (NOISE * self.noise).astype(np.float32)
         params = {p: getattr(self, p) for p in self.FITTED}
         power = {p: np.full_like(v, 1e-4) for p, v in params.items()}
-        for _ in range(epochs):
-            order = rng.permutation(n)
-            for at in range(0, n, BATCH):
-                rows = order[at:at + BATCH]
-                b2, b1, w, m = before2[rows], before1[rows], classes[rows], len(rows)
-                noise = rng.choice(len(self.noise), k, p=self.noise)
+        for _ in range(passes):
+            order = rng.permutation(used)
+            for at in range(0, len(order), PAIRS):
+                rows = order[at:at + PAIRS]
+                b2, b1 = rows // n, rows % n
+                data = counts[rows].astype(np.float32) * np.float32(unit)
                 c2, c1 = self.context[b2], self.context[b1]
                 h = c2 * self.scale[0] + c1 * self.scale[1]
-                good = (h * self.target[w]).sum(1) + self.bias[w] - log_kq[w]
-                bad = h @ self.target[noise].T + self.bias[noise] - log_kq[noise]
+                s = h @ self.target.T + self.bias - log_kq
+                p = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
                 # derivatives of the log-likelihood of "data or noise"
-                dg = 1 / (1 + np.exp(np.clip(good, -30, 30)))
-                db = -1 / (1 + np.exp(np.clip(-bad, -30, 30)))
-                dh = dg[:, None] * self.target[w] + db @ self.target[noise]
-                grad = {p: np.zeros_like(v) for p, v in params.items()}
-                np.add.at(grad["target"], w, dg[:, None] * h)
-                np.add.at(grad["target"], noise, db.T @ h)
-                np.add.at(grad["bias"], w, dg)
-                np.add.at(grad["bias"], noise, db.sum(0))
+                d = data * (1 - p) - data.sum(1, keepdims=True) * kq * p
+                dh = d @ self.target
+                grad = {"target": d.T @ h, "bias": d.sum(0), "context": np.zeros_like(self.context),
+                        "scale": np.stack([(dh * c2).sum(0), (dh * c1).sum(0)])}
                 np.add.at(grad["context"], b2, dh * self.scale[0])
                 np.add.at(grad["context"], b1, dh * self.scale[1])
-                grad["scale"][0], grad["scale"][1] = (dh * c2).sum(0), (dh * c1).sum(0)
-                for p, v in params.items():
-                    g = grad[p] / m * np.sqrt(m)
-                    power[p] += g * g
-                    v += rate * g / np.sqrt(power[p])
+                for name, v in params.items():
+                    g = grad[name] / np.float32(np.sqrt(len(rows)))
+                    power[name] += g * g
+                    v += rate * g / np.sqrt(power[name])
 
     def log10_table(self) -> np.ndarray:
         """log10 P(class | context), a row per (class two before, class one before):
@@ -216,13 +222,7 @@ class Scorer:
             w = words[i][p - first[i]]
             others[i].append(w)
             c[p] = of(w)
-        end = self.classes.of(END)
-        b1, b2 = np.full_like(c, end), np.full_like(c, end)
-        b1[1:], b2[2:] = c[:-1], c[:-2]
-        b1[first[:-1]] = end  # before a text stands the end of another
-        b2[first[:-1]] = end
-        second = first[:-1][size > 1] + 1
-        b2[second] = end
+        b2, b1 = before(c, size, self.classes.of(END))
         n = len(self.model.bias)
         logp = table[b2 * n + b1, c].astype(float) - np.log10(self.mass)[c]
         known = np.where(at >= 0, logc[at], 0.0)
@@ -230,6 +230,56 @@ class Scorer:
         return size, add(at >= 0).astype(np.int64), add(known), add(logp), [Counter(o) for o in others]
 
 
+def before(c: np.ndarray, size: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class two before, class one before) of the classes ``c`` of texts laid end to
+    end, ``size`` tokens each; before a text stands the end of another."""
+    first = np.cumsum(size) - size
+    b1, b2 = np.full_like(c, end), np.full_like(c, end)
+    b1[1:], b2[2:] = c[:-1], c[:-2]
+    b1[first] = end
+    b2[first] = end
+    b2[first[size > 1] + 1] = end
+    return b2, b1
+
+
+class _Known(dict):
+    """Classes of the tokens met, a bounded number of them."""
+
+    def __init__(self, classes: Classes):
+        self.classes = classes
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= MAX_COUNTED:
+            self.clear()
+        found = self[token] = self.classes.of(token)
+        return found
+
+
+def count_triples(train: DataFrame, shared) -> DataFrame:
+    """(triple, c) of the classes of all texts of ``train``, which end tokens precede:
+    triple is (class two before * CLASSES + class one before) * CLASSES + class;
+    ``shared`` is the broadcast ``Classes``."""
+    import pyarrow as pa
+
+    def work(batches):
+        total = np.zeros(CLASSES ** 3, np.int64)
+        known = _Known(shared.value)
+        end = shared.value.of(END)
+        for _, texts in text_blocks(batches):
+            words = [tokens(t) for t in texts]
+            size = np.fromiter(map(len, words), np.int64, len(words))
+            c = np.fromiter((known[w] for ws in words for w in ws), np.int64, int(size.sum()))
+            b2, b1 = before(c, size, end)
+            np.add.at(total, (b2 * CLASSES + b1) * CLASSES + c, 1)
+        met = np.flatnonzero(total)
+        for k in range(0, len(met), 1 << 18):
+            part = met[k:k + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["triple", "c"])
+
+    return (train.select("text").mapInArrow(work, "triple int, c long")
+            .groupBy("triple").agg(F.sum("c").alias("c")))
+
+
 # ---- the operator -----------------------------------------------------------
 
 def commonest(counts: DataFrame, most: int | None = None) -> list[tuple[bytes, int]]:
@@ -284,30 +334,26 @@ def learn(train: DataFrame, counts: DataFrame) -> tuple[Scorer, int, int]:
     mass = c + ALPHA * kinds + ALPHA * (np.arange(CLASSES) >= OWN)
     mass[mass == 0] = ALPHA
     model = LogBilinear(c + 1.0)
-    docs = train.count()
-    if docs:
-        take = max(1, int(TRAIN_TOKENS * docs / max(n, 1)))  # about TRAIN_TOKENS tokens
-
-        def sampled(batches):
-            for _, texts in text_blocks(batches):
-                for t in texts:
-                    ids = np.array([shared.value.of(w) for w in tokens(t)], np.uint16)
-                    yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary())], ["ids"])
-
-        end = classes.of(END)
+    if n:
+        def packed(batches):
+            """A row per batch, so that the one task reads few rows."""
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column(k).to_numpy().tobytes()], pa.binary()) for k in ("triple", "c")],
+                    ["triples", "times"])
 
         def fit(batches):
-            """One task fits the model on the bounded sample (single-threaded products)."""
-            texts = sorted(t for b in batches for t in b.column("ids").to_pylist())  # whatever order they came in
-            runs = [np.concatenate([[end, end], np.frombuffer(t, np.uint16)]).astype(np.int64) for t in texts]
-            if runs:
-                model.fit(np.concatenate([r[:-2] for r in runs]), np.concatenate([r[1:-1] for r in runs]),
-                          np.concatenate([r[2:] for r in runs]))
+            """One task fits the model on the triples, at most CLASSES cubed (single-threaded products)."""
+            times = np.zeros(CLASSES ** 3, np.int64)
+            for batch in batches:
+                for t, x in zip(batch.column("triples").to_pylist(), batch.column("times").to_pylist()):
+                    times[np.frombuffer(t, np.int32)] = np.frombuffer(x, np.int64)
+            model.fit_counts(times)
             for name in LogBilinear.FITTED:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name]), pa.array([getattr(model, name).tobytes()], pa.binary())], ["name", "value"])
 
-        fitted = (hashed_sample(train, take, docs, "doc_id").select("text").mapInArrow(sampled, "ids binary")
+        fitted = (count_triples(train, shared).mapInArrow(packed, "triples binary, times binary")
                   .repartition(1).mapInArrow(fit, "name string, value binary").collect())
         for r in fitted:
             old = getattr(model, r["name"])

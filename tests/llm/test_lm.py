@@ -76,5 +76,26 @@ def test_nce_learns_a_cycle():
     assert all(table[a * 5 + (a + 1) % 5].argmax() == (a + 2) % 5 for a in range(5))
 
 
+def test_every_training_triple_is_counted(spark):
+    df = documents(spark)
+    classes = lm.Classes(lm.commonest(lm.count_tokens(df)))
+    got = {r.triple: r.c for r in lm.count_triples(df, spark.sparkContext.broadcast(classes)).collect()}
+    want, end = Counter(), classes.of(lm.END)
+    for _, t in texts(df):
+        c = [end, end, *map(classes.of, lm.tokens((t or "").encode()))]
+        want.update((a * lm.CLASSES + b) * lm.CLASSES + x for a, b, x in zip(c, c[1:], c[2:]))
+    assert got == want
+
+
+def test_long_documents_are_learned(spark):
+    # most tokens in a few long documents, each with an order of its own
+    ids = [i for i in range(20) if not held_out(i)][:6]
+    words = [[f"{chr(97 + k)}{j}" for j in range(3)] for k in range(6)]
+    df = spark.createDataFrame([(i, " ".join(ws) + (" " + " ".join(ws)) * 250_000) for i, ws in zip(ids, words)],
+                               "doc_id long, text string")
+    got = lm.score(df).collect()
+    assert len(got) == 6 and all(r.score / r.n_tokens > -0.3 for r in got)
+
+
 def test_empty(spark):
     assert lm.score(empty_documents(spark)).count() == 0
