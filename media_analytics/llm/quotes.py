@@ -2,9 +2,12 @@
 
 * **Quote levels.** A line's level is the number of ``>`` it starts with (blanks
   allowed between them). A quoted passage is a run of lines of one level.
-* **Hashes.** A passage and each of its lines is normalised (A-Z lower case, white
-  space to one blank, trimmed) and hashed. So are the own (level 0) parts of
-  every message of a conversation with quotes: the runs of own lines, and each line.
+* **Hashes.** A passage is normalised (A-Z lower case, white space to one blank,
+  trimmed) and hashed: whole, by line, by paragraph (between blank lines, whatever its
+  line breaks), by sentence of a paragraph and by each ``PHRASE`` successive words. So are the own
+  (level 0) runs of lines of every message of a conversation with quotes. Re-wrapped
+  quotes, one paragraph, one sentence and a part of a paragraph therefore find their
+  origin; a part that is no line, sentence or paragraph needs ``PHRASE`` words.
 * **Links.** A quoted hash joins the first message of the same conversation that
   wrote it, if that has an earlier turn. First occurrences are found by a partial aggregate,
   so a passage quoted or repeated by a third of all rows meets one row. A
@@ -33,6 +36,8 @@ from .common import cut, lower_az, prefix_sums, table
 
 QUOTE = r"^[ \t]*>[> \t]*"  # blanks and signs, no repeated group: any depth is matched
 BREAK = r"\r\n|\r|\n"
+SENTENCE = r"(?<=[.!?][\"')\]]{0,2}) |(?<=[\u3002\uff01\uff1f])"  # where the next one begins
+PHRASE = 8  # words
 
 
 def _lines(text: Column) -> Column:
@@ -49,22 +54,40 @@ def own_text(text: Column) -> Column:
     return F.regexp_replace(kept, r"^[ \t\n]+|[ \t\n]+$", "")
 
 
+def _parts(lines: Column) -> Column:
+    """(hash, words) of a run's normalised lines: whole, lines, paragraphs,
+    sentences and phrases. Blank lines part paragraphs."""
+    joined = F.array_join(lines, "\n")
+    paragraphs = F.transform(F.split(joined, "\n{2,}"), lambda p: F.trim(F.translate(p, "\n", " ")))
+    texts = F.concat(F.array(F.array_join(F.filter(lines, lambda x: x != ""), " ")), lines, paragraphs,
+                     F.flatten(F.transform(paragraphs, lambda p: F.split(p, SENTENCE))))
+    texts = F.array_distinct(F.filter(texts, lambda x: x != ""))
+    # an array of one array: the words are bound once, not for each place
+    words = F.array(F.split(F.array_join(F.filter(lines, lambda x: x != ""), " "), " "))
+    phrases = F.flatten(F.transform(words, lambda ws: F.when(
+        F.size(ws) > PHRASE, F.transform(F.sequence(F.lit(1), F.size(ws) - PHRASE + 1),
+                                         lambda i: F.md5(F.array_join(F.slice(ws, i, PHRASE), " ")))).otherwise(F.array())))
+    entry = lambda hash_, n: F.struct(hash_.alias("hash"), n.alias("words"))
+    # distinct texts and hashes, not structs: those Spark compares pair by pair
+    return F.concat(F.transform(texts, lambda u: entry(F.md5(u), F.size(F.split(u, " ")))),
+                    F.transform(F.array_distinct(phrases), lambda h: entry(h, F.lit(PHRASE))))
+
+
 def units(messages: DataFrame) -> DataFrame:
     """(key, conv_id, turn, level, hash, words) of each run of lines of one level and of
-    each of its lines; key names a distinct message."""
+    its parts; key names a distinct message."""
     line = (messages.select("key", "conv_id", "turn", F.posexplode(_lines(F.col("text"))).alias("at", "line"))
             .withColumn("level", F.length(F.regexp_replace(F.regexp_extract("line", QUOTE, 0), r"[^>]", "")))
             .withColumn("line", normalised(F.regexp_replace("line", QUOTE, ""))))
     # successive lines of one level have one difference of these numbers
     nth = F.row_number().over(Window.partitionBy("key", "level").orderBy("at"))
-    line = line.withColumn("run", F.col("at") - nth).where("line <> ''")
+    line = line.withColumn("run", F.col("at") - nth)
     runs = (line.groupBy("key", "conv_id", "turn", "level", "run")
-            .agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("parts")))
-    whole = F.array_join(F.transform("parts", lambda p: p["line"]), " ")
-    both = runs.select("key", "conv_id", "turn", "level", "run",
-                       F.explode(F.concat(F.array(whole), F.transform("parts", lambda p: p["line"]))).alias("unit"))
-    return both.select("key", "conv_id", "turn", "level", "run", F.md5("unit").alias("hash"),
-                       F.size(F.split("unit", " ")).alias("words"))
+            .agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("parts"))
+            .select("key", "conv_id", "turn", "level", "run", F.transform("parts", lambda p: p["line"]).alias("lines")))
+    return (runs.where(F.exists("lines", lambda x: x != ""))
+            .select("key", "conv_id", "turn", "level", "run", F.explode(_parts(F.col("lines"))).alias("unit"))
+            .select("key", "conv_id", "turn", "level", "run", "unit.hash", "unit.words"))
 
 
 def link(messages: DataFrame) -> tuple[DataFrame, DataFrame]:

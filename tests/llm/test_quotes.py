@@ -58,6 +58,51 @@ def test_links_levels_and_order(spark):
     assert got[1, 2].formatted == "<|user|>\nmy answer\n<|end|>"
 
 
+def parents(spark, rows):
+    got = quotes.conversations(frame(spark, [(1, t, "user", x) for t, x in enumerate(rows)])).collect()
+    return {r.turn: (r.parent_turn, r.n_quoted, r.n_linked) for r in got}
+
+
+def test_rewrapped_and_partial_quotes(spark):
+    mail = ("Dear all, the meeting\nmoves to Monday. Please bring\nyour notes along.\n\n"
+            "The second topic is the budget\nof next year which nobody\nhas read so far\n \nBye")
+    got = parents(spark, [
+        mail, "Something else. It has two sentences!",
+        "> Dear all, the meeting moves to\n> Monday. Please bring your notes along.\nyes",     # one paragraph, re-wrapped
+        "> The second topic is the\n> budget of next year which nobody has\n> read so far\nno",  # the other one
+        "> please bring your\n> notes along.\nsure",                                           # one sentence over lines
+        "> It has two sentences!\nright",                                                      # one sentence of a line
+        "> second topic is the budget of next year\n> which nobody\nhm",                        # a part, re-wrapped
+        "> yes\nso be it",                                                                    # a line
+        "> > Dear all, the\n> > meeting moves to Monday.\n> sure\nfine",                       # two levels
+        "> Never said by anyone in this talk at all\nwhat?"])
+    assert {t: p for t, (p, _, _) in got.items()} == {0: None, 1: None, 2: 0, 3: 0, 4: 0, 5: 1, 6: 0, 7: 2, 8: 4, 9: None}
+    assert got[8][1:] == (2, 2) and got[9][1:] == (1, 0) and all(got[t][1:] == (1, 1) for t in range(2, 8))
+
+
+def test_random_rewrapped_paragraphs_find_their_message(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for c in range(20):
+        said = []
+        for t in range(6):
+            # words of this message only, in paragraphs of several lines
+            paragraphs = [[f"w{c}x{t}x{p}x{k}" for k in range(rng.randint(3, 20))] for p in range(rng.randint(1, 4))]
+            quoted = ""
+            if said and rng.random() < 0.7:
+                want[c, t] = rng.randrange(len(said))
+                quoted = wrapped(rng, rng.choice(said[want[c, t]]), "> ") + "\n"
+            said.append(paragraphs)
+            rows.append((c, t, "user", quoted + "\n\n".join(wrapped(rng, p, "") for p in paragraphs)))
+    got = quotes.conversations(frame(spark, rows)).collect()
+    assert {(r.conv_id, r.turn): r.parent_turn for r in got if r.parent_turn is not None} == want
+
+
+def wrapped(rng, words, sign):
+    n = rng.randint(2, 7)
+    return "\n".join(sign + " ".join(words[k:k + n]) for k in range(0, len(words), n))
+
+
 def test_one_hot_conversation(spark):
     rows = [(1, 0, "user", "the same line")] + [(1, t, "user", "> the same line\nthe same line") for t in range(1, 300)]
     got = quotes.conversations(frame(spark, rows)).collect()
