@@ -5,7 +5,9 @@ a benchmark item, greedy string tiling covers the item with non-overlapping
 matches of at least ``MIN_MATCH`` words: the longest unmarked match is marked
 again and again until none is left, so passages are found in any order. The
 coverage is the share of the item's words inside tiles; a document is
-contaminated by an item if it is ``THRESHOLD`` or more.
+contaminated by an item if it is ``THRESHOLD`` or more, or if one tile has
+``PASSAGE_WORDS`` words or more, however long the item is. An item with fewer than
+``MIN_MATCH`` words contaminates the documents that hold all its words in a row.
 
 * Seeds: Karp-Rabin hashes of ``MIN_MATCH`` successive words, rolled over each
   document and joined with those of the benchmark; a shared hash is verified
@@ -19,8 +21,7 @@ Documents are never shuffled: the benchmark's seeds go to the tasks. Its size
 is measured first. One task's share is at most ``SLICE_WORDS`` words; a larger
 benchmark is cut into slices by item_id, with one pass over the documents each.
 
-Nulls: a null or wordless text is clean; a null item or one with fewer than
-``MIN_MATCH`` words matches nothing. Repeated rows are judged each on its own. An
+Nulls: a null or wordless text is clean; a null or wordless item matches nothing. Repeated rows are judged each on its own. An
 empty table gives an empty result, an empty benchmark leaves every row clean.
 ``clean`` keeps all columns, whatever their names.
 """
@@ -39,6 +40,7 @@ from .common import ship, text_blocks
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
+PASSAGE_WORDS = 13  # of one tile, contaminate whatever their share of the item
 SLICE_WORDS = 2_000_000
 
 _WORDS = re.compile(r"[^\W_]+")
@@ -66,12 +68,16 @@ class Benchmark:
         self.number: dict[str, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
         self.places: dict[int, list[tuple[int, int]]] = {}
+        self.short: dict[int, dict[tuple[int, ...], list[int]]] = {}  # length -> words -> items
         for item_id, text in items:
             ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words(text)], np.int64)
-            if len(ids) < min_match:
+            if not len(ids):
                 continue
             k = len(self.items)
             self.items.append((item_id, ids))
+            if len(ids) < min_match:
+                self.short.setdefault(len(ids), {}).setdefault(tuple(ids.tolist()), []).append(k)
+                continue
             for at, h in enumerate(rolling(ids, min_match).tolist()):
                 self.places.setdefault(h, []).append((k, at))
         self.seeds = np.array(sorted(self.places), np.uint64)
@@ -82,22 +88,22 @@ class Benchmark:
         tokens = words(text)
         ids = np.fromiter(map(self.number.get, tokens, repeat(0)), np.int64, len(tokens))
         m, known = self.min_match, ids > 0
+        out = self._whole(ids, known)
         n = len(ids) - m + 1
         if n <= 0 or not len(self.seeds):
-            return {}, len(ids)
+            return out, len(ids)
         run = known[:n].copy()
         for k in range(1, m):
             run &= known[k:k + n]
         at = np.flatnonzero(run)
         if not len(at):
-            return {}, len(ids)
+            return out, len(ids)
         h = np.zeros(len(at), np.uint64)
         for k in range(m):
             h = h * _BASE + ids[at + k].astype(np.uint64)
         place = np.searchsorted(self.seeds, h)
         place[place == len(self.seeds)] = 0
         hit = self.seeds[place] == h
-        out: dict[int, list[tuple[int, int, int]]] = {}
         open_: dict[tuple[int, int], list[int]] = {}  # (item, diagonal) -> [begin, end] in the text
         for j, key in zip(at[hit].tolist(), h[hit].tolist()):
             for k, i in self.places[key]:
@@ -115,6 +121,19 @@ class Benchmark:
             out.setdefault(k, []).append((b - a, a - diagonal, a))
         return out, len(ids)
 
+    def _whole(self, ids: np.ndarray, known: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+        """The first place of each item of fewer than ``min_match`` words, by item."""
+        out: dict[int, list[tuple[int, int, int]]] = {}
+        for m, wanted in self.short.items():
+            n = max(0, len(ids) - m + 1)
+            run = known[:n].copy()
+            for k in range(1, m):
+                run &= known[k:k + n]
+            for j in np.flatnonzero(run).tolist():
+                for k in wanted.get(tuple(ids[j:j + m].tolist()), ()):
+                    out.setdefault(k, [(m, 0, j)])
+        return out
+
     def tiles(self, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """The greedy tiling (length, place in item, place in text) of the matches."""
         heap = [(-n, i, j) for n, i, j in found]
@@ -140,13 +159,13 @@ class Benchmark:
 
     def judge(self, text: str | None, threshold: float = THRESHOLD):
         """(item_id, item words, covered words, tiles) of each item that the text
-        contains to ``threshold`` or more."""
+        contains to ``threshold`` or more, or ``PASSAGE_WORDS`` words in a row of."""
         out = []
         for k, found in self.matches(text)[0].items():
             item_id, ids = self.items[k]
             tiles = self.tiles(found)
             covered = sum(n for n, _, _ in tiles)
-            if covered >= threshold * len(ids):
+            if covered >= threshold * len(ids) or any(n >= PASSAGE_WORDS for n, _, _ in tiles):
                 out.append((item_id, len(ids), covered, sorted(tiles, key=lambda t: t[1])))
         return out
 

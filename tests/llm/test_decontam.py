@@ -58,6 +58,19 @@ def test_reordered_noisy_and_clean(spark):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, [4, 5, 6, 6, 7]))
 
 
+def test_long_passages_of_long_items_and_short_items(spark):
+    item = [f"word{k}" for k in range(300)]
+    docs = spark.createDataFrame([
+        (1, "x " + " ".join(item[100:240]) + " y"), (2, " ".join(item[50:63])), (3, " ".join(item[50:62])),
+        (4, "It is, Forty-Two! they said"), (5, "two forty"), (6, "forty"), (7, "say Ninety please"), (8, None)],
+        "doc_id long, text string")
+    bench = spark.createDataFrame([(100, " ".join(item)), (101, "forty two"), (102, "ninety"), (103, " .. ")],
+                                  "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.item_words, r.covered_words) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {(1, 100): (300, 140), (2, 100): (300, 13), (4, 101): (2, 2), (7, 102): (1, 1)}
+    assert sorted(r.doc_id for r in decontam.clean(docs, bench).collect()) == [3, 5, 6, 8]
+
+
 def test_slices_give_the_same(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
