@@ -9,6 +9,7 @@ from .language import op5_language
 from .lm import op2_lm_score
 from .mixing import OP9_SQL, op9_mixing
 from .packing import op8_token_ids
+from .pii import op13_pii
 from .quotes import OP7_SQL, op7_chat_quotes
 from .secret_scan import op4_secrets
 from .simhash import op1_simhash
@@ -27,6 +28,7 @@ def queries() -> dict:
         "op8_token_ids": op8_token_ids,
         "op9_mixing": op9_mixing,
         "op10_decontamination": op10_decontamination,
+        "op13_pii": op13_pii,
     }
 
 

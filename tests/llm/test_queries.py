@@ -16,6 +16,7 @@ from .test_ann import brute as brute_neighbours
 from .test_decontam import naive_tiling
 from .test_lm import check_counts
 from .test_packing import want_rows
+from .test_pii import check_base as check_personal
 from .test_secret_scan import check_base
 from .test_simhash import brute_components, brute_fingerprint
 
@@ -33,7 +34,7 @@ def run(spark, name):
 
 def test_one_query_per_operator():
     names = [n for n in E.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == [*range(1, 11), 13]
     assert {"op7_chat_quotes", "op9_mixing"} <= set(E.oracle_sql())
 
 
@@ -98,3 +99,7 @@ def test_op10(spark, rows):
     assert want <= got
     text = {i: " ".join(decontam.words(t)) for i, t in rows}
     assert all((i, k) in want or " ".join(items[k]) in text[i] for i, k in got)
+
+
+def test_op13(spark, rows):
+    check_personal(rows, run(spark, "op13_pii"))
