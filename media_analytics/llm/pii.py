@@ -59,8 +59,8 @@ GAP = 3                # white space between two tokens of a run, at most
 SAMPLE_DOCS = 20_000   # documents that the rules label for training, about
 SAMPLE_KEPT = 2000     # of these, with a finding and without one, each at most
 SAMPLE_TOKENS = 200
-DRAWN = 3000           # drawn texts
-FALSE = 0.001
+DRAWN = 6000           # drawn texts
+FALSE = 0.002
 ROUNDS = 20
 TAIL = 7
 LEAST_KEY = 4
@@ -249,6 +249,12 @@ class Field:
         last[b.left] = False
         return u + first[:, None] * self.t[NONE] + last[:, None] * self.t[:, NONE]
 
+    def ties(self) -> np.ndarray:
+        """Log potential of a token and the node of its key, for both kinds of link: two
+        tokens tied to one node then agree in a label by the factor exp(s)."""
+        e = np.exp(self.s)
+        return np.log(e + np.sqrt(e * e + (LABELS - 2) * e - (LABELS - 1)))
+
     def marginals(self, b: Batch, held: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
         """Label probabilities by loopy sum-product; ``held``: label of a token that is
         known, -1 for the others."""
@@ -259,7 +265,7 @@ class Field:
         right = b.left + 1
         onward, back = np.zeros((len(right), LABELS)), np.zeros((len(right), LABELS))
         down = np.zeros((len(b.token), LABELS))  # from a key's node to a token
-        tie = self.s[b.which][:, None, :] * np.eye(LABELS)
+        tie = self.ties()[b.which][:, None, :] * np.eye(LABELS)
         for _ in range(rounds):
             belief = u.copy()
             belief[right] += onward
@@ -489,12 +495,12 @@ def learn(docs: DataFrame) -> Field:
             for r in seen.where(F.col("found") == flag).orderBy("h").limit(SAMPLE_KEPT).collect()]
     train, test = ([], [], []), ([], [], [])
     for r in rows:
-        fold = test if r.h % 5 == 0 else train
+        fold = test if r.h % 3 == 0 else train
         fold[0].append(r.text)
         fold[1].append(list(zip(r.starts, r.ends)))
         fold[2].extend(r.y)
     for k, (text, spans) in enumerate(_drawn(np.random.default_rng(5), DRAWN)):
-        fold, at = (test if k % 5 == 0 else train), tokens(text)
+        fold, at = (test if k % 3 == 0 else train), tokens(text)
         fold[0].append(text)
         fold[1].append(at)
         fold[2].extend(labels(spans + rule_spans(text), at))

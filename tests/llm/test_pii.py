@@ -123,13 +123,15 @@ def test_marginals_are_exact_without_loops():
     star = [k for k in range(len(b.token)) if b.which[k] == 0]  # the star of equal tokens alone is a tree
     b.token, b.key, b.which = b.token[star], np.zeros(2, int), b.which[star]
     b.keys = 1
+    pair = np.exp(field.ties()[0] * 2) + pii.LABELS - 1  # two tokens of one label, against two labels of tie 1
+    assert field.ties().shape == (2, pii.LABELS) and (pair > pii.LABELS).all()
     held = np.array([-1, -1, 4, -1])
     u, want = field.unary(b), np.zeros((b.n, pii.LABELS))
     for y in itertools.product(range(pii.LABELS), repeat=b.n):
         if y[2] != 4:
             continue
         base = sum(u[i, y[i]] for i in (0, 1, 3)) + field.t[y[0], y[1]]
-        total = sum(np.exp(base + sum(field.s[0, node] * (y[i] == node) for i in b.token)) for node in range(pii.LABELS))
+        total = sum(np.exp(base + sum(field.ties()[0, node] * (y[i] == node) for i in b.token)) for node in range(pii.LABELS))
         for i in range(b.n):
             want[i, y[i]] += total
     want /= want.sum(1, keepdims=True)
