@@ -6,6 +6,7 @@ from __future__ import annotations
 from .ann import op6_ann
 from .decontam import op10_decontamination
 from .language import op5_language
+from .lexical import OP12_SQL, op12_lexical_search
 from .lm import op2_lm_score
 from .mixing import OP9_SQL, op9_mixing
 from .packing import op8_token_ids
@@ -28,9 +29,10 @@ def queries() -> dict:
         "op8_token_ids": op8_token_ids,
         "op9_mixing": op9_mixing,
         "op10_decontamination": op10_decontamination,
+        "op12_lexical_search": op12_lexical_search,
         "op13_pii": op13_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_quotes": OP7_SQL, "op9_mixing": OP9_SQL}
+    return {"op7_chat_quotes": OP7_SQL, "op9_mixing": OP9_SQL, "op12_lexical_search": OP12_SQL}
