@@ -89,11 +89,11 @@ class Shard:
         at = [0] * len(lists)
         after = np.array([v[0] for _, _, v in lists], np.int64)  # next value of each list
         factor = np.array([c for c, _, _ in lists], np.int64)
-        target = int((factor * after).max(initial=0))
+        open_ = np.ones(len(lists), bool)  # lists that can still change the answer
         while True:
-            target = int(target * STEP)
+            target = int((factor * after)[open_].max(initial=0) * STEP)
             for k, (c, docs, values) in enumerate(lists):
-                if at[k] < len(docs) and c * after[k] >= target:
+                if open_[k] and at[k] < len(docs) and c * after[k] >= target:
                     # to the first value below the target; the values fall
                     end = len(docs) - int(np.searchsorted(values[at[k]:][::-1], -(-target // c))) if target else len(docs)
                     end = max(end, at[k] + 1)
@@ -113,6 +113,7 @@ class Shard:
             found = found[lower[found] + left >= reach]
             missing = ~seen[:, found] & (self.least[found][None, :] <= after[:, None])
             upper = lower[found] + (missing * (factor * after)[:, None]).sum(0)
+            open_ = missing[:, upper >= reach].any(1)
             found, upper = found[upper >= reach], upper[upper >= reach]
             if not left or (upper == lower[found]).all():
                 order = np.lexsort((self.ids[found], ~self.known[found], -lower[found]))[:top]
