@@ -10,6 +10,7 @@ from .lexical import OP12_SQL, op12_lexical_search
 from .lm import op2_lm_score
 from .mixing import OP9_SQL, op9_mixing
 from .packing import op8_token_ids
+from .phrases import OP11_SQL, op11_collocations
 from .pii import op13_pii
 from .quotes import OP7_SQL, op7_chat_quotes
 from .secret_scan import op4_secrets
@@ -29,10 +30,12 @@ def queries() -> dict:
         "op8_token_ids": op8_token_ids,
         "op9_mixing": op9_mixing,
         "op10_decontamination": op10_decontamination,
+        "op11_collocations": op11_collocations,
         "op12_lexical_search": op12_lexical_search,
         "op13_pii": op13_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_quotes": OP7_SQL, "op9_mixing": OP9_SQL, "op12_lexical_search": OP12_SQL}
+    return {"op7_chat_quotes": OP7_SQL, "op9_mixing": OP9_SQL, "op11_collocations": OP11_SQL,
+            "op12_lexical_search": OP12_SQL}
