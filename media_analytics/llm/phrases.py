@@ -375,7 +375,7 @@ def lowest_cuts(a: np.ndarray, n: np.ndarray, left: list[np.ndarray], right: lis
 def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, dictionary: int = DICTIONARY,
          first_batch: int = FIRST_BATCH, batch: int = BATCH) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` best phrases."""
-    import pandas as pd
+    import pyarrow as pa
 
     spark = docs.sparkSession
     ship(spark)
@@ -418,9 +418,10 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, dictionary: int =
                 for g in np.unique(lang[keep]):
                     more = np.concatenate([best.get(langs[g], np.zeros(0, np.int64)), score[keep & (lang == g)]])
                     best[langs[g]] = np.sort(more)[::-1][:top]
-                rows = pd.DataFrame({"lang": langs[lang[keep]], "a": a[keep], "l": x[keep], "r": y[keep],
-                                     "n": n_of[lang[keep]], "score": score[keep], "ids": list(phrases[keep])})
-                if len(rows):
+                own_n, ids = n_of[lang[keep]].astype(np.int64), phrases[keep]
+                rows = pa.table({"lang": langs[lang[keep]].tolist(), "a": a[keep], "l": x[keep], "r": y[keep], "n": own_n,
+                                 "score": score[keep], "ids": pa.array(ids.tolist(), pa.list_(pa.int64()))})
+                if rows.num_rows:
                     spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
     bars = spark.createDataFrame([(x, int(s[-1]) if len(s) == top else 0) for x, s in best.items()], "lang string, bar long")
     kept = (spark.read.schema(schema).parquet(path).join(bars, "lang").where(F.col("score") >= F.col("bar")).drop("bar")
