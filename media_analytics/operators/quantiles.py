@@ -81,11 +81,11 @@ def _read(sketches: DataFrame, fractions: dict[str, Sequence[float]]):
     return sketches.select(*out).first()
 
 
-def _numbers(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
-    """The columns as doubles under safe names, NaN as null."""
+def _numbers(df: DataFrame, columns: Sequence[str], *others: str) -> tuple[DataFrame, dict[str, str]]:
+    """The columns as doubles under safe names, NaN as null, and the ``others`` as they are."""
     name = {c: f"_x{j}" for j, c in enumerate(columns)}
     x = {c: F.col(c).cast("double") for c in columns}
-    return df.select(*[F.when(~F.isnan(x[c]), x[c]).alias(name[c]) for c in columns]), name
+    return df.select(*others, *[F.when(~F.isnan(x[c]), x[c]).alias(name[c]) for c in columns]), name
 
 
 def _plan(probs: Sequence[float], n: int):
@@ -177,10 +177,25 @@ def _gather(base: DataFrame, small: list[_Interval], found: dict) -> None:
             seen += c
 
 
+def kept_sketches(df: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
+    """A row per value of ``by`` with the count ``n_<column>`` and the KLL sketch
+    ``k_<column>`` of each column, to be written and merged later."""
+    base, name = _numbers(df.select(by, *columns), columns, by)
+    level1 = base.groupBy(by, (F.spark_partition_id() % KLL_BUCKETS).alias("_b")).agg(
+        *[a for c in columns for a in (F.count(name[c]).alias(f"n_{c}"),
+                                       F.kll_sketch_agg_double(name[c], KLL_K).alias(f"k_{c}"))])
+    return level1.groupBy(by).agg(*[a for c in columns for a in (F.sum(f"n_{c}").alias(f"n_{c}"),
+                                                                 F.kll_merge_agg_double(f"k_{c}").alias(f"k_{c}"))])
+
+
 def multi_exact_quantiles(df: DataFrame, spec: dict[str, Sequence[float]], *,
-                          max_candidates: int = DEFAULT_MAX_CANDIDATES) -> dict[str, list[float | None]]:
+                          max_candidates: int = DEFAULT_MAX_CANDIDATES,
+                          sketches: DataFrame | None = None) -> dict[str, list[float | None]]:
     """Exact linear quantiles of several columns of one table in shared passes
-    (nulls and NaN ignored; None for an empty column)."""
+    (nulls and NaN ignored; None for an empty column).
+
+    ``sketches``: the ``kept_sketches`` of exactly these rows; the first round then merges
+    them and reads no row of ``df``."""
     cols = list(spec)
     if not cols:
         return {}
@@ -188,7 +203,12 @@ def multi_exact_quantiles(df: DataFrame, spec: dict[str, Sequence[float]], *,
     # the first round's sketches need no counts before them: read on a grid of the wanted fractions
     m = _MARGIN * KLL_EPS
     grid = {name[c]: [f for p in spec[c] for f in (p - m, p + m)] for c in cols}
-    first = _read(_sketches(base, {x: F.col(x) for x in name.values()}), grid)
+    if sketches is None:
+        merged = _sketches(base, {x: F.col(x) for x in name.values()})
+    else:
+        merged = sketches.agg(*[a for c, x in name.items() for a in (
+            F.coalesce(F.sum(f"n_{c}"), F.lit(0)).alias(f"n{x}"), F.kll_merge_agg_double(f"k_{c}").alias(f"k{x}"))])
+    first = _read(merged, grid)
     plans, found, open_ = {}, {}, []
     start: dict[int, list[float]] = {}
     for c in cols:

@@ -20,11 +20,13 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from ..functions.constants import CATEGORIES
 from ..operators import enrich, evaluate, filters, growth, kpi, performance, predict, quality
-from ..operators import recommend, rollup, strategy
+from ..operators import recommend, rollup, state, strategy
+from ..operators.common import literal_rows
 from ..operators.quantiles import quantile_table
 from ..session import ensure_checkpoint_dir
-from ..sources import pages, testviews
+from ..sources import files, pages, testviews
 from ..sources.testviews import AS_OF, test_channel_table, test_video_keys, test_video_table
+from . import refresh
 
 # fixed values: the filter used by the filtered-report queries
 REPORT_SPEC = filters.FilterSpec(start=date(1997, 1, 1), end=date(1999, 12, 31),
@@ -52,6 +54,7 @@ class Context:
     _features: DataFrame | None = None
     _models: dict | None = None
     _dirty: tuple | None = None
+    _refreshed: str | None = None
 
     @property
     def typed(self) -> DataFrame:
@@ -105,6 +108,20 @@ class Context:
         return self._dirty
 
 
+    @property
+    def refreshed(self) -> str:
+        """Root of the tables after two fetches (``plans.refresh``): the first lacks some videos
+        and has older counters and dates of others, the second brings them up to the test views."""
+        if self._refreshed is None:
+            root = f"{self.folder or ensure_checkpoint_dir(self.spark).rstrip('/')}/refreshed-{uuid.uuid4().hex}"
+            for fetch in (1, 2):
+                rows = testviews.fetched_videos(self.typed, fetch)
+                refresh.refresh(root, enrich.with_time_and_rates(rows, AS_OF).select(
+                    "fetched_at", *[c for c in enrich.VIDEO_COLUMNS if c != "performance_category"]), ["fetched_at"])
+            self._refreshed = root
+        return self._refreshed
+
+
 _CONTEXTS: dict[tuple[int, str], Context] = {}
 # PERSIST = False rebuilds the shared tables inside every plan, for inspecting
 # whole plans from the raw tables.
@@ -557,6 +574,62 @@ def q_dirty_channel_rollup(spark, d):
     return context(spark, d).dirty[1]
 
 
+# Tables after two fetches: reports from their merged states and sketches
+def _days(spark, d, spec=filters.FilterSpec()):
+    return state.filter_days(refresh.stored(spark, context(spark, d).refreshed, "days"), spec)
+
+
+def q_refreshed_videos(spark, d):
+    """S4 after two fetches; the category's thresholds start from the stored sketches."""
+    return refresh.enriched(spark, context(spark, d).refreshed)
+
+
+def q_refreshed_thresholds(spark, d):
+    q25, q75 = refresh.thresholds(spark, context(spark, d).refreshed)
+    return literal_rows(spark, [("q25", [q25]), ("q75", [q75])])
+
+
+def q_refreshed_channel_rollup(spark, d):
+    ctx = context(spark, d)
+    return state.rollup_from_days(refresh.stored(spark, ctx.refreshed, "days"), ctx.channel_attrs, AS_OF)
+
+
+def q_refreshed_channel_profile(spark, d):
+    return rollup.channel_profile(q_refreshed_channel_rollup(spark, d))
+
+
+def q_refreshed_engagement_trend(spark, d):
+    return state.trend_from_days(_days(spark, d))
+
+
+def q_refreshed_channel_trend(spark, d):
+    """G1 of named channels and dates, from the state."""
+    return state.trend_from_days(_days(spark, d, CHANNEL_SPEC))
+
+
+def q_refreshed_monthly_growth(spark, d):
+    return state.months_from_days(_days(spark, d))
+
+
+def q_refreshed_engagement_by_weekday(spark, d):
+    return state.weekdays_from_days(_days(spark, d))
+
+
+def q_refreshed_publishing_calendar(spark, d):
+    return state.calendar_from_days(_days(spark, d))
+
+
+def q_refreshed_publish_heatmap(spark, d):
+    return state.heatmap_from_hours(state.filter_days(refresh.stored(spark, context(spark, d).refreshed, "hours")))
+
+
+def q_csv_videos(spark, d):
+    """S4 + X2: the videos written as CSV, some titles with line breaks and quotes, and read back."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-videos-{uuid.uuid4().hex}"
+    files.write_videos(testviews.broken_titles(context(spark, d).videos), path)
+    return files.read_table_csv(spark, path)
+
+
 def q_recommendations(spark, d):
     ctx = context(spark, d)
     return recommend.recommendations(ctx.fv, ctx.fc)

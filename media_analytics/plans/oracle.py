@@ -586,6 +586,22 @@ FROM videos"""
     q["views_engagement_corr"] = _q("""
 SELECT COUNT(*) AS videos, corr(CAST(views AS DOUBLE), engagement_rate) AS corr_views_engagement FROM videos""",
         ["corr_views_engagement"])
+    # after two fetches the tables equal the test views
+    for name in ("channel_rollup", "channel_profile", "engagement_trend", "monthly_growth", "engagement_by_weekday",
+                 "publishing_calendar", "publish_heatmap"):
+        q[f"refreshed_{name}"] = q[name]
+    q["refreshed_videos"] = q["enriched_videos"]
+    q["refreshed_thresholds"] = _q("SELECT q25, q75 FROM qs", ["q25", "q75"])
+    eight = ", ".join(f"'Customer#{k:09d}'" for k in (1, 2, 4, 7, 11, 50, 100, 149))
+    q["refreshed_channel_trend"] = _q(f"""
+SELECT CAST(publish_date AS DATE) AS publish_date, AVG(engagement_rate) AS engagement_rate FROM videos
+WHERE CAST(publish_date AS DATE) BETWEEN DATE '1996-03-01' AND DATE '2000-06-30' AND channel_name IN ({eight})
+GROUP BY 1""", ["engagement_rate"])
+    q["csv_videos"] = _q("""
+SELECT * REPLACE (title || CASE WHEN video_id % 13 = 0 THEN chr(10) || '"second", line' || chr(10) || chr(10) || 'end'
+                           WHEN video_id % 7 = 0 THEN ' "q", x' ELSE '' END AS title,
+                  CAST(video_id AS VARCHAR) AS video_id, CAST(channel_id AS VARCHAR) AS channel_id)
+FROM videos""", VIDEO_FLOATS)
     q["week_over_week"] = _q(f"""
 SELECT week, views, videos, engagement_rate,
   {_div('views', 'LAG(views) OVER (ORDER BY week)')} * 100 - 100 AS views_change_pct,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .csv_records import read_csv
 from .pages import count, utc_timestamp
 
 
@@ -57,10 +58,9 @@ def read_table_csv(spark: SparkSession, path: str) -> DataFrame:
     counters typed tolerantly (C1: bad text -> 0 for video counters, NULL for
     subscribers), times parsed to UTC (C2), known measures cast with
     ``try_cast``; other columns stay text. Quotes inside a field are doubled and a
-    field may hold line breaks, so one file is one task: large tables are read
-    in parallel by file."""
-    df = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-          .option("escape", '"').option("multiLine", True).csv(path))
+    field may hold line breaks; large files are read in many tasks all the same
+    (``csv_records``)."""
+    df = read_csv(spark, path)
     out = []
     for c in df.columns:
         if c in ZERO_COUNTERS:

@@ -93,6 +93,28 @@ def dirty_category(videos: DataFrame) -> DataFrame:
                              .otherwise(F.col("performance_category")))
 
 
+def fetched_videos(typed: DataFrame, fetch: int) -> DataFrame:
+    """The rows of the first or second fetch of the test videos, with ``fetched_at``. The first
+    lacks every fifth video and has older counters and dates of some. The second has these,
+    every 14th video also as an older row of the same fetch."""
+    k = F.col("video_id")
+    older = typed.select([
+        F.when(k % 7 == 0, F.floor(F.col(c) / 2)).otherwise(F.col(c)).cast("bigint").alias(c) if c in ("views", "likes")
+        else F.when(k % 11 == 0, F.col(c) - F.make_dt_interval(F.lit(400))).otherwise(F.col(c)).alias(c) if c == "publish_date"
+        else F.col(c) for c in typed.columns])
+    if fetch == 1:
+        return older.where(k % 5 != 1).withColumn("fetched_at", F.lit(1))
+    return (typed.where((k % 5 == 1) | (k % 7 == 0) | (k % 11 == 0)).withColumn("fetched_at", F.lit(3))
+            .unionByName(older.where(k % 14 == 0).withColumn("fetched_at", F.lit(2))))
+
+
+def broken_titles(videos: DataFrame) -> DataFrame:
+    """Titles as people write them: some with quotes, commas and line breaks."""
+    k, t = F.col("video_id"), F.col("title")
+    return videos.withColumn("title", F.when(k % 13 == 0, F.concat(t, F.lit('\n"second", line\n\nend')))
+                             .when(k % 7 == 0, F.concat(t, F.lit(' "q", x'))).otherwise(t))
+
+
 # ---- landed pages made from the tables ----------------------------------------
 
 PAGE_ITEMS = 50  # items of one response page
