@@ -1,4 +1,8 @@
-"""Growth and engagement reports: G1-G7, W1, W2, J6, F8, X3, X6, X7."""
+"""Growth and engagement reports: G1-G7, W1, W2, J6, F8, X3, X6, X7.
+
+Reports per day, month or week list the periods that have videos; with ``every_day`` /
+``every_month`` (always for the weeks, which are compared with each other) they list every
+period from the first to the last: counts and totals of an empty one are 0, means NULL."""
 
 from __future__ import annotations
 
@@ -12,11 +16,21 @@ from ..functions.scalar import ntz_literal
 from .common import dimension, keep_labels
 
 
-def engagement_trend(fv: DataFrame) -> DataFrame:
+def fill_periods(agg: DataFrame, period: str, step: str, zero: tuple[str, ...] = ()) -> DataFrame:
+    """``agg`` (one row per date ``period``) with a row for every ``step`` ("1 day", "7 days",
+    "1 month") from the first to the last; the ``zero`` columns of added rows are 0, others
+    NULL. The periods are generated from the two ends, so they number the calendar, not the data."""
+    ends = agg.agg(F.min(period).alias("a"), F.max(period).alias("b"))
+    spine = ends.where("a IS NOT NULL").select(F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {step}"))).alias(period))
+    return spine.join(agg, period, "left").fillna(0, subset=list(zero)).select(*agg.columns)
+
+
+def engagement_trend(fv: DataFrame, every_day: bool = False) -> DataFrame:
     """G1: mean engagement rate per publish date."""
-    return (fv.where(F.col("publish_date").isNotNull())
-            .groupBy(F.to_date("publish_date").alias("publish_date"))
-            .agg(F.avg("engagement_rate").alias("engagement_rate")))
+    daily = (fv.where(F.col("publish_date").isNotNull())
+             .groupBy(F.to_date("publish_date").alias("publish_date"))
+             .agg(F.avg("engagement_rate").alias("engagement_rate")))
+    return fill_periods(daily, "publish_date", "1 day") if every_day else daily
 
 
 def views_by_category(fv: DataFrame) -> DataFrame:
@@ -32,12 +46,13 @@ def views_by_category(fv: DataFrame) -> DataFrame:
                                  F.lit(0.0)).alias("share_pct"))
 
 
-def monthly_growth(fv: DataFrame) -> DataFrame:
+def monthly_growth(fv: DataFrame, every_month: bool = False) -> DataFrame:
     """Views and videos per calendar month (a DATE, first of month)."""
-    return (fv.where(F.col("publish_date").isNotNull())
-            .groupBy(F.trunc(F.to_date("publish_date"), "MM").alias("month"))
-            .agg(F.sum("views").cast("bigint").alias("views"),
-                 F.count("video_id").alias("videos")))
+    monthly = (fv.where(F.col("publish_date").isNotNull())
+               .groupBy(F.trunc(F.to_date("publish_date"), "MM").alias("month"))
+               .agg(F.sum("views").cast("bigint").alias("views"),
+                    F.count("video_id").alias("videos")))
+    return fill_periods(monthly, "month", "1 month", ("views", "videos")) if every_month else monthly
 
 
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
@@ -120,7 +135,8 @@ def views_engagement_corr(fv: DataFrame) -> DataFrame:
 
 def week_over_week(v: DataFrame) -> DataFrame:
     """Weekly views, videos and mean engagement with change vs the previous
-    week (%, NULL for the first week or a zero base).
+    week (%, NULL for the first week or a zero base). Weeks without videos are listed
+    with 0, so the previous row is always the week before.
 
     ``lag`` runs on the weekly aggregate (about 52 rows a year), not on videos.
     """
@@ -129,6 +145,7 @@ def week_over_week(v: DataFrame) -> DataFrame:
               .agg(F.sum("views").cast("bigint").alias("views"),
                    F.count("video_id").alias("videos"),
                    F.avg("engagement_rate").alias("engagement_rate")))
+    weekly = fill_periods(weekly, "week", "7 days", ("views", "videos"))
     w = Window.orderBy("week")
     prev_v = F.lag("views").over(w)
     prev_n = F.lag("videos").over(w)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ..functions.constants import CATEGORIES
-from ..operators import enrich, evaluate, filters, growth, kpi, performance, predict, quality
+from ..operators import bucketed, enrich, evaluate, filters, growth, kpi, performance, predict, quality
 from ..operators import recommend, rollup, state, strategy
 from ..operators.common import literal_rows
 from ..operators.quantiles import quantile_table
@@ -55,6 +55,19 @@ class Context:
     _models: dict | None = None
     _dirty: tuple | None = None
     _refreshed: str | None = None
+    _checked: bool = False
+    _bucketed: bucketed.BucketedTables | None = None
+
+    @property
+    def bucketed(self) -> bucketed.BucketedTables:
+        """The raw videos and the channels in buckets of the channel."""
+        if self._bucketed is None:
+            tag = uuid.uuid4().hex
+            root = f"{self.folder or ensure_checkpoint_dir(self.spark).rstrip('/')}/bucketed-{tag}"
+            buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            raw = self.typed.drop("channel_name", "ch_subscribers", "channel_created")
+            self._bucketed = bucketed.store_bucketed(raw, self.channel_attrs, root, f"media_{tag}", buckets)
+        return self._bucketed
 
     @property
     def typed(self) -> DataFrame:
@@ -88,8 +101,13 @@ class Context:
     def fv(self) -> DataFrame:
         """The dashboard's default filter: all dates, channels and categories. The
         channel table is the rollup of these videos, so "all channels" is every
-        video with a channel name."""
-        return filters.apply_filters(self.videos, filters.FilterSpec())
+        video with a channel name. Reports stop with an error if that is none (S7,
+        looked up once)."""
+        fv = filters.apply_filters(self.videos, filters.FilterSpec())
+        if not self._checked:
+            filters.require_rows(fv, "videos match the filters")
+            self._checked = True
+        return fv
 
     @property
     def fc(self) -> DataFrame:
@@ -173,6 +191,8 @@ def release(spark: SparkSession | None = None) -> None:
         if spark is None or ctx.spark is spark:
             for m in (ctx._models or {}).values():
                 m.predictions.unpersist()
+            if ctx._bucketed:
+                ctx._bucketed.drop()
             if ctx.folder:
                 jvm, conf = ctx.spark._jvm, ctx.spark._jsc.hadoopConfiguration()
                 path = jvm.org.apache.hadoop.fs.Path(ctx.folder)
@@ -231,13 +251,13 @@ def q_snapshot_profile(spark, d):
 def q_filtered_profile(spark, d):
     """S6 under filters: the dashboard header (videos, channels, date range of fv)."""
     ctx = context(spark, d)
-    return filters.snapshot_profile(filters.apply_filters(ctx.videos, REPORT_SPEC),
-                                    filters.apply_channel_filter(ctx.channels, REPORT_SPEC))
+    return filters.snapshot_profile(*filters.select_report(ctx.videos, ctx.channels, REPORT_SPEC))
 
 
 def q_filtered_strategic_kpis(spark, d):
     """K1-K5 over the filtered videos."""
-    return kpi.strategic_kpis(filters.apply_filters(context(spark, d).videos, REPORT_SPEC))
+    ctx = context(spark, d)
+    return kpi.strategic_kpis(filters.select_report(ctx.videos, ctx.channels, REPORT_SPEC)[0])
 
 
 def q_filter_domain(spark, d):
@@ -570,6 +590,26 @@ def q_dirty_strategic_kpis(spark, d):
     return kpi.strategic_kpis(q_dirty_filtered(spark, d))
 
 
+def _gaps(spark, d):
+    """The view with faults, without the weeks whose number divides by 5."""
+    return context(spark, d).dirty[0].where(F.weekofyear("publish_date") % 5 != 0)
+
+
+def q_dirty_week_over_week(spark, d):
+    """X6 where weeks have no video."""
+    return growth.week_over_week(_gaps(spark, d))
+
+
+def q_dirty_daily_trend(spark, d):
+    """G1 with every day listed."""
+    return growth.engagement_trend(_gaps(spark, d), every_day=True)
+
+
+def q_dirty_monthly_growth(spark, d):
+    """G3 with every month listed; only the first quarter of each year has videos."""
+    return growth.monthly_growth(_gaps(spark, d).where("publish_month_num <= 3"), every_month=True)
+
+
 def q_dirty_channel_rollup(spark, d):
     return context(spark, d).dirty[1]
 
@@ -623,6 +663,18 @@ def q_refreshed_publish_heatmap(spark, d):
     return state.heatmap_from_hours(state.filter_days(refresh.stored(spark, context(spark, d).refreshed, "hours")))
 
 
+def q_bucketed_videos(spark, d):
+    """J1 from the buckets, enriched as the shared table."""
+    ctx = context(spark, d)
+    cold, beside = bucketed.videos_with_channels(ctx.bucketed)
+    return _enriched(enrich.with_time_and_rates(cold.unionByName(beside), AS_OF), ctx.thresholds)
+
+
+def q_bucketed_channel_rollup(spark, d):
+    """A1 + A2 and J3 without an exchange of videos."""
+    return bucketed.bucketed_rollup(context(spark, d).bucketed, lambda v: enrich.with_time_and_rates(v, AS_OF), AS_OF)
+
+
 def q_csv_videos(spark, d):
     """S4 + X2: the videos written as CSV, some titles with line breaks and quotes, and read back."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-videos-{uuid.uuid4().hex}"
@@ -637,8 +689,7 @@ def q_recommendations(spark, d):
 
 def q_benchmark_index(spark, d):
     ctx = context(spark, d)
-    fv = filters.apply_filters(ctx.videos, REPORT_SPEC)
-    fc = filters.apply_channel_filter(ctx.channels, REPORT_SPEC)
+    fv, fc = filters.select_report(ctx.videos, ctx.channels, REPORT_SPEC)
     return recommend.benchmark_index(fv, fc, ctx.videos, ctx.channels)
 
 

@@ -590,7 +590,8 @@ SELECT COUNT(*) AS videos, corr(CAST(views AS DOUBLE), engagement_rate) AS corr_
     for name in ("channel_rollup", "channel_profile", "engagement_trend", "monthly_growth", "engagement_by_weekday",
                  "publishing_calendar", "publish_heatmap"):
         q[f"refreshed_{name}"] = q[name]
-    q["refreshed_videos"] = q["enriched_videos"]
+    q["refreshed_videos"] = q["bucketed_videos"] = q["enriched_videos"]
+    q["bucketed_channel_rollup"] = q["channel_rollup"]
     q["refreshed_thresholds"] = _q("SELECT q25, q75 FROM qs", ["q25", "q75"])
     eight = ", ".join(f"'Customer#{k:09d}'" for k in (1, 2, 4, 7, 11, 50, 100, 149))
     q["refreshed_channel_trend"] = _q(f"""
@@ -602,14 +603,40 @@ SELECT * REPLACE (title || CASE WHEN video_id % 13 = 0 THEN chr(10) || '"second"
                            WHEN video_id % 7 = 0 THEN ' "q", x' ELSE '' END AS title,
                   CAST(video_id AS VARCHAR) AS video_id, CAST(channel_id AS VARCHAR) AS channel_id)
 FROM videos""", VIDEO_FLOATS)
-    q["week_over_week"] = _q(f"""
-SELECT week, views, videos, engagement_rate,
-  {_div('views', 'LAG(views) OVER (ORDER BY week)')} * 100 - 100 AS views_change_pct,
-  {_div('videos', 'LAG(videos) OVER (ORDER BY week)')} * 100 - 100 AS videos_change_pct
-FROM (SELECT CAST(date_trunc('week', publish_date) AS DATE) AS week, CAST(SUM(views) AS BIGINT) AS views,
-        COUNT(video_id) AS videos, AVG(engagement_rate) AS engagement_rate
-      FROM videos WHERE publish_date IS NOT NULL GROUP BY 1)""",
-        ["engagement_rate", "views_change_pct", "videos_change_pct"])
+    def weeks(condition: str) -> str:
+        return f"""
+SELECT w.week, COALESCE(w.views, 0) AS views, COALESCE(w.videos, 0) AS videos, w.engagement_rate,
+  {_div('COALESCE(w.views, 0)', 'p.views')} * 100 - 100 AS views_change_pct,
+  {_div('COALESCE(w.videos, 0)', 'p.videos')} * 100 - 100 AS videos_change_pct
+FROM (SELECT s.week, a.views, a.videos, a.engagement_rate
+      FROM (SELECT CAST(unnest(generate_series(MIN(week), MAX(week), INTERVAL 7 DAY)) AS DATE) AS week FROM weekly) s
+      LEFT JOIN weekly a ON a.week = s.week) w
+LEFT JOIN weekly p ON p.week = w.week - 7""", f"""
+weekly AS (
+  SELECT CAST(date_trunc('week', publish_date) AS DATE) AS week, CAST(SUM(views) AS BIGINT) AS views,
+    COUNT(video_id) AS videos, AVG(engagement_rate) AS engagement_rate
+  FROM videos WHERE publish_date IS NOT NULL AND {condition} GROUP BY 1)"""
+
+    changes = ["engagement_rate", "views_change_pct", "videos_change_pct"]
+    gaps = "weekofyear(publish_date) % 5 <> 0"
+    body, extra = weeks("TRUE")
+    q["week_over_week"] = _q(body, changes, extra=extra)
+    body, extra = weeks(gaps)
+    q["dirty_week_over_week"] = _q(body, changes, ctes=base_ctes(dirty=True), extra=extra)
+    q["dirty_daily_trend"] = _q("""
+SELECT s.publish_date, a.engagement_rate
+FROM (SELECT CAST(unnest(generate_series(MIN(publish_date), MAX(publish_date), INTERVAL 1 DAY)) AS DATE) AS publish_date FROM daily) s
+LEFT JOIN daily a ON a.publish_date = s.publish_date""", ["engagement_rate"], ctes=base_ctes(dirty=True), extra=f"""
+daily AS (
+  SELECT CAST(publish_date AS DATE) AS publish_date, AVG(engagement_rate) AS engagement_rate
+  FROM videos WHERE publish_date IS NOT NULL AND {gaps} GROUP BY 1)""")
+    q["dirty_monthly_growth"] = _q("""
+SELECT s.month, COALESCE(a.views, 0) AS views, COALESCE(a.videos, 0) AS videos
+FROM (SELECT CAST(unnest(generate_series(MIN(month), MAX(month), INTERVAL 1 MONTH)) AS DATE) AS month FROM monthly) s
+LEFT JOIN monthly a ON a.month = s.month""", [], ctes=base_ctes(dirty=True), extra=f"""
+monthly AS (
+  SELECT CAST(date_trunc('month', publish_date) AS DATE) AS month, CAST(SUM(views) AS BIGINT) AS views, COUNT(video_id) AS videos
+  FROM videos WHERE publish_date IS NOT NULL AND {gaps} AND publish_month_num <= 3 GROUP BY 1)""")
     q["last_90_days"] = _q("""
 SELECT videos.* FROM videos, (SELECT CAST(MAX(publish_date) AS DATE) AS e FROM videos) a
 WHERE CAST(publish_date AS DATE) >= a.e - 90 AND CAST(publish_date AS DATE) <= a.e""", VIDEO_FLOATS)

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import enrich, filters, rollup
-from ..session import persist
+from ..session import cut_lineage
 from ..sources import files, pages
+from .refresh import newest
 
 
 @dataclass
@@ -19,12 +20,6 @@ class Snapshot:
     videos: DataFrame
     channels: DataFrame
     profile: DataFrame
-    held: tuple = ()
-
-    def release(self) -> None:
-        """Unpersist what the job kept for its own passes."""
-        for df in self.held:
-            df.unpersist()
 
 
 def build_snapshot(spark: SparkSession, channel_pages: str, video_pages: str, as_of: datetime,
@@ -34,8 +29,9 @@ def build_snapshot(spark: SparkSession, channel_pages: str, video_pages: str, as
 
     ``batch_semantics`` selects the batch script's rules (thirds of the month,
     ``>= q25`` is Medium, signed ages, durations rounded to 2 decimals); else
-    the dashboard's. The enriched videos are persisted because both the
-    category thresholds and the rollup read them.
+    the dashboard's. A folder may hold several fetches: a channel or video counts
+    once, by the row with the most views. The parsed pages and the enriched videos are
+    written once (checkpoints), because several passes read them.
     """
     channels_raw = pages.read_channel_pages(spark, channel_pages, multi_line,
                                             missing_subscribers_zero=not batch_semantics)
@@ -47,19 +43,21 @@ def build_snapshot(spark: SparkSession, channel_pages: str, video_pages: str, as
     others = [c for c in channels_raw.columns if c not in ("channel_id", "total_views")]
     channels_raw = (channels_raw.groupBy("channel_id").agg(F.max(F.struct("total_views", *others)).alias("r"))
                     .select("channel_id", "r.*").select(*channels_raw.columns))
-    # pages are parsed once: the narrow key column is not read by a scan of its own
-    videos_raw = persist(videos_raw)
-    typed = persist(enrich.attach_channel(videos_raw, channels_raw, how="left"))
+    unnamed = videos_raw.where("video_id IS NULL")  # cannot be told apart
+    videos_raw = cut_lineage(newest(videos_raw.where("video_id IS NOT NULL"), "video_id", ["views", "likes", "comments"])
+                             .unionByName(unnamed))
     filters.require_rows(channels_raw, "channels")
-    filters.require_rows(typed, "videos")
+    filters.require_rows(videos_raw, "videos")
+    typed = enrich.attach_channel(videos_raw, channels_raw, how="left")
+    thresholds = enrich.category_thresholds(videos_raw)  # without the join
     if batch_semantics:
         videos = enrich.enrich_videos(typed, as_of, period_mode="month_third", low_inclusive=False,
-                                      absolute_age=False)
+                                      absolute_age=False, thresholds=thresholds)
     else:
-        videos = enrich.enrich_videos(typed, as_of)
-    videos = persist(videos)
+        videos = enrich.enrich_videos(typed, as_of, thresholds=thresholds)
+    videos = cut_lineage(videos)
     channels = rollup.rollup_channels(videos, channels_raw, as_of)
-    return Snapshot(videos, channels, filters.snapshot_profile(videos, channels), (videos_raw, typed, videos))
+    return Snapshot(videos, channels, filters.snapshot_profile(videos, channels))
 
 
 def write_snapshot(snap: Snapshot, videos_path: str, channels_path: str, fmt: str = "csv") -> None:

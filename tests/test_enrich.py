@@ -188,3 +188,23 @@ def test_best_video_groups_ties_and_empty_set(spark):
     assert (b.best_duration, b.best_hour, b.best_day) == ("0-5", 9, "Friday")
     none = recommend.best_video_groups(v.withColumn("duration_minutes", F.lit(0.0))).first()
     assert none.best_duration is None and none.best_day == "Friday"
+
+
+def test_weeks_without_videos_are_listed(spark):
+    """The change is against the week before, not the last one present."""
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    v = spark.createDataFrame([("a", datetime(2024, 1, 1), 100, 1.0), ("b", datetime(2024, 1, 29), 200, 3.0),
+                               ("c", datetime(2024, 2, 5), 300, 4.0), ("d", None, 5, 5.0)],
+                              "video_id string, publish_date timestamp_ntz, views long, engagement_rate double")
+    got = [(str(r.week), r.views, r.videos, r.engagement_rate, r.views_change_pct) for r in growth.week_over_week(v).orderBy("week").collect()]
+    assert got == [("2024-01-01", 100, 1, 1.0, None), ("2024-01-08", 0, 0, None, -100.0), ("2024-01-15", 0, 0, None, None),
+                   ("2024-01-22", 0, 0, None, None), ("2024-01-29", 200, 1, 3.0, None), ("2024-02-05", 300, 1, 4.0, 50.0)]
+    days = growth.engagement_trend(v.where("views < 300"), every_day=True).orderBy("publish_date").collect()
+    assert len(days) == 29 and [r.engagement_rate for r in days][::28] == [1.0, 3.0] and days[1].engagement_rate is None
+    months = growth.monthly_growth(v, every_month=True).orderBy("month").collect()
+    assert [(r.views, r.videos) for r in months] == [(300, 2), (300, 1)]
+    none = v.where(F.lit(False))
+    assert growth.week_over_week(none).count() == growth.engagement_trend(none, every_day=True).count() == 0
