@@ -107,6 +107,16 @@ def driver_points(fv: DataFrame, sample_fraction: float | None = None, seed: int
                     (F.sqrt(F.col("views").cast("double") / vmax) * 20 + 4).alias("marker_size")))
 
 
+def driver_sample(fv: DataFrame, per_category: int) -> DataFrame:
+    """G7 for drawing: of each category the ``per_category`` videos with the least md5 of
+    their id (equal ids: fewest views first), the same ones however the table is partitioned.
+    Spark keeps that many rows per task and category before the shuffle."""
+    points = driver_points(fv)
+    order = Window.partitionBy("performance_category").orderBy(F.md5(F.col("video_id").cast("string")).asc_nulls_last(),
+                                                               *[F.col(c) for c in points.columns if c != "video_id"])
+    return (points.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_category).drop("_rank"))
+
+
 def duration_trend(fv: DataFrame, points: int = 100) -> DataFrame:
     """G5 + F8: least-squares line of engagement on duration over finite rows
     (needs more than one), evaluated at ``points`` evenly spaced durations."""

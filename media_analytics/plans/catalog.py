@@ -34,6 +34,7 @@ REPORT_SPEC = filters.FilterSpec(start=date(1997, 1, 1), end=date(1999, 12, 31),
 # fixed values: the channels and dates of the by-channel queries
 CHANNEL_SPEC = filters.FilterSpec(start=date(1996, 3, 1), end=date(2000, 6, 30),
                                   channels=tuple(f"Customer#{k:09d}" for k in (1, 2, 4, 7, 11, 50, 100, 149)))
+DRAWN_POINTS = 150  # of each category
 QUANTILE_COLUMNS = ["views", "engagement_rate", "like_rate", "views_per_day", "duration_minutes"]
 QUANTILE_PROBS = [0.1, 0.25, 0.5, 0.75, 0.9]
 # few distinct values, searched with a small candidate limit: every round of the search runs
@@ -146,6 +147,9 @@ _CONTEXTS: dict[tuple[int, str], Context] = {}
 PERSIST = True
 # Tasks over which the one-file test tables are dealt (None: as the scan comes).
 SPREAD: int | None = None
+# Order inside the files of a year: a channel's rows lie together, so the least and largest
+# name and the Bloom filter of a row group tell whether it can hold a channel.
+SORTED = ("channel_name", "views")
 TYPED_COLUMNS = ["channel_id", "video_id", "title", "publish_date", "duration_minutes", "views", "likes", "comments",
                  "channel_name", "ch_subscribers", "channel_created"]
 
@@ -154,7 +158,8 @@ def _written(df: DataFrame, path: str, partition_by: str | None) -> DataFrame:
     if partition_by:
         # a few files of good size per folder: AQE merges small partitions and splits large
         # ones, instead of a file per task and folder
-        df.hint("rebalance", partition_by).write.mode("overwrite").partitionBy(partition_by).parquet(path)
+        (df.hint("rebalance", partition_by).sortWithinPartitions(partition_by, *SORTED).write.mode("overwrite")
+         .option("parquet.bloom.filter.enabled#channel_name", "true").partitionBy(partition_by).parquet(path))
     else:
         df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
@@ -321,6 +326,14 @@ def q_driver_points(spark, d):
     return growth.driver_points(context(spark, d).fv)
 
 
+def q_driver_points_sample(spark, d):
+    return growth.driver_sample(context(spark, d).fv, DRAWN_POINTS)
+
+
+def q_dirty_driver_points_sample(spark, d):
+    return growth.driver_sample(q_dirty_filtered(spark, d).where("video_id IS NOT NULL"), DRAWN_POINTS)
+
+
 def q_duration_trend(spark, d):
     return growth.duration_trend(context(spark, d).fv)
 

@@ -394,6 +394,20 @@ FROM videos v JOIN (SELECT performance_category, MAX(views) AS vmax FROM videos
                     WHERE performance_category IS NOT NULL GROUP BY 1) m
   ON v.performance_category = m.performance_category""",
         ["engagement_rate", "duration_minutes", "marker_size"])
+    def sample(videos: str) -> str:
+        return f"""
+SELECT video_id, title, channel_name, v.performance_category, views, likes, engagement_rate, duration_minutes,
+  SQRT(CAST(views AS DOUBLE) / CAST(CASE WHEN vmax = 0 THEN 1 ELSE vmax END AS DOUBLE)) * 20 + 4 AS marker_size
+FROM {videos} v JOIN (SELECT performance_category, MAX(views) AS vmax FROM {videos} GROUP BY 1) m
+  ON v.performance_category = m.performance_category
+QUALIFY row_number() OVER (PARTITION BY v.performance_category ORDER BY md5(CAST(video_id AS VARCHAR)), title, views) <= 150"""
+
+    points = ["engagement_rate", "duration_minutes", "marker_size"]
+    q["driver_points_sample"] = _q(sample("videos"), points)
+    q["dirty_driver_points_sample"] = _q(sample("fv"), points, ctes=base_ctes(dirty=True), extra="""
+fv AS (
+  SELECT * FROM videos WHERE publish_date IS NOT NULL AND channel_name IS NOT NULL AND video_id IS NOT NULL
+    AND performance_category IN ('High', 'Medium', 'Low'))""")
     q["duration_trend"] = _q("""
 SELECT point, duration_minutes, slope * duration_minutes + intercept AS engagement_rate, slope, intercept
 FROM (SELECT CAST(p.point AS INTEGER) AS point, slope, intercept,

@@ -57,3 +57,77 @@ def test_model_queries_share_one_fit(spark):
     assert 0 <= met.accuracy <= 1
     vm = q["views_model_metrics"](spark, SF_SMALL).first()
     assert vm.mae >= 0 and vm.axis_limit > 0
+
+
+def _nodes(spark, model, path):
+    """The fitted trees as Spark saves them: {tree: {node: row}}."""
+    model.write().overwrite().save(path)
+    trees = {}
+    for r in spark.read.parquet(f"{path}/data").collect():
+        r = r.asDict(recursive=True)
+        data = r.get("nodeData", r)
+        trees.setdefault(r["treeID"], {})[data["id"]] = data
+    return trees
+
+
+def _leaf(tree, x):
+    node = tree[0]
+    while node["leftChild"] >= 0:
+        s = node["split"]
+        node = tree[node["leftChild"] if x[s["featureIndex"]] <= s["leftCategoriesOrThreshold"][0] else node["rightChild"]]
+    return node
+
+
+def _brute_importances(trees, n):
+    total = [0.0] * n
+    for tree in trees.values():
+        own = [0.0] * n
+        for node in tree.values():
+            if node["leftChild"] >= 0:
+                own[node["split"]["featureIndex"]] += node["gain"] * node["_count"]
+        whole = sum(own)
+        if whole:
+            total = [t + o / whole for t, o in zip(total, own)]
+    return [t / sum(total) for t in total]
+
+
+@pytest.mark.parametrize("kind", ["virality", "category", "views"])
+def test_predictions_importances_and_metrics_equal_a_walk_over_the_trees(spark, features, kind, tmp_path):
+    m = {"virality": predict.fit_virality, "category": predict.fit_category, "views": predict.fit_views}[kind](features)
+    forest = m.model.stages[-2 if kind == "category" else -1]
+    trees = _nodes(spark, forest, str(tmp_path / "forest"))
+    assert len(trees) == 100
+    for tree in trees.values():
+        for node in tree.values():  # weighted rows: class counts, or (count, sum, sum of squares)
+            node["_count"] = node["impurityStats"][0] if kind == "views" else sum(node["impurityStats"])
+    # the test rows, filled as the model's docstring says, scaled by hand
+    df = predict.viral_label(features).fillna(0, subset=predict.VIRALITY_FEATURES) if kind == "virality" else (
+        predict.fill_with_means(features, predict.CONTENT_FEATURES))
+    train, test = predict.split(df)
+    scaler = m.model.stages[-3 if kind == "category" else -2]
+    mean, std = scaler.mean.toArray(), scaler.std.toArray()
+    want = {}
+    for r in test.collect():
+        x = [(float(r[c]) - mu) / sd if sd else 0.0 for c, mu, sd in zip(m.features, mean, std)]
+        leaves = [_leaf(t, x) for t in trees.values()]
+        if kind == "views":
+            want[r.video_id] = sum(leaf["prediction"] for leaf in leaves) / len(leaves)
+        else:
+            votes = [sum(leaf["impurityStats"][k] / leaf["_count"] for leaf in leaves) for k in range(len(leaves[0]["impurityStats"]))]
+            best = votes.index(max(votes))
+            want[r.video_id] = ("High", "Medium", "Low")[best] if kind == "category" else float(best)
+    got = {r.video_id: r for r in m.predictions.collect()}
+    assert got.keys() == want.keys() and len(got) > 100
+    if kind == "views":
+        assert all(got[i].prediction == pytest.approx(p) for i, p in want.items())
+        met = evaluate.regression_metrics(m.predictions, m.train_rows).first()
+        assert met.mae == pytest.approx(sum(abs(want[i] - got[i].label) for i in want) / len(want))
+    else:
+        assert all(got[i].prediction == p for i, p in want.items())
+        right = sum(got[i].label == p for i, p in want.items()) / len(want)
+        met = (evaluate.binary_metrics(m.predictions) if kind == "virality" else
+               evaluate.multiclass_metrics(m.predictions, m.train_rows)).first()
+        assert met.accuracy == pytest.approx(right) or met.accuracy == pytest.approx(100 * right)
+    assert m.train_rows.first()[0] == train.count()
+    imp = {r.feature: r.importance for r in m.importances().collect()}
+    assert [imp[f] for f in m.features] == pytest.approx(_brute_importances(trees, len(m.features)), abs=1e-6)
