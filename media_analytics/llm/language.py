@@ -16,6 +16,12 @@
   (about ``CALIBRATION`` of them, by hash of the id). score is the soft-min share of the chosen codeword; below
   ``AMBIGUOUS`` the document is flagged.
 
+``known_language`` (the pipeline's stage) learns one codeword more, that of no language: all
+buckets alike. Its bits tell the learned languages together from keyboard mash, base64
+or scripts that were not learned, while a text that mixes learned languages stays near
+them. A document goes if this codeword is nearest with a share of ``CERTAIN`` at least,
+or if it has no letter.
+
 Only the text is an input of a prediction. Null text, or one without a letter:
 ``und`` with score 0; without any learned language every row is ``und``.
 Repeated rows are judged alike, a row without an id is not learned from. An
@@ -37,6 +43,7 @@ BUCKETS = 1 << 13
 EVIDENCE = 100
 CALIBRATION = 4000
 AMBIGUOUS = 0.6
+CERTAIN = 0.9          # share of the codeword of no language that rejects a document
 SMOOTH = 0.5
 WINDOW = 1 << 20       # characters whose n-grams are counted at once
 UNKNOWN = "und"
@@ -129,8 +136,9 @@ class Model:
         self.bit_weight = weight / weight.mean()
 
 
-def learn(docs: DataFrame) -> Model:
-    """The model of the training documents of ``docs`` (doc_id, text, lang)."""
+def learn(docs: DataFrame, no_language: bool = False) -> Model:
+    """The model of the training documents of ``docs`` (doc_id, text, lang); with
+    ``no_language``, the last codeword is that of no language (``UNKNOWN``)."""
     import pyarrow as pa
 
     spark = docs.sparkSession
@@ -161,7 +169,10 @@ def learn(docs: DataFrame) -> Model:
     table = np.zeros((len(langs), BUCKETS))
     number = {lang: i for i, lang in enumerate(langs)}
     table[sums["lang"].map(number).to_numpy(int), sums["bucket"].to_numpy(int)] = sums["n"].to_numpy(float)
-    model = Model(langs, table)
+    if no_language and langs:  # as many n-grams as a language has, dealt evenly
+        model = Model([*langs, UNKNOWN], np.vstack([table, np.full(BUCKETS, table.sum() / table.size)]))
+    else:
+        model = Model(langs, table)
     if len(langs) > 1:
         picked = hashed_sample(train, CALIBRATION, train.count(), "doc_id")
         found = predict(picked, model, margins=True).toPandas()
@@ -223,20 +234,23 @@ def op5_language(spark, sf_dir: str) -> DataFrame:
 
 
 def known_language(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose language is told: those predicted ``und`` go. Ambiguous
-    rows stay (they mix languages or are short, but are no junk), and all rows do if
-    no language was learned."""
+    """The rows of ``docs`` whose language is told, by a ``model`` with the codeword of no
+    language: rows nearest to it with a share of ``CERTAIN`` go, and rows without a
+    letter, also if no language was learned. Ambiguous rows stay (they mix languages or are short)."""
     import pyarrow as pa
 
     spark = docs.sparkSession
     ship(spark)
-    if not model.langs:
-        return docs
     shared = spark.sparkContext.broadcast(model)
 
     def work(batches):
         for batch, texts in text_blocks(batches):
-            _, _, lang, _, _ = judge(shared.value, texts)
-            yield batch.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
+            if not shared.value.langs:
+                keep = np.array([counts(t) is not None for t in texts], bool)
+            else:
+                at, _, lang, score, _ = judge(shared.value, texts)
+                keep = np.zeros(len(texts), bool)
+                keep[at] = (lang[at] != UNKNOWN) | (score[at] < CERTAIN)
+            yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(work, docs.schema)

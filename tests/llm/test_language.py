@@ -1,10 +1,11 @@
+import base64
 import zlib
 
 import numpy as np
 
 from media_analytics.llm import language
 
-from .fixtures import documents, empty_documents
+from .fixtures import documents, empty_documents, texts
 
 
 def test_codewords_tell_languages_apart():
@@ -57,7 +58,7 @@ def test_dirty_documents(spark):
     assert len(got) == df.count()
     none = sorted((str(r.doc_id), r.score) for r in got if r.lang_pred == "und")
     assert none == sorted((i, 0.0) for i in ("3", "4", "5", "9", "None"))
-    kept = language.known_language(df, model)
+    kept = language.known_language(df, language.learn(df, no_language=True))
     assert kept.columns == df.columns and kept.where("doc_id IN (3, 4, 5, 9)").count() == 0
     assert kept.where("doc_id IN (1, 10, 11)").count() == 4
 
@@ -66,8 +67,33 @@ def test_no_labels_and_empty(spark):
     df = documents(spark).selectExpr("doc_id", "text", "CAST(NULL AS STRING) lang", "source")
     model = language.learn(df)
     assert {r.lang_pred for r in language.predict(df, model).collect()} == {"und"}
-    assert language.known_language(df, model).count() == df.count()
+    kept = language.known_language(df, language.learn(df, no_language=True))
+    assert sorted(map(str, texts(kept))) == sorted(str(t) for t in texts(df) if any(c.isalpha() for c in t[1] or ""))
     none = empty_documents(spark)
     assert language.predict(none, language.learn(none)).count() == 0
     one = df.selectExpr("doc_id", "text", "'en' lang")
     assert {r.lang_pred for r in language.predict(one, language.learn(one)).collect()} == {"en", "und"}
+
+
+def noise(rng, kind, n):
+    if kind == "mash":
+        return "".join(rng.choice(list("asdfghjkl qwertyuiop zxcvbnm "), n))
+    return base64.b64encode(rng.bytes(n * 3 // 4)).decode()
+
+
+def test_stage_rejects_what_is_no_language(spark):
+    """Keyboard mash, base64 and a script that was not learned go; mixed, short and marked-up texts stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language.learn(docs, no_language=True)
+    assert language.known_language(docs, model).count() == docs.count()  # clean documents are left alone
+    rows = docs.where("lang IS NOT NULL").orderBy("doc_id").limit(400).collect()
+    own = {g: [r.text[:300] for r in rows if r.lang == g] for g in ("en", "de", "fr", "es")}
+    rng = np.random.default_rng(1)
+    bad = [noise(rng, kind, n) for kind in ("mash", "base64") for n in (40, 200, 5000) for _ in range(20)] + ["Москва столица России"]
+    good = [f"{a} {b}" for x, y in (("en", "de"), ("fr", "es"), ("de", "fr")) for a, b in zip(own[x], own[y])]
+    good += [" ".join(t.split()[:k]) for t in own["en"][:60] + own["de"][:60] for k in (1, 3)]
+    good += [f"{t} token = \"{rng.bytes(20).hex()}\" +1 (988) 555-2485" for t in own["es"][:30]]
+    good = [t for t in good if any(c.isalpha() for c in t)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(bad + good)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in language.known_language(df, model).collect()}
+    assert kept == set(range(len(bad), len(bad) + len(good)))

@@ -33,9 +33,14 @@ def test_registered_and_ordered():
     assert [n for n, _ in P.STAGES] == ["language_id", "near_duplicates", "decontamination", "mix_sources", "token_ids"]
 
 
-def test_language_keeps_documents_with_letters(steps):
+def test_language_keeps_documents_of_a_language(spark, steps):
+    """All documents of the tables are in a language; planted mash goes."""
     docs, kept = steps[0]
     assert key(kept) == key(d for d in docs if any(c.isalpha() for c in d.text or ""))
+    mash = "sdkfjh qwoeiru zxmcnb aslkdj qpwoei mznxbc fghjdk " * 4
+    more = spark.createDataFrame([*docs, (10 ** 9, mash, "en", "web", len(mash))])
+    after = P.language_id(spark, more, SF).collect()
+    assert key(after) == key(kept)
 
 
 def test_near_duplicates_against_brute_force(steps):
