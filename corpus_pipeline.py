@@ -11,8 +11,8 @@ from media_analytics.llm.common import new_folder, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told go; the model learns from ``docs``."""
-    return language.known_language(docs, language.learn(docs))
+    """Documents of no learned language go; the model learns from ``docs``."""
+    return language.known_language(docs, language.learn(docs, no_language=True))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
