@@ -1,13 +1,16 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts become words: runs of letters and digits, lower case. For a document and
+Texts become words: runs of letters and digits, lower case; in scripts that set no spaces
+between words (Chinese, Japanese, Thai and their like) every character is one. For a document and
 a benchmark item, greedy string tiling covers the item with non-overlapping
 matches of at least ``MIN_MATCH`` words: the longest unmarked match is marked
 again and again until none is left, so passages are found in any order. The
 coverage is the share of the item's words inside tiles; a document is
 contaminated by an item if it is ``THRESHOLD`` or more, or if one tile has
 ``PASSAGE_WORDS`` words or more, however long the item is. An item with fewer than
-``MIN_MATCH`` words contaminates the documents that hold all its words in a row.
+``MIN_MATCH`` words contaminates the documents that hold all its words in a row, if it
+has ``least_item`` words. By default that is one; a benchmark with answers like "yes"
+among its items needs more in ``clean``, or every document with that word goes.
 
 * Seeds: Karp-Rabin hashes of ``MIN_MATCH`` successive words, rolled over each
   document and joined with those of the benchmark; a shared hash is verified
@@ -19,7 +22,7 @@ contaminated by an item if it is ``THRESHOLD`` or more, or if one tile has
 
 Documents are never shuffled: the benchmark's seeds go to the tasks. Its size
 is measured first. One task's share is at most ``SLICE_WORDS`` words; a larger
-benchmark is cut into slices by item_id, with one pass over the documents each.
+benchmark is cut into slices by hash of id and text, with one pass over the documents each.
 
 Nulls: a null or wordless text is clean; a null or wordless item matches nothing. Repeated rows are judged each on its own. An
 empty table gives an empty result, an empty benchmark leaves every row clean.
@@ -42,8 +45,12 @@ MIN_MATCH = 5
 THRESHOLD = 0.5
 PASSAGE_WORDS = 13  # of one tile, contaminate whatever their share of the item
 SLICE_WORDS = 2_000_000
+LEAST_ITEM = 1  # words of an item that is looked for, at least
 
-_WORDS = re.compile(r"[^\W_]+")
+# fixed values: blocks of scripts without spaces between words
+_NO_SPACES = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORDS = re.compile(f"[^\\W_{_NO_SPACES}]+|(?=[{_NO_SPACES}])[^\\W_]")
+_JAVA_WORDS = f"[\\p{{L}}\\p{{N}}&&[^{_NO_SPACES}]]+|[{_NO_SPACES}]"
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd multiplier of the rolling hash
 
 
@@ -63,7 +70,7 @@ def rolling(ids: np.ndarray, length: int) -> np.ndarray:
 class Benchmark:
     """Numbers of the items' words and the places of their seeds."""
 
-    def __init__(self, items: list[tuple[int, str]], min_match: int = MIN_MATCH):
+    def __init__(self, items: list[tuple[int, str]], min_match: int = MIN_MATCH, least_item: int = 1):
         self.min_match = min_match
         self.number: dict[str, int] = {}
         self.items: list[tuple[int, np.ndarray]] = []
@@ -71,7 +78,7 @@ class Benchmark:
         self.short: dict[int, dict[tuple[int, ...], list[int]]] = {}  # length -> words -> items
         for item_id, text in items:
             ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words(text)], np.int64)
-            if not len(ids):
+            if not len(ids) or len(ids) < min(least_item, min_match):
                 continue
             k = len(self.items)
             self.items.append((item_id, ids))
@@ -170,18 +177,18 @@ class Benchmark:
         return out
 
 
-def _slices(benchmark: DataFrame, min_match: int, slice_words: int):
+def _slices(benchmark: DataFrame, min_match: int, slice_words: int, least_item: int = 1):
     """Broadcast benchmark indexes of bounded size that together hold all items."""
     spark = benchmark.sparkSession
     ship(spark)
     b = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text")).where("text is not null")
-    n = b.agg(F.sum(F.regexp_count("text", F.lit(r"\S+")))).first()[0] or 0
+    n = b.agg(F.sum(F.regexp_count("text", F.lit(_JAVA_WORDS)))).first()[0] or 0
     parts = max(1, -(-n // slice_words))
     for k in range(parts):
-        rows = b.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) if parts > 1 else b
+        rows = b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k) if parts > 1 else b
         yield spark.sparkContext.broadcast(
             Benchmark(sorted(((r.item_id, r.text) for r in rows.toLocalIterator()),
-                             key=lambda r: (r[0] is None, r[0] or 0, r[1])), min_match))
+                             key=lambda r: (r[0] is None, r[0] or 0, r[1])), min_match, least_item))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
@@ -212,11 +219,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_match: int = MIN_MATCH,
-          slice_words: int = SLICE_WORDS) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated by any item."""
+          slice_words: int = SLICE_WORDS, least_item: int = LEAST_ITEM) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated by any item of ``least_item`` words or more."""
     import pyarrow as pa
 
-    for shared in _slices(benchmark, min_match, slice_words):
+    for shared in _slices(benchmark, min_match, slice_words, least_item):
         def work(batches, shared=shared):
             for batch, texts in text_blocks(batches):
                 keep = pa.array([not shared.value.judge((t or b"").decode(), threshold) for t in texts], pa.bool_())

@@ -3,11 +3,15 @@
 * **Quote levels.** A line's level is the number of ``>`` it starts with (blanks
   allowed between them). A quoted passage is a run of lines of one level.
 * **Hashes.** A passage is normalised (A-Z lower case, white space to one blank,
-  trimmed) and hashed: whole, by line, by paragraph (between blank lines, whatever its
+  trimmed) and hashed (64 bits): whole, by line, by paragraph (between blank lines, whatever its
   line breaks), by sentence of a paragraph and by each ``PHRASE`` successive words. So are the own
   (level 0) runs of lines of every message of a conversation with quotes. Re-wrapped
   quotes, one paragraph, one sentence and a part of a paragraph therefore find their
   origin; a part that is no line, sentence or paragraph needs ``PHRASE`` words.
+* **Two steps.** Phrases are a row per word, the other parts a few per line. Only
+  the runs that have no longer part linked than ``PHRASE`` words can gain by a phrase, so phrases
+  (and parts of as many words, which may equal one) are made of these runs and of the
+  conversations that hold one.
 * **Links.** A quoted hash joins the first message of the same conversation that
   wrote it, if that has an earlier turn. First occurrences are found by a partial aggregate,
   so a passage quoted or repeated by a third of all rows meets one row. A
@@ -55,27 +59,29 @@ def own_text(text: Column) -> Column:
 
 
 def _parts(lines: Column) -> Column:
-    """(hash, words) of a run's normalised lines: whole, lines, paragraphs,
-    sentences and phrases. Blank lines part paragraphs."""
+    """(hash, words) of a run's normalised lines: whole, lines, paragraphs and
+    sentences. Blank lines part paragraphs."""
     joined = F.array_join(lines, "\n")
     paragraphs = F.transform(F.split(joined, "\n{2,}"), lambda p: F.trim(F.translate(p, "\n", " ")))
     texts = F.concat(F.array(F.array_join(F.filter(lines, lambda x: x != ""), " ")), lines, paragraphs,
                      F.flatten(F.transform(paragraphs, lambda p: F.split(p, SENTENCE))))
     texts = F.array_distinct(F.filter(texts, lambda x: x != ""))
+    return F.transform(texts, lambda u: F.struct(F.xxhash64(u).alias("hash"), F.size(F.split(u, " ")).alias("words")))
+
+
+def _phrases(lines: Column) -> Column:
+    """Hashes of each ``PHRASE`` successive words of a run with more words."""
     # an array of one array: the words are bound once, not for each place
     words = F.array(F.split(F.array_join(F.filter(lines, lambda x: x != ""), " "), " "))
-    phrases = F.flatten(F.transform(words, lambda ws: F.when(
+    return F.array_distinct(F.flatten(F.transform(words, lambda ws: F.when(
         F.size(ws) > PHRASE, F.transform(F.sequence(F.lit(1), F.size(ws) - PHRASE + 1),
-                                         lambda i: F.md5(F.array_join(F.slice(ws, i, PHRASE), " ")))).otherwise(F.array())))
-    entry = lambda hash_, n: F.struct(hash_.alias("hash"), n.alias("words"))
-    # distinct texts and hashes, not structs: those Spark compares pair by pair
-    return F.concat(F.transform(texts, lambda u: entry(F.md5(u), F.size(F.split(u, " ")))),
-                    F.transform(F.array_distinct(phrases), lambda h: entry(h, F.lit(PHRASE))))
+                                         lambda i: F.xxhash64(F.array_join(F.slice(ws, i, PHRASE), " "))))
+        .otherwise(F.array()))))
 
 
-def units(messages: DataFrame) -> DataFrame:
-    """(key, conv_id, turn, level, hash, words) of each run of lines of one level and of
-    its parts; key names a distinct message."""
+def runs(messages: DataFrame) -> DataFrame:
+    """(key, conv_id, turn, level, run, lines): each run of lines of one level; key names a
+    distinct message."""
     line = (messages.select("key", "conv_id", "turn", F.posexplode(_lines(F.col("text"))).alias("at", "line"))
             .withColumn("level", F.length(F.regexp_replace(F.regexp_extract("line", QUOTE, 0), r"[^>]", "")))
             .withColumn("line", normalised(F.regexp_replace("line", QUOTE, ""))))
@@ -85,9 +91,20 @@ def units(messages: DataFrame) -> DataFrame:
     runs = (line.groupBy("key", "conv_id", "turn", "level", "run")
             .agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("parts"))
             .select("key", "conv_id", "turn", "level", "run", F.transform("parts", lambda p: p["line"]).alias("lines")))
-    return (runs.where(F.exists("lines", lambda x: x != ""))
-            .select("key", "conv_id", "turn", "level", "run", F.explode(_parts(F.col("lines"))).alias("unit"))
-            .select("key", "conv_id", "turn", "level", "run", "unit.hash", "unit.words"))
+    return runs.where(F.exists("lines", lambda x: x != ""))
+
+
+def _best(quoted: DataFrame, own: DataFrame) -> DataFrame:
+    """(key, conv_id, turn, level, run, best): best is the (words, first turn) of the most words that
+    an earlier message of the conversation wrote first; null if there is none. quoted and own:
+    runs with the parts (hash, words) ``units``."""
+    first = (own.select("conv_id", "turn", F.explode("units.hash").alias("hash"))
+             .groupBy("conv_id", "hash").agg(F.min("turn").alias("first_turn")))
+    asked = (quoted.select("key", "conv_id", "turn", "level", "run", F.explode("units").alias("u"))
+             .select("key", "conv_id", "turn", "level", "run", "u.hash", "u.words"))
+    linked = F.col("first_turn") < F.col("turn")
+    return (asked.join(first, ["conv_id", "hash"], "left").groupBy("key", "conv_id", "turn", "level", "run")
+            .agg(F.max(F.when(linked, F.struct("words", "first_turn"))).alias("best")))
 
 
 def link(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -95,12 +112,21 @@ def link(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     usable = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     quoting = messages.where(usable & F.col("text").rlike("(?m)" + QUOTE))
     talks = quoting.select("conv_id").distinct()
-    found = cut(units(messages.where(usable).join(talks, "conv_id", "left_semi")))
-    first = (found.where("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("first_turn")))
-    quoted = found.where("level > 0").join(first, ["conv_id", "hash"], "left")
-    linked = F.col("first_turn") < F.col("turn")
-    per_run = (quoted.groupBy("key", "conv_id", "turn", "level", "run")
-               .agg(F.max(F.when(linked, F.struct("words", "first_turn"))).alias("best")))
+    found = runs(messages.where(usable).join(talks, "conv_id", "left_semi"))
+    own, quoted = found.where("level = 0"), found.where("level > 0")
+    parts = F.filter(_parts(F.col("lines")), lambda u: u["words"] != PHRASE)
+    parts = cut(_best(quoted.withColumn("units", parts), own.withColumn("units", parts)))
+    # phrases only where they can win: no longer part is linked
+    weak = parts.where(F.col("best").isNull() | (F.col("best.words") < PHRASE)).select("key", "level", "run")
+    whole = F.transform(F.filter(_parts(F.col("lines")), lambda u: u["words"] == PHRASE), lambda u: u["hash"])
+    phrases = F.transform(F.array_union(_phrases(F.col("lines")), whole),
+                          lambda h: F.struct(h.alias("hash"), F.lit(PHRASE).alias("words")))
+    asked = (quoted.join(weak, ["key", "level", "run"], "left_semi").withColumn("units", phrases)
+             .where(F.size("units") > 0))
+    held = own.join(asked.select("conv_id").distinct(), "conv_id", "left_semi").withColumn("units", phrases)
+    more = _best(asked, held).select("key", "level", "run", F.col("best").alias("phrase"))
+    per_run = cut(parts.join(more, ["key", "level", "run"], "left")
+                  .withColumn("best", F.greatest("best", "phrase")).drop("phrase"))
     per_key = per_run.groupBy("key").agg(F.count(F.lit(1)).alias("n_quoted"), F.count("best").alias("n_linked"))
     parents = (per_run.where("best is not null").groupBy("conv_id", "turn")
                .agg(F.max(F.struct((-F.col("level")).alias("near"), "best")).alias("b"))
@@ -172,9 +198,22 @@ clean AS (
   SELECT key, conv_id, turn, pos, level, raw, {_NORMAL.format(f"regexp_replace(line, '{QUOTE}', '')")} AS line,
     pos - row_number() OVER (PARTITION BY key, level ORDER BY pos) AS run FROM leveled),
 full_ AS (SELECT * FROM clean WHERE line <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+wholes AS (SELECT key, conv_id, turn, level, run, string_agg(line, ' ' ORDER BY pos) AS unit FROM full_ GROUP BY ALL),
+paragraphs AS (
+  SELECT key, conv_id, turn, level, run, trim(translate(unnest(regexp_split_to_array(joined, '\n{{2,}}')), chr(10), ' ')) AS unit
+  FROM (SELECT key, conv_id, turn, level, run, string_agg(line, chr(10) ORDER BY pos) AS joined FROM clean
+        WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL)),
+sentences AS (
+  SELECT key, conv_id, turn, level, run, unnest(string_split(regexp_replace(regexp_replace(
+    unit, '([.!?]["'')\]]{{0,2}}) ', '\1' || chr(1), 'g'), '([。！？])', '\1' || chr(1), 'g'), chr(1))) AS unit FROM paragraphs),
+words_ AS (SELECT key, conv_id, turn, level, run, string_split(unit, ' ') AS ws FROM wholes),
+phrases AS (
+  SELECT key, conv_id, turn, level, run, array_to_string(ws[i:i + {PHRASE - 1}], ' ') AS unit
+  FROM (SELECT *, unnest(range(1, len(ws) - {PHRASE} + 2)) AS i FROM words_ WHERE len(ws) > {PHRASE})),
 units AS (
-  SELECT key, conv_id, turn, level, run, string_agg(line, ' ' ORDER BY pos) AS unit FROM full_ GROUP BY ALL
-  UNION ALL SELECT key, conv_id, turn, level, run, line FROM full_),
+  SELECT * FROM wholes UNION ALL SELECT key, conv_id, turn, level, run, line FROM full_
+  UNION ALL SELECT * FROM paragraphs WHERE unit <> '' UNION ALL SELECT * FROM sentences WHERE unit <> ''
+  UNION ALL SELECT * FROM phrases),
 first_ AS (SELECT conv_id, unit, min(turn) AS first_turn FROM units WHERE level = 0 GROUP BY ALL),
 hits AS (
   SELECT u.*, len(string_split(u.unit, ' ')) AS words, f.first_turn

@@ -88,3 +88,30 @@ def test_dirty_and_empty(spark):
     assert kept.columns == df.columns and kept.count() == df.count() - 3
     assert decontam.contaminated(empty_documents(spark), bench).count() == 0
     assert decontam.clean(df, bench.limit(0)).count() == df.count()
+
+
+def test_scripts_without_spaces(spark):
+    """An item in the middle of a sentence without spaces is found; every character is a word."""
+    item = "机器学习模型在大规模语料上训练后可以生成流畅的文本"
+    assert decontam.words("ab机器 cd_学1") == ["ab", "机", "器", "cd", "学", "1"]
+    docs = spark.createDataFrame([(1, f"我们知道{item}并且很有用"), (2, "今天的天气很好所以我们去公园散步"), (3, "plain words here")],
+                                 "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [(r.doc_id, r.coverage) for r in decontam.contaminated(docs, items).collect()] == [(1, 1.0)]
+    assert sorted(r.doc_id for r in decontam.clean(docs, items).collect()) == [2, 3]
+
+
+def test_short_answers_do_not_empty_a_corpus(spark):
+    docs = spark.createDataFrame([(1, "yes a b"), (2, "no way at all"), (3, "x y z")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Yes"), (2, "way at all"), (3, "a")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()) == [(1, 1), (1, 3), (2, 2)]
+    assert sorted(r.doc_id for r in decontam.clean(docs, items).collect()) == [3]
+    assert sorted(r.doc_id for r in decontam.clean(docs, items, least_item=2).collect()) == [1, 3]
+
+
+def test_repeated_ids_are_dealt_over_the_slices(spark):
+    items = spark.createDataFrame([(None, f"alpha{k} beta gamma delta{k} eps zeta") for k in range(40)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"so alpha{k} beta gamma delta{k} eps zeta it is") for k in range(40)], "doc_id long, text string")
+    slices = [len(s.value.items) for s in decontam._slices(items, decontam.MIN_MATCH, 60)]
+    assert sum(slices) == 40 and max(slices) < 25
+    assert decontam.contaminated(docs, items, slice_words=60).select("doc_id").distinct().count() == 40

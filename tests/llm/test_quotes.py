@@ -44,6 +44,45 @@ def test_random_conversations_equal_the_sql(spark):
     equal_sql(frame(spark, random_rows(1)))
 
 
+def random_mail(seed):
+    """Messages of paragraphs and sentences that quote re-wrapped parts of earlier ones, also of
+    8 to 14 words, with repeated sentences and two levels."""
+    rng = random.Random(seed)
+    rows = []
+    for c in range(25):
+        said = []
+        for t in range(7):
+            sentences = [" ".join(rng.choices("we meet on Monday the budget is late and so the plan must wait".split(), k=rng.randint(1, 14)))
+                         + rng.choice([".", "!", '."', "?)", "。"]) for _ in range(rng.randint(1, 6))]
+            own = [" ".join(sentences[k:k + 2]).split() for k in range(0, len(sentences), 2)]
+            quoted = ""
+            if said and rng.random() < 0.8:
+                words = rng.choice(rng.choice(said))
+                a = rng.randrange(len(words))
+                part = rng.choice([words, words[a:a + rng.randint(1, 14)], words[a:]])
+                quoted = wrapped(rng, part, rng.choice(["> ", "> > ", ">"])) + "\n"
+            said.append(own)
+            rows.append((c, t, "user", quoted + rng.choice(["\n\n", "\n \n", "\n"]).join(wrapped(rng, p, "") for p in own)))
+    return rows
+
+
+def test_random_rewrapped_mail_equals_the_sql(spark):
+    for seed in (1, 2):
+        equal_sql(frame(spark, random_mail(seed)))
+
+
+def test_phrases_are_made_only_where_they_can_win(spark, monkeypatch):
+    """Runs linked by a longer part need none."""
+    asked, real = [], quotes._best
+    monkeypatch.setattr(quotes, "_best", lambda quoted, own: asked.append((quoted.count(), own.count())) or real(quoted, own))
+    long = "this whole sentence has more than eight words in it."
+    rows = [(c, 0, "user", long + " And more of them follow here now and then.") for c in range(5)]
+    rows += [(c, 1, "user", "> " + (long if c else "has more than eight words in it. And more of them")) for c in range(5)]
+    got = {(r.conv_id, r.turn): r.parent_turn for r in quotes.conversations(frame(spark, rows)).collect()}
+    assert all(got[c, 1] == 0 for c in range(5))
+    assert asked == [(5, 5), (1, 1)]
+
+
 def test_links_levels_and_order(spark):
     rows = [(1, 0, "user", "First thought\nsecond line"), (1, 1, "assistant", "A new topic"),
             (1, 2, "user", "> first   THOUGHT\n> second line\nmy answer"),
