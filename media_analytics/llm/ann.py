@@ -2,7 +2,8 @@
 
 * **Fit.** Lloyd's k-means splits a bounded sample (chosen by hash,
   about ``SAMPLE_FLOATS`` numbers) into ``BRANCH`` parts, and each part
-  again. The sample only shapes the tree: every row is indexed, by walking down to the
+  again, so deep that about the root of the rows is the number of leaves (as far as the
+  sample goes). The sample only shapes the tree: every row is indexed, by walking down to the
   child with the nearest centre.
 * **Search.** A priority queue holds tree nodes by the inner product of query
   and centre. The best one is opened; its children go back into the queue and
@@ -11,9 +12,10 @@
   found among all rows (in blocks). visits is widened until the mean share of
   them that lies in visited leaves is ``RECALL`` or more; up to all leaves, where the
   search is exact.
-* **Comparison.** (query, leaf) pairs meet the rows of the leaf. Rows of a leaf
-  are cut into blocks and queries into blocks, so a group of copies with a
-  third of all rows is never one task. A block gives back its own best
+* **Comparison.** (query, leaf) pairs meet the rows of the leaf. The rows of a leaf
+  are cut into blocks, and the queries that visit this leaf into blocks, so a group of copies
+  with a third of all rows is never one task, and a row is copied once per block of queries
+  that visit its own leaf. Pairs are ids until then. A block gives back its own best
   ``K`` per query. A matrix product preselects with a margin above its
   rounding error; the score is then summed again row by row, so copies tie exactly.
 
@@ -140,7 +142,7 @@ def fit(vectors: DataFrame, n: int) -> Tree | None:
         return None
     rows = min(SAMPLE_ROWS, max(100, SAMPLE_FLOATS // len(first.vec)))
     picked = hashed_sample(vectors, rows, n, "vec_id").orderBy("vec_id").select("vec").toArrow()
-    depth = max(1, min(4, int(math.log(max(n, 1)) / 2 / math.log(BRANCH))))
+    depth = max(1, int(math.log(max(n, 1)) / 2 / math.log(BRANCH)))
     return Tree(matrix(picked.column("vec")), depth)
 
 
@@ -217,6 +219,26 @@ def calibrate(tree: Tree, vectors: DataFrame, queries: DataFrame, recall: float
     return int(min(len(tree.leaves), np.searchsorted(share, recall) + 1))
 
 
+def blocks_of(rows: DataFrame, asked: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, queries) by (leaf, block, part): a leaf's rows in ``blocks`` of about ``ROWS_BLOCK``, and the
+    queries that visit it in ``parts`` of about ``QUERIES_BLOCK``, each row with every part and each
+    query with every block of the leaf."""
+    # a row per leaf
+    sizes = F.broadcast(
+        rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / ROWS_BLOCK).cast("int").alias("blocks"))
+        .join(asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERIES_BLOCK).cast("int").alias("parts")), "leaf"))
+    held = (rows.join(sizes, "leaf")
+            .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+            .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            .select("leaf", "block", "part", "vec_id", "vec"))
+    vectors = queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"))
+    asked = (asked.join(sizes, "leaf").join(vectors, "query_id")
+             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
+             .select("leaf", "block", "part", "query_id", "qvec"))
+    return held, asked
+
+
 def search(embeddings: DataFrame, k: int = K, every: int = EVERY, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every query."""
     import pyarrow as pa
@@ -228,7 +250,7 @@ def search(embeddings: DataFrame, k: int = K, every: int = EVERY, recall: float
     tree = fit(base, n)
     if tree is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shared = spark.sparkContext.broadcast(tree)  # at most BRANCH ** 4 leaves
+    shared = spark.sparkContext.broadcast(tree)  # the sample bounds its leaves
 
     def assign(batches):
         for batch in batches:
@@ -246,22 +268,11 @@ def search(embeddings: DataFrame, k: int = K, every: int = EVERY, recall: float
                 continue
             bins = [shared.value.best_bins(q, visits) for q in matrix(batch.column("vec"))]
             at = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id").take(pa.array(at)), batch.column("vec").take(pa.array(at)),
-                 pa.array(np.concatenate(bins).astype(np.int32))], ["query_id", "qvec", "leaf"])
-
-    # a row per leaf, at most BRANCH ** 4
-    blocks = F.broadcast(rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / ROWS_BLOCK).cast("int").alias("blocks")))
-    parts = max(1, math.ceil(queries.count() / QUERIES_BLOCK))
-    held = (rows.join(blocks, "leaf")
-            .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-            .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-            .select("leaf", "block", "part", "vec_id", "vec"))
-    asked = (queries.select("vec_id", "vec").mapInArrow(visit, "query_id long, qvec array<double>, leaf int")
-             .join(blocks, "leaf")
-             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
-             .select("leaf", "block", "part", "query_id", "qvec"))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)),
+                                              pa.array(np.concatenate(bins).astype(np.int32))], ["query_id", "leaf"])
+
+    asked = cut(queries.select("vec_id", "vec").mapInArrow(visit, "query_id long, leaf int"))
+    held, asked = blocks_of(rows, asked, queries)
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from media_analytics.llm import ann
@@ -72,3 +73,46 @@ def test_best_bins_visit_every_leaf_once():
     tree = ann.Tree(x, 2)
     assert sorted(tree.best_bins(x[0], 10_000)) == sorted(tree.leaves)
     assert set(tree.leaf_of(x)) <= set(tree.leaves) and len(tree.leaves) > 20
+
+
+def test_clustered_vectors_prune_most_leaves(spark, monkeypatch):
+    """A tree of two levels; recall on queries that calibration did not see; copies per row are
+    bounded by the queries that visit its leaf."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(120, 24))
+    x = (centres[rng.integers(0, 120, 24_000)] + 0.25 * rng.normal(size=(24_000, 24))).astype(np.float32)
+    x /= np.sqrt((x ** 2).sum(1, keepdims=True))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(24_000), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    seen, real = {}, ann.calibrate
+    monkeypatch.setattr(ann, "QUERIES_BLOCK", 100)
+
+    def calibrate(tree, vectors, queries, recall, k):
+        seen["tree"], seen["visits"] = tree, real(tree, vectors, queries, recall, k)
+        seen["ids"] = {r.vec_id for r in ann.hashed_sample(queries, ann.CALIBRATION, queries.count(), "vec_id").collect()}
+        return seen["visits"]
+
+    monkeypatch.setattr(ann, "calibrate", calibrate)
+    parts, real_blocks = {}, ann.blocks_of
+
+    def blocks_of(rows, asked, queries):
+        held, q = real_blocks(rows, asked, queries)
+        copies = held.groupBy("leaf", "vec_id").count().groupBy("leaf").agg({"count": "max"}).collect()
+        visited = {r[0]: r[1] for r in asked.groupBy("leaf").count().collect()}
+        parts.update({r[0]: (r[1], visited[r[0]]) for r in copies})
+        return held, q
+
+    monkeypatch.setattr(ann, "blocks_of", blocks_of)
+    got = found(df)
+    tree, visits = seen["tree"], seen["visits"]
+    assert any(tree.children[c] for c in tree.children[0])  # a second level
+    assert len(tree.leaves) >= 40 and visits < len(tree.leaves) / 3
+    wide = x.astype(float)
+    other = [q for q in got if q not in seen["ids"]]
+    assert len(other) > 900
+    shares = []
+    for q in other:
+        s = wide @ wide[q]
+        s[q] = -np.inf
+        shares.append(len({v[1] for v in got[q]} & set(np.argsort(-s)[:ann.K].tolist())) / ann.K)
+    assert np.mean(shares) >= 0.9
+    assert all(copies == -(-asked // 100) for copies, asked in parts.values())
