@@ -107,12 +107,12 @@ def _best(quoted: DataFrame, own: DataFrame) -> DataFrame:
             .agg(F.max(F.when(linked, F.struct("words", "first_turn"))).alias("best")))
 
 
-def link(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((key, n_quoted, n_linked), (conv_id, turn, parent_turn)) from distinct messages."""
-    usable = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
-    quoting = messages.where(usable & F.col("text").rlike("(?m)" + QUOTE))
-    talks = quoting.select("conv_id").distinct()
-    found = runs(messages.where(usable).join(talks, "conv_id", "left_semi"))
+def link(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((key, n_quoted, n_linked), (conv_id, turn, parent_turn)) of the rows' distinct messages.
+    Texts are moved only of conversations with a quote."""
+    usable = rows.where(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    talks = usable.where(F.col("text").rlike("(?m)" + QUOTE)).select("conv_id").distinct()
+    found = runs(cut(usable.join(talks, "conv_id", "left_semi").dropDuplicates(["key"])))
     own, quoted = found.where("level = 0"), found.where("level > 0")
     parts = F.filter(_parts(F.col("lines")), lambda u: u["words"] != PHRASE)
     parts = cut(_best(quoted.withColumn("units", parts), own.withColumn("units", parts)))
@@ -157,8 +157,8 @@ def conversations(table_: DataFrame) -> DataFrame:
     part = [F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c)), F.lit("-"))
             for c in ("conv_id", "turn", "role", "text")]
     rows = rows.withColumn("key", F.md5(F.concat(*part)))
-    messages = rows.dropDuplicates(["key"])
-    per_key, parents = link(messages)
+    per_key, parents = link(rows)
+    messages = rows.select("key", "conv_id", "turn").dropDuplicates(["key"])
     parents = cut(parents)
     tree = parents.join(roots(parents), ["conv_id", "turn"], "left")
     placed = (messages.select("key", "conv_id", "turn").join(tree, ["conv_id", "turn"], "left")
