@@ -33,6 +33,7 @@ MAX_REPEAT = 3
 UNIT = 1 << 20     # expected copies are counted in parts of one copy
 SEED = "mix-1"
 BROADCAST_SOURCES = 50_000
+COPIES = 1000      # copies of a row that one task makes at once
 
 
 def word_count(text):
@@ -118,15 +119,17 @@ FROM p
 
 
 def emit(docs: DataFrame) -> DataFrame:
-    """The mix itself: rows of ``docs``, each as often as it is taken."""
-    h = F.xxhash64(F.lit(1), "doc_id", "source", "text")
-    narrow = mix(docs.withColumn("__h", h), keep=("__h",))
-    # identical rows share a key: their copies are dealt out by their number within it
-    counted = narrow.groupBy("__h").agg(F.collect_list("copies").alias("__copies"))
-    w = Window.partitionBy("__h").orderBy(F.lit(1))
-    return (docs.withColumn("__h", h).join(counted, "__h")
-            .withColumn("__nth", F.row_number().over(w))
-            .withColumn("__times", F.element_at("__copies", F.col("__nth")))
-            .where("__times > 0")
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-            .select(*docs.columns))
+    """The mix itself: rows of ``docs``, each as often as it is taken. Rows alike in all columns
+    are one row that is taken as often as all of them; they meet in partial aggregates, and
+    many copies are made by many tasks."""
+    h = F.xxhash64(F.lit(1), *[F.col(c) for c in docs.columns])
+    times = (mix(docs.withColumn("__h", h), keep=("__h",)).groupBy("__h").agg(F.sum("copies").alias("__times"))
+             .where("__times > 0"))
+    rows = docs.withColumn("__h", h).dropDuplicates(["__h"]).join(times, "__h")
+    few = rows.where(F.col("__times") <= COPIES).withColumn("__n", F.col("__times"))
+    many = (rows.where(F.col("__times") > COPIES)
+            .withColumn("__part", F.explode(F.sequence(F.lit(0), F.expr(f"(__times - 1) div {COPIES}"))))
+            .repartition("__h", "__part")
+            .withColumn("__n", F.least(F.lit(COPIES), F.col("__times") - F.col("__part") * COPIES)))
+    return (few.select(*docs.columns, "__n").union(many.select(*docs.columns, "__n"))
+            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*docs.columns))

@@ -1,6 +1,8 @@
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from media_analytics.llm import mixing
 from tools.check_oracle import compare
 
@@ -62,3 +64,22 @@ def test_emit(spark):
 
 def test_empty(spark):
     assert result(empty_documents(spark)).count() == 0 and mixing.emit(empty_documents(spark)).count() == 0
+
+
+def test_a_hot_identical_row_is_emitted_by_many_tasks(spark):
+    """A third of all rows is one row: no list, no window over it."""
+    same = spark.range(20_000).selectExpr("CAST(NULL AS BIGINT) doc_id", "'some words of one text' text", "'a' source", "1 extra")
+    other = spark.range(40_000).selectExpr("id doc_id", "concat('text ', id) text", "concat('s', id % 3) source", "2 extra")
+    df = same.union(other)
+    got = mixing.emit(df)
+    want = {r.doc_id: r.n for r in mixing.mix(df).groupBy("doc_id").agg({"copies": "sum"}).toDF("doc_id", "n").where("n > 0").collect()}
+    have = {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()}
+    assert have == want and want[None] > 2 * mixing.COPIES
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # would merge so few rows
+    try:
+        parts = [r["count"] for r in got.where("doc_id IS NULL").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(parts) > 2
+    plan = mixing.mix(df)._jdf.queryExecution().toString() + got._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
