@@ -19,8 +19,9 @@
 ``known_language`` (the pipeline's stage) learns one codeword more, that of no language: all
 buckets alike. Its bits tell the learned languages together from keyboard mash, base64
 or scripts that were not learned, while a text that mixes learned languages stays near
-them. A document goes if this codeword is nearest with a share of ``CERTAIN`` at least,
-or if it has no letter.
+them. A document goes if this codeword is nearest by ``CERTAIN`` of loss per bit and n-gram,
+both for the whole text and for its plain words (without digits, of at most ``PLAIN`` bytes: a
+key or an address in a short text is no sign of another language), or if it has no letter.
 
 Only the text is an input of a prediction. Null text, or one without a letter:
 ``und`` with score 0; without any learned language every row is ``und``.
@@ -32,6 +33,7 @@ whatever their names.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -43,11 +45,13 @@ BUCKETS = 1 << 13
 EVIDENCE = 100
 CALIBRATION = 4000
 AMBIGUOUS = 0.6
-CERTAIN = 0.9          # share of the codeword of no language that rejects a document
+PLAIN = 40             # bytes of a plain word, at most
+CERTAIN = 0.25         # loss that the codeword of no language is nearer by, per bit and n-gram
 SMOOTH = 0.5
 WINDOW = 1 << 20       # characters whose n-grams are counted at once
 UNKNOWN = "und"
 
+_DIGIT = re.compile(rb"[0-9]")
 _letters: list[np.ndarray] = []
 
 
@@ -126,6 +130,16 @@ class Model:
         share = np.exp(loss.min(1, keepdims=True) - loss)
         return loss.argmin(1), 1 / share.sum(1)
 
+    def no_language(self, text: bytes) -> bool:
+        """Whether the last codeword is nearer than all others by ``CERTAIN`` per bit and n-gram, or
+        the text has no letter."""
+        x = counts(text)
+        if x is None:
+            return True
+        margins = self.margins(x[None].astype(np.float32))
+        loss = np.array([(np.logaddexp(0, -margins * word) * self.bit_weight).sum() for word in self.code])
+        return loss[:-1].min() - loss[-1] >= CERTAIN * margins.shape[1] * min(x.sum(), EVIDENCE)
+
     def calibrate(self, margins: np.ndarray, truth: np.ndarray) -> None:
         """Weighs each bit by the log odds of its being right on labelled margins."""
         if not len(truth) or not margins.shape[1]:
@@ -233,10 +247,14 @@ def op5_language(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", rest.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def plain_words(text: bytes) -> bytes:
+    return b" ".join(w for w in text.split() if len(w) <= PLAIN and not _DIGIT.search(w))
+
+
 def known_language(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` whose language is told, by a ``model`` with the codeword of no
-    language: rows nearest to it with a share of ``CERTAIN`` go, and rows without a
-    letter, also if no language was learned. Ambiguous rows stay (they mix languages or are short)."""
+    language: rows nearer to it by ``CERTAIN`` go, and rows without a letter, also if no
+    language was learned. Ambiguous rows stay (they mix languages or are short)."""
     import pyarrow as pa
 
     spark = docs.sparkSession
@@ -248,9 +266,10 @@ def known_language(docs: DataFrame, model: Model) -> DataFrame:
             if not shared.value.langs:
                 keep = np.array([counts(t) is not None for t in texts], bool)
             else:
-                at, _, lang, score, _ = judge(shared.value, texts)
+                at, _, lang, _, _ = judge(shared.value, texts)
                 keep = np.zeros(len(texts), bool)
-                keep[at] = (lang[at] != UNKNOWN) | (score[at] < CERTAIN)
+                keep[at] = [lang[i] != UNKNOWN or not (shared.value.no_language(texts[i])
+                                                       and shared.value.no_language(plain_words(texts[i]))) for i in at]
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(work, docs.schema)
