@@ -38,7 +38,8 @@ def test_language_keeps_documents_of_a_language(spark, steps):
     docs, kept = steps[0]
     assert key(kept) == key(d for d in docs if any(c.isalpha() for c in d.text or ""))
     mash = "sdkfjh qwoeiru zxmcnb aslkdj qpwoei mznxbc fghjdk " * 4
-    more = spark.createDataFrame([*docs, (10 ** 9, mash, "en", "web", len(mash))])
+    planted = {"doc_id": 10 ** 9, "text": mash, "lang": "en", "source": "web", "n_chars": len(mash)}
+    more = spark.createDataFrame([*map(tuple, docs), tuple(planted[c] for c in docs[0].__fields__)], docs[0].__fields__)
     after = P.language_id(spark, more, SF).collect()
     assert key(after) == key(kept)
 
