@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ..functions.constants import CATEGORIES
-from ..operators import bucketed, enrich, evaluate, filters, growth, kpi, performance, predict, quality
-from ..operators import recommend, rollup, state, strategy
+from ..operators import bucketed, dashboard, enrich, evaluate, filters, growth, kpi, performance, predict
+from ..operators import quality, recommend, rollup, state, strategy
 from ..operators.common import literal_rows
 from ..operators.quantiles import quantile_table
 from ..session import ensure_checkpoint_dir
@@ -695,6 +695,18 @@ def q_csv_videos(spark, d):
     return files.read_table_csv(spark, path)
 
 
+def q_dashboard_reports(spark, d):
+    """G1-G3, G6, V1, V2, V4 and H1-H4 of one filter from a single scan of the videos."""
+    ctx = context(spark, d)
+    fv, _ = filters.select_report(ctx.videos, ctx.channels, REPORT_SPEC)
+    return dashboard.dashboard_rows(ctx.keep(dashboard.report_groups(fv), f"dashboard-{uuid.uuid4().hex}"))
+
+
+def q_dirty_dashboard_reports(spark, d):
+    groups = dashboard.report_groups(q_dirty_filtered(spark, d))
+    return dashboard.dashboard_rows(context(spark, d).keep(groups, f"dashboard-{uuid.uuid4().hex}"))
+
+
 def q_recommendations(spark, d):
     ctx = context(spark, d)
     return recommend.recommendations(ctx.fv, ctx.fc)

@@ -472,6 +472,47 @@ FROM videos WHERE posting_period IS NOT NULL GROUP BY 1""", ["views", "engagemen
     q["publishing_calendar"] = _q("""
 SELECT CAST(publish_date AS DATE) AS publish_date, COUNT(video_id) AS videos
 FROM videos WHERE publish_date IS NOT NULL GROUP BY 1""", [])
+    def long(report: str, key: str, measures: dict[str, str], source: str) -> str:
+        """Rows (report, item, measure, value) of a report."""
+        return " UNION ALL ".join(f"SELECT '{report}' AS report, CAST({key} AS VARCHAR) AS item, '{m}' AS measure, "
+                                  f"CAST({x} AS DOUBLE) AS value FROM {source}" for m, x in measures.items())
+
+    def grouped(report: str, key: str, name: str, measures: dict[str, str]) -> str:
+        inner = ", ".join(f"{x} AS {m}" for m, x in measures.items())
+        return long(report, name, {m: m for m in measures},
+                    f"(SELECT {key} AS {name}, {inner} FROM fv WHERE {key} IS NOT NULL GROUP BY 1)")
+
+    def of_labels(report: str, key: str, name: str, labels: list[str], measure: str, x: str) -> str:
+        return long(report, f"d.{name}", {measure: "a.m"}, f"""{_labels(name, 'o', labels)} d
+LEFT JOIN (SELECT {key} AS {name}, {x} AS m FROM fv GROUP BY 1) a ON d.{name} = a.{name}""")
+
+    views_mean, rate_mean = "CAST(SUM(views) AS DOUBLE) / COUNT(views)", "AVG(engagement_rate)"
+    date, cat = "CAST(publish_date AS DATE)", "performance_category"
+    radar_means = {c: f"AVG({c})" for c in radar_cols}
+    scaled_means = {c: f"CASE WHEN hi_{c} <> lo_{c} THEN ({c} - lo_{c}) / (hi_{c} - lo_{c}) * 100 ELSE 0 END" for c in radar_cols}
+    dashboard = " UNION ALL ".join([
+        grouped("engagement_trend", date, "day", {"engagement_rate": rate_mean}),
+        grouped("publishing_calendar", date, "day", {"videos": "COUNT(video_id)"}),
+        grouped("monthly_growth", "CAST(date_trunc('month', publish_date) AS DATE)", "month",
+                {"views": "SUM(views)", "videos": "COUNT(video_id)"}),
+        of_labels("engagement_by_weekday", "publish_day", "publish_day", WEEKDAYS, "engagement_rate", rate_mean),
+        grouped("period_performance", "posting_period", "period", {"views": views_mean, "engagement_rate": rate_mean}),
+        grouped("views_by_category", cat, "cat", {"views": "SUM(views)",
+                                                  "share_pct": f"COALESCE({_div('SUM(views)', 'SUM(SUM(views)) OVER ()')} * 100, 0)"}),
+        of_labels("category_mix", cat, "cat", CATS, "videos", "COUNT(*)").replace("CAST(a.m", "CAST(COALESCE(a.m, 0)"),
+        of_labels("category_mix", cat, "cat", CATS, "pct", "COUNT(*) * 100.0 / (SELECT COUNT(*) FROM fv)")
+        .replace("CAST(a.m", "CAST(COALESCE(a.m, 0)"),
+        long("radar", cat, scaled_means, f"(SELECT *, {', '.join(f'MIN({c}) OVER () AS lo_{c}, MAX({c}) OVER () AS hi_{c}' for c in radar_cols)} "
+             f"FROM (SELECT {cat}, {', '.join(f'{x} AS {c}' for c, x in radar_means.items())} FROM fv GROUP BY 1) g) r"),
+        of_labels("views_by_duration", _cut("duration_minutes", DURATION_EDGES, DURATION_LABELS), "bucket", DURATION_LABELS,
+                  "views", views_mean),
+        of_labels("views_by_title_length", _cut("title_length", TITLE_EDGES, TITLE_LABELS), "bucket", TITLE_LABELS,
+                  "views", views_mean),
+        *[grouped("publish_heatmap", "publish_hour", "hour", {d: f"AVG(views) FILTER (WHERE publish_day = '{d}')"})
+          for d in WEEKDAYS],
+    ])
+    q["dashboard_reports"] = _q(dashboard, ["value"], extra=f"fv AS (SELECT * FROM videos WHERE {REPORT_FILTER})")
+    q["dirty_dashboard_reports"] = _q(dashboard, ["value"], ctes=dirty, extra=fv)
     q["top_channels"] = _q("""
 SELECT channel_id, channel_name, total_views FROM channels
 ORDER BY total_views DESC, channel_id ASC LIMIT 10""", [])
