@@ -9,11 +9,10 @@ token. Training documents: crc32(doc_id as text) mod 10 is not 0.
 * **Classes.** The ``OWN`` commonest tokens are classes of their own. Every other
   token belongs to a class by its last three bytes: the commonest endings have
   own classes, the rest share some by hash. P(token | context) =
-  P(class | context) * P(token | class). The second factor is the smoothed share of
-  the token's count in its class, where each ending class also holds a share
-  for unseen tokens. The probabilities of all known tokens and of "some unseen token
-  of a class" sum to one.
-* **Log-bilinear model** (numpy) of the class given the two classes before it:
+  P(class | two classes before) * P(token | class, token before). Each ending class also
+  holds a share for unseen tokens; the probabilities of all known tokens and of "some
+  unseen token of a class" sum to one after every context.
+* **Log-bilinear model of the class** (numpy) given the two classes before it:
   the predicted vector is the sum of the context vectors, each scaled by a
   diagonal matrix per position; a class scores by its product with the class
   vector plus a bias. The model sees only (class two before, class one before,
@@ -22,8 +21,17 @@ token. Training documents: crc32(doc_id as text) mod 10 is not 0.
   their counts, whatever the corpus. Training by noise-contrastive estimation in
   ``PASSES`` passes over the context pairs: a pair's data are its counts, its noise is
   the expectation over the class counts; the partition function is not computed.
-* **Scoring.** Batched matrix products over all contexts give the table of
-  normalised log-probabilities once per worker; a token is then a table lookup. Tokens
+* **Log-bilinear model of the token in its class** given the token before it: the ``VECTORS``
+  commonest tokens have vectors of their own, the others of a class share one and keep
+  their shares of its counts. A token scores by its class share times exp(context vector *
+  token vector + bias). The context vectors are learned for each of ``SHARDS`` groups of
+  classes, which makes the groups models of their own: a task each, fitted on the
+  counts of all (token before, token) pairs of all training documents, at most ids of
+  tokens times ids of the group (about 17 million) whatever the corpus. Noise-contrastive estimation with
+  ``DRAWN`` noise tokens drawn from the class for each batch, ``TOKEN_PASSES`` passes.
+* **Scoring.** Batched matrix products over all contexts give the table of normalised class
+  log-probabilities once per worker, and in the fit the normaliser of each (token
+  before, class); a token is then two lookups and a product of two vectors. Tokens
   beyond the ``TABLE`` commonest get their counts by a shuffle join of (row,
   token, times), so the vocabulary may grow without bound.
 
@@ -53,6 +61,13 @@ SIZE = 32              # length of the vectors
 PASSES = 20            # over all context pairs
 PAIRS = 64             # context pairs in a batch
 NOISE = 100            # noise draws for each token
+VECTORS = 16_384       # commonest tokens with vectors of their own
+IDS = VECTORS + CLASSES  # ids of tokens: these, then one for the other tokens of each class
+SHARDS = 16            # groups of classes with context vectors of their own
+TOKEN_PASSES = 5       # over all pairs of tokens
+DRAWN = 32             # noise tokens of a batch of pairs
+TOKEN_PAIRS = 2048     # pairs in a batch
+MAX_PAIRS = 1_000_000  # pairs a task counts before it sends them on
 TABLE_BYTES = 64       # longer tokens stay out of that table, so its size is bounded
 MAX_COUNTED = 400_000  # tokens a task counts before it sends them on
 END = b""              # the end token; a word is never empty
@@ -116,6 +131,35 @@ class Classes:
         return OWN + ENDINGS + zlib.crc32(token[-3:]) % SHARED if found is None else found
 
 
+class Ids:
+    """Ids and classes of tokens: the place among the ``VECTORS`` commonest, else
+    ``VECTORS`` + class."""
+
+    def __init__(self, classes: Classes, common: list[tuple[bytes, int]]):
+        self.classes = classes
+        self.place = {t: i for i, (t, _) in enumerate(common[:VECTORS])}
+        self.cls = np.concatenate([np.zeros(VECTORS, np.int64), np.arange(CLASSES)])
+        self.cls[:len(self.place)] = [classes.of(t) for t in self.place]
+
+    def of(self, token: bytes) -> int:
+        found = self.place.get(token)
+        return VECTORS + self.classes.of(token) if found is None else found
+
+    def shares(self, common: list[tuple[bytes, int]], mass: np.ndarray) -> np.ndarray:
+        """Share of every id in its class's smoothed counts ``mass``."""
+        own = np.zeros(IDS)
+        top = common[:VECTORS]
+        own[:len(top)] = [c + ALPHA for _, c in top]
+        rest = mass - np.bincount(self.cls[:len(top)], weights=own[:len(top)], minlength=CLASSES)
+        own[VECTORS:] = np.where(np.arange(CLASSES) >= OWN, np.maximum(rest, ALPHA), 0)
+        return own / mass[self.cls]
+
+
+def shard_of(classes: np.ndarray) -> np.ndarray:
+    """The group of a class that has more than one token."""
+    return (classes - OWN) % SHARDS
+
+
 class LogBilinear:
     """Scores of a class after two context classes."""
 
@@ -184,11 +228,116 @@ class LogBilinear:
         return out.reshape(n * n, n)
 
 
+def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``rows`` and the sums of their ``values``."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    return rows[first], np.add.reduceat(values[order], first, axis=0)
+
+
+def _rise(values: np.ndarray, power: np.ndarray, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
+    """An Adagrad step of some rows, drawn towards zero a little."""
+    g = grad - np.float32(0.3) * values[rows]
+    power[rows] += g * g
+    values[rows] += np.float32(rate) * g / np.sqrt(power[rows])
+
+
+def fit_tokens(shard: int, before: np.ndarray, token: np.ndarray, times: np.ndarray, cls: np.ndarray,
+               share: np.ndarray, passes: int = TOKEN_PASSES, rate: float = 0.2) -> dict[str, np.ndarray]:
+    """The vectors of a group of classes from its pairs of ids with their counts, in any
+    order: context (``IDS`` rows, float16), target and bias (a row per id of the group,
+    ascending) and log_z, log10 of the normaliser (``IDS`` rows, a column per class of the group)."""
+    rng = np.random.default_rng(100 + shard)
+    kinds = np.arange(OWN + shard, CLASSES, SHARDS)
+    members = {int(k): np.flatnonzero((cls == k) & (share > 0)) for k in kinds}
+    order = np.lexsort((token, before, cls[token]))
+    before, token, times = before[order].astype(np.int32), token[order].astype(np.int32), times[order]
+    weight = (times / max(times.mean(), 1e-9) if len(times) else times).astype(np.float32)
+    # the last but one column holds the bias of the target, the last one that of the context
+    context = rng.normal(0, 0.1, (IDS, SIZE + 2)).astype(np.float32)
+    target = rng.normal(0, 0.1, (IDS, SIZE + 2)).astype(np.float32)
+    context[:, SIZE:], target[:, SIZE:] = [1, 0], [0, 1]
+    power_c, power_t = np.full_like(context, 1e-2), np.full_like(target, 1e-2)
+    free_c, free_t = np.ones(SIZE + 2, np.float32), np.ones(SIZE + 2, np.float32)
+    free_c[SIZE] = free_t[SIZE + 1] = 0
+    ends = np.searchsorted(cls[token], kinds, side="right")
+    runs = [(int(k), a, min(a + TOKEN_PAIRS, end)) for k, start, end in zip(kinds, np.concatenate([[0], ends]), ends)
+            for a in range(start, end, TOKEN_PAIRS)]
+    cumulated = {k: np.cumsum(share[m] / share[m].sum()) for k, m in members.items()}
+    log_k = np.float32(np.log(DRAWN))
+    deal = np.arange(len(token), dtype=np.int32)
+    for p in range(passes):
+        for start, end in zip(np.concatenate([[0], ends]), ends):
+            rng.shuffle(deal[start:end])  # inside a class
+        for at in rng.permutation(len(runs)):
+            k, a, b = runs[at]
+            rows = deal[a:b]
+            c, w, x = before[rows], token[rows], weight[rows]
+            drawn = members[k][np.minimum(np.searchsorted(cumulated[k], rng.random(DRAWN)), len(members[k]) - 1)]
+            h, q, noise = context[c], target[w], target[drawn]
+            # derivatives of the log-likelihood of "data or noise"; the class share cancels in the scores
+            data = x / (1 + np.exp(np.clip((h * q).sum(1) - log_k, -30, 30)))
+            other = -x[:, None] / (1 + np.exp(-np.clip(h @ noise.T - log_k, -30, 30)))
+            ids, g = _row_sums(c, data[:, None] * q + other @ noise)
+            step = rate * (1 - p / passes)
+            up = _row_sums(np.concatenate([w, drawn]), np.concatenate([data[:, None] * h, other.T @ h]))
+            for values, power, free, (i, d) in ((context, power_c, free_c, (ids, g)), (target, power_t, free_t, up)):
+                fixed = values[i] * (1 - free)
+                _rise(values, power, i, d * free, step)
+                values[i] = values[i] * free + fixed
+    vectors = context[:, :SIZE].astype(np.float16)
+    mine = np.concatenate([members[int(k)] for k in kinds])
+    mine.sort()
+    log_z = np.empty((IDS, len(kinds)), np.float32)
+    for j, k in enumerate(kinds):
+        m = members[int(k)]
+        s = vectors.astype(np.float32) @ target[m, :SIZE].T + target[m, SIZE]
+        top = s.max(1, keepdims=True)
+        log_z[:, j] = (top[:, 0] + np.log(np.exp(s - top) @ (share[m] / share[m].sum()).astype(np.float32))) / np.log(10)
+    return {"context": vectors, "target": target[mine, :SIZE], "bias": target[mine, SIZE], "log_z": log_z}
+
+
+class TokenVectors:
+    """log10 P(token | class, token before) - log10 P(token | class)."""
+
+    def __init__(self, ids: Ids, share: np.ndarray):
+        self.cls, self.share = ids.cls, share
+        self.context = np.zeros((SHARDS, IDS, SIZE), np.float16)
+        self.target = np.zeros((IDS, SIZE), np.float32)
+        self.bias = np.zeros(IDS, np.float32)
+        self.log_z = np.zeros((IDS, CLASSES - OWN), np.float32)
+
+    def put(self, shard: int, name: str, value: bytes) -> None:
+        """An array that ``fit_tokens`` returned."""
+        mine = np.flatnonzero((self.cls >= OWN) & (shard_of(self.cls) == shard) & (self.share > 0))
+        if name == "context":
+            self.context[shard] = np.frombuffer(value, np.float16).reshape(IDS, SIZE)
+        elif name == "target":
+            self.target[mine] = np.frombuffer(value, np.float32).reshape(-1, SIZE)
+        elif name == "bias":
+            self.bias[mine] = np.frombuffer(value, np.float32)
+        else:
+            self.log_z[:, shard::SHARDS] = np.frombuffer(value, np.float32).reshape(IDS, -1)
+
+    def gain(self, ids: np.ndarray, ids_before: np.ndarray, classes: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+        """A value per token, 0 for one that is a class of its own."""
+        out = np.zeros(len(ids))
+        shared = np.flatnonzero(classes >= OWN)
+        for k in range(0, len(shared), step):  # the gathered vectors of a block stay few
+            at = shared[k:k + step]
+            c, b, i = classes[at], ids_before[at], ids[at]
+            s = np.einsum("ij,ij->i", self.context[shard_of(c), b].astype(np.float32), self.target[i]) + self.bias[i]
+            out[at] = s / np.log(10) - self.log_z[b, c - OWN]
+        return out
+
+
 class Scorer:
-    """Everything a task needs: the common tokens, the classes and the model."""
+    """Everything a task needs: the common tokens, the classes and the models."""
 
-    def __init__(self, common: list[tuple[bytes, int]], classes: Classes, mass: np.ndarray, model: LogBilinear):
-        self.common, self.classes, self.model = common, classes, model
+    def __init__(self, common: list[tuple[bytes, int]], classes: Classes, mass: np.ndarray, model: LogBilinear,
+                 vectors: TokenVectors):
+        self.common, self.classes, self.model, self.vectors = common, classes, model, vectors
         self.mass = mass  # smoothed count of each class
         self._ready = None
 
@@ -206,7 +355,7 @@ class Scorer:
 
     def score(self, texts: list[bytes | None]):
         """For each text: tokens, known ones among the common, the sum of log10(c + 0.1)
-        of these, log10 P(class | context) - log10 mass summed over all tokens, and the other
+        of these, log10 P(token | context) - log10(c + 0.1) summed over all tokens, and the other
         tokens with their times."""
         place, cls, logc, table = self.ready()
         words = [tokens(t) for t in texts]
@@ -225,6 +374,10 @@ class Scorer:
         b2, b1 = before(c, size, self.classes.of(END))
         n = len(self.model.bias)
         logp = table[b2 * n + b1, c].astype(float) - np.log10(self.mass)[c]
+        ids = np.where((at >= 0) & (at < VECTORS), at, VECTORS + c)
+        end_at = place.get(END, VECTORS)
+        end_id = end_at if end_at < VECTORS else VECTORS + self.classes.of(END)
+        logp += self.vectors.gain(ids, before(ids, size, end_id)[1], c)
         known = np.where(at >= 0, logc[at], 0.0)
         add = lambda x: np.bincount(own, weights=x, minlength=len(words))
         return size, add(at >= 0).astype(np.int64), add(known), add(logp), [Counter(o) for o in others]
@@ -243,41 +396,65 @@ def before(c: np.ndarray, size: np.ndarray, end: int) -> tuple[np.ndarray, np.nd
 
 
 class _Known(dict):
-    """Classes of the tokens met, a bounded number of them."""
+    """Ids of the tokens met, a bounded number of them."""
 
-    def __init__(self, classes: Classes):
-        self.classes = classes
+    def __init__(self, ids: Ids):
+        self.ids = ids
 
     def __missing__(self, token: bytes) -> int:
         if len(self) >= MAX_COUNTED:
             self.clear()
-        found = self[token] = self.classes.of(token)
+        found = self[token] = self.ids.of(token)
         return found
 
 
-def count_triples(train: DataFrame, shared) -> DataFrame:
-    """(triple, c) of the classes of all texts of ``train``, which end tokens precede:
-    triple is (class two before * CLASSES + class one before) * CLASSES + class;
-    ``shared`` is the broadcast ``Classes``."""
+def count_contexts(train: DataFrame, shared) -> DataFrame:
+    """(part, key, c) over all texts of ``train``, which end tokens precede; ``shared`` is the
+    broadcast ``Ids``. Part -1 counts classes: key is (class two before * CLASSES + class
+    one before) * CLASSES + class. A part from 0 on is a group of classes and counts its
+    tokens: key is id of the token before * 65536 + id of the token."""
     import pyarrow as pa
 
+    def rows(part, key, c):
+        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(part, key.shape).astype(np.int32)),
+                                           pa.array(key.astype(np.int64)), pa.array(c.astype(np.int64))], ["part", "key", "c"])
+
     def work(batches):
-        total = np.zeros(CLASSES ** 3, np.int64)
-        known = _Known(shared.value)
-        end = shared.value.of(END)
+        triples = np.zeros(CLASSES ** 3, np.int32)  # a task reads fewer tokens than an int holds
+        ids = shared.value
+        known, end, end_id = _Known(ids), ids.classes.of(END), ids.of(END)
+        pairs, held = [], 0
+
+        def sums():
+            return _row_sums(np.concatenate([k for k, _ in pairs]), np.concatenate([c for _, c in pairs]))
+
         for _, texts in text_blocks(batches):
             words = [tokens(t) for t in texts]
             size = np.fromiter(map(len, words), np.int64, len(words))
-            c = np.fromiter((known[w] for ws in words for w in ws), np.int64, int(size.sum()))
+            i = np.fromiter((known[w] for ws in words for w in ws), np.int64, int(size.sum()))
+            del words
+            c = ids.cls[i]
             b2, b1 = before(c, size, end)
-            np.add.at(total, (b2 * CLASSES + b1) * CLASSES + c, 1)
-        met = np.flatnonzero(total)
+            np.add.at(triples, (b2 * CLASSES + b1) * CLASSES + c, 1)
+            key = ((shard_of(c) << 32) | (before(i, size, end_id)[1] << 16) | i)[c >= OWN]
+            pairs.append(np.unique(key, return_counts=True))
+            held += len(pairs[-1][0])
+            if held > MAX_PAIRS:
+                pairs = [sums()]
+                held = len(pairs[0][0])
+                if held > MAX_PAIRS // 2:
+                    yield rows(pairs[0][0] >> 32, pairs[0][0] & 0xFFFFFFFF, pairs[0][1])
+                    pairs, held = [], 0
+        if held:
+            key, c = sums()
+            yield rows(key >> 32, key & 0xFFFFFFFF, c)
+        met = np.flatnonzero(triples)
         for k in range(0, len(met), 1 << 18):
             part = met[k:k + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["triple", "c"])
+            yield rows(-1, part, triples[part])
 
-    return (train.select("text").mapInArrow(work, "triple int, c long")
-            .groupBy("triple").agg(F.sum("c").alias("c")))
+    return (train.select("text").mapInArrow(work, "part int, key long, c long")
+            .groupBy("part", "key").agg(F.sum("c").alias("c")))
 
 
 # ---- the operator -----------------------------------------------------------
@@ -312,13 +489,14 @@ def learn(train: DataFrame, counts: DataFrame) -> tuple[Scorer, int, int]:
     n, v = total.n or 0, total.v
     common = commonest(counts)
     classes = Classes(common)
-    shared = spark.sparkContext.broadcast(classes)
+    ids = Ids(classes, common)
+    shared = spark.sparkContext.broadcast(ids)
 
     def class_sums(batches):
         mass = np.zeros(CLASSES)
         seen = np.zeros(CLASSES, np.int64)
         for batch in batches:
-            c = np.array([shared.value.of(t) for t in batch.column("token").to_pylist()], np.int64)
+            c = np.array([shared.value.classes.of(t) for t in batch.column("token").to_pylist()], np.int64)
             got = batch.column("c").to_numpy()
             mass += np.bincount(c, weights=got, minlength=CLASSES)
             seen += np.bincount(c, minlength=CLASSES)
@@ -334,31 +512,49 @@ def learn(train: DataFrame, counts: DataFrame) -> tuple[Scorer, int, int]:
     mass = c + ALPHA * kinds + ALPHA * (np.arange(CLASSES) >= OWN)
     mass[mass == 0] = ALPHA
     model = LogBilinear(c + 1.0)
+    share = ids.shares(common, mass)
+    vectors = TokenVectors(ids, share)
     if n:
-        def packed(batches):
-            """A row per batch, so that the one task reads few rows."""
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column(k).to_numpy().tobytes()], pa.binary()) for k in ("triple", "c")],
-                    ["triples", "times"])
+        cls = ids.cls
 
-        def fit(batches):
-            """One task fits the model on the triples, at most CLASSES cubed (single-threaded products)."""
-            times = np.zeros(CLASSES ** 3, np.int64)
+        def packed(batches):
+            """A row per batch and part, so that the fits read few rows."""
             for batch in batches:
-                for t, x in zip(batch.column("triples").to_pylist(), batch.column("times").to_pylist()):
-                    times[np.frombuffer(t, np.int32)] = np.frombuffer(x, np.int64)
-            model.fit_counts(times)
-            for name in LogBilinear.FITTED:
+                part, key, c = (batch.column(k).to_numpy() for k in ("part", "key", "c"))
+                met = np.unique(part)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name]), pa.array([getattr(model, name).tobytes()], pa.binary())], ["name", "value"])
-
-        fitted = (count_triples(train, shared).mapInArrow(packed, "triples binary, times binary")
-                  .repartition(1).mapInArrow(fit, "name string, value binary").collect())
+                    [pa.array(met), pa.array([key[part == p].astype(np.uint32).tobytes() for p in met], pa.binary()),
+                     pa.array([c[part == p].astype(np.float32).tobytes() for p in met], pa.binary())],
+                    ["part", "keys", "times"])
+
+        def fit(table: pa.Table) -> pa.Table:
+            """One task fits a part: the classes on at most CLASSES cubed triples, or a group of
+            classes on its pairs (single-threaded products)."""
+            part = table.column("part")[0].as_py()
+            read = lambda column, kind: (np.frombuffer(x.as_py(), kind) for x in table.column(column))
+            if part < 0:
+                times = np.zeros(CLASSES ** 3, np.float32)
+                for k, x in zip(read("keys", np.uint32), read("times", np.float32)):
+                    times[k] = x
+                model.fit_counts(times)
+                got = {name: getattr(model, name) for name in LogBilinear.FITTED}
+            else:
+                key = np.concatenate(list(read("keys", np.uint32)))
+                got = fit_tokens(part, key >> 16, key & 0xFFFF, np.concatenate(list(read("times", np.float32))), cls, share)
+            return pa.table({"part": pa.array([part] * len(got), pa.int32()), "name": list(got),
+                             "value": pa.array([x.tobytes() for x in got.values()], pa.binary())})
+
+        # a row per array: bounded by the sizes of the models, about 30 MB
+        fitted = (count_contexts(train, shared).mapInArrow(packed, "part int, keys binary, times binary")
+                  .repartition(4 * (SHARDS + 1), "part").groupBy("part")
+                  .applyInArrow(fit, "part int, name string, value binary").collect())
         for r in fitted:
-            old = getattr(model, r["name"])
-            setattr(model, r["name"], np.frombuffer(bytes(r.value), old.dtype).reshape(old.shape))
-    return Scorer(common, classes, mass, model), n, v
+            if r.part < 0:
+                old = getattr(model, r["name"])
+                setattr(model, r["name"], np.frombuffer(bytes(r.value), old.dtype).reshape(old.shape))
+            else:
+                vectors.put(r.part, r["name"], bytes(r.value))
+    return Scorer(common, classes, mass, model, vectors), n, v
 
 
 def score(docs: DataFrame) -> DataFrame:

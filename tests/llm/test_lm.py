@@ -76,15 +76,94 @@ def test_nce_learns_a_cycle():
     assert all(table[a * 5 + (a + 1) % 5].argmax() == (a + 2) % 5 for a in range(5))
 
 
-def test_every_training_triple_is_counted(spark):
+def test_every_training_triple_and_pair_is_counted(spark, monkeypatch):
     df = documents(spark)
-    classes = lm.Classes(lm.commonest(lm.count_tokens(df)))
-    got = {r.triple: r.c for r in lm.count_triples(df, spark.sparkContext.broadcast(classes)).collect()}
-    want, end = Counter(), classes.of(lm.END)
+    common = lm.commonest(lm.count_tokens(df))
+    ids = lm.Ids(lm.Classes(common), common)
+    want, pairs, end = Counter(), Counter(), ids.classes.of(lm.END)
     for _, t in texts(df):
-        c = [end, end, *map(classes.of, lm.tokens((t or "").encode()))]
+        words = lm.tokens((t or "").encode())
+        c = [end, end, *map(ids.classes.of, words)]
         want.update((a * lm.CLASSES + b) * lm.CLASSES + x for a, b, x in zip(c, c[1:], c[2:]))
-    assert got == want
+        pairs.update(((ids.classes.of(w) - lm.OWN) % lm.SHARDS, ids.of(b) * 65536 + ids.of(w))
+                     for b, w in zip([lm.END, *words], words) if ids.classes.of(w) >= lm.OWN)
+    for most in (lm.MAX_PAIRS, 20):  # also sent on in pieces
+        monkeypatch.setattr(lm, "MAX_PAIRS", most)
+        rows = lm.count_contexts(df, spark.sparkContext.broadcast(ids)).collect()
+        assert {r.key: r.c for r in rows if r.part < 0} == want
+        assert {(r.part, r.key): r.c for r in rows if r.part >= 0} == pairs
+
+
+def learned(spark, docs):
+    """(scorer, counts) of the training documents of ``docs``."""
+    train = [(i, t) for i, t in texts(docs) if not held_out(i)]
+    df = spark.createDataFrame(train, "doc_id long, text string")
+    counts = lm.count_tokens(df)
+    return lm.learn(df, counts)[0], {bytes(r.token): r.c for r in counts.collect()}
+
+
+def probability(scorer, counts, two, one, token):
+    """log10 P(token | two tokens before), by definition, one number at a time."""
+    of, model, v = scorer.classes.of, scorer.model, scorer.vectors
+    place = {t: i for i, (t, _) in enumerate(scorer.common[:lm.VECTORS])}
+    id_of = lambda t: place.get(t, lm.VECTORS + of(t))
+    h = [a * p + b * q for a, p, b, q in zip(model.context[of(two)].tolist(), model.scale[0].tolist(),
+                                             model.context[of(one)].tolist(), model.scale[1].tolist())]
+    s = [sum(x * y for x, y in zip(h, row)) + b for row, b in zip(model.target.tolist(), model.bias.tolist())]
+    k = of(token)
+    out = s[k] - math.log(sum(math.exp(x) for x in s))
+    if k < lm.OWN:
+        return out / math.log(10)
+    members = [i for t, i in place.items() if of(t) == k] + [lm.VECTORS + k]
+    known = {i: counts[t] + lm.ALPHA for t, i in place.items() if of(t) == k}
+    rest = sum(c + lm.ALPHA for t, c in counts.items() if of(t) == k and t not in place) + lm.ALPHA
+    c = v.context[(k - lm.OWN) % lm.SHARDS, id_of(one)].astype(float).tolist()
+    raw = {i: known.get(i, rest) * math.exp(sum(x * y for x, y in zip(c, v.target[i].tolist())) + float(v.bias[i])) for i in members}
+    i = id_of(token)
+    inside = (counts.get(token, 0) + lm.ALPHA) / known.get(i, rest)
+    return (out + math.log(raw[i] / sum(raw.values())) + math.log(inside)) / math.log(10)
+
+
+def test_score_by_definition(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).union(
+        spark.createDataFrame([(10 ** 6, "never seen zzyx wordsqq"), (10 ** 6 + 1, None), (10 ** 6 + 2, "")],
+                              "doc_id long, text string").selectExpr("doc_id", "text", "'x'", "'x'", "0l"))
+    rows = [(r.doc_id, r.text and " ".join(r.text.split()[:60])) for r in docs.collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(lm, "TABLE", 600)  # some tokens are counted by the join
+    scorer, counts = learned(spark, docs)
+    got = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    for i, t in rows[-6:]:
+        words = [lm.END, lm.END, *lm.tokens((t or "").encode())]
+        want = sum(probability(scorer, counts, a, b, w) for a, b, w in zip(words, words[1:], words[2:]))
+        assert got[i] == pytest.approx(want, abs=1e-3, rel=1e-4)
+
+
+def test_tokens_are_normalised_after_any_context(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    scorer, counts = learned(spark, docs)
+    ids = lm.Ids(scorer.classes, scorer.common)
+    assert abs(scorer.vectors.target).max() > 0.1  # fitted
+    rng = np.random.default_rng(1)
+    share = ids.shares(scorer.common, scorer.mass)
+    for one in rng.choice(lm.IDS, 20):
+        live = np.flatnonzero((ids.cls >= lm.OWN) & (share > 0))
+        gain = scorer.vectors.gain(live, np.full(len(live), one), ids.cls[live])
+        sums = np.bincount(ids.cls[live], weights=share[live] * 10.0 ** gain, minlength=lm.CLASSES)
+        assert np.allclose(sums[lm.OWN:], np.bincount(ids.cls[live], weights=share[live], minlength=lm.CLASSES)[lm.OWN:], atol=1e-4)
+        assert np.allclose(sums[np.unique(ids.cls[live])], 1, atol=1e-4)
+
+
+def test_token_vectors_learn_the_token_before():
+    """Two contexts that each go on with a token of the same class."""
+    cls = np.concatenate([np.full(lm.VECTORS, lm.OWN), np.arange(lm.CLASSES)])
+    share = np.zeros(lm.IDS)
+    share[:4] = 0.25
+    share[lm.VECTORS + lm.OWN:] = 1e-6
+    got = lm.fit_tokens(0, np.array([0, 1, 2, 3] * 500), np.array([1, 0, 3, 2] * 500), np.ones(2000), cls, share, passes=60)
+    mine = np.flatnonzero((cls >= lm.OWN) & ((cls - lm.OWN) % lm.SHARDS == 0) & (share > 0))
+    s = got["context"][:4].astype(float) @ got["target"][:4].T + got["bias"][:4]
+    assert (mine[:4] == np.arange(4)).all() and s.argmax(1).tolist() == [1, 0, 3, 2]
 
 
 def test_long_documents_are_learned(spark):
