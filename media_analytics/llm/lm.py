@@ -68,6 +68,8 @@ TOKEN_PASSES = 5       # over all pairs of tokens
 DRAWN = 32             # noise tokens of a batch of pairs
 TOKEN_PAIRS = 2048     # pairs in a batch
 MAX_PAIRS = 1_000_000  # pairs a task counts before it sends them on
+TEXT_BYTES = 1 << 20   # of texts that are handled at once
+MAX_KNOWN = 100_000    # ids of tokens that a task keeps
 TABLE_BYTES = 64       # longer tokens stay out of that table, so its size is bounded
 MAX_COUNTED = 400_000  # tokens a task counts before it sends them on
 END = b""              # the end token; a word is never empty
@@ -94,7 +96,7 @@ def count_tokens(train: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()),
                                                pa.array(list(total.values()), pa.int64())], ["token", "c"])
 
-        for _, texts in text_blocks(batches):
+        for _, texts in text_blocks(batches, limit=TEXT_BYTES):
             for t in texts:
                 total.update(tokens(t))
             if len(total) > MAX_COUNTED:
@@ -341,15 +343,22 @@ class Scorer:
         self.mass = mass  # smoothed count of each class
         self._ready = None
 
-    def __getstate__(self):
-        return {**self.__dict__, "_ready": None}
+    def __getstate__(self):  # tokens and counts apart, without an object for each count
+        return {**self.__dict__, "_ready": None, "common": None, "_sent": self._parts()}
+
+    def _parts(self) -> tuple[list[bytes], np.ndarray]:
+        if self.common is None:
+            return self._sent
+        return [t for t, _ in self.common], np.array([c for _, c in self.common], float)
 
     def ready(self):
         """(token -> place, class by place, log10(c + 0.1) by place, table)."""
         if self._ready is None:
-            place = {t: i for i, (t, _) in enumerate(self.common)}
-            cls = np.array([self.classes.of(t) for t, _ in self.common] or [0], np.int64)
-            logc = np.log10(np.array([c for _, c in self.common] or [0], float) + ALPHA)
+            words, times = self._parts()
+            place = {t: i for i, t in enumerate(words)}
+            cls = np.array([self.classes.of(t) for t in words] or [0], np.int64)
+            logc = np.log10((times if words else np.zeros(1)) + ALPHA)
+            self._sent = None
             self._ready = place, cls, logc, self.model.log10_table()
         return self._ready
 
@@ -402,7 +411,7 @@ class _Known(dict):
         self.ids = ids
 
     def __missing__(self, token: bytes) -> int:
-        if len(self) >= MAX_COUNTED:
+        if len(self) >= MAX_KNOWN:
             self.clear()
         found = self[token] = self.ids.of(token)
         return found
@@ -428,7 +437,7 @@ def count_contexts(train: DataFrame, shared) -> DataFrame:
         def sums():
             return _row_sums(np.concatenate([k for k, _ in pairs]), np.concatenate([c for _, c in pairs]))
 
-        for _, texts in text_blocks(batches):
+        for _, texts in text_blocks(batches, limit=TEXT_BYTES):
             words = [tokens(t) for t in texts]
             size = np.fromiter(map(len, words), np.int64, len(words))
             i = np.fromiter((known[w] for ws in words for w in ws), np.int64, int(size.sum()))
@@ -572,7 +581,7 @@ def score(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "held_out", "n_tokens", "known", "base", "logp", "others", "times"]
 
     def work(batches):
-        for batch, texts in text_blocks(batches):
+        for batch, texts in text_blocks(batches, limit=TEXT_BYTES):
             size, known, base, logp, others = shared.value.score(texts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(size), pa.array(known), pa.array(base),
