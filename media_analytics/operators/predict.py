@@ -140,22 +140,26 @@ def _require(train: DataFrame, what: str) -> None:
         raise ValueError(f"{what}: no training rows")
 
 
-# Every tree level ships one statistics array per partition, so small partitions are
-# merged; they stay small enough for one task whatever the size of the table.
-FIT_PARTITION_BYTES = 128 * 1024 * 1024
-FIT_PARTITIONS = 8  # not merged below this many
-
-
-def _fit(stages: list, train: DataFrame) -> PipelineModel:
-    """Fit with the training rows persisted for the fit only: the scaler pass,
-    the split-candidate sample and the forest's bagging then read them once
-    instead of re-running the feature joins (spills to disk when large). Their
-    counted rows give the number of partitions (``coalesce``: no shuffle, never
-    more partitions than before)."""
-    cached = persist(train)
+# Every tree level ships one statistics array per partition, so partitions are few; and every
+# level reads the bagged rows, so one holds no more of them than this.
+FIT_PARTITION_BYTES = 256 * 1024 * 1024
+FIT_PARTITIONS = 8  # at least this many
+ROW_BYTES = 15 * FOREST_TREES  # of a row in one level: its count and node in each tree, as read (1,468 bytes)
+
+
+def _fit(stages: list, train: DataFrame, columns: list[str]) -> PipelineModel:
+    """Fit with the ``columns`` of the training rows persisted for the fit only: the scaler
+    pass, the split-candidate sample and the forest's bagging then read them once
+    instead of re-running the feature joins (spills to disk when large). They are dealt by
+    id to as many partitions as the bagged rows fill, whatever the files they come from, so a large
+    table has more tasks, not larger ones. In a partition they lie in the order of the features:
+    the same rows are bagged in each run, and successive rows meet the same nodes of a tree."""
+    rows = train.select(F.count(F.lit(1))).first()[0]
+    n = max(FIT_PARTITIONS, -(-rows * ROW_BYTES // FIT_PARTITION_BYTES))
+    cached = persist(train.select("video_id", *columns).repartition(n, "video_id")
+                     .sortWithinPartitions(*columns, "video_id"))
     try:
-        size = cached.count() * 8 * len(train.columns)
-        return Pipeline(stages=stages).fit(cached.coalesce(max(FIT_PARTITIONS, -(-size // FIT_PARTITION_BYTES))))
+        return Pipeline(stages=stages).fit(cached)
     finally:
         cached.unpersist()
 
@@ -176,7 +180,7 @@ def fit_virality(features: DataFrame, approx: bool = False) -> FittedModel:
     _require(train, "virality model")
     rf = RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=FOREST_TREES,
                                 maxDepth=FOREST_DEPTH, seed=SEED, **_tuning(features.sparkSession))
-    model = _fit(_assemble(VIRALITY_FEATURES) + [rf], train)
+    model = _fit(_assemble(VIRALITY_FEATURES) + [rf], train, [*VIRALITY_FEATURES, "_label"])
     pred = persist(model.transform(test).select("video_id", F.col("_label").alias("label"), "prediction"))
     return FittedModel(model, VIRALITY_FEATURES, pred, train.agg(F.count(F.lit(1)).alias("training_rows")))
 
@@ -191,7 +195,7 @@ def fit_category(features: DataFrame) -> FittedModel:
                                 maxDepth=FOREST_DEPTH, seed=SEED, predictionCol="_pred",
                                 **_tuning(features.sparkSession))
     back = IndexToString(inputCol="_pred", outputCol="prediction", labels=CATEGORIES)
-    model = _fit([idx] + _assemble(CONTENT_FEATURES) + [rf, back], train)
+    model = _fit([idx] + _assemble(CONTENT_FEATURES) + [rf, back], train, [*CONTENT_FEATURES, "performance_category"])
     pred = persist(model.transform(test).select("video_id", F.col("performance_category").alias("label"),
                                                 "prediction"))
     return FittedModel(model, CONTENT_FEATURES, pred, train.agg(F.count(F.lit(1)).alias("training_rows")))
@@ -207,7 +211,7 @@ def fit_views(features: DataFrame) -> FittedModel:
     rf = RandomForestRegressor(featuresCol="_features", labelCol="_label", numTrees=FOREST_TREES,
                                maxDepth=FOREST_DEPTH, seed=SEED, featureSubsetStrategy="all",
                                **_tuning(features.sparkSession))
-    model = _fit(_assemble(CONTENT_FEATURES) + [rf], train)
+    model = _fit(_assemble(CONTENT_FEATURES) + [rf], train, [*CONTENT_FEATURES, "_label"])
     pred = persist(model.transform(test).select("video_id", F.col("_label").alias("label"), "prediction"))
     return FittedModel(model, CONTENT_FEATURES, pred, train.agg(F.count(F.lit(1)).alias("training_rows")))
 

@@ -131,3 +131,25 @@ def test_predictions_importances_and_metrics_equal_a_walk_over_the_trees(spark,
     assert m.train_rows.first()[0] == train.count()
     imp = {r.feature: r.importance for r in m.importances().collect()}
     assert [imp[f] for f in m.features] == pytest.approx(_brute_importances(trees, len(m.features)), abs=1e-6)
+
+
+def test_fit_deals_the_rows_by_their_number_whatever_the_files(features, monkeypatch):
+    """One file of many rows is fitted in as many partitions as its bagged rows fill."""
+    seen = []
+
+    class Fit:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, df):
+            seen.append([[r.video_id for r in part] for part in df.rdd.glom().collect()])
+
+    monkeypatch.setattr(predict, "Pipeline", Fit)
+    monkeypatch.setattr(predict, "FIT_PARTITION_BYTES", 1 << 17)
+    train = predict.split(features.where("views IS NOT NULL"))[0]
+    for parts in (1, 3):
+        predict._fit([], train.coalesce(parts), ["views"])
+    n = train.count()
+    assert seen[0] == seen[1] and sum(map(len, seen[0])) == n
+    assert len(seen[0]) == -(-n * predict.ROW_BYTES // (1 << 17)) > predict.FIT_PARTITIONS
+    assert max(map(len, seen[0])) < 2 * n / len(seen[0])
