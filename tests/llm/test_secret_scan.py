@@ -125,3 +125,33 @@ def test_logit_equals_the_forward_pass(network):
     keys, near = ss._drawn(np.random.default_rng(8), 300)
     x = ss.encode([ss.windows("some words " + k + " and more", 11, 11 + len(k))[0] for k in keys + near])
     assert np.allclose(network.logit(x), network._forward(x)[-1], atol=1e-3)
+
+
+def test_labels_are_those_of_all_documents(spark):
+    """Every distinct labelled candidate of the whole table, by a plain walk."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = set()
+    for t in {t for _, t in texts(docs) if t}:
+        found = brute(t)
+        strong = [s for s in found if s[1] < 2 or not t[s[0]:s[2]].isdigit()]
+        meets = lambda a, b, spans: any(x < b and a < y for x, _, y in spans)
+        for a, b in ss.candidates(t):
+            if meets(a, b, strong) or not meets(a, b, found):
+                y = 1 if meets(a, b, strong) else 2 * t[a:b].rstrip(".").isalpha()
+                want.add((t, ss.windows(t, a, b)[0], min(b - a, ss.BODY), int(y)))
+    got = ss.labelled(docs).collect()
+    assert sorted((s, n, y) for _, s, n, y in want) == sorted((r.seen, r.n, r.y) for r in got)
+
+
+def test_all_labels_train(spark, monkeypatch):
+    """More labels of one kind than a bounded sample held: each document counts, dealt in several parts."""
+    rng = np.random.default_rng(11)
+    long = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 14))
+    rows = [(i, f"see {long()} there") for i in range(4000)] + [(i, f"password={long()}9") for i in range(4000, 4040)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "xxhash64(text) AS h")
+    last = docs.where("doc_id < 4000 AND pmod(h, 5) <> 0").orderBy("h", ascending=False).limit(1)
+    monkeypatch.setattr(ss, "SEEN", 0)
+    monkeypatch.setattr(ss, "PART_ROWS", 1000)
+    whole, again, less = (ss.learn(d) for d in (docs, docs.repartition(3), docs.join(last, "doc_id", "left_anti")))
+    assert np.array_equal(whole.packed(), again.packed()) and whole.threshold == again.threshold
+    assert not np.array_equal(whole.packed(), less.packed())
