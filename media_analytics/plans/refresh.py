@@ -52,10 +52,11 @@ def _in_years(years: list[int | None]):
 
 
 def _write_years(df: DataFrame, path: str, years: list[int | None], emptied: list[int | None]) -> None:
-    """Replace the folders of ``years`` by the rows of ``df``."""
+    """Replace the folders of ``years`` by the rows of ``df``, which are written from where the last
+    join or aggregate left them: AQE has merged its small partitions, and each task writes a file for each
+    year it holds, so the rows are not moved once more."""
     spark = df.sparkSession
-    (df.hint("rebalance", YEAR).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(YEAR).parquet(path))
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(YEAR).parquet(path))
     for y in emptied:
         fs, p = _path(spark, f"{path}/{YEAR}={'__HIVE_DEFAULT_PARTITION__' if y is None else y}")
         fs.delete(p, True)
@@ -65,11 +66,12 @@ def upsert(path: str, fetched: DataFrame, key: str = "video_id") -> tuple[list,
     """Replace or add the ``fetched`` rows (one per ``key``) in the table at ``path``; returns the
     years rewritten and, of these, the ones left without rows."""
     spark = fetched.sparkSession
-    changed = cut_lineage(fetched.where(F.col(key).isNotNull()))
-    added = {r[0]: r[1] for r in changed.groupBy(YEAR).count().collect()}
+    changed = fetched.where(F.col(key).isNotNull())
     if not exists(spark, path):
-        _write_years(changed, path, list(added), [])
-        return list(added), []
+        _write_years(changed, path, [], [])
+        return [r[0] for r in spark.read.schema(changed.schema).parquet(path).select(YEAR).distinct().collect()], []
+    changed = cut_lineage(changed)
+    added = {r[0]: r[1] for r in changed.groupBy(YEAR).count().collect()}
     old = spark.read.schema(changed.schema).parquet(path)
     ids = changed.select(key)
     gone = {r[0]: r[1] for r in old.select(key, YEAR).where(F.col(key).isNotNull())
@@ -90,7 +92,7 @@ def refresh(root: str, fetched: DataFrame, order: list[str]) -> list:
     measures but the category) with the columns ``order`` that tell which of a video's rows is
     newest; those that are no columns of the table are dropped. Returns the years rewritten."""
     spark = fetched.sparkSession
-    rows = newest(fetched, "video_id", order).drop(*[c for c in order if c not in enrich.VIDEO_COLUMNS])
+    rows = newest(fetched.where("video_id IS NOT NULL"), "video_id", order).drop(*[c for c in order if c not in enrich.VIDEO_COLUMNS])
     years, emptied = upsert(f"{root}/videos", rows)
     videos = spark.read.schema(rows.schema).parquet(f"{root}/videos").where(_in_years(years))
     for name, table in (("days", state.channel_days(videos)), ("hours", state.day_hours(videos)),

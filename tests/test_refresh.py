@@ -71,6 +71,21 @@ def test_empty_fetch(spark, tmp_dir):
     assert content(spark, root) == [("a", 2021, 1)]
 
 
+def test_written_rows_are_not_moved_again(spark, tmp_dir):
+    """The only exchange is the caller's own."""
+    df = rows(spark, *[(f"v{k}", 2018 + k % 5, k, "c1", 1) for k in range(200)]).drop("fetched_at").repartition("video_id")
+    spark.sparkContext.setJobGroup("write-years", "write")
+    try:
+        refresh._write_years(df, f"{tmp_dir}/w", [], [])
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("write-years") for s in tracker.getJobInfo(j).stageIds
+                  if tracker.getStageInfo(s) and tracker.getStageInfo(s).numCompletedTasks}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(stages) == 2
+    assert sorted(r.views for r in spark.read.parquet(f"{tmp_dir}/w").collect()) == list(range(200))
+
+
 @pytest.fixture(scope="module")
 def sample(spark, tmp_path_factory):
     items = [(f"v{k}", None if k % 17 == 0 else 2018 + k % 5, (k * 7919) % 1000, None if k % 11 == 0 else f"c{k % 6}", 1)
