@@ -44,6 +44,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -334,6 +335,13 @@ class TokenVectors:
         return out
 
 
+class _Places(dict):
+    """Places of the common tokens, -1 for any other."""
+
+    def __missing__(self, token: bytes) -> int:
+        return -1
+
+
 class Scorer:
     """Everything a task needs: the common tokens, the classes and the models."""
 
@@ -355,7 +363,7 @@ class Scorer:
         """(token -> place, class by place, log10(c + 0.1) by place, table)."""
         if self._ready is None:
             words, times = self._parts()
-            place = {t: i for i, t in enumerate(words)}
+            place = _Places((t, i) for i, t in enumerate(words))
             cls = np.array([self.classes.of(t) for t in words] or [0], np.int64)
             logc = np.log10((times if words else np.zeros(1)) + ALPHA)
             self._sent = None
@@ -369,7 +377,7 @@ class Scorer:
         place, cls, logc, table = self.ready()
         words = [tokens(t) for t in texts]
         size = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter((place.get(w, -1) for ws in words for w in ws), np.int64, int(size.sum()))
+        at = np.fromiter(map(place.__getitem__, chain.from_iterable(words)), np.int64, int(size.sum()))
         c = cls[at]
         rare_at = np.flatnonzero(at < 0)
         first = np.concatenate([[0], np.cumsum(size)])
@@ -424,9 +432,8 @@ def count_contexts(train: DataFrame, shared) -> DataFrame:
     tokens: key is id of the token before * 65536 + id of the token."""
     import pyarrow as pa
 
-    def rows(part, key, c):
-        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(part, key.shape).astype(np.int32)),
-                                           pa.array(key.astype(np.int64)), pa.array(c.astype(np.int64))], ["part", "key", "c"])
+    def rows(code, c):  # (part + 1) << 32 | key: one long is grouped and moved for less than two columns
+        return pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(c.astype(np.int32))], ["code", "c"])
 
     def work(batches):
         triples = np.zeros(CLASSES ** 3, np.int32)  # a task reads fewer tokens than an int holds
@@ -440,30 +447,31 @@ def count_contexts(train: DataFrame, shared) -> DataFrame:
         for _, texts in text_blocks(batches, limit=TEXT_BYTES):
             words = [tokens(t) for t in texts]
             size = np.fromiter(map(len, words), np.int64, len(words))
-            i = np.fromiter((known[w] for ws in words for w in ws), np.int64, int(size.sum()))
+            i = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, int(size.sum()))
             del words
             c = ids.cls[i]
             b2, b1 = before(c, size, end)
-            np.add.at(triples, (b2 * CLASSES + b1) * CLASSES + c, 1)
-            key = ((shard_of(c) << 32) | (before(i, size, end_id)[1] << 16) | i)[c >= OWN]
+            met, times = np.unique((b2 * CLASSES + b1) * CLASSES + c, return_counts=True)
+            triples[met] += times.astype(np.int32)
+            key = ((shard_of(c) + 1 << 32) | (before(i, size, end_id)[1] << 16) | i)[c >= OWN]
             pairs.append(np.unique(key, return_counts=True))
             held += len(pairs[-1][0])
             if held > MAX_PAIRS:
                 pairs = [sums()]
                 held = len(pairs[0][0])
                 if held > MAX_PAIRS // 2:
-                    yield rows(pairs[0][0] >> 32, pairs[0][0] & 0xFFFFFFFF, pairs[0][1])
+                    yield rows(*pairs[0])
                     pairs, held = [], 0
         if held:
-            key, c = sums()
-            yield rows(key >> 32, key & 0xFFFFFFFF, c)
+            yield rows(*sums())
         met = np.flatnonzero(triples)
         for k in range(0, len(met), 1 << 18):
             part = met[k:k + (1 << 18)]
-            yield rows(-1, part, triples[part])
+            yield rows(part, triples[part])
 
-    return (train.select("text").mapInArrow(work, "part int, key long, c long")
-            .groupBy("part", "key").agg(F.sum("c").alias("c")))
+    return (train.select("text").mapInArrow(work, "code long, c int").groupBy("code").agg(F.sum("c").alias("c"))
+            .select((F.shiftright("code", 32) - 1).cast("int").alias("part"), F.col("code").bitwiseAND(0xFFFFFFFF).alias("key"),
+                    "c"))
 
 
 # ---- the operator -----------------------------------------------------------

@@ -178,3 +178,14 @@ def test_long_documents_are_learned(spark):
 
 def test_empty(spark):
     assert lm.score(empty_documents(spark)).count() == 0
+
+
+def test_counts_move_as_one_long(spark):
+    """The exchange of the counts carries a long and its count, not a column for the part."""
+    df = spark.createDataFrame([(1, "a b a b c")], "doc_id long, text string")
+    common = [(b"a", 3), (b"b", 2), (lm.END, 1)]
+    ids = lm.Ids(lm.Classes(common), common)
+    got = lm.count_contexts(df, spark.sparkContext.broadcast(ids))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(code" in plan
+    assert dict(got.dtypes) == {"part": "int", "key": "bigint", "c": "bigint"}
