@@ -73,7 +73,8 @@ def test_empty_fetch(spark, tmp_dir):
 
 def test_written_rows_are_not_moved_again(spark, tmp_dir):
     """The only exchange is the caller's own."""
-    df = rows(spark, *[(f"v{k}", 2018 + k % 5, k, "c1", 1) for k in range(200)]).drop("fetched_at").repartition("video_id")
+    df = rows(spark, *[(f"v{k}", 2018 + k % 5, k, "c1", 1) for k in range(200)])
+    df = refresh.newest(df, "video_id", ["fetched_at"]).drop("fetched_at")
     spark.sparkContext.setJobGroup("write-years", "write")
     try:
         refresh._write_years(df, f"{tmp_dir}/w", [], [])
