@@ -331,7 +331,10 @@ def q_driver_points_sample(spark, d):
 
 
 def q_dirty_driver_points_sample(spark, d):
-    return growth.driver_sample(q_dirty_filtered(spark, d).where("video_id IS NOT NULL"), DRAWN_POINTS)
+    """Videos without an id are left out before the filters, which fill a missing number with 0."""
+    videos, channels = context(spark, d).dirty
+    with_id = videos.where("video_id IS NOT NULL")
+    return growth.driver_sample(filters.apply_filters(with_id, filters.FilterSpec(), channels), DRAWN_POINTS)
 
 
 def q_duration_trend(spark, d):
