@@ -1,8 +1,8 @@
 """Registered queries: each takes (spark, sf_dir) and returns a DataFrame.
 
 All queries share one prepared context per (session, folder): the videos with
-all measures and the channel rollup, written once as Parquet to the shared
-checkpoint folder. The videos are partitioned by ``publish_year``, so date filters
+all measures and the channel rollup, written as Parquet to the shared checkpoint
+folder when a query first reads them. The videos are partitioned by ``publish_year``, so date filters
 skip folders and push ranges into the scan, a report reads only its columns, and a
 lost executor costs no recomputation. Reports run over the whole tables.
 """
@@ -46,19 +46,47 @@ DEEP_CANDIDATES = 200
 class Context:
     spark: SparkSession
     channel_attrs: DataFrame
-    base: DataFrame        # typed videos with channel attributes and all measures but the category
-    thresholds: tuple      # (q25, q75) of views
-    videos: DataFrame      # enriched (dashboard semantics)
-    channels: DataFrame    # rollup + metrics
     folder: str | None = None
     source: str = ""
+    _base: DataFrame | None = None
+    _thresholds: tuple | None = None
+    _channels: DataFrame | None = None
     _features: DataFrame | None = None
     _models: dict | None = None
-    _dirty: tuple | None = None
+    _dirty_videos: DataFrame | None = None
+    _dirty_channels: DataFrame | None = None
     _refreshed: str | None = None
     _checked: bool = False
     _bucketed: bucketed.BucketedTables | None = None
 
+    @property
+    def base(self) -> DataFrame:
+        """Typed videos with channel attributes and all measures but the category."""
+        if self._base is None:
+            typed = enrich.attach_channel(test_video_table(self.spark, self.source, SPREAD), self.channel_attrs,
+                                          how="left", key_source=test_video_keys(self.spark, self.source))
+            self._base = self.keep_measured(typed, "videos")
+        return self._base
+
+    @property
+    def thresholds(self) -> tuple:
+        """(q25, q75) of views."""
+        if self._thresholds is None:
+            self._thresholds = enrich.category_thresholds(self.base)
+        return self._thresholds
+
+    @property
+    def videos(self) -> DataFrame:
+        """Enriched videos (dashboard semantics)."""
+        return _enriched(self.base, self.thresholds)
+
+    @property
+    def channels(self) -> DataFrame:
+        """Rollup and metrics."""
+        if self._channels is None:
+            self._channels = self.keep(rollup.rollup_channels(self.videos, self.channel_attrs, AS_OF), "channels")
+        return self._channels
+
     @property
     def bucketed(self) -> bucketed.BucketedTables:
         """The raw videos and the channels in buckets of the channel."""
@@ -75,9 +103,14 @@ class Context:
         """Videos with channel attributes, before enrichment."""
         return self.base.select(*TYPED_COLUMNS)
 
-    def keep(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write a shared table once and read it back (``PERSIST`` off: leave it in the plan)."""
-        return df if self.folder is None else _written(df, f"{self.folder}/{name}", partition_by)
+        return df if self.folder is None else _written(df, f"{self.folder}/{name}", None)
+
+    def keep_measured(self, typed: DataFrame, name: str) -> DataFrame:
+        """``keep`` for typed videos, with their measures and in a folder per year."""
+        keyed = typed.withColumn("publish_year", F.year("publish_date"))
+        return _measured(keyed) if self.folder is None else _written(keyed, f"{self.folder}/{name}", "publish_year", _measured)
 
     @property
     def features(self) -> DataFrame:
@@ -115,17 +148,23 @@ class Context:
         return filters.apply_channel_filter(self.channels, filters.FilterSpec())
 
     @property
-    def dirty(self) -> tuple[DataFrame, DataFrame]:
-        """(videos, channels) of the view with faults: unmatched and missing channels,
-        missing dates, missing and repeated ids, categories that are no label."""
-        if self._dirty is None:
+    def dirty_videos(self) -> DataFrame:
+        """Videos of the view with faults: unmatched and missing channels, missing dates,
+        missing and repeated ids, categories that are no label."""
+        if self._dirty_videos is None:
             typed = enrich.attach_channel(testviews.dirty_video_table(self.spark, self.source, SPREAD),
                                           self.channel_attrs, how="left")
-            base = self.keep(enrich.with_time_and_rates(typed, AS_OF), "dirty", "publish_year")
-            videos = testviews.dirty_category(_enriched(base, enrich.category_thresholds(base)))
-            self._dirty = videos, self.keep(rollup.rollup_channels(videos, self.channel_attrs, AS_OF), "dirty_channels")
-        return self._dirty
+            base = self.keep_measured(typed, "dirty")
+            self._dirty_videos = testviews.dirty_category(_enriched(base, enrich.category_thresholds(base)))
+        return self._dirty_videos
 
+    @property
+    def dirty(self) -> tuple[DataFrame, DataFrame]:
+        """(videos, channels) of the view with faults."""
+        if self._dirty_channels is None:
+            self._dirty_channels = self.keep(rollup.rollup_channels(self.dirty_videos, self.channel_attrs, AS_OF),
+                                             "dirty_channels")
+        return self.dirty_videos, self._dirty_channels
 
     @property
     def refreshed(self) -> str:
@@ -154,11 +193,21 @@ TYPED_COLUMNS = ["channel_id", "video_id", "title", "publish_date", "duration_mi
                  "channel_name", "ch_subscribers", "channel_created"]
 
 
-def _written(df: DataFrame, path: str, partition_by: str | None) -> DataFrame:
+def _dealt(df: DataFrame, partition_by: str, measures: Callable | None = None) -> DataFrame:
+    """Rows moved by ``partition_by``: a few files of good size per folder, as AQE merges small partitions
+    and splits large ones, instead of a file per task and folder. ``measures`` adds its columns after the move."""
+    rows = df.hint("rebalance", partition_by)
+    return measures(rows) if measures else rows
+
+
+def _measured(rows: DataFrame) -> DataFrame:
+    return enrich.with_time_and_rates(rows.drop("publish_year"), AS_OF)
+
+
+def _written(df: DataFrame, path: str, partition_by: str | None, measures: Callable | None = None) -> DataFrame:
     if partition_by:
-        # a few files of good size per folder: AQE merges small partitions and splits large
-        # ones, instead of a file per task and folder
-        (df.hint("rebalance", partition_by).sortWithinPartitions(partition_by, *SORTED).write.mode("overwrite")
+        df = _dealt(df, partition_by, measures)
+        (df.sortWithinPartitions(partition_by, *SORTED).write.mode("overwrite")
          .option("parquet.bloom.filter.enabled#channel_name", "true").partitionBy(partition_by).parquet(path))
     else:
         df.write.mode("overwrite").parquet(path)
@@ -175,18 +224,8 @@ def context(spark: SparkSession, sf_dir: str) -> Context:
     if ctx is not None and ctx.spark is spark:
         return ctx
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/media-{uuid.uuid4().hex}" if PERSIST else None
-    attrs = test_channel_table(spark, sf_dir, AS_OF)
-    typed = enrich.attach_channel(test_video_table(spark, sf_dir, SPREAD), attrs, how="left",
-                                  key_source=test_video_keys(spark, sf_dir))
-    base = enrich.with_time_and_rates(typed, AS_OF)
-    if folder:
-        base = _written(base, f"{folder}/videos", "publish_year")
-    thresholds = enrich.category_thresholds(base)
-    videos = _enriched(base, thresholds)
-    ctx = Context(spark, attrs, base, thresholds, videos, videos, folder, source=sf_dir)
-    ctx.channels = ctx.keep(rollup.rollup_channels(videos, attrs, AS_OF), "channels")
-    _CONTEXTS[key] = ctx
-    return ctx
+    _CONTEXTS[key] = Context(spark, test_channel_table(spark, sf_dir, AS_OF), folder, sf_dir)
+    return _CONTEXTS[key]
 
 
 def release(spark: SparkSession | None = None) -> None:
@@ -574,7 +613,7 @@ def q_pages_playlist(spark, d):
 
 # The view with faults (see Context.dirty)
 def q_dirty_videos(spark, d):
-    return context(spark, d).dirty[0]
+    return context(spark, d).dirty_videos
 
 
 def q_dirty_inner(spark, d):
@@ -589,11 +628,11 @@ def q_dirty_filtered(spark, d):
 
 
 def q_dirty_category_mix(spark, d):
-    return performance.category_mix(context(spark, d).dirty[0])
+    return performance.category_mix(context(spark, d).dirty_videos)
 
 
 def q_dirty_data_check(spark, d):
-    return quality.data_check(context(spark, d).dirty[0])
+    return quality.data_check(context(spark, d).dirty_videos)
 
 
 def q_dirty_executive_summary(spark, d):
@@ -608,7 +647,7 @@ def q_dirty_strategic_kpis(spark, d):
 
 def _gaps(spark, d):
     """The view with faults, without the weeks whose number divides by 5."""
-    return context(spark, d).dirty[0].where(F.weekofyear("publish_date") % 5 != 0)
+    return context(spark, d).dirty_videos.where(F.weekofyear("publish_date") % 5 != 0)
 
 
 def q_dirty_week_over_week(spark, d):
