@@ -29,7 +29,7 @@ def records(lines: DataFrame) -> DataFrame:
     """(value, header): the records of ``csv_lines``; ``header``: the first one of its file."""
     split = Window.partitionBy("file", "block").orderBy("line")
     before = split.rowsBetween(Window.unboundedPreceding, -1)
-    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     lines = lines.withColumn("quotes", quotes).withColumn("seen", F.coalesce(F.sum("quotes").over(before), F.lit(0)))
     # a split's last begin of a record, for either state it may be entered in
     blocks = lines.groupBy("file", "block").agg(

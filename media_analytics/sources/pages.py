@@ -79,12 +79,15 @@ def count(c: str | Column, zero_if_missing: bool = True) -> Column:
 # date, time of day (may be missing), zone: Z, an offset, or none for UTC
 _TIME = (r"^\s*(\d{4}-\d{1,2}-\d{1,2})(?:[T ](\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?))?"
          r"\s*(Z|z|UTC|[+-]\d{2}(?::?\d{2})?)?\s*$")
+# the form that tables are written in: no zone, nothing left out
+_PLAIN_TIME = r"\A\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?\z"
 
 
 def utc_timestamp(c: str | Column) -> Column:
     """ISO-8601 text (``Z``, an offset, or no zone for UTC) -> UTC wall clock as
     TIMESTAMP_NTZ; text that does not parse becomes NULL. The offset is taken from
-    the text and subtracted, so the session time zone plays no part."""
+    the text and subtracted, so the session time zone plays no part. Text in the plain form
+    is cast at once; any other is taken apart."""
     x = (F.col(c) if isinstance(c, str) else c).cast("string")
     day, clock, zone = (F.regexp_extract(x, _TIME, i) for i in (1, 2, 3))
     wall = F.concat(day, F.lit(" "), F.when(clock == "", "00:00:00").otherwise(clock)).try_cast("timestamp_ntz")
@@ -92,7 +95,8 @@ def utc_timestamp(c: str | Column) -> Column:
     minutes = F.coalesce(F.substring(digits, 1, 2).try_cast("int"), F.lit(0)) * 60 + F.coalesce(
         F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
     offset = F.when(F.substring(zone, 1, 1) == "-", -minutes).otherwise(minutes)
-    return wall - F.make_dt_interval(F.lit(0), F.lit(0), offset, F.lit(0))
+    apart = wall - F.make_dt_interval(F.lit(0), F.lit(0), offset, F.lit(0))
+    return F.when(x.rlike(_PLAIN_TIME), x.try_cast("timestamp_ntz")).otherwise(apart)
 
 
 def parse_pages(text: DataFrame, schema: T.StructType, column: str = "value") -> DataFrame:
