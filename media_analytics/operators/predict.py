@@ -145,19 +145,20 @@ def _require(train: DataFrame, what: str) -> None:
 FIT_PARTITION_BYTES = 256 * 1024 * 1024
 FIT_PARTITIONS = 8  # at least this many
 ROW_BYTES = 15 * FOREST_TREES  # of a row in one level: its count and node in each tree, as read (about 1,470 bytes, 925 MB of some 630,000 rows)
+DEALT_BY = ["video_id", "channel_id", "views", "likes", "comments"]  # as read, never filled
 
 
 def _fit(stages: list, train: DataFrame, columns: list[str]) -> PipelineModel:
     """Fit with the ``columns`` of the training rows persisted for the fit only: the scaler
     pass, the split-candidate sample and the forest's bagging then read them once
     instead of re-running the feature joins (spills to disk when large). They are dealt by
-    id to as many partitions as the bagged rows fill, whatever the files they come from, so a large
-    table has more tasks, not larger ones. In a partition they lie in the order of the features:
+    id and counters (an id may repeat) to as many partitions as the bagged rows fill, whatever the files they
+    come from, so a large table has more tasks, not larger ones. In a partition they lie in the order of the features:
     the same rows are bagged in each run, and successive rows meet the same nodes of a tree."""
     rows = train.select(F.count(F.lit(1))).first()[0]
     n = max(FIT_PARTITIONS, -(-rows * ROW_BYTES // FIT_PARTITION_BYTES))
-    cached = persist(train.select("video_id", *columns).repartition(n, "video_id")
-                     .sortWithinPartitions(*columns, "video_id"))
+    cached = persist(train.select(F.xxhash64(*DEALT_BY).alias("_deal"), "video_id", *columns).repartition(n, "_deal")
+                     .sortWithinPartitions(*columns, "video_id").drop("_deal"))
     try:
         return Pipeline(stages=stages).fit(cached)
     finally:

@@ -1,6 +1,7 @@
 """Forest fits: rows and bounds only (binned splits cannot equal another library)."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from media_analytics.operators import evaluate, predict
 from media_analytics.plans import catalog
@@ -153,3 +154,23 @@ def test_fit_deals_the_rows_by_their_number_whatever_the_files(features, monkeyp
     assert seen[0] == seen[1] and sum(map(len, seen[0])) == n
     assert len(seen[0]) == -(-n * predict.ROW_BYTES // (1 << 17)) > predict.FIT_PARTITIONS
     assert max(map(len, seen[0])) < 2 * n / len(seen[0])
+
+
+def test_fit_deals_the_rows_of_one_id_over_the_partitions(features, monkeypatch):
+    """Rows of a repeated id do not meet in one task."""
+    seen = []
+
+    class Fit:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, df):
+            seen.append((df.columns, [len(part) for part in df.rdd.glom().collect()]))
+
+    monkeypatch.setattr(predict, "Pipeline", Fit)
+    train = predict.split(features)[0].withColumn("video_id", F.lit(7).cast("long"))
+    predict._fit([], train, predict.CONTENT_FEATURES)
+    columns, sizes = seen[0]
+    assert columns == ["video_id", *predict.CONTENT_FEATURES]
+    assert sum(sizes) == train.count() and len(sizes) == predict.FIT_PARTITIONS
+    assert max(sizes) < 2 * sum(sizes) / len(sizes)
