@@ -1,18 +1,16 @@
 """Prediction models on ``pyspark.ml``: M0-M8, C22, J5, T5.
 
-Training is distributed by Spark ML (per-level split statistics aggregated on
+Training is distributed (``forest``: per-level split statistics added up on
 executors); the driver holds only the trees. Nothing here collects rows.
 """
 
 from __future__ import annotations
 
-import re
+import math
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexerModel, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +18,7 @@ from ..functions.constants import (CATEGORIES, CONTENT_FEATURES, FOREST_DEPTH, F
                                    TEST_FRACTION_TENTHS, VIRALITY_FEATURES)
 from ..functions.scalar import is_weekend, ratio_or_null
 from ..session import persist
+from .forest import BinnedForest
 from .joins import salted_join
 from .quantiles import quantiles
 
@@ -96,38 +95,12 @@ class FittedModel:
         return df.orderBy(F.col("importance").asc() if ascending else F.col("importance").desc(), "feature")
 
 
-def _size_mb(text: str | None, default_mb: int) -> int:
-    if not text:
-        return default_mb
-    m = re.fullmatch(r"\s*(\d+)\s*([kmgt]?)b?\s*", text.lower())
-    if not m:
-        return default_mb
-    n, unit = int(m.group(1)), m.group(2)
-    return {"k": n // 1024, "": n, "m": n, "g": n * 1024, "t": n * 1024 * 1024}[unit]
-
-
-def stats_memory_mb(spark) -> int:
-    """Per-task memory for the forest's split statistics: 30% of one executor
-    heap shared by the tasks that run in it at once. (In local mode the executor
-    is the driver JVM. A standalone cluster gives an executor all cores of its
-    machine unless ``spark.executor.cores`` is set, so many are assumed there.)"""
-    conf = spark.sparkContext.getConf()
-    local = spark.sparkContext.master.startswith("local")
-    heap = _size_mb(conf.get("spark.driver.memory" if local else "spark.executor.memory", None), 1024)
-    unset = "32" if spark.sparkContext.master.startswith("spark://") else "1"
-    tasks = spark.sparkContext.defaultParallelism if local else int(conf.get("spark.executor.cores", unset))
-    return max(16, int(heap * 0.3 / max(1, tasks)))
-
-
-# Execution settings only (they do not change the trees): cached node ids avoid
-# re-walking every tree from the root at each level, and the split-statistics
-# memory (set per fit from the heap, see stats_memory_mb) lets one pass over the
-# data grow as many nodes as fit.
-RF_TUNING = dict(cacheNodeIds=True)
-
-
-def _tuning(spark) -> dict:
-    return dict(RF_TUNING, maxMemoryInMB=stats_memory_mb(spark))
+def _forest(cols: list[str], classes: int = 0, **names) -> BinnedForest:
+    """The forest of the models: a classifier of ``classes`` tries the square root of the features at a
+    node; a regressor all of them (the in-memory library's default)."""
+    subset = math.ceil(math.sqrt(len(cols))) if classes else len(cols)
+    return BinnedForest(classes, subset, numTrees=FOREST_TREES, maxDepth=FOREST_DEPTH, seed=SEED,
+                        featuresCol="_features", labelCol="_label", **names)
 
 
 def _assemble(cols: list[str]) -> list:
@@ -141,16 +114,16 @@ def _require(train: DataFrame, what: str) -> None:
 
 
 # Every tree level ships one statistics array per partition, so partitions are few; and every
-# level reads the bagged rows, so one holds no more of them than this.
-FIT_PARTITION_BYTES = 256 * 1024 * 1024
+# level makes the counts and nodes of all its rows again, so one makes no more of them than this.
+FIT_PARTITION_BYTES = 2 * 1024 * 1024 * 1024
 FIT_PARTITIONS = 8  # at least this many
-ROW_BYTES = 15 * FOREST_TREES  # of a row in one level: its count and node in each tree, as read (about 1,470 bytes, 925 MB of some 630,000 rows)
+ROW_BYTES = 15 * FOREST_TREES  # of a row in one level: its count and node in each tree, made block by block and never stored
 DEALT_BY = ["video_id", "channel_id", "views", "likes", "comments"]  # as read, never filled
 
 
 def _fit(stages: list, train: DataFrame, columns: list[str]) -> PipelineModel:
     """Fit with the ``columns`` of the training rows persisted for the fit only: the scaler
-    pass, the split-candidate sample and the forest's bagging then read them once
+    pass, the split candidates and the forest's bins then read them once
     instead of re-running the feature joins (spills to disk when large). They are dealt by
     id and counters (an id may repeat) to as many partitions as the bagged rows fill, whatever the files they
     come from, so a large table has more tasks, not larger ones. In a partition they lie in the order of the features:
@@ -179,8 +152,7 @@ def fit_virality(features: DataFrame, approx: bool = False) -> FittedModel:
     df = df.withColumn("_label", F.col("is_viral").cast("double"))
     train, test = split(df)
     _require(train, "virality model")
-    rf = RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=FOREST_TREES,
-                                maxDepth=FOREST_DEPTH, seed=SEED, **_tuning(features.sparkSession))
+    rf = _forest(VIRALITY_FEATURES, classes=2)
     model = _fit(_assemble(VIRALITY_FEATURES) + [rf], train, [*VIRALITY_FEATURES, "_label"])
     pred = persist(model.transform(test).select("video_id", F.col("_label").alias("label"), "prediction"))
     return FittedModel(model, VIRALITY_FEATURES, pred, train.agg(F.count(F.lit(1)).alias("training_rows")))
@@ -192,9 +164,7 @@ def fit_category(features: DataFrame) -> FittedModel:
     train, test = split(df)
     _require(train, "category model")
     idx = StringIndexerModel.from_labels(CATEGORIES, inputCol="performance_category", outputCol="_label")
-    rf = RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=FOREST_TREES,
-                                maxDepth=FOREST_DEPTH, seed=SEED, predictionCol="_pred",
-                                **_tuning(features.sparkSession))
+    rf = _forest(CONTENT_FEATURES, classes=len(CATEGORIES), predictionCol="_pred")
     back = IndexToString(inputCol="_pred", outputCol="prediction", labels=CATEGORIES)
     model = _fit([idx] + _assemble(CONTENT_FEATURES) + [rf, back], train, [*CONTENT_FEATURES, "performance_category"])
     pred = persist(model.transform(test).select("video_id", F.col("performance_category").alias("label"),
@@ -209,9 +179,7 @@ def fit_views(features: DataFrame) -> FittedModel:
     df = fill_with_means(features, CONTENT_FEATURES).withColumn("_label", F.col("views").cast("double"))
     train, test = split(df)
     _require(train, "views model")
-    rf = RandomForestRegressor(featuresCol="_features", labelCol="_label", numTrees=FOREST_TREES,
-                               maxDepth=FOREST_DEPTH, seed=SEED, featureSubsetStrategy="all",
-                               **_tuning(features.sparkSession))
+    rf = _forest(CONTENT_FEATURES)
     model = _fit(_assemble(CONTENT_FEATURES) + [rf], train, [*CONTENT_FEATURES, "_label"])
     pred = persist(model.transform(test).select("video_id", F.col("_label").alias("label"), "prediction"))
     return FittedModel(model, CONTENT_FEATURES, pred, train.agg(F.count(F.lit(1)).alias("training_rows")))
